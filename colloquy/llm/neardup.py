@@ -11,8 +11,8 @@ members of one component need no comparison, so no link that could join componen
 
 Results at the edges: null or blank text has an empty set and is alone; fewer than five words
 make one shingle; equal word sequences are one class under its smallest id; rows that repeat a
-doc_id are one document, their texts linked; a null doc_id joins the class of its text, without
-one it is kept alone; an empty table gives an empty result; other columns are ignored.
+doc_id are placed each by its own text, two classes under one smallest id are one; a null doc_id
+joins the class of its text, in a class without any id it is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,9 +145,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = member.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     stars = stars.unionByName(member.where("rep <> hi").select(F.col("rep").alias("a"), F.col("hi").alias("b"))).distinct()
     stars = materialize(stars, "pairs")
-    ids = stars.select(F.col("a").alias("doc_id")).unionByName(member.select("rep")).distinct()
+    ids = stars.select(F.col("a").alias("doc_id")).union(member.select("rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").join(ids, "doc_id", "left_semi")
-    texts = materialize(texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    texts = materialize(texts, "texts")
     links = materialize(verify(stars, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     comp = materialize(components(links), "components")
 
@@ -162,7 +162,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         comp = materialize(components(links.unionByName(more)), "components")
 
-    # rows with one doc_id but several texts link those texts' classes
     named = sketched.select("doc_id", "cls", "n_shingles").join(classes, "cls", "left")
     named = named.join(comp, F.col("rep") == F.col("node"), "left")
     own = F.coalesce("component", "rep", "doc_id")
