@@ -32,7 +32,7 @@ SCALE = 256
 #: Statistics of the vector; the least standard deviation of each, so that a constant statistic rejects nothing by itself.
 VECTOR = {"v_words": 0.5, "v_word_chars": 0.05, "v_symbols": 0.5, "v_dup_lines": 0.3, "v_repeats": 0.3}
 #: Squared distance, in units of the group's usual spread, beyond which a document is an outlier.
-CUT, COVERAGE, STEPS, MIN_GROUP = 80.0, 0.75, 3, 100
+CUT, COVERAGE, STEPS, MIN_GROUP = 40.0, 0.75, 3, 100
 #: The median of chi-square with 5 degrees of freedom (fixed value).
 CHI2_MEDIAN = 4.351460191095526
 BINS_PER_DOUBLING = 64
