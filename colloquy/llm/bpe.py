@@ -35,7 +35,7 @@ from .common import merged_splits, read
 FOLD_BYTES = 64
 MEMO_WORDS = 1 << 20
 #: Small maps in the literal rank map; about three pairs in each.
-MAPS = 1 << 16
+MAPS = 1 << 15
 PAIR = 1 << 17
 NO_RANK = 1 << 30
 _ROWS = 256
@@ -57,12 +57,11 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def literal_rank_map(pairs: dict[tuple[int, int], int], maps: int = MAPS) -> Column:
-    """array<map<long, int>>, one literal after constant folding."""
-    table: list[list[dict[str, int]]] = [[] for _ in range(maps)]
+    """array<map<string, int>>; constant folding makes it one literal, which no row builds again."""
+    table: list[dict[int, int]] = [{} for _ in range(maps)]
     for (a, b), r in pairs.items():
-        table[(a * PAIR + b) % maps].append({"k": a * PAIR + b, "v": r})
-    rows = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<struct<k:bigint,v:int>>>")
-    return F.transform(rows, F.map_from_entries)
+        table[(a * PAIR + b) % maps][a * PAIR + b] = r
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def _with(value: Column, use) -> Column:
@@ -74,7 +73,7 @@ def fold_merges(word: Column, table: Column, maps: int = MAPS) -> Column:
     """A word's byte ids (array<bigint>) to its token ids; a trailing -1 ends the work early within the fold."""
 
     def rank(a: Column, b: Column) -> Column:
-        return _with(a * PAIR + b, lambda k: F.coalesce(F.element_at(F.element_at(table, (k % maps).cast("int") + 1), k), F.lit(NO_RANK)))
+        return _with(a * PAIR + b, lambda k: F.coalesce(F.element_at(F.element_at(table, (k % maps).cast("int") + 1), k.cast("string")), F.lit(NO_RANK)))
 
     def merged(parts: Column, found: Column) -> Column:
         low = F.array_min(found)

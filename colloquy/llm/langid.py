@@ -171,9 +171,7 @@ def _predictor(shared) -> Callable:
         for batch in batches:
             got = [model.predict(x) for x in batch.column("text").to_pylist()]
             lang, score, known = zip(*got, strict=True) if got else ((), (), ())
-            kept = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*names, "lang_pred", "score", "known"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "known"])
 
     return predict
 
@@ -182,13 +180,20 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 
 
-def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """docs (doc_id, text, lang) to (doc_id, held_out, lang_pred, score, known)."""
+def attach(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """docs with lang_pred, score and known; learns from labelled, or docs themselves, outside the held-out fold."""
     source = docs if labelled is None else labelled
     model = train(source.where(~F.coalesce(fold(F.col("doc_id")), F.lit(False))).select("doc_id", "lang", "text"))
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.rates))
-    ready = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
-    return ready.mapInArrow(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double, known double")
+    others = [f for f in docs.schema if f.name not in ("lang_pred", "score", "known")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return docs.select([f.name for f in others]).mapInArrow(_predictor(shared), f"{schema}, lang_pred string, score double, known double")
+
+
+def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """docs (doc_id, text, lang) to (doc_id, held_out, lang_pred, score, known)."""
+    ready = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang", "text")
+    return attach(ready, docs if labelled is None else labelled).select("doc_id", "held_out", "lang_pred", "score", "known")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
