@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .chat import op1_chat
 from .langid import op2_langid
+from .media import op7_media
 from .mixing import op10_mixing
 from .neardup import op9_neardup
 from .quality import op5_quality
+from .tokens import op8_tokens
+from .warc import op6_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_langid": op2_langid,
         "op4_bpe": op4_bpe,
         "op5_quality": op5_quality,
+        "op6_warc": op6_warc,
+        "op7_media": op7_media,
+        "op8_tokens": op8_tokens,
         "op9_neardup": op9_neardup,
         "op10_mixing": op10_mixing,
     }
