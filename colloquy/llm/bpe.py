@@ -1,16 +1,15 @@
-"""Byte-level BPE: ranked merges folded by Spark's higher-order functions over distinct words.
+"""Byte-level BPE: ranked merges folded over distinct words; decoding concatenates binary pieces.
 
-1. A pass over each task's documents splits texts by the tokenizer's pattern and numbers the
-   distinct words; a document becomes numbers, each new word its bytes' ids, once per task.
-2. `aggregate` folds merges over each new word: in every step, the adjacent pair of lowest rank
-   (leftmost on ties) becomes one id. Ranks of pairs stand in a literal map, spread over an array
-   of small maps by the pair's key, since a lookup in a map scans it.
-3. A second pass, over the same rows in the same order, puts the words' ids back in place of
-   their numbers. Decoding concatenates the ids' binary pieces.
+A pass over each task's documents splits texts by the tokenizer's pattern. Each distinct word is
+encoded once per task, by ranked merges over its bytes; documents are put together from words.
+There is no shuffle. The dictionary starts anew after MEMO_WORDS words, so memory is bounded.
 
-There is no shuffle; rows stay in their task. The dictionary starts anew after MEMO_WORDS words,
-which both passes see alike, so memory is bounded and no result changes. Words over FOLD_BYTES
-bytes, for which the fold's square of the length is too much, take the same merges from a heap.
+Two styles give the same ids. `spark=True` is the fold by Spark's higher-order functions with a
+literal rank map: workers number the words, `aggregate` merges in every step the adjacent pair of
+lowest rank (leftmost on ties), and workers put documents together again, over the same rows in
+the same order. It takes about 2300 CPU seconds a GB, over the limit of 900 (README), so the
+default runs the same merges in the worker that splits the text. Words over FOLD_BYTES bytes, for
+which the fold's square of the length is too much, take them from a heap in either style.
 
 Results at the edges: null text is empty, with no ids; repeated rows are encoded alike; an empty
 table gives an empty result; other columns pass through if they are named in keep.
@@ -111,10 +110,75 @@ def merge_with_heap(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[i
     return [x for x in ids if x >= 0]
 
 
-def _splitter(pattern: str, ranks: dict[bytes, int], keep: list[str]):
+def merge_short(ids: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
+    """The merges by a scan of all adjacent pairs in each step; fastest for short words."""
+    ranks = [pairs.get(x, NO_RANK) for x in zip(ids, ids[1:])]
+    while ranks:
+        low = min(ranks)
+        if low == NO_RANK:
+            break
+        at = ranks.index(low)
+        ids[at : at + 2] = [low]
+        del ranks[at]
+        if at:
+            ranks[at - 1] = pairs.get((ids[at - 1], low), NO_RANK)
+        if at < len(ranks):
+            ranks[at] = pairs.get((low, ids[at + 1]), NO_RANK)
+    return ids
+
+
+class Pieces(dict):
+    """A word to (number of ids, ids as text, decoded bytes), encoded at first sight."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.pairs, self.byte_ids = pair_ranks(ranks), [ranks[bytes([i])] for i in range(256)]
+        self.pieces = {r: x for x, r in ranks.items()}
+
+    def __missing__(self, word: str) -> tuple[int, str, bytes]:
+        raw = [self.byte_ids[x] for x in word.encode("utf-8", "surrogatepass")]
+        self[word] = out = self.of((merge_short if len(raw) <= FOLD_BYTES else merge_with_heap)(raw, self.pairs))
+        return out
+
+    def of(self, ids: list[int]) -> tuple[int, str, bytes]:
+        return len(ids), " ".join(map(str, ids)), b"".join([self.pieces[x] for x in ids])
+
+
+def _row(words: list[tuple[int, str, bytes]]) -> tuple[int, str, bytes]:
+    n, ids, raw = zip(*words, strict=True) if words else ((), (), ())
+    return sum(n), " ".join(ids), b"".join(raw)
+
+
+def _columns(rows: list[tuple[int, str, bytes]], with_ids: bool) -> list[pa.Array]:
+    out = [pa.array([x[0] for x in rows], pa.int64())]
+    out.append(pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in rows], pa.string()))
+    out.append(pa.array([hashlib.sha256(x[2]).hexdigest() for x in rows], pa.string()))
+    return [*out, pa.array([x[1] for x in rows], pa.string())] if with_ids else out
+
+
+def _names(keep: list[str], with_ids: bool) -> list[str]:
+    return [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
+
+def _encoder(pattern: str, ranks: dict[bytes, int], keep: list[str], with_ids: bool):
+    def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find, memo = regex.compile(pattern).findall, Pieces(ranks)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                rows = [_row([memo[w] for w in find(x or "")]) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_columns(rows, with_ids)], names=_names(keep, with_ids))
+
+    return encode_batches
+
+
+def _numberer(pattern: str, ranks: dict[bytes, int], keep: list[str]):
     byte_ids = [ranks[bytes([i])] for i in range(256)]
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
@@ -129,75 +193,53 @@ def _splitter(pattern: str, ranks: dict[bytes, int], keep: list[str]):
                 for text in part.column("text").to_pylist():
                     codes += [seen.setdefault(w, len(seen)) for w in find(text or "")]
                     ends.append(len(codes))
-                new = [w.encode("utf-8", "surrogatepass") for w in list(seen)[known:]] if len(seen) > known else []
-                short = [[byte_ids[x] for x in w] if len(w) <= FOLD_BYTES else [] for w in new]
-                long = [w if len(w) > FOLD_BYTES else None for w in new]
-                rows = pa.StructArray.from_arrays([part.column(c) for c in keep], names=keep) if keep else pa.array([{}] * part.num_rows, pa.struct([]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), rows),
-                        pa.array([np.array(codes, np.uint32).tobytes()], pa.binary()),
-                        pa.array([ends], pa.list_(pa.int32())),
-                        pa.array([fresh]),
-                        pa.array([short], pa.list_(pa.list_(pa.int64()))),
-                        pa.array([long], pa.list_(pa.binary())),
-                    ],
-                    names=["kept", "codes", "ends", "fresh", "new_words", "long_words"],
-                )
-
-    return split
-
-
-def _assembler(ranks: dict[bytes, int], keep: list[str]):
-    pairs: dict[tuple[int, int], int] = {}
-
+                new = [w.encode("utf-8", "surrogatepass") for w in list(seen)[known:]]
+                rows = pa.StructArray.from_arrays([part.column(c) for c in keep], names=keep)
+                columns = [
+                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), rows),
+                    pa.array([np.array(codes, np.uint32).tobytes()], pa.binary()),
+                    pa.array([ends], pa.list_(pa.int32())),
+                    pa.array([fresh]),
+                    pa.array([[[byte_ids[x] for x in w] if len(w) <= FOLD_BYTES else [] for w in new]], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([[w if len(w) > FOLD_BYTES else None for w in new]], pa.list_(pa.binary())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["kept", "codes", "ends", "fresh", "new_words", "long_words"])
+
+    return number
+
+
+def _assembler(ranks: dict[bytes, int], keep: list[str], with_ids: bool):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {r: x for x, r in ranks.items()}
-        text_ids: list[str] = []
-        decoded: list[bytes] = []
-        counts: list[int] = []
+        memo, words = Pieces(ranks), []
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("fresh")[i].as_py():
-                    text_ids, decoded, counts = [], [], []
-                words = batch.column("new_ids")[i].as_py()
-                for ids, long in zip(words, batch.column("long_words")[i].as_py(), strict=True):
-                    if long is not None:
-                        if not pairs:
-                            pairs.update(pair_ranks(ranks))
-                        ids = merge_with_heap([ranks[bytes([x])] for x in long], pairs)
-                    text_ids.append(" ".join(map(str, ids))), counts.append(len(ids)), decoded.append(b"".join([pieces[x] for x in ids]))
-                codes, start = np.frombuffer(batch.column("codes")[i].as_py(), np.uint32).tolist(), 0
-                n, out_ids, out_bytes = [], [], []
+                    words = []
+                for ids, long in zip(batch.column("new_ids")[i].as_py(), batch.column("long_words")[i].as_py(), strict=True):
+                    words.append(memo.of(ids if long is None else merge_with_heap([memo.byte_ids[x] for x in long], memo.pairs)))
+                codes, start, rows = np.frombuffer(batch.column("codes")[i].as_py(), np.uint32).tolist(), 0, []
                 for end in batch.column("ends")[i].as_py():
-                    own = codes[start:end]
-                    n.append(sum([counts[c] for c in own]))
-                    out_ids.append(" ".join([text_ids[c] for c in own]))
-                    out_bytes.append(b"".join([decoded[c] for c in own]))
+                    rows.append(_row([words[c] for c in codes[start:end]]))
                     start = end
-                rows = batch.column("kept")[i].values if keep else None
-                yield from _emit(rows, keep, n, out_ids, out_bytes)
+                kept = batch.column("kept")[i].values
+                yield pa.RecordBatch.from_arrays([*(kept.field(c) for c in keep), *_columns(rows, with_ids)], names=_names(keep, with_ids))
 
     return assemble
 
 
-def _emit(rows, keep, n, out_ids, out_bytes):
-    columns = [rows.field(c) for c in keep] if keep else []
-    digests = [hashlib.sha256(x.encode()).hexdigest() for x in out_ids], [hashlib.sha256(x).hexdigest() for x in out_bytes]
-    yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digests), pa.array(out_ids, pa.string())], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None, with_ids: bool = True, spark: bool = False) -> DataFrame:
     """docs (text and the columns of keep) to keep, n_tokens, ids_sha256, decoded_sha256, ids (decimal, joined by spaces)."""
     keep = ["doc_id"] if keep is None else keep
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    fields = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    split = merged_splits(docs).select(*keep, "text").mapInArrow(
-        _splitter(pattern, ranks, keep), f"kept array<struct<{', '.join(f'`{c}`: {kinds[c]}' for c in keep)}>>, codes binary, ends array<int>, fresh boolean, new_words array<array<bigint>>, long_words array<binary>"
-    )
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids string"] * with_ids])
+    docs = docs.select(*keep, "text")
+    if not spark:
+        return docs.mapInArrow(_encoder(pattern, ranks, keep, with_ids), schema)
+    kept = ", ".join(f"`{c}`: {kinds[c]}" for c in keep)
+    numbered = merged_splits(docs).mapInArrow(_numberer(pattern, ranks, keep), f"kept array<struct<{kept}>>, codes binary, ends array<int>, fresh boolean, new_words array<array<bigint>>, long_words array<binary>")
     table = literal_rank_map(pair_ranks(ranks))
-    folded = split.withColumn("new_ids", F.transform("new_words", lambda w: fold_merges(w, table))).drop("new_words")
-    return folded.mapInArrow(_assembler(ranks, keep), f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids string")
+    folded = numbered.withColumn("new_ids", F.transform("new_words", lambda w: fold_merges(w, table))).drop("new_words")
+    return folded.mapInArrow(_assembler(ranks, keep, with_ids), schema)
 
 
 @cache
@@ -210,4 +252,4 @@ def _public(name: str) -> tuple[dict[bytes, int], str]:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = _public("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return encode(docs, ranks, pattern).drop("ids")
+    return encode(docs, ranks, pattern, with_ids=False)
