@@ -23,6 +23,8 @@ from .common import read, scratch_path
 
 END_ID = 1
 MEMO_WORDS = 1 << 20
+ROWS = 256
+PART_BYTES = 128 << 20
 ORC = {
     "compression": "zstd",
     "orc.bloom.filter.columns": "doc_id",
@@ -33,6 +35,40 @@ ORC = {
 }
 
 
+def encode_words(tokenizer, words: list[bytes]) -> list[bytes]:
+    """Each word's ids as little-endian bytes; many words a call, told apart by the places of their tokens."""
+    out = []
+    for i in range(0, len(words), 512):
+        part = [w.decode("utf-8", "replace") for w in words[i : i + 512]]
+        starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in part])))
+        got = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        word = np.searchsorted(starts, np.array([x[0] for x in got.offsets], np.int64), "right") - 1
+        cut, raw = np.searchsorted(word, np.arange(len(part) + 1)) * 4, np.array(got.ids, "<u4").tobytes()
+        out += [raw[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return out
+
+
+def encode_new(tokenizer, words: list[bytes], cores: dict[bytes, bytes]) -> list[bytes]:
+    """Encodes words through cores: ASCII lower case (the tokenizer lowers all) without full stops and commas at the end.
+
+    Those stand apart in this tokenizer after an ASCII letter or digit; after anything else the word is its own core.
+    """
+    parts = []
+    for w in words:
+        low = w.lower()
+        core = low.rstrip(b".,")
+        parts.append((core, low[len(core) :]) if core and core[-1:].isalnum() else (low, b""))
+    wanted = list({x for pair in parts for x in pair if x and x not in cores})
+    # letters alone are one match that normalization leaves as it is: the library's model takes them directly
+    plain = [x for x in wanted if x.isalpha()]
+    model = tokenizer.model
+    cores.update((x, np.array([t.id for t in model.tokenize(x.decode())], "<u4").tobytes()) for x in plain)
+    others = [x for x in wanted if not x.isalpha()]
+    cores.update(zip(others, encode_words(tokenizer, others), strict=True))
+    cores[b""] = b""
+    return [cores[a] + cores[b] for a, b in parts]
+
+
 def _encoder(tokenizer_json: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -40,22 +76,22 @@ def _encoder(tokenizer_json: str, end_id: int):
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
         memo: dict[bytes, bytes] = {}
-        end, at = np.array([end_id], "<u4").tobytes(), 0
+        cores: dict[bytes, bytes] = {}
+        end, place = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            split = [(x or "").encode("utf-8", "surrogatepass").split() for x in batch.column("text").to_pylist()]
-            new = list(dict.fromkeys(w for words in split for w in words if w not in memo))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, got in zip(part, tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False), strict=True):
-                    memo[w] = np.array(got.ids, "<u4").tobytes()
-            raw = [b"".join([memo[w] for w in words]) + end for words in split]
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            place = pa.array(np.arange(at, at + batch.num_rows, dtype=np.int64))
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("part"), place, ids], names=["doc_id", "part", "place", "ids"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                if len(memo) > MEMO_WORDS:
+                    memo.clear(), cores.clear()
+                split = [(x or "").encode("utf-8", "surrogatepass").split() for x in part.column("text").to_pylist()]
+                new = list(set().union(*split).difference(memo))
+                memo.update(zip(new, encode_new(tokenizer, new, cores), strict=True))
+                raw = [b"".join([memo[w] for w in words]) + end for words in split]
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                places = pa.array(np.arange(place, place + part.num_rows, dtype=np.int64))
+                place += part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), places, ids], names=["doc_id", "part", "place", "ids"])
 
     return encode
 
@@ -64,7 +100,9 @@ def write_orc(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = END
     """doc_id, part (file order), place (in the file), ids; ascending doc_id."""
     ready = docs.select(F.col("doc_id").cast("long"), "text")
     spark = docs.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # a dictionary serves one task, so tasks are large: about PART_BYTES of input each, two a core at least
+    splits = docs.rdd.getNumPartitions() * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    n = max(splits // PART_BYTES, 2 * spark.sparkContext.defaultParallelism)
     ready = ready.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
     ready.mapInArrow(_encoder(tokenizer_json, end_id), "doc_id long, part int, place long, ids array<int>").write.options(**ORC).orc(path)
 
