@@ -1,19 +1,178 @@
-"""The registered queries."""
+"""The registered queries and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import answers as A
+from .operators import datasets as D
+from .plans import deliberation as P
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id")
+    return docs.select(F.col("doc_id").alias("sample_id"), F.concat(F.lit("Is document "), F.col("doc_id").cast("string"), F.lit(" good?")).alias("question"), F.col("source").alias("passage"), D.yes_no_answer((F.col("quality") == 1).cast("string")).alias("answer"))
+
+
+def standardize_yes_no(spark, d):
+    return _samples(spark, d)
+
+
+def standardize_mc(spark, d):
+    langs = F.array(*map(F.lit, ("en", "fr", "de", "es")))
+    index = F.array_position(langs, F.col("lang")).cast("int") - 1
+    n = F.size(langs)
+    return _read(spark, d, "documents").select("doc_id", D.choice_answer(index, F.lit(None).cast("string"), n).alias("answer"), F.array_join(D.labels_for(n), ",").alias("labels"))
+
+
+def extract_yes_no(spark, d):
+    return _read(spark, d, "conversations").select("conv_id", "turn", A.extract_yes_no(F.col("text")).alias("answer"))
+
+
+def extract_mc(spark, d):
+    return _read(spark, d, "conversations").select("conv_id", "turn", A.extract_choice(F.col("text")).alias("answer"))
+
+
+def normalize_answers(spark, d):
+    return _read(spark, d, "orders").select("o_orderkey", A.normalize_answer(F.concat(F.lit(" ("), F.col("o_orderpriority"), F.lit(").  "))).alias("answer"))
+
+
+def wrong_answer_choice(spark, d):
+    choices = F.array(*map(F.lit, ("en", "fr", "de", "es")))
+    return _read(spark, d, "documents").select("doc_id", A.wrong_answer(F.col("lang"), choices).alias("wrong"))
+
+
+def stratified_split(spark, d):
+    return D.stratified_split(_read(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id").select("doc_id", "lang", "split")
+
+
+def split_sizes(spark, d):
+    return stratified_split(spark, d).groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dataset_stats_answers(spark, d):
+    return D.answer_distribution(_samples(spark, d), "answer").select("answer", "n", F.round("ratio", 9).alias("ratio"))
+
+
+def interleaved_history(spark, d):
+    rows = D.with_history(D.rounds_of(_read(spark, d, "conversations")))
+    return rows.select("conv_id", "round", F.size("history").cast("long").alias("n_history"), F.md5(D.responses_text(F.col("history"))).alias("history_md5"), F.size("actor_history").cast("long").alias("n_actor"))
+
+
+def chat_transcript(spark, d):
+    row = F.struct("turn", F.concat(F.initcap("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
+    out = _read(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "\n").alias("t"))
+    return out.select("conv_id", F.concat("t", F.lit("\nAssistant:")).alias("transcript"))
+
+
+def detect_model_type(spark, d):
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 4 == 0, "-Mistral").when(F.col("p_partkey") % 4 == 1, "-gemma-2").when(F.col("p_partkey") % 4 == 2, "-Qwen3").otherwise("-Llama"))
+    return _read(spark, d, "part").select("p_partkey", A.detect_model_type(name).alias("model_type"))
+
+
+def metrics_jsonl_parse(spark, d):
+    k = F.from_json("props", "k long")["k"]
+    return _read(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count(k).alias("n"))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def natural_deliberation(spark, d):
+    return P.deliberate(_samples(spark, d), 3).select("sample_id", "round", "actor_response", "critic_response", "actor_answer")
+
+
+def _scored(spark, d):
+    right = (A.normalize_answer(F.col("actor_answer")) == A.normalize_answer(F.col("answer"))).cast("double")
+    return P.deliberate(_samples(spark, d), 3).withColumn("right", right)
+
+
+def per_round_accuracy(spark, d):
+    n, acc = F.count(F.lit(1)), F.avg("right")
+    return _scored(spark, d).groupBy("round").agg(n.alias("n"), F.round(acc, 9).alias("accuracy"), F.round(P.wilson(acc, n), 9).alias("margin"))
+
+
+def per_round_delta(spark, d):
+    rows = _scored(spark, d).groupBy("round").agg(F.avg("right").alias("a"))
+    return rows.select("round", F.round(F.col("a") - F.lag("a").over(Window.orderBy("round")), 9).alias("delta")).where("delta is not null")
+
+
+def flip_statistics(spark, d):
+    ends = _scored(spark, d).groupBy("sample_id").agg(F.min_by("right", "round").alias("i"), F.max_by("right", "round").alias("f"))
+    return ends.agg(*[F.count_if((F.col("i") == i) & (F.col("f") == f)).alias(f"n_{i}{f}") for i in (0, 1) for f in (0, 1)])
+
+
+def rollout_reward(spark, d):
+    out = P.rewards(P.deliberate(_samples(spark, d), 2), ["sample_id", "round"], 5)
+    return out.withColumn("reward", F.round("reward", 9))
+
+
+def preference_pairs(spark, d):
+    out = P.preference_pairs(P.deliberate(_samples(spark, d), 3), 5)
+    return out.select("sample_id", "round", F.round("delta", 9).alias("delta"), "direction")
+
+
+def pairs_min_delta(spark, d):
+    return preference_pairs(spark, d).where("coalesce(delta, 0) >= 0.1")
+
+
+NAMES = (standardize_yes_no, standardize_mc, extract_yes_no, extract_mc, normalize_answers, wrong_answer_choice, stratified_split, split_sizes, dataset_stats_answers, interleaved_history, chat_transcript, detect_model_type, metrics_jsonl_parse, natural_deliberation, per_round_accuracy, per_round_delta, flip_statistics, rollout_reward, preference_pairs, pairs_min_delta)
+
+_S = "SELECT d.doc_id AS sample_id, 'Is document ' || d.doc_id || ' good?' AS question, d.source AS passage, CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS answer FROM documents d JOIN labels l USING (doc_id)"
+_SPLIT = "SELECT doc_id, lang, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'test' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.10::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)"
+
+
+def _sql_respond(role: str, prompt: str, sim: str = "'0'") -> str:
+    canned = ", ".join("'" + x.replace("'", "''") + "'" for x in P.CANNED)
+    return f"([{canned}])[1 + (('0x' || substr(md5('{role}|42|' || {sim} || '|' || {prompt}), 1, 6))::BIGINT % {len(P.CANNED)})]"
+
+
+_ANSWER = {"The answer is Yes.": "YES", "Final answer: No": "NO", "I think the answer is no.": "NO", "Yes it could be, but No in the end.": "NO", "answer: yes": "YES"}
+
+
+def _sql_turns(rounds: int) -> str:
+    answer = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ANSWER.items()) + " END"
+    sql = f"WITH s AS ({_S})"
+    previous, history = "s", "''"
+    for t in range(rounds):
+        prompt = "'Question: ' || question || '\nPassage: ' || passage || " + ("'\nReply yes or no.'" if t == 0 else f"'\nOthers:' || {history} || '\nReply yes or no.'")
+        sql += f", x{t} AS (SELECT *, {_sql_respond('actor', prompt)} AS a{t} FROM {previous}), y{t} AS (SELECT *, {_sql_respond('critic', f"'Question: ' || question || '\nReply under review: ' || a{t} || '\nGive feedback.'")} AS c{t} FROM x{t})"
+        previous, history = f"y{t}", (history + f" || '\nPerson {2 * t + 1} said: ' || a{t} || '\nPerson {2 * t + 2} said: ' || c{t}")
+    parts = " UNION ALL ".join(f"SELECT sample_id, question, passage, answer, {t}::INT AS round, a{t} AS actor_response, c{t} AS critic_response, {answer.format(f'a{t}')} AS actor_answer FROM y{rounds - 1}" for t in range(rounds))
+    return f"{sql}, turns AS ({parts}), scored AS (SELECT *, CASE WHEN coalesce(left(actor_answer, 1), '') = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM turns) "
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    z = 1.959963984540054
+    prompt = "'Question: ' || question || '\nPassage: ' || passage || '\nOthers:' || '\nPerson 1 said: ' || actor_response || '\nPerson 2 said: ' || critic_response || '\nReply yes or no.'"
+    canned = _sql_respond("actor", prompt, "sim")
+    values = "CASE " + canned + " " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _ANSWER.items()) + " ELSE '' END"
+    return {
+        "standardize_yes_no": _S,
+        "standardize_mc": "SELECT doc_id, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' WHEN 'de' THEN 'C' WHEN 'es' THEN 'D' END AS answer, 'A,B,C,D' AS labels FROM documents",
+        "normalize_answers": "SELECT o_orderkey, upper(substr(trim(o_orderpriority), 1, 1)) AS answer FROM orders",
+        "wrong_answer_choice": "SELECT doc_id, CASE lang WHEN 'en' THEN 'ES' WHEN 'fr' THEN 'ES' WHEN 'de' THEN 'ES' WHEN 'es' THEN 'DE' END AS wrong FROM documents",
+        "stratified_split": _SPLIT,
+        "split_sizes": f"SELECT lang, split, count(*) AS n FROM ({_SPLIT}) GROUP BY ALL",
+        "dataset_stats_answers": f"SELECT answer, count(*) AS n, round(count(*) / (sum(count(*)) OVER ()), 9) AS ratio FROM ({_S}) GROUP BY answer",
+        "chat_transcript": "SELECT conv_id, string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || coalesce(text, ''), '\n' ORDER BY turn) || '\nAssistant:' AS transcript FROM conversations GROUP BY conv_id",
+        "detect_model_type": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'mistral' WHEN 1 THEN 'gemma' WHEN 2 THEN 'qwen' ELSE 'llama3' END AS model_type FROM part",
+        "metrics_jsonl_parse": "SELECT event_type, sum((props::JSON->>'k')::BIGINT)::BIGINT AS sum_k, count((props::JSON->>'k')) AS n FROM events GROUP BY event_type",
+        "natural_deliberation": _sql_turns(3) + "SELECT sample_id, round, actor_response, critic_response, actor_answer FROM turns",
+        "per_round_accuracy": _sql_turns(3) + f"SELECT round, n, round(a, 9) AS accuracy, round({z} * sqrt(a * (1 - a) / n + {z * z} / (4.0 * n * n)) / (1 + {z * z} / n), 9) AS margin FROM (SELECT round, count(*) AS n, avg(ok) AS a FROM scored GROUP BY round)",
+        "per_round_delta": _sql_turns(3) + "SELECT round, delta FROM (SELECT round, round(a - lag(a) OVER (ORDER BY round), 9) AS delta FROM (SELECT round, avg(ok) AS a FROM scored GROUP BY round)) WHERE delta IS NOT NULL",
+        "flip_statistics": _sql_turns(3) + "SELECT " + ", ".join(f"count(*) FILTER (i = {i} AND f = {f}) AS n_{i}{f}" for i in (0, 1) for f in (0, 1)) + " FROM (SELECT arg_min(ok, round) AS i, arg_max(ok, round) AS f FROM scored GROUP BY sample_id)",
+        "rollout_reward": _sql_turns(2) + f"SELECT sample_id, round, round(avg(CASE WHEN {values} = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS reward FROM turns, (SELECT unnest(['1', '2', '3', '4', '5']) AS sim) GROUP BY sample_id, round",
+    }
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in NAMES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_round_accuracy(spark, sf_dir)
