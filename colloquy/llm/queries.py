@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .chat import op1_chat
 from .langid import op2_langid
+from .lmscore import op3_lmscore
 from .media import op7_media
 from .mixing import op10_mixing
 from .neardup import op9_neardup
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op2_langid": op2_langid,
+        "op3_lmscore": op3_lmscore,
         "op4_bpe": op4_bpe,
         "op5_quality": op5_quality,
         "op6_warc": op6_warc,

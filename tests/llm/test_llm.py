@@ -1,11 +1,12 @@
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, langid, media, mixing, neardup, quality, tokens, warc
+from colloquy.llm import bpe, chat, langid, lmscore, media, mixing, neardup, quality, tokens, warc
 from colloquy.llm.common import scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long"
@@ -124,3 +125,38 @@ def test_tokens(spark, docs):
     for (start, i, n), (j, t) in zip(got, sorted((i, t or "") for i, t, *_ in rows()), strict=True):
         assert (start, i, n) == (at, j, len(library.encode(t, add_special_tokens=False).ids) + 1)
         at += n
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lmscore_brute_force(docs, empty, order):
+    texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows()]
+    own = [Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for _, w in texts]
+    every, total, wanted = sum(own, Counter()), sum(len(w) for _, w in texts), []
+    for (doc_id, w), mine in zip(texts, own, strict=True):
+        n, micro, short = total - len(w), 0, 0
+        for i in range(len(w)):
+            value, most = 0.0, min(order, i + 1)
+            for k in range(most, 0, -1):
+                gram = tuple(w[i - k + 1 : i + 1])
+                c = every[gram] - mine[gram]
+                if c:
+                    value += math.log(c / (every[gram[:-1]] - mine[gram[:-1]] if k > 1 else n))
+                    break
+                value += math.log(lmscore.BACKOFF) if k > 1 else -math.log(n + 1)
+            short += k < most
+            micro += round(value * 1e6)
+        wanted.append((doc_id, len(w), short, micro))
+    got = lmscore.score(docs, order).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_backed_off) for r in got) == sorted(x[:3] for x in wanted)
+    near = zip(sorted((r.doc_id, r.log_score_micro) for r in got), sorted((x[0], x[3]) for x in wanted), strict=True)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) <= 2 for a, b in near)
+    assert all((r.mean_log_score is None) == (r.n_words == 0) for r in got)
+    assert lmscore.score(empty, order).count() == 0
+
+
+def test_lmscore_packing():
+    import numpy as np
+
+    for values in ([], [0, 0], [1, 255, 256], [2**64 - 1, 0, 7]):
+        x = np.array(values, np.uint64)
+        assert lmscore.unpack(lmscore.pack(x), len(x)).tolist() == values
