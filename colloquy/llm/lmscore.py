@@ -64,8 +64,11 @@ def grams_of(text: str | None, order: int, memo: WordHashes) -> list[np.ndarray]
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, raw))]), pa.array([sum(len(x.split()) for x in raw)])], names=["bytes", "words"])
+        n_bytes = n_words = 0
+        for text in batch.column("text"):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            n_bytes, n_words = n_bytes + len(raw), n_words + len(raw.split())
+        yield pa.RecordBatch.from_arrays([pa.array([n_bytes]), pa.array([n_words])], names=["bytes", "words"])
 
 
 def _exploder(order: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
