@@ -4,11 +4,12 @@ Signature: one random bijection scatters shingles over the 32-bit ring, a second
 by k around the ring, gives coordinate k: min over shingles of second(first(x) + k). 128
 coordinates in 32 bands of 4 miss a pair of Jaccard 0.75 with probability 5e-6.
 
-No bucket is expanded into all pairs. Each bucket's members are compared with two
-leaders, chosen by hash so that a document meets others in each bucket; then, only in buckets whose members still lie in several components, those
-outside the bucket's main component are compared with the members of other components, first by
-four bits of 512 coordinates inside the join, so pairs that merely share a passage never leave it. Two
-members of one component need no comparison, so no link that could join components is lost.
+No bucket is expanded into all pairs. Each bucket's members are compared with two leaders. Buckets
+whose members still lie in several components stay open: there members are compared with two more
+leaders, chosen by hash so that a document meets others in each bucket, and at last those outside the
+bucket's main component with the members of other components. In open buckets four bits of 512
+coordinates are compared first inside the join, so pairs that merely share a passage never leave it.
+Two members of one component need no comparison, so no link that could join components is lost.
 
 Results at the edges: null or blank text has an empty set and is alone; fewer than five words
 make one shingle; equal word sequences are one class under its smallest id; rows that repeat a
@@ -165,6 +166,30 @@ def components(edges: DataFrame) -> DataFrame:
     return every.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return verify(pairs, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _open_buckets(member: DataFrame, comp: DataFrame) -> DataFrame:
+    """(bucket, rep, comp, main) of buckets whose members lie in several components; main is the largest."""
+    placed = member.select("bucket", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("bucket", "main")
+    return placed.join(main, "bucket").select("bucket", "rep", "comp", "main")
+
+
+def _apart(some: DataFrame, open_: DataFrame, bits: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs (a, b) of a row of some and a member of its bucket in another component that may be similar.
+
+    With once, a pair leaves the join in the first of its common buckets alone.
+    """
+    x = some.join(bits, "rep").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("nibbles").alias("xn"), F.col("bands").alias("xb"))
+    wanted = (F.col("xc") != F.col("comp")) & maybe_similar(F.col("xn"), F.col("nibbles"))
+    if once:
+        wanted &= F.array_min(F.array_intersect("xb", "bands")) == F.col("bucket")
+    return x.join(open_.join(bits, "rep"), "bucket").where(wanted).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id, kept), one row per row."""
     sketched = materialize(sketch(docs), "sketch")
@@ -173,8 +198,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = sketched.join(classes, (sketched["cls"] == classes["cls"]) & (sketched["doc_id"] == classes["rep"])).select("rep", "bands")
     banded = materialize(first.select("rep", F.explode("bands").alias("bucket")), "bands")
 
-    # two leaders of each bucket by a hash of bucket and member: other ones in each of a document's buckets
-    banded = banded.withColumn("h", F.xxhash64("bucket", "rep"))
+    # two leaders of each bucket by a hash of the member alone: the same ones in many buckets, so their pairs fall together
+    banded = banded.withColumn("h", F.xxhash64("rep"))
     ends = banded.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
     member = materialize(banded.join(ends, "bucket").distinct(), "members")
     leader = member.where("h = lo or h = hi").select("bucket", F.col("rep").alias("lead"))
@@ -183,22 +208,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = stars.select(F.col("a").alias("doc_id")).union(member.select("rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").join(ids, "doc_id", "left_semi")
     texts = materialize(texts, "texts")
-    links = materialize(verify(stars, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = materialize(_links(stars, texts), "links")
     comp = materialize(components(links), "components")
 
-    placed = member.select("bucket", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("bucket", "main")
-    open_ = materialize(placed.join(main, "bucket"), "open")
+    open_ = materialize(_open_buckets(member, comp), "open")
     deep = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     bits = deep.mapInArrow(_deep, "rep long, nibbles array<long>").dropDuplicates(["rep"]).join(first.dropDuplicates(["rep"]), "rep")
-    open_ = materialize(open_.join(bits, "rep"), "open")
-    outside = open_.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("nibbles").alias("xn"), F.col("bands").alias("xb"))
-    # a pair leaves the join in the first of its common buckets alone
-    once = F.array_min(F.array_intersect("xb", "bands")) == F.col("bucket")
-    rest = outside.join(open_, "bucket").where((F.col("xc") != F.col("comp")) & maybe_similar(F.col("xn"), F.col("nibbles")) & once).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(verify(rest, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    bits = materialize(bits, "bits")
+    # in open buckets two more leaders, other ones in each bucket; then what still lies apart with all members
+    seconds = open_.withColumn("h", F.xxhash64("bucket", "rep"))
+    ends = seconds.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    seconds = seconds.join(ends, "bucket").where("h = lo or h = hi").select(open_.columns)
+    near = materialize(_apart(seconds, open_, bits).join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_links(near, texts), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comp = materialize(components(links), "components")
+        open_ = materialize(_open_buckets(open_, comp), "open")
+    rest = _apart(open_.where("comp <> main"), open_, bits, once=True)
+    rest = materialize(rest.join(stars.unionByName(near), ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_links(rest, texts), "links")
     if not more.isEmpty():
         comp = materialize(components(links.unionByName(more)), "components")
 
