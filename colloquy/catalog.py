@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import config
 from .functions import answers as A
 from .operators import datasets as D
 from .plans import deliberation as P
+from .plans import evaluation as E
+from .plans import prompts, training
+from .sources import datasets
+from .streaming import metrics
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -111,16 +118,108 @@ def rollout_reward(spark, d):
     return out.withColumn("reward", F.round("reward", 9))
 
 
+def _pairs(spark, d):
+    return P.preference_pairs(P.deliberate(_samples(spark, d), 3), 5)
+
+
 def preference_pairs(spark, d):
-    out = P.preference_pairs(P.deliberate(_samples(spark, d), 3), 5)
-    return out.select("sample_id", "round", F.round("delta", 9).alias("delta"), "direction")
+    return _pairs(spark, d).withColumn("delta", F.round("delta", 9))
 
 
 def pairs_min_delta(spark, d):
-    return preference_pairs(spark, d).where("coalesce(delta, 0) >= 0.1")
+    return _pairs(spark, d).where("coalesce(delta, 0) >= 0.1").select("sample_id", "round", F.round("delta", 9).alias("delta"), "direction")
+
+
+def _preferences(spark, d, agent):
+    rows = training.preference_rows(_pairs(spark, d)).where(F.col("agent") == agent)
+    return rows.select("sample_id", "prompt", "chosen", "rejected", "round", F.round("delta", 9).alias("delta"), "direction")
+
+
+def prefs_actor(spark, d):
+    return _preferences(spark, d, "actor")
+
+
+def prefs_critic(spark, d):
+    return _preferences(spark, d, "critic")
+
+
+def extract_mixed(spark, d):
+    return _read(spark, d, "documents").select("doc_id", A.extract_answer(F.col("text"), F.lit("mixed")).alias("answer"))
+
+
+def sample_details(spark, d):
+    return E.sample_details(P.deliberate(_samples(spark, d), 3))
+
+
+def correct_at_each_round(spark, d):
+    return E.by_round(P.deliberate(_samples(spark, d), 3)).select("round", "correct")
+
+
+def evaluate_benchmark(spark, d):
+    row = E.evaluate(P.deliberate(_samples(spark, d), 3))
+    rounded = [F.round(c, 9).alias(c) for c in ("initial_accuracy", "final_accuracy", "margin", "ci_low", "ci_high", "improvement_rate", "absolute_gain")]
+    return row.select("num_samples", *rounded, F.round(F.element_at("per_round_delta", -1), 9).alias("last_delta"), F.col("flip_statistics.wrong_to_correct").alias("wrong_to_correct"), F.col("flip_statistics.correct_to_wrong").alias("correct_to_wrong"))
+
+
+def _rendered(spark, d, dataset):
+    choices = F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.coalesce("lang", F.lit("")))
+    given = {"question": F.col("text"), "passage": F.col("source"), "choices": choices if dataset == "mmlu" else None, "responses": F.array(F.col("source"), F.col("lang")), "target_answer": F.col("lang"), "actor_response": F.col("source")}
+    docs = _read(spark, d, "documents").fillna("", ["source", "lang"])
+    return docs.select("doc_id", *[F.md5(prompts.render(dataset, t, **given)).alias(t) for t in prompts.TYPES])
+
+
+def render_prompts_yes_no(spark, d):
+    return _rendered(spark, d, "boolq")
+
+
+def render_prompts_choice(spark, d):
+    return _rendered(spark, d, "mmlu")
+
+
+def unstratified_split(spark, d):
+    rows = _read(spark, d, "documents").select("doc_id", F.lit("all").alias("_all"))
+    return D.stratified_split(rows, "_all", "doc_id").select("doc_id", "split")
 
 
-NAMES = (standardize_yes_no, standardize_mc, extract_yes_no, extract_mc, normalize_answers, wrong_answer_choice, stratified_split, split_sizes, dataset_stats_answers, interleaved_history, chat_transcript, detect_model_type, metrics_jsonl_parse, natural_deliberation, per_round_accuracy, per_round_delta, flip_statistics, rollout_reward, preference_pairs, pairs_min_delta)
+def first_samples(spark, d):
+    return datasets.first_samples(_samples(spark, d), 20)
+
+
+def split_statistics(spark, d):
+    rows = D.stratified_split(_samples(spark, d).withColumn("task_type", F.lit("yes_no")), "passage", "sample_id")
+    found = D.dataset_statistics(rows, "split")
+    return found.select("split", "n", F.array_join("task_types", ",").alias("task_types"), "avg_question_length", F.coalesce(F.try_element_at("answer_distribution", F.lit("yes")), F.lit(0).cast("long")).alias("n_yes"))
+
+
+def early_stopping_fold(spark, d):
+    days = _read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("a"))
+    series = days.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "a"))), lambda x: x["a"]).alias("series"))
+    return series.select("event_type", P.early_stop_column(F.col("series"), 2).alias("ran"))
+
+
+def config_resolve(spark, d):
+    flat = config.resolve({"seed": 42, "rounds": 5, "simulations": 5, "patience": 0}, {"seed": 7, "rounds": 3, "unknown": 1}, {"simulations": None, "rounds": 2}, {"seed", "rounds"})
+    return spark.createDataFrame(sorted(flat.items()), "name string, value int")
+
+
+def error_quarantine(spark, d):
+    rows = _read(spark, d, "events").select("event_id", "props")
+    return D.isolate(rows, _parse_props, "event_id long, k long")
+
+
+def _parse_props(row):
+    found = json.loads(row["props"])["k"]
+    if found < 0:
+        raise ValueError("k is negative")
+    return {"event_id": row["event_id"], "k": found}
+
+
+def metric_windows(spark, d):
+    rows = _read(spark, d, "events").select(F.col("event_type").alias("phase"), F.col("ts").alias("timestamp"), F.create_map(F.lit("value"), F.col("value")).alias("metrics"))
+    return metrics.windowed_metrics(rows, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "phase", "metric", "n", F.round("mean", 6).alias("mean"))
+
+
+NAMES = (standardize_yes_no, standardize_mc, extract_yes_no, extract_mc, extract_mixed, normalize_answers, wrong_answer_choice, stratified_split, unstratified_split, split_sizes, split_statistics, first_samples, dataset_stats_answers, interleaved_history, chat_transcript, detect_model_type, metrics_jsonl_parse, metric_windows, natural_deliberation, per_round_accuracy, per_round_delta, flip_statistics, sample_details, correct_at_each_round, evaluate_benchmark, rollout_reward, preference_pairs, pairs_min_delta, prefs_actor, prefs_critic, render_prompts_yes_no, render_prompts_choice, early_stopping_fold, config_resolve, error_quarantine)
 
 _S = "SELECT d.doc_id AS sample_id, 'Is document ' || d.doc_id || ' good?' AS question, d.source AS passage, CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS answer FROM documents d JOIN labels l USING (doc_id)"
 _SPLIT = "SELECT doc_id, lang, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'test' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.10::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)"
@@ -146,6 +245,54 @@ def _sql_turns(rounds: int) -> str:
     return f"{sql}, turns AS ({parts}), scored AS (SELECT *, CASE WHEN coalesce(left(actor_answer, 1), '') = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM turns) "
 
 
+def _sql_first(patterns: tuple[str, ...], text: str = "text") -> str:
+    return ", ".join(f"nullif(regexp_extract({text}, '(?i){p}', 1), '')" for p in patterns)
+
+
+# RE2 has neither lookahead nor Unicode word limits, so these two patterns are written out.
+_LAST_WORD = r"(?is)(?:^|.*[^\p{L}\p{N}_])(Yes|No)(?:[^\p{L}\p{N}_]|$)"
+_LONE_LETTER = r"(?:^|[^\p{L}\p{N}_])([A-D])(?:[.,;:]?[\s\p{Z}]*$|[\s\p{Z}]+is|[\s\p{Z}]*\.)"
+_YES_NO = f"upper(coalesce({_sql_first(A.YES_NO)}, nullif(regexp_extract(text, '{_LAST_WORD}', 1), '')))"
+_CHOICE = f"upper(coalesce({_sql_first((*A.CHOICE[:-1], _LONE_LETTER))}))"
+
+
+def _sql_pairs() -> str:
+    """Pairs of three rounds, from CTE turns."""
+    z = "string_agg('\nPerson ' || (round + 1) || ' said: ' || actor_response, '' ORDER BY round) OVER (PARTITION BY sample_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ask = "'Question: ' || question || '\nPassage: ' || passage"
+    review = "'Question: ' || question || '\nReply under review: '"
+    guided = f"{ask} || '\nOthers:' || h || '\nArgue for ' || target || '.'"
+    sims = f"{ask} || '\nOthers:' || h || '\nPerson ' || (round + 1) || ' said: ' || a || '\nPerson ' || (round + 2) || ' said: ' || c || '\nReply yes or no.'"
+    value = "CASE " + _sql_respond("actor", sims, "sim") + " " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _ANSWER.items()) + " ELSE '' END"
+    prompts_of = f"CASE round WHEN 0 THEN '' ELSE {ask} || '\nOthers:' || hh || '\nReply yes or no.' END"
+    both = "string_agg('\nPerson ' || (2 * round + 1) || ' said: ' || actor_response || '\nPerson ' || (2 * round + 2) || ' said: ' || critic_response, '' ORDER BY round) OVER (PARTITION BY sample_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    texts = ", ".join(f"max({x}) FILTER (variant = '{v}') AS {v}_{x}" for v in ("natural", "right", "wrong") for x in "ac")
+    means = ", ".join(f"avg(ok) FILTER (variant = '{v}') AS {v}_v" for v in ("natural", "right", "wrong"))
+    return f""", hist AS (SELECT *, {z} AS h, {both} AS hh FROM turns), late AS (SELECT *, {prompts_of} AS actor_prompt, {review} || actor_response || '\nGive feedback.' AS critic_prompt FROM hist WHERE round >= 1),
+variants AS (SELECT *, 'natural' AS variant, '' AS target FROM late UNION ALL SELECT *, 'right', answer FROM late UNION ALL SELECT *, 'wrong', CASE answer WHEN 'yes' THEN 'no' ELSE 'yes' END FROM late),
+acted AS (SELECT *, CASE variant WHEN 'natural' THEN actor_response ELSE {_sql_respond('actor', guided)} END AS a FROM variants),
+both_said AS (SELECT *, CASE variant WHEN 'natural' THEN critic_response ELSE {_sql_respond('critic', f"{review} || a || '\nSteer towards ' || target || '.'")} END AS c FROM acted),
+simulated AS (SELECT *, CASE WHEN {value} = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM both_said, (SELECT unnest(['1', '2', '3', '4', '5']) AS sim)),
+wide AS (SELECT sample_id, round, any_value(actor_prompt) AS actor_prompt, any_value(critic_prompt) AS critic_prompt, {texts}, {means} FROM simulated GROUP BY sample_id, round),
+pairs AS (SELECT sample_id, actor_prompt, critic_prompt, right_a AS positive, natural_a AS negative, right_c AS positive_critic, natural_c AS negative_critic, round, round(right_v - natural_v, 9) AS delta, 'towards' AS direction FROM wide WHERE right_v - natural_v >= 0
+UNION ALL SELECT sample_id, actor_prompt, critic_prompt, natural_a, wrong_a, natural_c, wrong_c, round, round(natural_v - wrong_v, 9), 'away' FROM wide WHERE right_v - natural_v < 0 AND natural_v - wrong_v >= 0) """
+
+
+def _sql_prompts(dataset: str) -> str:
+    values = {"question": "text", "passage": "source", "choice_a": "'en'", "choice_b": "'fr'", "choice_c": "'de'", "choice_d": "lang", "target_answer": "lang", "responses_text": "'\nPerson 1 said: ' || source || '\nPerson 2 said: ' || lang", "actor_response": "source"}
+    columns = []
+    for t in prompts.TYPES:
+        parts = re.split(r"\{(\w+)\}", prompts.template(dataset, t))
+        columns.append("md5(" + " || ".join(f"coalesce({values[x]}, '')" if i % 2 else f"'{x}'" for i, x in enumerate(parts)) + f") AS {t}")
+    return f"SELECT doc_id, {', '.join(columns)} FROM (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)"
+
+
+_STOP = """WITH RECURSIVE days AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, a FROM (SELECT event_type, ts::DATE AS day, round(avg(value), 6) AS a FROM events GROUP BY ALL)),
+f AS (SELECT event_type, 0::BIGINT AS i, '-infinity'::DOUBLE AS best, 0 AS waited, 0 AS ran FROM (SELECT DISTINCT event_type FROM days)
+UNION ALL SELECT f.event_type, d.i, CASE WHEN d.a > best THEN d.a ELSE best END, CASE WHEN d.a > best THEN 0 ELSE waited + 1 END, ran + 1 FROM f JOIN days d ON d.event_type = f.event_type AND d.i = f.i + 1 WHERE waited < 2)
+SELECT event_type, max(ran) AS ran FROM f GROUP BY event_type"""
+
+
 def oracle_sql() -> dict[str, str]:
     z = 1.959963984540054
     prompt = "'Question: ' || question || '\nPassage: ' || passage || '\nOthers:' || '\nPerson 1 said: ' || actor_response || '\nPerson 2 said: ' || critic_response || '\nReply yes or no.'"
@@ -154,6 +301,31 @@ def oracle_sql() -> dict[str, str]:
     return {
         "standardize_yes_no": _S,
         "standardize_mc": "SELECT doc_id, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' WHEN 'de' THEN 'C' WHEN 'es' THEN 'D' END AS answer, 'A,B,C,D' AS labels FROM documents",
+        "extract_yes_no": f"SELECT conv_id, turn, {_YES_NO} AS answer FROM conversations",
+        "extract_mc": f"SELECT conv_id, turn, {_CHOICE} AS answer FROM conversations",
+        "extract_mixed": f"SELECT doc_id, coalesce({_CHOICE}, {_YES_NO}) AS answer FROM documents",
+        "interleaved_history": r"""WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM conversations WHERE role <> 'system'),
+g AS (SELECT conv_id, (r // 2)::INT AS round, max(text) FILTER (r % 2 = 0) AS actor, max(text) FILTER (r % 2 = 1) AS critic FROM t GROUP BY ALL)
+SELECT conv_id, round, 2 * count(*) OVER w AS n_history, md5(coalesce(string_agg(chr(10) || 'Person ' || (2 * round + 1) || ' said: ' || coalesce(actor, '') || chr(10) || 'Person ' || (2 * round + 2) || ' said: ' || coalesce(critic, ''), '') OVER w, '')) AS history_md5, count(actor) OVER w AS n_actor
+FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+        "unstratified_split": _SPLIT.replace("PARTITION BY lang ", "").replace("PARTITION BY lang", "").replace("doc_id, lang", "doc_id"),
+        "first_samples": f"SELECT * FROM ({_S}) ORDER BY sample_id LIMIT 20",
+        "split_statistics": f"SELECT split, count(*) AS n, 'yes_no' AS task_types, round(avg(len(string_split(question, ' '))), 1) AS avg_question_length, count(*) FILTER (answer = 'yes') AS n_yes FROM (SELECT *, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'test' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.10::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY md5('42|' || sample_id), sample_id) AS r, count(*) OVER (PARTITION BY passage) AS n FROM ({_S}))) GROUP BY split",
+        "sample_details": _sql_turns(3) + "SELECT *, initial_answer = trim(upper(label)) AS initial_correct, final_answer = trim(upper(label)) AS final_correct, initial_answer <> upper(label) AND final_answer = upper(label) AS flipped_to_correct, initial_answer = upper(label) AND final_answer <> upper(label) AS flipped_to_wrong FROM (SELECT sample_id, arg_min(coalesce(actor_answer, ''), round) AS initial_answer, arg_max(coalesce(actor_answer, ''), round) AS final_answer, any_value(answer) AS label FROM turns GROUP BY sample_id)",
+        "correct_at_each_round": _sql_turns(3) + "SELECT round, count(*) FILTER (actor_answer = upper(answer)) AS correct FROM turns GROUP BY round",
+        "evaluate_benchmark": _sql_turns(3) + f"""SELECT n AS num_samples, round(a0, 9) AS initial_accuracy, round(a2, 9) AS final_accuracy, round(m, 9) AS margin, round(greatest(0, a2 - m), 9) AS ci_low, round(least(1, a2 + m), 9) AS ci_high, round(CASE WHEN a0 = 0 THEN 0 ELSE (a2 - a0) / a0 END, 9) AS improvement_rate, round(a2 - a0, 9) AS absolute_gain, round(a2 - a1, 9) AS last_delta, wc AS wrong_to_correct, cw AS correct_to_wrong
+FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {z * z} / n) AS m FROM (SELECT count(*) FILTER (round = 0) AS n, avg(ok) FILTER (round = 0) AS a0, avg(ok) FILTER (round = 1) AS a1, avg(ok) FILTER (round = 2) AS a2 FROM scored)),
+(SELECT count(*) FILTER (i = 0 AND f = 1) AS wc, count(*) FILTER (i = 1 AND f = 0) AS cw FROM (SELECT arg_min(ok, round) AS i, arg_max(ok, round) AS f FROM scored GROUP BY sample_id))""",
+        "preference_pairs": _sql_turns(3) + _sql_pairs() + "SELECT * FROM pairs",
+        "pairs_min_delta": _sql_turns(3) + _sql_pairs() + "SELECT sample_id, round, delta, direction FROM pairs WHERE delta >= 0.1",
+        "prefs_actor": _sql_turns(3) + _sql_pairs() + "SELECT sample_id, actor_prompt AS prompt, positive AS chosen, negative AS rejected, round, delta, direction FROM pairs",
+        "prefs_critic": _sql_turns(3) + _sql_pairs() + "SELECT sample_id, critic_prompt AS prompt, positive_critic AS chosen, negative_critic AS rejected, round, delta, direction FROM pairs",
+        "render_prompts_yes_no": _sql_prompts("boolq"),
+        "render_prompts_choice": _sql_prompts("mmlu"),
+        "early_stopping_fold": _STOP,
+        "config_resolve": "SELECT * FROM (VALUES ('seed', coalesce(NULL, 7, 42)), ('rounds', coalesce(2, 3, 5)), ('simulations', coalesce(NULL, NULL, 5)), ('patience', coalesce(NULL, NULL, 0))) AS t(name, value)",
+        "error_quarantine": "SELECT event_id, (props::JSON->>'k')::BIGINT AS k, NULL::VARCHAR AS error FROM events",
+        "metric_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS phase, 'value' AS metric, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
         "normalize_answers": "SELECT o_orderkey, upper(substr(trim(o_orderpriority), 1, 1)) AS answer FROM orders",
         "wrong_answer_choice": "SELECT doc_id, CASE lang WHEN 'en' THEN 'ES' WHEN 'fr' THEN 'ES' WHEN 'de' THEN 'ES' WHEN 'es' THEN 'DE' END AS wrong FROM documents",
         "stratified_split": _SPLIT,

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def yes_no_answer(raw: Column) -> Column:
@@ -37,6 +41,38 @@ def answer_distribution(rows: DataFrame, answer: str) -> DataFrame:
     return counts.withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def dataset_statistics(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """Per group (or of all rows): count, task_types, avg_question_length in words over non-empty questions, answers by count."""
+    words = F.size(F.filter(F.split("question", r"(?U)\s+"), lambda x: x != ""))
+    keys = [by] if by else []
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("task_type")).alias("task_types"), F.bround(F.coalesce(F.avg(F.when(F.col("question") != "", words)), F.lit(0.0)), 1).alias("avg_question_length"))
+    counts = rows.where(F.col("answer") != "").groupBy(*keys, "answer").agg(F.count(F.lit(1)).alias("c"))
+    total = F.aggregate("cs", F.lit(0).cast("long"), lambda a, x: a + x["c"])
+    shares = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("answer", "c"))).alias("cs"))
+    shares = shares.select(*keys, F.map_from_entries("cs").alias("answer_distribution"), F.map_from_entries(F.transform("cs", lambda x: F.struct(x["answer"], F.bround(x["c"] / total, 4)))).alias("answer_ratios"))
+    if by:
+        return whole.join(shares, by, "left")
+    both = whole.unionByName(shares, allowMissingColumns=True)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
+
+
+def isolate(rows: DataFrame, task: Callable[[dict], dict], schema: str) -> DataFrame:
+    """Rows through a Python task, a batch at a time; a row whose task raises has its error and nulls, the rest go on."""
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                try:
+                    out.append({**task(row), "error": None})
+                except Exception as e:  # the row is the unit that may fail
+                    out.append({**{n: row.get(n) for n in names}, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(out, columns=[*names, "error"]).astype(object)
+
+    return rows.mapInPandas(run, f"{schema}, error string")
+
+
 def rounds_of(turns: DataFrame) -> DataFrame:
     """Conversations to rounds (conv_id, round, actor, critic): user and assistant turns in pairs."""
     order = Window.partitionBy("conv_id").orderBy("turn")

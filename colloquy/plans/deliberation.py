@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import extract_yes_no, normalize_answer
@@ -40,45 +40,65 @@ def render(kind: str, **bound: Column) -> Column:
 
 
 def deliberate(samples: DataFrame, rounds: int, respond: Responder = canned_responder) -> DataFrame:
-    """samples (sample_id, question, passage, answer) with turns, an array of rounds."""
+    """samples (sample_id, question, passage, answer) with one row a round: prompts, responses and the actor's answer."""
     out = samples.withColumn("history", F.array().cast("array<string>"))
     q, p, none = F.col("question"), F.col("passage"), F.lit(0)
     for t in range(rounds):
         prompt = render("single_shot", question=q, passage=p) if t == 0 else render("deliberation", question=q, passage=p, responses_text=responses_text(F.col("history")))
-        out = out.withColumn(f"_a{t}", respond("actor", prompt, none))
-        out = out.withColumn(f"_c{t}", respond("critic", render("critic", question=q, actor_response=F.col(f"_a{t}")), none))
+        out = out.withColumn(f"_p{t}", prompt).withColumn(f"_a{t}", respond("actor", F.col(f"_p{t}"), none))
+        out = out.withColumn(f"_q{t}", render("critic", question=q, actor_response=F.col(f"_a{t}"))).withColumn(f"_c{t}", respond("critic", F.col(f"_q{t}"), none))
         out = out.withColumn("history", F.concat("history", F.array(f"_a{t}", f"_c{t}")))
-    turn = lambda t: F.struct(F.lit(t).alias("round"), F.col(f"_a{t}").alias("actor_response"), F.col(f"_c{t}").alias("critic_response"), extract_yes_no(F.col(f"_a{t}")).alias("actor_answer"))
+    turn = lambda t: F.struct(F.lit(t).alias("round"), F.col(f"_p{t}").alias("actor_prompt"), F.col(f"_a{t}").alias("actor_response"), F.col(f"_q{t}").alias("critic_prompt"), F.col(f"_c{t}").alias("critic_response"), extract_yes_no(F.col(f"_a{t}")).alias("actor_answer"))
     return out.select(*samples.columns, F.explode(F.array(*map(turn, range(rounds)))).alias("turn")).select(*samples.columns, "turn.*")
 
 
-def rewards(states: DataFrame, keys: list[str], simulations: int, respond: Responder = canned_responder) -> DataFrame:
-    """The share of simulated next replies that give the label; 0 without label or simulations."""
+def simulate(states: DataFrame, simulations: int, respond: Responder = canned_responder) -> DataFrame:
+    """Adds right (0 or 1) of each simulated next reply, one row a simulation; 0 without label or simulations.
+
+    The reply sees history (where states has it: earlier responses, an array), then the actor's and the critic's response.
+    """
+    earlier = F.col("history") if "history" in states.columns else F.array().cast("array<string>")
     sims = states.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(max(simulations, 1)))))
-    prompt = render("deliberation", question=F.col("question"), passage=F.col("passage"), responses_text=responses_text(F.array("actor_response", "critic_response")))
+    prompt = render("deliberation", question=F.col("question"), passage=F.col("passage"), responses_text=responses_text(F.concat(earlier, F.array("actor_response", "critic_response"))))
     label = normalize_answer(F.col("answer"))
     right = F.when((label == "") | F.lit(simulations <= 0), 0.0).otherwise((normalize_answer(extract_yes_no(respond("actor", prompt, F.col("sim")))) == label).cast("double"))
-    return sims.groupBy(*keys).agg(F.avg(right).alias("reward"))
+    return sims.withColumn("right", right)
+
+
+def rewards(states: DataFrame, keys: list[str], simulations: int, respond: Responder = canned_responder) -> DataFrame:
+    """The share of simulated next replies that give the label."""
+    return simulate(states, simulations, respond).groupBy(*keys).agg(F.avg("right").alias("reward"))
+
+
+def select_pair(natural: Column, right: Column, wrong: Column, threshold: float = 0.0) -> Column:
+    """(direction, delta): towards if guidance to the label gains threshold, else away if guidance from it loses that, else null."""
+    gain, loss = right - natural, natural - wrong
+    pair = lambda name, delta: F.struct(F.lit(name).alias("direction"), delta.alias("delta"))
+    return F.when(gain >= threshold, pair("towards", gain)).when(loss >= threshold, pair("away", loss))
 
 
 def preference_pairs(turns: DataFrame, simulations: int, threshold: float = 0.0, respond: Responder = canned_responder) -> DataFrame:
-    """From round 1 on, at most one pair a round: towards the label if guidance gains threshold, else away if its opposite loses it."""
+    """From round 1 on, at most one pair a round, as read_pairs has them; guidance sees the actor's earlier responses."""
     q, p, none = F.col("question"), F.col("passage"), F.lit(0)
+    before = Window.partitionBy("sample_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    late = turns.withColumn("history", F.collect_list("actor_response").over(before)).where("round >= 1")
     wrong = F.when(F.lower("answer") == "yes", "no").otherwise("yes")
-    late = turns.where("round >= 1").withColumn("responses_text", F.lit(""))
-    guides = F.array(F.struct(F.lit("natural").alias("variant"), F.lit("").alias("target")), F.struct(F.lit("right").alias("variant"), F.col("answer").alias("target")), F.struct(F.lit("wrong").alias("variant"), wrong.alias("target")))
+    guides = F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("target")) for v, c in (("natural", F.lit("")), ("right", F.col("answer")), ("wrong", wrong))])
     each = late.withColumn("g", F.explode(guides)).select("*", "g.*")
-    guided = respond("actor", render("guided_deliberation", question=q, passage=p, responses_text=F.col("responses_text"), target_answer=F.col("target")), none)
+    guided = respond("actor", render("guided_deliberation", question=q, passage=p, responses_text=responses_text(F.col("history")), target_answer=F.col("target")), none)
     each = each.withColumn("actor_response", F.when(F.col("variant") == "natural", F.col("actor_response")).otherwise(guided))
     critic = respond("critic", render("guided_critic", question=q, actor_response=F.col("actor_response"), target_answer=F.col("target")), none)
     each = each.withColumn("critic_response", F.when(F.col("variant") == "natural", F.col("critic_response")).otherwise(critic))
-    scored = rewards(each, ["sample_id", "round", "variant"], simulations, respond)
-    value = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
-    wide = scored.groupBy("sample_id", "round").agg(value("natural", "reward").alias("natural"), value("right", "reward").alias("right"), value("wrong", "reward").alias("wrong"))
-    gain, loss = F.col("right") - F.col("natural"), F.col("natural") - F.col("wrong")
-    direction = F.when(gain >= threshold, "towards").when(loss >= threshold, "away")
-    delta = F.when(gain >= threshold, gain).when(loss >= threshold, loss)
-    return wide.select("sample_id", "round", "natural", "right", "wrong", delta.alias("delta"), direction.alias("direction")).where("direction is not null")
+    of = lambda v, c: F.when(F.col("variant") == v, F.col(c))
+    names = ("natural", "right", "wrong")
+    wide = simulate(each, simulations, respond).groupBy("sample_id", "round").agg(
+        *[F.first(c).alias(c) for c in ("actor_prompt", "critic_prompt")],
+        *[F.avg(of(v, "right")).alias(f"{v}_reward") for v in names],
+        *[F.max(of(v, f"{agent}_response")).alias(f"{v}_{agent}") for v in names for agent in ("actor", "critic")],
+    )
+    wide = wide.withColumn("pair", select_pair(*[F.col(f"{v}_reward") for v in names], threshold)).where("pair IS NOT NULL").select("*", "pair.*")
+    better = lambda agent, good: F.when(F.col("direction") == "towards", F.col(f"{'right' if good else 'natural'}_{agent}")).otherwise(F.col(f"{'natural' if good else 'wrong'}_{agent}"))
+    return wide.select("sample_id", "actor_prompt", "critic_prompt", better("actor", True).alias("positive"), better("actor", False).alias("negative"), better("critic", True).alias("positive_critic"), better("critic", False).alias("negative_critic"), "round", "delta", "direction")
 
 
 def wilson(accuracy: Column, n: Column, z: float = 1.959963984540054) -> Column:
@@ -96,3 +116,15 @@ def early_stop(accuracies: list[float], patience: int, least: float = 0.0) -> in
         return (a, 0, ran + 1) if a > best + least else (best, waited + 1, ran + 1)
 
     return reduce(step, accuracies, (float("-inf"), 0, 0))[2]
+
+
+def early_stop_column(accuracies: Column, patience: int, least: float = 0.0) -> Column:
+    """The same fold over an array."""
+    state = lambda best, waited, ran: F.struct(best.alias("best"), waited.alias("waited"), ran.alias("ran"))
+
+    def step(s: Column, a: Column) -> Column:
+        better = a > s["best"] + F.lit(least)
+        on = state(F.when(better, a).otherwise(s["best"]), F.when(better, F.lit(0)).otherwise(s["waited"] + 1), s["ran"] + 1)
+        return F.when(s["waited"] >= patience, s).otherwise(on)
+
+    return F.aggregate(accuracies, state(F.lit(float("-inf")), F.lit(0), F.lit(0)), step, lambda s: s["ran"])

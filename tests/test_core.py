@@ -2,9 +2,15 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy import catalog
+from colloquy import catalog, config
 from colloquy.functions import answers as A
+from colloquy.operators import datasets as D
 from colloquy.plans import deliberation as P
+from colloquy.plans import evaluation as E
+from colloquy.plans import prompts, training
+from colloquy.sources import datasets as S
+from colloquy.sources import stores
+from colloquy.streaming import metrics
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +51,98 @@ def test_against_sql(spark, name):
     theirs = con.sql(catalog.oracle_sql()[name]).df()[list(ours.columns)]
     rows = lambda x: sorted(map(str, x.astype(object).where(x.notna(), None).itertuples(index=False, name=None)))
     assert rows(ours) == rows(theirs)
+
+
+def test_settings(tmp_path):
+    s = config.Settings(config.DEFAULTS, {"deliberation": {"rounds": 2}}, None)
+    assert (s.get("deliberation.rounds"), s.require("deliberation.simulations"), s.get("no.such", 3)) == (2, 5, 3)
+    with pytest.raises(config.MissingSetting):
+        s.require("deliberation.none")
+    s.with_value("a.b", 1).save(tmp_path / "x.json")
+    assert config.Settings.of_files(tmp_path / "x.json", overrides={"seed": 1}).get("a.b") == 1
+    assert config.resolve({"a": 1, "b": 2}, {"a": 5, "b": 6, "c": 7}, {"b": None}, {"a"}) == {"a": 5, "b": 2}
+
+
+def test_standardize(spark):
+    raw = spark.createDataFrame([(1, "q", ["x", "y"], 1), (2, None, [], 3), (3, "r", ["x", "y"], 5)], "sample_id long, question string, choices array<string>, answer int")
+    assert [(r.answer, r.question) for r in S.standardize(raw, "multiple_choice").orderBy("sample_id").collect()] == [("B", "q"), ("D", ""), ("", "r")]
+    arc = spark.createDataFrame([(1, {"text": ["x"], "label": []}, "(b)")], "sample_id long, choices struct<text:array<string>,label:array<string>>, answerKey string")
+    row = S.standardize(arc, "multiple_choice").first()
+    assert (row.answer, row.choice_labels) == ("B", ["A"])
+    mixed = spark.createDataFrame([(1, "in", "out")], "sample_id long, input string, target string")
+    assert S.standardize(mixed, "mixed").first().question == ""
+    assert S.standardize(mixed, "mixed", legacy=False).first().answer == "out"
+    with pytest.raises(ValueError):
+        S.spec_of("none")
+
+
+def test_load_and_select(spark, tmp_path):
+    rows = [(i, "train" if i % 2 else "validation", f"q {i}", "True" if i % 3 else "no") for i in range(10)]
+    spark.createDataFrame(rows, "sample_id long, split string, question string, answer string").write.parquet(f"{tmp_path}/boolq")
+    found = S.load_dataset(spark, "boolq", str(tmp_path))
+    assert S.evaluation_rows(found).count() == 5
+    assert [r.sample_id for r in S.first_samples(found, 2).collect()] == [0, 1] and S.first_samples(found, 0).count() == 10
+    spark.createDataFrame([(i, "t", "q") for i in range(100)], "sample_id long, bbh_task string, input string").write.parquet(f"{tmp_path}/bbh")
+    assert {r["split"]: r["count"] for r in S.load_dataset(spark, "bbh", str(tmp_path), legacy=False).groupBy("split").count().collect()} == {"test": 25, "validation": 10, "train": 65}
+
+
+def test_prompt_with_missing_choices(spark):
+    two = spark.range(1).select(prompts.render("arc", "single_shot", F.lit("why {choice_a}?"), choices=F.array(F.lit("x"), F.lit("y")))).first()[0]
+    assert "why x?" in two and "A: x\nB: y\nC: {choice_c}\nD: {choice_d}" in two
+    none = spark.range(1).select(prompts.render("arc", "single_shot", F.lit("why {choice_a}?"), choices=F.array().cast("array<string>"))).first()[0]
+    assert "why {choice_a}?" in none and "A: \nB: " in none
+    for bad in (("none", "critic"), ("arc", "none")):
+        with pytest.raises(ValueError):
+            prompts.template(*bad)
+
+
+@pytest.mark.parametrize(("values", "threshold", "wanted"), [((0.5, 1.0, 0.0), 0.3, ("towards", 0.5)), ((0.5, 0.6, 0.0), 0.3, ("away", 0.5)), ((0.5, 0.55, 0.45), 0.3, None), ((0.5, 0.5, 0.5), 0.0, ("towards", 0.0))])
+def test_select_pair(spark, values, threshold, wanted):
+    got = spark.range(1).select(P.select_pair(*map(F.lit, values), threshold).alias("p")).first().p
+    assert (got and tuple(got)) == wanted
+
+
+def test_stores_and_alternation(spark, tmp_path):
+    one_pair = spark.createDataFrame([(1, "p", "cp", "+", "-", "c+", "c-", 1, 0.5, "towards")], stores.PAIRS)
+    stores.write_pairs(one_pair, f"{tmp_path}/pairs.json")
+    assert stores.read_pairs(spark, f"{tmp_path}/pairs.json").collect() == one_pair.collect()
+    calls = []
+
+    class Named:
+        def train(self, agent, preferences, base):
+            calls.append((agent, base, stores.read_preferences(spark, preferences, agent).count()))
+            return f"{base}+"
+
+    made = []
+    got = training.alternate(spark, str(tmp_path), {"actor": "a", "critic": "c"}, lambda m: made.append(m) or one_pair, Named(), lambda m: 0.5, iterations=5, patience=1)
+    assert calls == [("critic", "c", 1), ("actor", "a", 1), ("critic", "c+", 1), ("actor", "a+", 1)]
+    assert (got.stopped, got.best, len(got.history)) == (True, 0.5, 2)
+    training.alternate(spark, str(tmp_path), {"actor": "a", "critic": "c"}, lambda m: made.append(m) or one_pair, Named(), reuse=True)
+    assert len(made) == 4
+    with pytest.raises(ValueError):
+        training.alternate(spark, str(tmp_path), {"actor": "a", "critic": "c"}, lambda m: one_pair.limit(0), Named())
+
+
+def test_metrics_stream(spark, tmp_path):
+    stores.append_metrics(spark, f"{tmp_path}/m", "eval", {"acc": 0.5}, 1)
+    stores.append_metrics(spark, f"{tmp_path}/m", "eval", {"acc": 1.0}, 2)
+    query = metrics.windowed_metrics(metrics.metrics_stream(spark, f"{tmp_path}/m"), "1000 days").writeStream.format("memory").outputMode("complete").queryName("m").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
+    query.awaitTermination()
+    assert spark.table("m").select("phase", "metric", "n", "mean").collect() == [("eval", "acc", 2, 0.75)]
+
+
+def test_evaluation(spark):
+    turns = [(1, 0, "NO", "yes"), (1, 1, "YES", "yes"), (2, 0, None, "yes"), (2, 1, None, "yes")]
+    rows = spark.createDataFrame(turns, "sample_id long, round int, actor_answer string, answer string")
+    row = E.evaluate(rows).first()
+    assert (row.num_samples, row.per_round_accuracy, row.per_round_delta, row.correct_at_each_round) == (2, [0.0, 0.5], [0.5], [0, 1])
+    assert row.flip_statistics.wrong_to_correct == 1 and row.improvement_rate == 0.0
+    assert E.evaluate(rows.limit(0)).count() == 0 and E.report(E.evaluate(rows.limit(0))) == "No samples."
+
+
+def test_isolate(spark):
+    def half(row):
+        return {"id": row["id"], "half": 10 // row["id"]}
+
+    got = {r.id: (r.half, r.error) for r in D.isolate(spark.range(3), half, "id long, half long").collect()}
+    assert got[2] == (5, None) and got[0][0] is None and got[0][1].startswith("ZeroDivisionError")
