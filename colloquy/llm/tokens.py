@@ -11,11 +11,14 @@ doc_id stay together, by text; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,7 @@ from .common import read, scratch_path
 
 END_ID = 1
 MEMO_WORDS = 1 << 20
-ROWS = 256
+ROWS = 1024
 PART_BYTES = 128 << 20
 ORC = {
     "compression": "zstd",
@@ -49,24 +52,26 @@ def encode_words(tokenizer, words: list[bytes]) -> list[bytes]:
 
 
 def encode_new(tokenizer, words: list[bytes], cores: dict[bytes, bytes]) -> list[bytes]:
-    """Encodes words through cores: ASCII lower case (the tokenizer lowers all) without full stops and commas at the end.
+    """Encodes words (without line feeds) through cores, which knows the empty word: ASCII lower case (the tokenizer lowers all) without full stops and commas at the end.
 
     Those stand apart in this tokenizer after an ASCII letter or digit; after anything else the word is its own core.
     """
-    parts = []
-    for w in words:
-        low = w.lower()
-        core = low.rstrip(b".,")
-        parts.append((core, low[len(core) :]) if core and core[-1:].isalnum() else (low, b""))
-    wanted = list({x for pair in parts for x in pair if x and x not in cores})
+    if not words:
+        return []
+    lows = b"\n".join(words).lower().split(b"\n")
+    stems = [x.rstrip(b".,") for x in lows]
+    stems = [x if x[-1:].isalnum() else low for x, low in zip(stems, lows, strict=True)]
+    tails = [b"" if len(x) == len(low) else low[len(x) :] for x, low in zip(stems, lows, strict=True)]
+    wanted = set(filterfalse(cores.__contains__, chain(stems, tails)))
     # letters alone are one match that normalization leaves as it is: the library's model takes them directly
-    plain = [x for x in wanted if x.isalpha()]
+    plain = set(filter(bytes.isalpha, wanted))
     model = tokenizer.model
-    cores.update((x, np.array([t.id for t in model.tokenize(x.decode())], "<u4").tobytes()) for x in plain)
-    others = [x for x in wanted if not x.isalpha()]
+    for x in plain:
+        ids = [t.id for t in model.tokenize(x.decode())]
+        cores[x] = struct.pack(f"<{len(ids)}I", *ids)
+    others = list(wanted - plain)
     cores.update(zip(others, encode_words(tokenizer, others), strict=True))
-    cores[b""] = b""
-    return [cores[a] + cores[b] for a, b in parts]
+    return [cores[a] + cores[b] if b else cores[a] for a, b in zip(stems, tails, strict=True)]
 
 
 def _encoder(tokenizer_json: str, end_id: int):
@@ -75,20 +80,34 @@ def _encoder(tokenizer_json: str, end_id: int):
 
         tokenizer = Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
-        memo: dict[bytes, bytes] = {}
-        cores: dict[bytes, bytes] = {}
-        end, place = np.array([end_id], "<u4").tobytes(), 0
+        memo: dict[bytes, bytes] = {b"": b""}
+        cores: dict[bytes, bytes] = {b"": b""}
+        place = 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 if len(memo) > MEMO_WORDS:
                     memo.clear(), cores.clear()
-                split = [(x or "").encode("utf-8", "surrogatepass").split() for x in part.column("text").to_pylist()]
-                new = list(set().union(*split).difference(memo))
-                memo.update(zip(new, encode_new(tokenizer, new, cores), strict=True))
-                raw = [b"".join([memo[w] for w in words]) + end for words in split]
-                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                    memo[b""] = cores[b""] = b""
+                split = pc.ascii_split_whitespace(pc.fill_null(part.column("text"), ""))
+                flat = split.values.dictionary_encode()
+                # the distinct words of these rows (an empty one at the edges of a text among them)
+                words = flat.dictionary.cast(pa.binary()).to_pylist()
+                got = list(map(memo.get, words))
+                missing = [i for i, x in enumerate(got) if x is None]
+                new = [words[i] for i in missing]
+                for i, w, x in zip(missing, new, encode_new(tokenizer, new, cores), strict=True):
+                    got[i] = memo[w] = x
+                pool = np.frombuffer(b"".join(got), "<i4")
+                sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+                index, cuts = flat.indices.to_numpy(), split.offsets.to_numpy()
+                firsts, of_word = (np.cumsum(sizes) - sizes)[index], sizes[index]
+                ends = np.concatenate(([0], np.cumsum(of_word)))
+                # the end id stays wherever no word's id goes: one place after each row's words
+                offsets = (ends[cuts] + np.arange(len(cuts))).astype(np.int32)
+                values, at_token = np.full(offsets[-1], end_id, "<i4"), np.arange(ends[-1])
+                values[at_token + np.repeat(np.arange(part.num_rows), np.diff(ends[cuts]))] = pool[at_token + np.repeat(firsts - ends[:-1], of_word)]
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 places = pa.array(np.arange(place, place + part.num_rows, dtype=np.int64))
                 place += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), places, ids], names=["doc_id", "part", "place", "ids"])
