@@ -136,9 +136,10 @@ def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_orc(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files: a running sum in each part, and the parts' sums before it."""
-    rows = spark.read.orc(path).mapInArrow(_summarize, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    stored = spark.read.orc(path)
+    rows = stored.mapInArrow(_summarize, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    parts = stored.groupBy("part").agg(F.sum(F.size("ids").cast("long")).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return rows.join(parts, "part").select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
