@@ -114,7 +114,7 @@ def flip_statistics(spark, d):
 
 
 def rollout_reward(spark, d):
-    out = P.rewards(P.deliberate(_samples(spark, d), 2), ["sample_id", "round"], 5)
+    out = P.rewards(P.with_earlier(P.deliberate(_samples(spark, d), 3)), ["sample_id", "round"], 5)
     return out.withColumn("reward", F.round("reward", 9))
 
 

@@ -52,6 +52,12 @@ def deliberate(samples: DataFrame, rounds: int, respond: Responder = canned_resp
     return out.select(*samples.columns, F.explode(F.array(*map(turn, range(rounds)))).alias("turn")).select(*samples.columns, "turn.*")
 
 
+def with_earlier(turns: DataFrame) -> DataFrame:
+    """Adds history: the actor's responses of the sample's earlier rounds, which simulated and guided replies see."""
+    before = Window.partitionBy("sample_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    return turns.withColumn("history", F.collect_list("actor_response").over(before))
+
+
 def simulate(states: DataFrame, simulations: int, respond: Responder = canned_responder) -> DataFrame:
     """Adds right (0 or 1) of each simulated next reply, one row a simulation; 0 without label or simulations.
 
@@ -80,8 +86,7 @@ def select_pair(natural: Column, right: Column, wrong: Column, threshold: float
 def preference_pairs(turns: DataFrame, simulations: int, threshold: float = 0.0, respond: Responder = canned_responder) -> DataFrame:
     """From round 1 on, at most one pair a round, as read_pairs has them; guidance sees the actor's earlier responses."""
     q, p, none = F.col("question"), F.col("passage"), F.lit(0)
-    before = Window.partitionBy("sample_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    late = turns.withColumn("history", F.collect_list("actor_response").over(before)).where("round >= 1")
+    late = with_earlier(turns).where("round >= 1")
     wrong = F.when(F.lower("answer") == "yes", "no").otherwise("yes")
     guides = F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("target")) for v, c in (("natural", F.lit("")), ("right", F.col("answer")), ("wrong", wrong))])
     each = late.withColumn("g", F.explode(guides)).select("*", "g.*")

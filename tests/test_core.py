@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,30 @@ def test_against_sql(spark, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_rollout_reward_brute_force(spark):
+    """Each state of three rounds with the actor's earlier responses before it; no SQL."""
+    answers = dict(zip(P.CANNED, ("Y", "N", "N", "N", "", "Y", ""), strict=True))
+
+    def say(role, sim, prompt):
+        return P.CANNED[int(hashlib.md5(f"{role}|42|{sim}|{prompt}".encode()).hexdigest()[:6], 16) % len(P.CANNED)]
+
+    def ask(r, said):
+        others = "\nOthers:" + "".join(f"\nPerson {i} said: {x}" for i, x in enumerate(said, 1)) if said else ""
+        return f"Question: {r.question}\nPassage: {r.passage}{others}\nReply yes or no."
+
+    wanted = {}
+    for r in catalog.standardize_yes_no(spark, SF).collect():
+        both, actor = [], []
+        for t in range(3):
+            a = say("actor", 0, ask(r, both))
+            c = say("critic", 0, f"Question: {r.question}\nReply under review: {a}\nGive feedback.")
+            right = [answers[say("actor", sim, ask(r, [*actor, a, c]))] == r.answer[0].upper() for sim in range(1, 6)]
+            wanted[r.sample_id, t] = sum(right) / 5
+            both, actor = [*both, a, c], [*actor, a]
+    got = catalog.rollout_reward(spark, SF).collect()
+    assert len(got) == len(wanted) and {(r.sample_id, r["round"]): r.reward for r in got} == wanted
+
+
 def test_settings(tmp_path):
     s = config.Settings(config.DEFAULTS, {"deliberation": {"rounds": 2}}, None)
     assert (s.get("deliberation.rounds"), s.require("deliberation.simulations"), s.get("no.such", 3)) == (2, 5, 3)
