@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, read, windows
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a block: a BLOCKS-th of the input between these bounds, which bound a task's memory.
 BLOCKS, BLOCK_BYTES = 256, (64 << 10, 16 << 20)
 #: N-grams in a bucket, about, before blocks merge theirs.

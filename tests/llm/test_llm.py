@@ -154,6 +154,14 @@ def test_lmscore_brute_force(docs, empty, order):
     assert lmscore.score(empty, order).count() == 0
 
 
+def test_lmscore_registered_order(spark, tmp_path):
+    """The query itself tells a text of common pairs from prose."""
+    texts = ["x a b", "x a b", "y a c", "y a c", "x a c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_backed_off for r in lmscore.op3_lmscore(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 1}
+
+
 def test_lmscore_packing():
     import numpy as np
 
