@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -36,6 +37,12 @@ def test_normalize(spark, text, wanted):
     assert one(spark, text, A.normalize_answer) == wanted
 
 
+def test_wrong_answer_of_many_choices(spark):
+    choices = [[f"C{i}" for i in range(n + 1)] for n in range(1, 301)]
+    rows = spark.createDataFrame([(len(c) - 1, c) for c in choices], "n int, choices array<string>").select("n", A.wrong_answer(F.lit("c0"), F.col("choices")).alias("wrong"))
+    assert {r.n: r.wrong for r in rows.collect()} == {len(c) - 1: random.Random(42).choice(c[1:]) for c in choices}
+
+
 def test_wilson(spark):
     assert abs(spark.range(1).select(P.wilson(F.lit(2 / 3), F.lit(3))).first()[0] - 0.365424) < 1e-6
 
