@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -34,16 +36,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/colloquy/{label}-{uuid.uuid4().hex}"
+    """A path that no other call gives, under the application's own folder in the shared one."""
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def _scratch_root(spark: SparkSession) -> str:
+    scopes = getattr(spark.sparkContext, "_colloquy_scopes", [])
+    return "/".join([shared_dir(spark), "colloquy", spark.sparkContext.applicationId, *scopes])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; results that were not stored can't be read any more."""
+    _delete(spark, _scratch_root(spark))
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are deleted at the end."""
+    scopes = spark.sparkContext._colloquy_scopes = [*getattr(spark.sparkContext, "_colloquy_scopes", []), uuid.uuid4().hex]
+    try:
+        yield
+    finally:
+        _delete(spark, _scratch_root(spark))
+        spark.sparkContext._colloquy_scopes = scopes[:-1]
+
+
+def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Cut the lineage by a table in the shared folder, which outlives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, path: str, **options: str) -> DataFrame:
+    """A table in as many buckets of key as a shuffle has partitions; joins on key with what is read here leave it in place.
+
+    The catalog forgets the table at once: the frame keeps its files and its buckets.
+    """
+    spark, name = df.sparkSession, f"colloquy_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.options(**options).option("path", path).bucketBy(n, key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def merged_splits(df: DataFrame, wanted: int = 128 << 20) -> DataFrame:
     """Join neighbouring input splits up to the wanted size, but leave every core a task."""
     spark = df.sparkSession
@@ -53,10 +95,6 @@ def merged_splits(df: DataFrame, wanted: int = 128 << 20) -> DataFrame:
     return df.coalesce(max(n // factor, min(n, spark.sparkContext.defaultParallelism)))
 
 
-def long_id(df: DataFrame, name: str) -> Column:
-    return F.col(name).cast("long").alias(name)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of the 64-bit integers with full avalanche; xor-shifts and odd multipliers."""
     x = x ^ (x >> np.uint64(32))
