@@ -1,17 +1,25 @@
 """Language identification by language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter holds all languages: a slot is a word of bits, one per language, and
+One bit-sliced Bloom filter holds all languages: a slot is a row of bits, one per language, and
 the AND of an n-gram's slots is the set of languages that contain it. A text's popcount per
 language, corrected for that language's rate of false positives, decides.
 
 Fit: documents with a language and fold other than 2, at most TRAIN_DOCS of each language (the
 smallest by seeded hash; a documented bound on the fit alone). An n-gram counts for a language if
 at least MIN_SHARE of its training documents hold it, so mislabelled documents teach nothing.
-The filter has SLOTS slots whatever the input: its size is bounded by parameters.
-
-Results at the edges: null text or text without a letter is `und` with score 0; so is text of
-which no n-gram is known; ties go to the first language in code-point order; repeated rows count
-as rows; an empty table, or none with labels, makes every text `und`; other columns are ignored.
+N-grams are set as bits by Spark; the driver gets the filter's rows that have a bit, at most
+MAX_SLOTS, and one row a language. The filter has SPARE slots for each n-gram of the richest
+language, within MAX_SLOTS; beyond that it gets denser and its correction larger, nothing is left
+out. Labels of more than MAX_LANGUAGES values are not languages, and raise.
+
+N-grams of NGRAM letters decide. A text of which none is known is decided by shorter ones, of
+SHORTER letters, in the same filter; one of which nothing is known gets the language with the most
+training documents, with score and known 0.
+
+Results at the edges: null text or text without a letter is `und` with score 0; ties go to the
+first language in code-point order; repeated rows count as rows; an empty table, or none with
+labels, makes every text `und`, since no value was learned; null or repeated doc_ids are judged as
+rows; extra columns are ignored by identify and come back in the struct row from attach.
 """
 
 from __future__ import annotations
@@ -20,33 +28,37 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, read
+from .common import materialize, mix64, read
 
-NGRAM = 4
+NGRAM, SHORTER = 4, (3, 2, 1)
 TRAIN_DOCS, MIN_SHARE, MIN_DOCS = 2000, 0.01, 2
-SLOTS, HASHES = 1 << 20, 2
-#: N-grams kept for a language at most, the most frequent first, so that a filter of SLOTS stays sparse.
-MAX_NGRAMS = 60_000
+HASHES, SPARE = 2, 16
+MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 23
+MAX_LANGUAGES = 512
 SEED = 7
 UNKNOWN = "und"
 _BLOCK = 1 << 20
 
 
-def ngram_hashes(text: str) -> np.ndarray:
-    """Hashes of the letter n-grams of a text in lower case; other characters become one space."""
+def letters_of(text: str) -> np.ndarray:
+    """Code points of the letters of a text in lower case; other characters become one space, with one at each end."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(_is_letter(codes), codes, np.uint32(32))
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
-    codes = np.concatenate(([np.uint32(32)], codes[keep], [np.uint32(32)])).astype(np.uint64)
-    if len(codes) < NGRAM:
+    return np.concatenate(([np.uint32(32)], codes[keep], [np.uint32(32)])).astype(np.uint64)
+
+
+def ngram_hashes(letters: np.ndarray, n: int = NGRAM) -> np.ndarray:
+    """Hashes of the n-grams, those of other lengths apart."""
+    if len(letters) < n:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(codes) - NGRAM + 1, np.uint64)
-    for j in range(NGRAM):
-        out = (out << np.uint64(21)) ^ (out >> np.uint64(43)) ^ codes[j : len(codes) - NGRAM + 1 + j]
+    out = np.full(len(letters) - n + 1, n, np.uint64)
+    for j in range(n):
+        out = (out << np.uint64(21)) ^ (out >> np.uint64(43)) ^ letters[j : len(letters) - n + 1 + j]
     return mix64(out)
 
 
@@ -60,41 +72,33 @@ def _is_letter(codes: np.ndarray) -> np.ndarray:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram), each n-gram once per document."""
+    """(lang, text) to (lang, n, gram), each n-gram once per document."""
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            found = np.unique(ngram_hashes(text or "")).view(np.int64)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found)], names=["lang", "gram"])
-
+            letters = letters_of(text or "")
+            for n in (NGRAM, *SHORTER):
+                found = np.unique(ngram_hashes(letters, n)).view(np.int64)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([n] * len(found), pa.int32()), pa.array(found)], names=["lang", "n", "gram"])
 
-class BitSlicedFilter:
-    """words[slot, w] holds bits of languages 64 w to 64 w + 63."""
 
-    def __init__(self, langs: list[str], slots: int = SLOTS, hashes: int = HASHES):
-        self.langs, self.slots, self.hashes = langs, slots, hashes
-        self.words = np.zeros((slots, max(1, -(-len(langs) // 64))), np.uint64)
-        self.rates = np.zeros(len(langs))
+def slots_of(grams: np.ndarray, slots: int) -> Iterator[np.ndarray]:
+    step = (grams >> np.uint64(32)) | np.uint64(1)
+    for j in range(HASHES):
+        yield ((grams + np.uint64(j) * step) % np.uint64(slots)).astype(np.int64)
 
-    def _slots(self, grams: np.ndarray) -> Iterator[np.ndarray]:
-        step = (grams >> np.uint64(32)) | np.uint64(1)
-        for j in range(self.hashes):
-            yield ((grams + np.uint64(j) * step) % np.uint64(self.slots)).astype(np.int64)
 
-    def add(self, lang: str, grams: np.ndarray) -> None:
-        at = self.langs.index(lang)
-        for slot in self._slots(grams):
-            self.words[slot, at // 64] |= np.uint64(1) << np.uint64(at % 64)
+class BitSlicedFilter:
+    """words[slot, w] holds bits of languages 64 w to 64 w + 63; usual is the place of the language with the most training documents."""
 
-    def close(self) -> None:
-        """Rates of false positives: the share of set bits in a language's slice, once per hash."""
-        for at in range(len(self.langs)):
-            bits = (self.words[:, at // 64] >> np.uint64(at % 64)) & np.uint64(1)
-            self.rates[at] = float(bits.mean()) ** self.hashes
+    def __init__(self, langs: list[str], words: np.ndarray, usual: int = 0):
+        self.langs, self.words, self.usual = langs, words, usual
+        # rates of false positives: the share of set bits in a language's slice, once per hash
+        self.rates = np.array([float(((words[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** HASHES for i in range(len(langs))])
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         out = None
-        for slot in self._slots(grams):
+        for slot in slots_of(grams, len(self.words)):
             out = self.words[slot] if out is None else out & self.words[slot]
         return out
 
@@ -102,76 +106,74 @@ class BitSlicedFilter:
         """Popcounts per language, less what false positives add."""
         found = self.masks(grams)
         raw = np.array([np.count_nonzero(found[:, i // 64] & (np.uint64(1) << np.uint64(i % 64))) for i in range(len(self.langs))], float)
-        return np.clip((raw - len(grams) * self.rates) / (1 - self.rates), 0, len(grams))
+        return np.clip((raw - len(grams) * self.rates) / np.maximum(1 - self.rates, 1e-9), 0, len(grams))
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
-        """Language, its share of all languages' hits, and the share of n-grams that it knows."""
+        """Language, its share of all languages' hits, and the share of the NGRAM-grams that it knows."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
-        grams = ngram_hashes(text)
-        hits = sum((self.hits(grams[i : i + _BLOCK]) for i in range(0, len(grams), _BLOCK)), np.zeros(len(self.langs)))
-        if not hits.sum():
-            return UNKNOWN, 0.0, 0.0
-        best = int(hits.argmax())
-        return self.langs[best], float(hits[best] / hits.sum()), float(hits[best] / len(grams))
+        letters = letters_of(text)
+        for n in (NGRAM, *SHORTER):
+            grams = ngram_hashes(letters, n)
+            hits = sum((self.hits(grams[i : i + _BLOCK]) for i in range(0, len(grams), _BLOCK)), np.zeros(len(self.langs)))
+            if hits.sum():
+                best = int(hits.argmax())
+                return self.langs[best], float(hits[best] / hits.sum()), float(hits[best] / len(grams)) if n == NGRAM else 0.0
+        return self.langs[self.usual], 0.0, 0.0
 
 
-def train(labelled: DataFrame) -> BitSlicedFilter:
-    """(doc_id, lang, text) to the filter. The driver gets MAX_NGRAMS hashes a language at most."""
+def training_rows(labelled: DataFrame) -> DataFrame:
+    """(lang, text) of TRAIN_DOCS rows of each language at most, those of the smallest hashes.
+
+    Counts first leave about four times the bound of each language, so that ranks are taken over few rows.
+    """
     labelled = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text", F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")).alias("_h"))
-    # the bound by a threshold on the hash, from counts, so no sort and no task holds a language
-    buckets = 4096
-    labelled = labelled.withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    counts = labelled.groupBy("lang", "_b").count().groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("_b", "count"))).alias("c")).collect()
-    limits, sizes = {}, {}
-    for row in counts:
-        total, limit = 0, -1
-        for b, n in row["c"]:
-            if total and total + n > TRAIN_DOCS:
-                break
-            total, limit = total + n, b
-        limits[row["lang"]], sizes[row["lang"]] = limit, total
-    out = BitSlicedFilter(sorted(limits))
-    if not limits:
-        return out
-    limit = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
-    chosen = labelled.where(F.col("_b") <= limit[F.col("lang")]).select("lang", "text")
-    grams = chosen.mapInArrow(_grams, "lang string, gram long").groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
-    least = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(max(min(MIN_DOCS, v), MIN_SHARE * v)))])
-    grams = grams.where(F.col("n") >= least[F.col("lang")])
-    for lang, part in _most_frequent(grams).items():
-        out.add(lang, part)
-    out.close()
-    return out
-
-
-def _most_frequent(grams: DataFrame) -> dict[str, np.ndarray]:
-    """Per language the grams of the highest counts; whole counts only, so ties stay or go together."""
-    by_count = grams.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("k")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "k")), False).alias("c")).collect()
-    least = {}
-    for row in by_count:
-        total = 0
-        for n, k in row["c"]:
-            if total and total + k > MAX_NGRAMS:
-                break
-            total, least[row["lang"]] = total + k, n
-    if not least:
-        return {}
-    floor = F.create_map(*[x for k, v in least.items() for x in (F.lit(k), F.lit(v))])
-    got = grams.where(F.col("n") >= floor[F.col("lang")]).select("lang", "gram").toArrow()
-    langs, values = np.array(got.column("lang").to_pylist(), object), got.column("gram").to_numpy().view(np.uint64)
-    return {lang: values[langs == lang] for lang in least}
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    near = labelled.join(counts, "lang").where(F.shiftrightunsigned("_h", 1) < F.lit(float(1 << 63)) * 4 * TRAIN_DOCS / F.col("_n"))
+    order = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
+    ranked = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TRAIN_DOCS)
+    return ranked.select("lang", "text")
+
+
+def train(labelled: DataFrame) -> BitSlicedFilter:
+    """(doc_id, lang, text) to the filter."""
+    chosen = materialize(training_rows(labelled), "training")
+    sizes = sorted((r["lang"], r["n"]) for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect())
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    langs = [lang for lang, _ in sizes]
+    if not langs:
+        return BitSlicedFilter([], np.zeros((MIN_SLOTS, 1), np.uint64))
+    grams = chosen.select("lang", "text").mapInArrow(_grams, "lang string, n int, gram long").groupBy("lang", "n", "gram").agg(F.count(F.lit(1)).alias("held"))
+    places = chosen.sparkSession.createDataFrame([(lang, i, float(max(min(MIN_DOCS, n), MIN_SHARE * n))) for i, (lang, n) in enumerate(sizes)], "lang string, at int, least double")
+    grams = materialize(grams.join(F.broadcast(places), "lang").where("held >= least").select("at", "gram"), "grams")
+    most = grams.groupBy("at").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    slots = min(max(MIN_SLOTS, 1 << (SPARE * most - 1).bit_length()), MAX_SLOTS)
+    bits = grams.mapInArrow(_bits_of(slots), "slot int, word int, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros((slots, -(-len(langs) // 64)), np.uint64)
+    words[bits.column("slot").to_numpy(), bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
+    return BitSlicedFilter(langs, words, max(range(len(sizes)), key=lambda i: (sizes[i][1], -i)))
+
+
+def _bits_of(slots: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            grams = batch.column("gram").to_numpy().view(np.uint64)
+            bits = (np.uint64(1) << (at % 64).astype(np.uint64)).view(np.int64)
+            for slot in slots_of(grams, slots):
+                yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array((at // 64).astype(np.int32)), pa.array(bits)], names=["slot", "word", "bits"])
+
+    return run
 
 
 def _predictor(shared) -> Callable:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, words, rates = shared.value
-        model = BitSlicedFilter(langs, len(words))
-        model.words, model.rates = words, rates
+        model = BitSlicedFilter(*shared.value)
         for batch in batches:
-            got = [model.predict(x) for x in batch.column("text").to_pylist()]
+            got = [model.predict(x) for x in batch.column("_text").to_pylist()]
             lang, score, known = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "known"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())], names=["row", "lang_pred", "score", "known"])
 
     return predict
 
@@ -181,19 +183,19 @@ def fold(doc_id: Column) -> Column:
 
 
 def attach(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """docs with lang_pred, score and known; learns from labelled, or docs themselves, outside the held-out fold."""
+    """(row, lang_pred, score, known), row with all columns of docs; learns from labelled, or docs themselves, outside the held-out fold."""
     source = docs if labelled is None else labelled
     model = train(source.where(~F.coalesce(fold(F.col("doc_id")), F.lit(False))).select("doc_id", "lang", "text"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.rates))
-    others = [f for f in docs.schema if f.name not in ("lang_pred", "score", "known")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return docs.select([f.name for f in others]).mapInArrow(_predictor(shared), f"{schema}, lang_pred string, score double, known double")
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.usual))
+    ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("_text"))
+    return ready.mapInArrow(_predictor(shared), f"row {ready.schema['row'].dataType.simpleString()}, lang_pred string, score double, known double")
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text, lang) to (doc_id, held_out, lang_pred, score, known)."""
-    ready = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang", "text")
-    return attach(ready, docs if labelled is None else labelled).select("doc_id", "held_out", "lang_pred", "score", "known")
+    ready = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
+    found = attach(ready, docs if labelled is None else labelled)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score", "known")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
