@@ -3,14 +3,17 @@
 Documents are sorted by doc_id over range partitions, so files follow one another in ascending
 order and their stripes' minima and maxima prune; a Bloom filter on doc_id prunes row groups.
 Words between ASCII white space don't touch each other in this tokenizer (white space is dropped
-and no match spans it), so each distinct word goes to the library once per dictionary.
+and no match spans it), so each distinct word goes to the library once per dictionary. A text that
+holds the string of an added token goes to the library whole, which gives that token's own id.
 
-Results at the edges: null text is the end id alone; a null doc_id sorts first; rows of one
-doc_id stay together, by text; an empty table gives an empty result; other columns are ignored.
+Results at the edges: null text is the end id alone; a null doc_id sorts first; rows of one doc_id
+(or of none) follow one another by a hash of the text, then by the text, and may lie in several
+files; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -78,8 +81,10 @@ def _encoder(tokenizer_json: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(tokenizer_json)
+        # words in lower case must not turn into added tokens, so words have a tokenizer that knows none
+        library, tokenizer = Tokenizer.from_str(tokenizer_json), Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
+        added = "|".join(re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values())
         memo: dict[bytes, bytes] = {b"": b""}
         cores: dict[bytes, bytes] = {b"": b""}
         place = 0
@@ -89,7 +94,9 @@ def _encoder(tokenizer_json: str, end_id: int):
                 if len(memo) > MEMO_WORDS:
                     memo.clear(), cores.clear()
                     memo[b""] = cores[b""] = b""
-                split = pc.ascii_split_whitespace(pc.fill_null(part.column("text"), ""))
+                texts = pc.fill_null(part.column("text"), "")
+                marked = pc.match_substring_regex(texts, added) if added else pa.array([False] * part.num_rows)
+                split = pc.ascii_split_whitespace(pc.if_else(marked, "", texts))
                 flat = split.values.dictionary_encode()
                 # the distinct words of these rows (an empty one at the edges of a text among them)
                 words = flat.dictionary.cast(pa.binary()).to_pylist()
@@ -108,6 +115,11 @@ def _encoder(tokenizer_json: str, end_id: int):
                 values, at_token = np.full(offsets[-1], end_id, "<i4"), np.arange(ends[-1])
                 values[at_token + np.repeat(np.arange(part.num_rows), np.diff(ends[cuts]))] = pool[at_token + np.repeat(firsts - ends[:-1], of_word)]
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+                if (at_once := np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()):
+                    lists = ids.to_pylist()
+                    for i in at_once:
+                        lists[i] = [*library.encode(texts[i].as_py(), add_special_tokens=False).ids, end_id]
+                    ids = pa.array(lists, pa.list_(pa.int32()))
                 places = pa.array(np.arange(place, place + part.num_rows, dtype=np.int64))
                 place += part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), places, ids], names=["doc_id", "part", "place", "ids"])
@@ -117,12 +129,12 @@ def _encoder(tokenizer_json: str, end_id: int):
 
 def write_orc(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = END_ID) -> None:
     """doc_id, part (file order), place (in the file), ids; ascending doc_id."""
-    ready = docs.select(F.col("doc_id").cast("long"), "text")
+    ready = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_h"))
     spark = docs.sparkSession
     # a dictionary serves one task, so tasks are large: about PART_BYTES of input each, two a core at least
     splits = docs.rdd.getNumPartitions() * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     n = max(splits // PART_BYTES, 2 * spark.sparkContext.defaultParallelism)
-    ready = ready.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    ready = ready.repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
     ready.mapInArrow(_encoder(tokenizer_json, end_id), "doc_id long, part int, place long, ids array<int>").write.options(**ORC).orc(path)
 
 
