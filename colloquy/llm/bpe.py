@@ -12,7 +12,8 @@ default runs the same merges in the worker that splits the text. Words over FOLD
 which the fold's square of the length is too much, take them from a heap in either style.
 
 Results at the edges: null text is empty, with no ids; repeated rows are encoded alike; an empty
-table gives an empty result; other columns pass through if they are named in keep.
+table gives an empty result; a null doc_id is kept; the columns named in keep come back in a
+struct of their own, so that no name can clash, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -155,11 +156,11 @@ def _columns(rows: list[tuple[int, str, bytes]], with_ids: bool) -> list[pa.Arra
     return [*out, pa.array([x[1] for x in rows], pa.string())] if with_ids else out
 
 
-def _names(keep: list[str], with_ids: bool) -> list[str]:
-    return [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+def _names(with_ids: bool) -> list[str]:
+    return ["row", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
 
-def _encoder(pattern: str, ranks: dict[bytes, int], keep: list[str], with_ids: bool):
+def _encoder(pattern: str, ranks: dict[bytes, int], with_ids: bool):
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -170,12 +171,12 @@ def _encoder(pattern: str, ranks: dict[bytes, int], keep: list[str], with_ids: b
                 if len(memo) > MEMO_WORDS:
                     memo.clear()
                 rows = [_row([memo[w] for w in find(x or "")]) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *_columns(rows, with_ids)], names=_names(keep, with_ids))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *_columns(rows, with_ids)], names=_names(with_ids))
 
     return encode_batches
 
 
-def _numberer(pattern: str, ranks: dict[bytes, int], keep: list[str]):
+def _numberer(pattern: str, ranks: dict[bytes, int]):
     byte_ids = [ranks[bytes([i])] for i in range(256)]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +195,8 @@ def _numberer(pattern: str, ranks: dict[bytes, int], keep: list[str]):
                     codes += [seen.setdefault(w, len(seen)) for w in find(text or "")]
                     ends.append(len(codes))
                 new = [w.encode("utf-8", "surrogatepass") for w in list(seen)[known:]]
-                rows = pa.StructArray.from_arrays([part.column(c) for c in keep], names=keep)
                 columns = [
-                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), rows),
+                    pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("row")),
                     pa.array([np.array(codes, np.uint32).tobytes()], pa.binary()),
                     pa.array([ends], pa.list_(pa.int32())),
                     pa.array([fresh]),
@@ -208,7 +208,7 @@ def _numberer(pattern: str, ranks: dict[bytes, int], keep: list[str]):
     return number
 
 
-def _assembler(ranks: dict[bytes, int], keep: list[str], with_ids: bool):
+def _assembler(ranks: dict[bytes, int], with_ids: bool):
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, words = Pieces(ranks), []
         for batch in batches:
@@ -221,25 +221,22 @@ def _assembler(ranks: dict[bytes, int], keep: list[str], with_ids: bool):
                 for end in batch.column("ends")[i].as_py():
                     rows.append(_row([words[c] for c in codes[start:end]]))
                     start = end
-                kept = batch.column("kept")[i].values
-                yield pa.RecordBatch.from_arrays([*(kept.field(c) for c in keep), *_columns(rows, with_ids)], names=_names(keep, with_ids))
+                yield pa.RecordBatch.from_arrays([batch.column("kept")[i].values, *_columns(rows, with_ids)], names=_names(with_ids))
 
     return assemble
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None, with_ids: bool = True, spark: bool = False) -> DataFrame:
-    """docs (text and the columns of keep) to keep, n_tokens, ids_sha256, decoded_sha256, ids (decimal, joined by spaces)."""
-    keep = ["doc_id"] if keep is None else keep
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids string"] * with_ids])
-    docs = docs.select(*keep, "text")
+    """docs (text and the columns of keep) to row (a struct of keep), n_tokens, ids_sha256, decoded_sha256, ids (decimal, joined by spaces)."""
+    ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("row"), "text")
+    row = ready.schema["row"].dataType.simpleString()
+    schema = ", ".join([f"row {row}, n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids string"] * with_ids])
     if not spark:
-        return docs.mapInArrow(_encoder(pattern, ranks, keep, with_ids), schema)
-    kept = ", ".join(f"`{c}`: {kinds[c]}" for c in keep)
-    numbered = merged_splits(docs).mapInArrow(_numberer(pattern, ranks, keep), f"kept array<struct<{kept}>>, codes binary, ends array<int>, fresh boolean, new_words array<array<bigint>>, long_words array<binary>")
+        return ready.mapInArrow(_encoder(pattern, ranks, with_ids), schema)
+    numbered = merged_splits(ready).mapInArrow(_numberer(pattern, ranks), f"kept array<{row}>, codes binary, ends array<int>, fresh boolean, new_words array<array<bigint>>, long_words array<binary>")
     table = literal_rank_map(pair_ranks(ranks))
     folded = numbered.withColumn("new_ids", F.transform("new_words", lambda w: fold_merges(w, table))).drop("new_words")
-    return folded.mapInArrow(_assembler(ranks, keep, with_ids), schema)
+    return folded.mapInArrow(_assembler(ranks, with_ids), schema)
 
 
 @cache
@@ -252,4 +249,4 @@ def _public(name: str) -> tuple[dict[bytes, int], str]:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = _public("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return encode(docs, ranks, pattern, with_ids=False)
+    return encode(docs, ranks, pattern, with_ids=False).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

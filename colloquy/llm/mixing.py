@@ -2,7 +2,9 @@
 
 Results at the edges: null text has size 0; a null source is a source of its own, last in
 order; sources of size 0 get target 0; an empty table gives an empty result; repeated rows
-each count and are taken alike; extra columns pass through (working columns are prefixed).
+each count and are taken alike; a null doc_id is a value like others; documents of one id and
+different texts are chosen apart; equal ratios of cap to weight clamp in order of source; the
+caller's columns come back in a struct of their own, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from .common import WORD, materialize, read
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2, 20_240_601
-#: Parts of a source by hash; a source's error is below half of a part.
+#: Parts of a source by hash, 4096 at most; a source's error is half of a part at most.
 PARTS = 4096
 
 
@@ -48,8 +50,8 @@ def with_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> Da
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank.cast("int") + 1))
 
 
-def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, parts: int = PARTS) -> DataFrame:
-    """Rows (source, source_size, target, _whole, _last): take each document _whole times, and once more if its part is at most _last."""
+def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Rows (source, source_size, target, _whole, _last) from rows (source, _size, _part): take each document _whole times, and once more if its part is at most _last."""
     by_part = sized.groupBy("source", "_part").agg(F.sum("_size").alias("part_size"))
     by_source = by_part.groupBy("source").agg(F.sum("part_size").alias("source_size"))
     filled = water_fill(with_weights(by_source, weights), share, max_epochs)
@@ -63,27 +65,33 @@ def plan_mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs
     return joined.groupBy("source", "source_size", "target", "_whole").agg(F.coalesce(taken, F.lit(-1)).alias("_last"))
 
 
+def part_of(seed: int, parts: int) -> Column:
+    """A part of 0 to parts - 1 (4096 at most) by the MD5 of seed, doc_id and text."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text")))
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int") % F.lit(parts)
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, parts: int = PARTS) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies (0 to max_epochs).
+    """(row, size, source_size, target, copies): row has all columns of docs, copies is 0 to max_epochs.
 
     A source's rate is target / size. Every document is taken floor(rate) times; of the seeded
     hash parts of the source, the first ones whose sizes sum to the rest are taken once more.
-    The choice depends on doc_id and seed alone, so reruns agree.
+    The choice depends on doc_id, text and seed alone, so reruns agree.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(parts)).cast("int")
-    sized = docs.select("doc_id", "source", text_size(F.col("text")).alias("_size")).withColumn("_part", part)
-    plan = materialize(plan_mix(sized, weights, share, max_epochs, parts), "mix")
-    plan = plan.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "_whole", "_last")
-    out = docs.withColumn("_size", text_size(F.col("text"))).withColumn("_part", part)
-    out = out.join(plan, F.col("source").eqNullSafe(F.col("_src")), "left")
-    return out.withColumn("_copies", (F.col("_whole") + (F.col("_part") <= F.col("_last")).cast("int")).cast("int")).drop("_part", "_src", "_whole", "_last")
+    part = part_of(seed, parts).alias("_part")
+    plan = materialize(plan_mix(docs.select("source", text_size(F.col("text")).alias("_size"), part), weights, share, max_epochs), "mix")
+    plan = plan.withColumnRenamed("source", "_src")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(whole, F.col("source").alias("_own"), text_size(F.col("text")).alias("size"), part)
+    out = out.join(plan, F.col("_own").eqNullSafe(F.col("_src")), "left")
+    return out.select("row", "size", "source_size", "target", (F.col("_whole") + (F.col("_part") <= F.col("_last")).cast("int")).cast("int").alias("copies"))
 
 
-def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.where("_copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+def repeat_rows(mixed: DataFrame) -> DataFrame:
+    """The caller's rows, each as often as the mix takes it."""
+    return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
