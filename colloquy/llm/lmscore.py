@@ -9,7 +9,8 @@ Documents are dealt into blocks by a hash. A block explodes into its distinct n-
 of its range: it adds up the blocks' counts and joins the totals to the rows that asked, which go
 back to their blocks, where scores are summed per document. So an n-gram travels once a block, not
 once a document: a frequent one adds a row's entry for each block, and blocks grow with the input
-up to BLOCK_BYTES[1]. Two n-grams of one hash would share a count; none is dropped.
+up to BLOCK_BYTES[1]. Texts, n-grams and counts travel as bytes squeezed by zstd. Two n-grams of one
+hash would share a count; none is dropped.
 
 Results at the edges: null or blank text has no words, score 0 and a null mean; a text shorter than
 the order uses shorter n-grams; a table of one document scores every word 1 / (N + 1) with N = 0,
@@ -36,32 +37,73 @@ BUCKET_GRAMS = 500_000
 #: Logarithms are rounded to a millionth before they are added, so sums don't depend on their order.
 UNIT = 1_000_000
 
+_BLOCKED = "block long, ids array<long>, sizes array<int>, texts binary"
 _PACKED = "block long, bucket int, n int, grams binary, counts binary"
 _TOTALS = "block long, bucket int, n int, totals binary"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_backed_off", pa.int64()), ("log_score_micro", pa.int64())])
 
 
+def squeeze(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(raw, 3)
+
+
+def expand(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(packed)
+
+
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned 64-bit integers byte plane by byte plane, without the upper planes that are zero."""
+    """Unsigned 64-bit integers byte plane by byte plane, without the upper planes that are zero, squeezed."""
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
     used = int(values.max()).bit_length() if len(values) else 0
-    return np.ascontiguousarray(planes[: -(-used // 8)]).tobytes()
+    return squeeze(np.ascontiguousarray(planes[: -(-used // 8)]).tobytes())
 
 
 def unpack(packed: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if packed:
-        planes = np.frombuffer(packed, np.uint8).reshape(-1, n)
+    out, raw = np.zeros((n, 8), np.uint8), expand(packed)
+    if raw:
+        planes = np.frombuffer(raw, np.uint8).reshape(-1, n)
         out[:, : len(planes)] = planes.T
     return out.reshape(-1).view("<u8")
 
 
-def grams_of(text: str | None, order: int, memo: WordHashes) -> list[np.ndarray]:
+def grams_of(text: bytes, order: int, memo: WordHashes) -> list[np.ndarray]:
     """Hashes of the n-grams of each length up to order, in text order."""
-    h = memo.of((text or "").encode("utf-8", "surrogatepass").split())
+    h = memo.of(text.split())
     return [windows(h, k) if len(h) >= k else h[:0] for k in range(1, order + 1)]
 
 
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, block) to one row for each block in a batch."""
+    for batch in batches:
+        order = np.argsort(batch.column("block").to_numpy(), kind="stable")
+        batch = batch.take(pa.array(order))
+        names, starts = np.unique(batch.column("block").to_numpy(), return_index=True)
+        rows = []
+        for block, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            raw = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text")[a:b].to_pylist()]
+            rows.append((block, batch.column("doc_id")[a:b].to_pylist(), list(map(len, raw)), squeeze(b"".join(raw))))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["block", "ids", "sizes", "texts"])
+
+
+def _unblock(table: pa.Table) -> tuple[list[int | None], Iterator[bytes]]:
+    """Ids and texts of a block's rows."""
+
+    def texts() -> Iterator[bytes]:
+        for sizes, packed in zip(table.column("sizes"), table.column("texts"), strict=True):
+            raw, at = expand(packed.as_py()), 0
+            for n in sizes.as_py():
+                yield raw[at : at + n]
+                at += n
+
+    return [i for x in table.column("ids") for i in x.as_py()], texts()
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_bytes = n_words = 0
@@ -74,7 +116,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _exploder(order: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def explode(table: pa.Table) -> pa.Table:
         memo, found = WordHashes(), [np.empty(0, np.uint64)]
-        for text in table.column("text").to_pylist():
+        for text in _unblock(table)[1]:
             found += grams_of(text, order, memo)
         grams, counts = np.unique(np.concatenate(found), return_counts=True)
         bucket = _bucket_of(grams, buckets)
@@ -129,8 +171,8 @@ def logs_of(counts: list[np.ndarray], total: int) -> tuple[np.ndarray, np.ndarra
 
 def _scorer(order: int, total: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        memo = WordHashes()
-        found = [grams_of(x, order, memo) for x in docs.column("text").to_pylist()]
+        memo, (ids, texts) = WordHashes(), _unblock(docs)
+        found = [grams_of(x, order, memo) for x in texts]
         grams, place = np.unique(np.concatenate([np.empty(0, np.uint64), *(g for doc in found for g in doc)]), return_inverse=True)
         back = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist(), totals.column("n").to_pylist(), strict=True))
         every = np.concatenate([np.empty(0, np.uint64), *(unpack(x, n) for _, x, n in back)]).astype(np.int64)
@@ -147,7 +189,7 @@ def _scorer(order: int, total: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             value, short = logs_of(counts, total - len(doc[0]))
             n_words.append(len(doc[0])), n_short.append(int(short.sum()))
             logs.append(int(np.rint(value * UNIT).astype(np.int64).sum()))
-        return pa.Table.from_arrays([docs.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n_words, n_short, logs))], schema=_SCORES)
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (ids, n_words, n_short, logs)], schema=_SCORES)
 
     return score
 
@@ -159,7 +201,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n_bytes, total = size["bytes"] or 0, size["words"] or 0
     per_block = min(max(n_bytes // BLOCKS, BLOCK_BYTES[0]), BLOCK_BYTES[1])
     blocks, buckets = n_bytes // per_block + 1, order * total // BUCKET_GRAMS + 1
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_block, _BLOCKED)
     packed = blocked.groupBy("block").applyInArrow(_exploder(order, buckets), _PACKED)
     totals = packed.groupBy("bucket").applyInArrow(_count, _TOTALS)
     scored = blocked.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scorer(order, total), "doc_id long, n_words long, n_backed_off long, log_score_micro long")
