@@ -9,8 +9,10 @@ Documents are dealt into blocks by a hash. A block explodes into its distinct n-
 of its range: it adds up the blocks' counts and joins the totals to the rows that asked, which go
 back to their blocks, where scores are summed per document. So an n-gram travels once a block, not
 once a document: a frequent one adds a row's entry for each block, and blocks grow with the input
-up to BLOCK_BYTES[1]. Texts, n-grams and counts travel as bytes squeezed by zstd. Two n-grams of one
-hash would share a count; none is dropped.
+up to BLOCK_BYTES[1]. Texts, n-grams and counts travel as bytes squeezed by zstd. An n-gram is its
+hash, of as many bits as the corpus asks for: SPARE_BITS more than the logarithm of its n-grams, 64
+at most. About one pair of all n-grams shares a hash then, and a count (more of them where 64 bits
+are the limit, beyond about 10^11 n-grams); none is dropped.
 
 Results at the edges: null or blank text has no words, score 0 and a null mean; a text shorter than
 the order uses shorter n-grams; a table of one document scores every word 1 / (N + 1) with N = 0,
@@ -34,6 +36,8 @@ ORDER, BACKOFF = 3, 0.4
 BLOCKS, BLOCK_BYTES = 256, (64 << 10, 16 << 20)
 #: N-grams in a bucket, about, before blocks merge theirs.
 BUCKET_GRAMS = 500_000
+#: Bits of a hash beyond the logarithm of all n-grams.
+SPARE_BITS = 27
 #: Logarithms are rounded to a millionth before they are added, so sums don't depend on their order.
 UNIT = 1_000_000
 
@@ -70,10 +74,10 @@ def unpack(packed: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def grams_of(text: bytes, order: int, memo: WordHashes) -> list[np.ndarray]:
+def grams_of(text: bytes, order: int, bits: int, memo: WordHashes) -> list[np.ndarray]:
     """Hashes of the n-grams of each length up to order, in text order."""
     h = memo.of(text.split())
-    return [windows(h, k) if len(h) >= k else h[:0] for k in range(1, order + 1)]
+    return [windows(h, k) >> np.uint64(64 - bits) if len(h) >= k else h[:0] for k in range(1, order + 1)]
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,13 +117,13 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n_bytes]), pa.array([n_words])], names=["bytes", "words"])
 
 
-def _exploder(order: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _exploder(order: int, bits: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def explode(table: pa.Table) -> pa.Table:
         memo, found = WordHashes(), [np.empty(0, np.uint64)]
         for text in _unblock(table)[1]:
-            found += grams_of(text, order, memo)
+            found += grams_of(text, order, bits, memo)
         grams, counts = np.unique(np.concatenate(found), return_counts=True)
-        bucket = _bucket_of(grams, buckets)
+        bucket = _bucket_of(grams << np.uint64(64 - bits), buckets)
         names, starts = np.unique(bucket, return_index=True)
         ends = [*starts[1:].tolist(), len(grams)]
         rows = [(grams[a:b], counts[a:b]) for a, b in zip(starts.tolist(), ends, strict=True)]
@@ -169,10 +173,10 @@ def logs_of(counts: list[np.ndarray], total: int) -> tuple[np.ndarray, np.ndarra
     return out, short
 
 
-def _scorer(order: int, total: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scorer(order: int, bits: int, total: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def score(docs: pa.Table, totals: pa.Table) -> pa.Table:
         memo, (ids, texts) = WordHashes(), _unblock(docs)
-        found = [grams_of(x, order, memo) for x in texts]
+        found = [grams_of(x, order, bits, memo) for x in texts]
         grams, place = np.unique(np.concatenate([np.empty(0, np.uint64), *(g for doc in found for g in doc)]), return_inverse=True)
         back = sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist(), totals.column("n").to_pylist(), strict=True))
         every = np.concatenate([np.empty(0, np.uint64), *(unpack(x, n) for _, x, n in back)]).astype(np.int64)
@@ -201,10 +205,11 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n_bytes, total = size["bytes"] or 0, size["words"] or 0
     per_block = min(max(n_bytes // BLOCKS, BLOCK_BYTES[0]), BLOCK_BYTES[1])
     blocks, buckets = n_bytes // per_block + 1, order * total // BUCKET_GRAMS + 1
+    bits = min((order * total + 1).bit_length() + SPARE_BITS, 64)
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_block, _BLOCKED)
-    packed = blocked.groupBy("block").applyInArrow(_exploder(order, buckets), _PACKED)
+    packed = blocked.groupBy("block").applyInArrow(_exploder(order, bits, buckets), _PACKED)
     totals = packed.groupBy("bucket").applyInArrow(_count, _TOTALS)
-    scored = blocked.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scorer(order, total), "doc_id long, n_words long, n_backed_off long, log_score_micro long")
+    scored = blocked.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scorer(order, bits, total), "doc_id long, n_words long, n_backed_off long, log_score_micro long")
     mean = F.when(F.col("n_words") > 0, F.col("log_score_micro") / F.lit(UNIT) / F.col("n_words"))
     return scored.withColumn("mean_log_score", mean)
 
