@@ -15,7 +15,7 @@ from .operators import datasets as D
 from .plans import deliberation as P
 from .plans import evaluation as E
 from .plans import prompts, training
-from .sources import datasets
+from .sources import datasets, stores
 from .streaming import metrics
 
 
@@ -25,7 +25,17 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id")
-    return docs.select(F.col("doc_id").alias("sample_id"), F.concat(F.lit("Is document "), F.col("doc_id").cast("string"), F.lit(" good?")).alias("question"), F.col("source").alias("passage"), D.yes_no_answer((F.col("quality") == 1).cast("string")).alias("answer"))
+    return docs.select(F.col("doc_id").alias("sample_id"), F.concat(F.lit("Is document "), F.col("doc_id").cast("string"), F.lit(" good?")).alias("question"), F.coalesce("text", F.lit("")).alias("passage"), D.yes_no_answer((F.col("quality") == 1).cast("string")).alias("answer"))
+
+
+LANGUAGES = ("en", "fr", "de", "es")
+
+
+def _choice_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as questions for their language, a letter of four choices."""
+    index = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")).cast("int") - 1
+    docs = _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id"), "doc_id")
+    return docs.select(F.col("doc_id").alias("sample_id"), F.coalesce("text", F.lit("")).alias("question"), D.choice_answer(index, F.lit(None).cast("string"), F.lit(4)).alias("answer"), F.array(*map(F.lit, LANGUAGES)).alias("choices"))
 
 
 def standardize_yes_no(spark, d):
@@ -89,13 +99,41 @@ def metrics_jsonl_parse(spark, d):
     return _read(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("sum_k"), F.count(k).alias("n"))
 
 
+def _turns(spark, d):
+    return P.deliberate(_samples(spark, d), 3)
+
+
 def natural_deliberation(spark, d):
-    return P.deliberate(_samples(spark, d), 3).select("sample_id", "round", "actor_response", "critic_response", "actor_answer")
+    return _turns(spark, d).select("sample_id", "round", "actor_response", "critic_response", "actor_answer")
+
+
+CHOOSER = P.canned_responder(P.CANNED_CHOICE)
+
+
+def choice_deliberation(spark, d):
+    return P.deliberate(_choice_samples(spark, d), 2, CHOOSER, "mmlu").select("sample_id", "round", "actor_response", "critic_response", "actor_answer")
+
+
+def mixed_deliberation(spark, d):
+    """Yes/no replies where a letter may stand, as mixed tasks have them."""
+    return P.deliberate(_choice_samples(spark, d), 2, P.canned_responder(P.CANNED + P.CANNED_CHOICE), "bbh").select("sample_id", "round", "actor_response", "actor_answer")
+
+
+def choice_rewards(spark, d):
+    turns = P.with_earlier(P.deliberate(_choice_samples(spark, d), 2, CHOOSER, "mmlu"))
+    return P.rewards(turns, ["sample_id", "round"], 5, CHOOSER, "mmlu").withColumn("reward", F.round("reward", 9))
+
+
+def guided_round(spark, d):
+    """Each sample's first two rounds argued towards the wrong answer."""
+    turns = P.with_earlier(P.deliberate(_choice_samples(spark, d), 2, CHOOSER, "mmlu")).drop("actor_response", "critic_response")
+    states = turns.withColumn("target", A.wrong_answer(F.col("answer"), F.col("choices")))
+    return P.guided_round(states, CHOOSER, "mmlu").select("sample_id", "round", "target", "actor_response", "critic_response")
 
 
 def _scored(spark, d):
     right = (A.normalize_answer(F.col("actor_answer")) == A.normalize_answer(F.col("answer"))).cast("double")
-    return P.deliberate(_samples(spark, d), 3).withColumn("right", right)
+    return _turns(spark, d).withColumn("right", right)
 
 
 def per_round_accuracy(spark, d):
@@ -109,17 +147,17 @@ def per_round_delta(spark, d):
 
 
 def flip_statistics(spark, d):
-    ends = _scored(spark, d).groupBy("sample_id").agg(F.min_by("right", "round").alias("i"), F.max_by("right", "round").alias("f"))
-    return ends.agg(*[F.count_if((F.col("i") == i) & (F.col("f") == f)).alias(f"n_{i}{f}") for i in (0, 1) for f in (0, 1)])
+    ends = E.sample_details(_turns(spark, d))
+    return ends.agg(*[F.count_if((F.col("initial_correct") == bool(i)) & (F.col("final_correct") == bool(f))).alias(f"n_{i}{f}") for i in (0, 1) for f in (0, 1)])
 
 
 def rollout_reward(spark, d):
-    out = P.rewards(P.with_earlier(P.deliberate(_samples(spark, d), 3)), ["sample_id", "round"], 5)
+    out = P.rewards(P.with_earlier(_turns(spark, d)), ["sample_id", "round"], 5)
     return out.withColumn("reward", F.round("reward", 9))
 
 
 def _pairs(spark, d):
-    return P.preference_pairs(P.deliberate(_samples(spark, d), 3), 5)
+    return P.preference_pairs(_turns(spark, d), 5)
 
 
 def preference_pairs(spark, d):
@@ -143,27 +181,88 @@ def prefs_critic(spark, d):
     return _preferences(spark, d, "critic")
 
 
+_PAIR = ("sample_id", "round", "direction", "positive", "negative")
+
+
+def pair_cache_roundtrip(spark, d):
+    """Pairs made and stored by agent and iteration, then read from the cache, whose maker must not be asked again."""
+    root = stores.scratch(spark, "pairs")
+    stores.cached(spark, root, "critic", 0, lambda: _pairs(spark, d))
+    return stores.cached(spark, root, "critic", 0, lambda: _pairs(spark, d).limit(0)).select(*_PAIR)
+
+
+def pairs_jsonl_roundtrip(spark, d):
+    path = stores.scratch(spark, "jsonl")
+    stores.write_pairs(_pairs(spark, d), path)
+    return stores.read_pairs(spark, path).select(*_PAIR)
+
+
+def preferences_roundtrip(spark, d):
+    path = stores.scratch(spark, "preferences")
+    stores.write_preferences(training.preference_rows(_pairs(spark, d), 0.1), path)
+    return stores.read_preferences(spark, path, "critic").select("sample_id", "round", "chosen", "rejected")
+
+
+def results_roundtrip(spark, d):
+    """A benchmark's row without its details, as the summary file has it."""
+    path = stores.scratch(spark, "results")
+    stores.write_results(E.evaluate(_turns(spark, d)), path)
+    kinds = "num_samples long, final_accuracy double, correct_at_each_round array<long>"
+    return spark.read.schema(kinds).json(f"{path}/summary").select("num_samples", F.round("final_accuracy", 9).alias("final_accuracy"), F.array_join("correct_at_each_round", ",").alias("correct"))
+
+
+def metric_log_roundtrip(spark, d):
+    log = stores.MetricLog(spark, stores.scratch(spark, "metrics"))
+    for row in _scored(spark, d).groupBy("round").agg(F.avg("right").alias("a")).collect():
+        log.metrics("eval", {"accuracy": row["a"], "error": 1 - row["a"]}, row["round"])
+    return log.read().select("phase", "step", F.explode("metrics").alias("metric", "value")).withColumn("value", F.round("value", 9))
+
+
+def standardize_mc_struct(spark, d):
+    """Choices as texts with labels of their own, the answer under its other name."""
+    texts = F.array(*map(F.lit, LANGUAGES))
+    labels = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, "1234"))).otherwise(F.array().cast("array<string>"))
+    raw = _read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("text").alias("question"), F.struct(texts.alias("text"), labels.alias("label")).alias("choices"), F.concat(F.lit("("), F.substring("lang", 1, 1), F.lit(")")).alias("answerKey"))
+    out = datasets.standardize(raw, "multiple_choice")
+    return out.select("sample_id", F.length("question").alias("n_question"), "answer", F.array_join("choices", ",").alias("choices"), F.array_join("choice_labels", ",").alias("labels"), "task_type")
+
+
+def split_fallback(spark, d):
+    """A set without test rows is evaluated on its validation rows."""
+    return datasets.evaluation_rows(stratified_split(spark, d).where("split <> 'test'")).select("doc_id", "lang", "split")
+
+
+def settings_merge(spark, d):
+    """Common settings under a step's, key by key."""
+    tree = config.Settings(config.DEFAULTS, {"seed": 7, "deliberation": {"rounds": 3}}, {"deliberation": {"simulations": 2}}).section("deliberation")
+    return spark.createDataFrame(sorted((k, float(v)) for k, v in tree.items()), "name string, value double")
+
+
+def dataset_tasks(spark, d):
+    return spark.createDataFrame([(n, datasets.spec_of(n).task_type, len(prompts.TYPES)) for n in prompts.datasets()], "dataset string, task_type string, n_prompts int")
+
+
 def extract_mixed(spark, d):
     return _read(spark, d, "documents").select("doc_id", A.extract_answer(F.col("text"), F.lit("mixed")).alias("answer"))
 
 
 def sample_details(spark, d):
-    return E.sample_details(P.deliberate(_samples(spark, d), 3))
+    return E.sample_details(_turns(spark, d))
 
 
 def correct_at_each_round(spark, d):
-    return E.by_round(P.deliberate(_samples(spark, d), 3)).select("round", "correct")
+    return E.by_round(_turns(spark, d)).select("round", "correct")
 
 
 def evaluate_benchmark(spark, d):
-    row = E.evaluate(P.deliberate(_samples(spark, d), 3))
+    row = E.evaluate(_turns(spark, d))
     rounded = [F.round(c, 9).alias(c) for c in ("initial_accuracy", "final_accuracy", "margin", "ci_low", "ci_high", "improvement_rate", "absolute_gain")]
     return row.select("num_samples", *rounded, F.round(F.element_at("per_round_delta", -1), 9).alias("last_delta"), F.col("flip_statistics.wrong_to_correct").alias("wrong_to_correct"), F.col("flip_statistics.correct_to_wrong").alias("correct_to_wrong"))
 
 
 def _rendered(spark, d, dataset):
     choices = F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.coalesce("lang", F.lit("")))
-    given = {"question": F.col("text"), "passage": F.col("source"), "choices": choices if dataset == "mmlu" else None, "responses": F.array(F.col("source"), F.col("lang")), "target_answer": F.col("lang"), "actor_response": F.col("source")}
+    given = {"question": F.col("text"), "passage": F.col("source"), "choices": None if dataset == "boolq" else choices, "responses": F.array(F.col("source"), F.col("lang")), "target_answer": F.col("lang"), "actor_response": F.col("source")}
     docs = _read(spark, d, "documents").fillna("", ["source", "lang"])
     return docs.select("doc_id", *[F.md5(prompts.render(dataset, t, **given)).alias(t) for t in prompts.TYPES])
 
@@ -176,6 +275,12 @@ def render_prompts_choice(spark, d):
     return _rendered(spark, d, "mmlu")
 
 
+def render_prompts_alias(spark, d):
+    """The other sets of choices render by the same templates."""
+    each = [_rendered(spark, d, x).select(F.lit(x).alias("dataset"), "doc_id", "single_shot", "critic") for x in ("arc", "bbh", "sciq")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
 def unstratified_split(spark, d):
     rows = _read(spark, d, "documents").select("doc_id", F.lit("all").alias("_all"))
     return D.stratified_split(rows, "_all", "doc_id").select("doc_id", "split")
@@ -186,7 +291,8 @@ def first_samples(spark, d):
 
 
 def split_statistics(spark, d):
-    rows = D.stratified_split(_samples(spark, d).withColumn("task_type", F.lit("yes_no")), "passage", "sample_id")
+    by = _read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "source")
+    rows = D.stratified_split(_samples(spark, d).join(by, "sample_id").withColumn("task_type", F.lit("yes_no")), "source", "sample_id")
     found = D.dataset_statistics(rows, "split")
     return found.select("split", "n", F.array_join("task_types", ",").alias("task_types"), "avg_question_length", F.coalesce(F.try_element_at("answer_distribution", F.lit("yes")), F.lit(0).cast("long")).alias("n_yes"))
 
@@ -203,14 +309,21 @@ def config_resolve(spark, d):
 
 
 def error_quarantine(spark, d):
-    rows = _read(spark, d, "events").select("event_id", "props")
-    return D.isolate(rows, _parse_props, "event_id long, k long")
+    """A row's value, or the reason why it has none."""
+    k = F.from_json("props", "k long")["k"]
+    error = F.when(k.isNull(), "no k").when(k >= 50, F.concat(F.lit("k out of range: "), k.cast("string")))
+    return _read(spark, d, "events").select("event_id", F.when(error.isNull(), k).cast("string").alias("k"), error.alias("error"))
+
+
+def isolated_task(spark, d):
+    """The same through a Python task that raises; its errors are rows."""
+    return D.isolate(_read(spark, d, "events").select("event_id", "props"), _parse_props, "event_id long, k long").withColumn("k", F.col("k").cast("string"))
 
 
 def _parse_props(row):
     found = json.loads(row["props"])["k"]
-    if found < 0:
-        raise ValueError("k is negative")
+    if found >= 50:
+        raise ValueError("k out of range")
     return {"event_id": row["event_id"], "k": found}
 
 
@@ -219,30 +332,58 @@ def metric_windows(spark, d):
     return metrics.windowed_metrics(rows, "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "phase", "metric", "n", F.round("mean", 6).alias("mean"))
 
 
-NAMES = (standardize_yes_no, standardize_mc, extract_yes_no, extract_mc, extract_mixed, normalize_answers, wrong_answer_choice, stratified_split, unstratified_split, split_sizes, split_statistics, first_samples, dataset_stats_answers, interleaved_history, chat_transcript, detect_model_type, metrics_jsonl_parse, metric_windows, natural_deliberation, per_round_accuracy, per_round_delta, flip_statistics, sample_details, correct_at_each_round, evaluate_benchmark, rollout_reward, preference_pairs, pairs_min_delta, prefs_actor, prefs_critic, render_prompts_yes_no, render_prompts_choice, early_stopping_fold, config_resolve, error_quarantine)
+NAMES = (
+    standardize_yes_no, standardize_mc, standardize_mc_struct, extract_yes_no, extract_mc, extract_mixed, normalize_answers, wrong_answer_choice,
+    stratified_split, unstratified_split, split_sizes, split_statistics, split_fallback, first_samples, dataset_stats_answers, interleaved_history, chat_transcript,
+    detect_model_type, metrics_jsonl_parse, metric_windows, natural_deliberation, choice_deliberation, mixed_deliberation, choice_rewards, guided_round,
+    per_round_accuracy, per_round_delta, flip_statistics, sample_details, correct_at_each_round, evaluate_benchmark, rollout_reward,
+    preference_pairs, pairs_min_delta, prefs_actor, prefs_critic, pair_cache_roundtrip, pairs_jsonl_roundtrip, preferences_roundtrip, results_roundtrip, metric_log_roundtrip,
+    render_prompts_yes_no, render_prompts_choice, render_prompts_alias, early_stopping_fold, config_resolve, settings_merge, dataset_tasks, error_quarantine, isolated_task,
+)
 
-_S = "SELECT d.doc_id AS sample_id, 'Is document ' || d.doc_id || ' good?' AS question, d.source AS passage, CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS answer FROM documents d JOIN labels l USING (doc_id)"
+_S = "SELECT d.doc_id AS sample_id, 'Is document ' || d.doc_id || ' good?' AS question, coalesce(d.text, '') AS passage, CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS answer FROM documents d JOIN labels l USING (doc_id)"
 _SPLIT = "SELECT doc_id, lang, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'test' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.10::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)"
 
 
-def _sql_respond(role: str, prompt: str, sim: str = "'0'") -> str:
-    canned = ", ".join("'" + x.replace("'", "''") + "'" for x in P.CANNED)
-    return f"([{canned}])[1 + (('0x' || substr(md5('{role}|42|' || {sim} || '|' || {prompt}), 1, 6))::BIGINT % {len(P.CANNED)})]"
+def _sql_respond(role: str, prompt: str, sim: str = "'0'", replies: tuple[str, ...] = P.CANNED) -> str:
+    canned = ", ".join("'" + x.replace("'", "''") + "'" for x in replies)
+    return f"([{canned}])[1 + (('0x' || substr(md5('{role}|42|' || {sim} || '|' || {prompt}), 1, 6))::BIGINT % {len(replies)})]"
+
 
+def _sql_prompt(dataset: str, kind: str, **values: str) -> str:
+    """A template with SQL for its names; question, passage and choices are columns."""
+    known = {"question": "question", "passage": "passage"} | {f"choice_{x}": f"'{c}'" for x, c in zip("abcd", LANGUAGES, strict=True)} | values
+    parts = re.split(r"\{(\w+)\}", prompts.template(dataset, kind))
+    return "(" + " || ".join(known[x] if i % 2 else f"'{x}'" for i, x in enumerate(parts)) + ")"
 
-_ANSWER = {"The answer is Yes.": "YES", "Final answer: No": "NO", "I think the answer is no.": "NO", "Yes it could be, but No in the end.": "NO", "answer: yes": "YES"}
 
+def _sql_person(n: str, said: str) -> str:
+    return f"'\nPerson ' || ({n}) || ' said: ' || {said}"
 
-def _sql_turns(rounds: int) -> str:
-    answer = "CASE {} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ANSWER.items()) + " END"
-    sql = f"WITH s AS ({_S})"
-    previous, history = "s", "''"
+
+def _sql_turns(rounds: int, dataset: str = "boolq", samples: str = "", replies: tuple[str, ...] = P.CANNED) -> str:
+    reader = {"yes_no": _YES_NO, "multiple_choice": _CHOICE, "mixed": f"coalesce({_CHOICE}, {_YES_NO})"}[prompts.task_type(dataset)]
+    sql, previous, history = f"WITH s AS ({samples or _S})", "s", "''"
     for t in range(rounds):
-        prompt = "'Question: ' || question || '\nPassage: ' || passage || " + ("'\nReply yes or no.'" if t == 0 else f"'\nOthers:' || {history} || '\nReply yes or no.'")
-        sql += f", x{t} AS (SELECT *, {_sql_respond('actor', prompt)} AS a{t} FROM {previous}), y{t} AS (SELECT *, {_sql_respond('critic', f"'Question: ' || question || '\nReply under review: ' || a{t} || '\nGive feedback.'")} AS c{t} FROM x{t})"
-        previous, history = f"y{t}", (history + f" || '\nPerson {2 * t + 1} said: ' || a{t} || '\nPerson {2 * t + 2} said: ' || c{t}")
-    parts = " UNION ALL ".join(f"SELECT sample_id, question, passage, answer, {t}::INT AS round, a{t} AS actor_response, c{t} AS critic_response, {answer.format(f'a{t}')} AS actor_answer FROM y{rounds - 1}" for t in range(rounds))
-    return f"{sql}, turns AS ({parts}), scored AS (SELECT *, CASE WHEN coalesce(left(actor_answer, 1), '') = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM turns) "
+        prompt = _sql_prompt(dataset, "single_shot") if t == 0 else _sql_prompt(dataset, "deliberation", responses_text=f"({history})")
+        critic = _sql_prompt(dataset, "critic", actor_response=f"a{t}")
+        sql += f", x{t} AS (SELECT *, {prompt} AS p{t}, {_sql_respond('actor', prompt, replies=replies)} AS a{t} FROM {previous}), y{t} AS (SELECT *, {critic} AS q{t}, {_sql_respond('critic', critic, replies=replies)} AS c{t} FROM x{t})"
+        previous, history = f"y{t}", f"{history} || {_sql_person(str(2 * t + 1), f'a{t}')} || {_sql_person(str(2 * t + 2), f'c{t}')}"
+    columns = "sample_id, question, answer" + (", passage" if not samples else "")
+    parts = " UNION ALL ".join(f"SELECT {columns}, {t}::INT AS round, p{t} AS actor_prompt, q{t} AS critic_prompt, a{t} AS actor_response, c{t} AS critic_response, {reader.replace('text', f'a{t}')} AS actor_answer FROM y{rounds - 1}" for t in range(rounds))
+    seen = f"string_agg({_sql_person('round + 1', 'actor_response')}, '' ORDER BY round) OVER (PARTITION BY sample_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"{sql}, said AS ({parts}), turns AS (SELECT *, coalesce({seen}, '') AS h FROM said), scored AS (SELECT *, CASE WHEN coalesce(left(actor_answer, 1), '') = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM turns) "
+
+
+def _sql_simulated(source: str, dataset: str = "boolq", replies: tuple[str, ...] = P.CANNED, a: str = "actor_response", c: str = "critic_response") -> str:
+    """Rows of source, which has h, with ok of each of five simulated replies."""
+    prompt = _sql_prompt(dataset, "deliberation", responses_text=f"(h || {_sql_person('round + 1', a)} || {_sql_person('round + 2', c)})")
+    reader = (_CHOICE if prompts.task_type(dataset) == "multiple_choice" else _YES_NO).replace("text", "reply")
+    replied = f"SELECT *, {_sql_respond('actor', prompt, 'sim', replies)} AS reply FROM {source}, (SELECT unnest(['1', '2', '3', '4', '5']) AS sim)"
+    return f"SELECT *, CASE WHEN coalesce(left({reader}, 1), '') = upper(left(answer, 1)) AND answer <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM ({replied})"
+
+
+_CHOICES = "SELECT d.doc_id AS sample_id, coalesce(d.text, '') AS question, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' WHEN 'de' THEN 'C' WHEN 'es' THEN 'D' END AS answer FROM documents d JOIN labels l USING (doc_id)"
 
 
 def _sql_first(patterns: tuple[str, ...], text: str = "text") -> str:
@@ -258,21 +399,14 @@ _CHOICE = f"upper(coalesce({_sql_first((*A.CHOICE[:-1], _LONE_LETTER))}))"
 
 def _sql_pairs() -> str:
     """Pairs of three rounds, from CTE turns."""
-    z = "string_agg('\nPerson ' || (round + 1) || ' said: ' || actor_response, '' ORDER BY round) OVER (PARTITION BY sample_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    ask = "'Question: ' || question || '\nPassage: ' || passage"
-    review = "'Question: ' || question || '\nReply under review: '"
-    guided = f"{ask} || '\nOthers:' || h || '\nArgue for ' || target || '.'"
-    sims = f"{ask} || '\nOthers:' || h || '\nPerson ' || (round + 1) || ' said: ' || a || '\nPerson ' || (round + 2) || ' said: ' || c || '\nReply yes or no.'"
-    value = "CASE " + _sql_respond("actor", sims, "sim") + " " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _ANSWER.items()) + " ELSE '' END"
-    prompts_of = f"CASE round WHEN 0 THEN '' ELSE {ask} || '\nOthers:' || hh || '\nReply yes or no.' END"
-    both = "string_agg('\nPerson ' || (2 * round + 1) || ' said: ' || actor_response || '\nPerson ' || (2 * round + 2) || ' said: ' || critic_response, '' ORDER BY round) OVER (PARTITION BY sample_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    guided, steered = _sql_prompt("boolq", "guided_deliberation", responses_text="h", target_answer="target"), _sql_prompt("boolq", "guided_critic", actor_response="a", target_answer="target")
     texts = ", ".join(f"max({x}) FILTER (variant = '{v}') AS {v}_{x}" for v in ("natural", "right", "wrong") for x in "ac")
     means = ", ".join(f"avg(ok) FILTER (variant = '{v}') AS {v}_v" for v in ("natural", "right", "wrong"))
-    return f""", hist AS (SELECT *, {z} AS h, {both} AS hh FROM turns), late AS (SELECT *, {prompts_of} AS actor_prompt, {review} || actor_response || '\nGive feedback.' AS critic_prompt FROM hist WHERE round >= 1),
+    return f""", late AS (SELECT * FROM turns WHERE round >= 1),
 variants AS (SELECT *, 'natural' AS variant, '' AS target FROM late UNION ALL SELECT *, 'right', answer FROM late UNION ALL SELECT *, 'wrong', CASE answer WHEN 'yes' THEN 'no' ELSE 'yes' END FROM late),
 acted AS (SELECT *, CASE variant WHEN 'natural' THEN actor_response ELSE {_sql_respond('actor', guided)} END AS a FROM variants),
-both_said AS (SELECT *, CASE variant WHEN 'natural' THEN critic_response ELSE {_sql_respond('critic', f"{review} || a || '\nSteer towards ' || target || '.'")} END AS c FROM acted),
-simulated AS (SELECT *, CASE WHEN {value} = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM both_said, (SELECT unnest(['1', '2', '3', '4', '5']) AS sim)),
+both_said AS (SELECT *, CASE variant WHEN 'natural' THEN critic_response ELSE {_sql_respond('critic', steered)} END AS c FROM acted),
+simulated AS ({_sql_simulated('both_said', a='a', c='c')}),
 wide AS (SELECT sample_id, round, any_value(actor_prompt) AS actor_prompt, any_value(critic_prompt) AS critic_prompt, {texts}, {means} FROM simulated GROUP BY sample_id, round),
 pairs AS (SELECT sample_id, actor_prompt, critic_prompt, right_a AS positive, natural_a AS negative, right_c AS positive_critic, natural_c AS negative_critic, round, round(right_v - natural_v, 9) AS delta, 'towards' AS direction FROM wide WHERE right_v - natural_v >= 0
 UNION ALL SELECT sample_id, actor_prompt, critic_prompt, natural_a, wrong_a, natural_c, wrong_c, round, round(natural_v - wrong_v, 9), 'away' FROM wide WHERE right_v - natural_v < 0 AND natural_v - wrong_v >= 0) """
@@ -295,9 +429,11 @@ SELECT event_type, max(ran) AS ran FROM f GROUP BY event_type"""
 
 def oracle_sql() -> dict[str, str]:
     z = 1.959963984540054
-    prompt = "'Question: ' || question || '\nPassage: ' || passage || '\nOthers:' || '\nPerson 1 said: ' || actor_response || '\nPerson 2 said: ' || critic_response || '\nReply yes or no.'"
-    canned = _sql_respond("actor", prompt, "sim")
-    values = "CASE " + canned + " " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in _ANSWER.items()) + " ELSE '' END"
+    # a letter is none of the choices' texts, so one of all four is drawn: that of random.Random(42).choice
+    wrong = "'EN'"
+    argued = f"CASE WHEN round = 0 THEN {_sql_prompt('mmlu', 'guided_single_shot', target_answer='target')} ELSE {_sql_prompt('mmlu', 'guided_deliberation', responses_text='h', target_answer='target')} END"
+    steered = _sql_prompt("mmlu", "guided_critic", actor_response="a", target_answer="target")
+    pairs = _sql_turns(3) + _sql_pairs()
     return {
         "standardize_yes_no": _S,
         "standardize_mc": "SELECT doc_id, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' WHEN 'de' THEN 'C' WHEN 'es' THEN 'D' END AS answer, 'A,B,C,D' AS labels FROM documents",
@@ -310,7 +446,7 @@ SELECT conv_id, round, 2 * count(*) OVER w AS n_history, md5(coalesce(string_agg
 FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
         "unstratified_split": _SPLIT.replace("PARTITION BY lang ", "").replace("PARTITION BY lang", "").replace("doc_id, lang", "doc_id"),
         "first_samples": f"SELECT * FROM ({_S}) ORDER BY sample_id LIMIT 20",
-        "split_statistics": f"SELECT split, count(*) AS n, 'yes_no' AS task_types, round(avg(len(string_split(question, ' '))), 1) AS avg_question_length, count(*) FILTER (answer = 'yes') AS n_yes FROM (SELECT *, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'test' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.10::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY md5('42|' || sample_id), sample_id) AS r, count(*) OVER (PARTITION BY passage) AS n FROM ({_S}))) GROUP BY split",
+        "split_statistics": f"SELECT split, count(*) AS n, 'yes_no' AS task_types, round(avg(len(string_split(question, ' '))), 1) AS avg_question_length, count(*) FILTER (answer = 'yes') AS n_yes FROM (SELECT *, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'test' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.10::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || sample_id), sample_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM (SELECT s.*, d.source FROM ({_S}) s JOIN documents d ON d.doc_id = sample_id))) GROUP BY split",
         "sample_details": _sql_turns(3) + "SELECT *, initial_answer = trim(upper(label)) AS initial_correct, final_answer = trim(upper(label)) AS final_correct, initial_answer <> upper(label) AND final_answer = upper(label) AS flipped_to_correct, initial_answer = upper(label) AND final_answer <> upper(label) AS flipped_to_wrong FROM (SELECT sample_id, arg_min(coalesce(actor_answer, ''), round) AS initial_answer, arg_max(coalesce(actor_answer, ''), round) AS final_answer, any_value(answer) AS label FROM turns GROUP BY sample_id)",
         "correct_at_each_round": _sql_turns(3) + "SELECT round, count(*) FILTER (actor_answer = upper(answer)) AS correct FROM turns GROUP BY round",
         "evaluate_benchmark": _sql_turns(3) + f"""SELECT n AS num_samples, round(a0, 9) AS initial_accuracy, round(a2, 9) AS final_accuracy, round(m, 9) AS margin, round(greatest(0, a2 - m), 9) AS ci_low, round(least(1, a2 + m), 9) AS ci_high, round(CASE WHEN a0 = 0 THEN 0 ELSE (a2 - a0) / a0 END, 9) AS improvement_rate, round(a2 - a0, 9) AS absolute_gain, round(a2 - a1, 9) AS last_delta, wc AS wrong_to_correct, cw AS correct_to_wrong
@@ -324,7 +460,7 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "render_prompts_choice": _sql_prompts("mmlu"),
         "early_stopping_fold": _STOP,
         "config_resolve": "SELECT * FROM (VALUES ('seed', coalesce(NULL, 7, 42)), ('rounds', coalesce(2, 3, 5)), ('simulations', coalesce(NULL, NULL, 5)), ('patience', coalesce(NULL, NULL, 0))) AS t(name, value)",
-        "error_quarantine": "SELECT event_id, (props::JSON->>'k')::BIGINT AS k, NULL::VARCHAR AS error FROM events",
+        "error_quarantine": "SELECT event_id, CASE WHEN k < 50 THEN k END::VARCHAR AS k, CASE WHEN k IS NULL THEN 'no k' WHEN k >= 50 THEN 'k out of range: ' || k END AS error FROM (SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events)",
         "metric_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS phase, 'value' AS metric, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
         "normalize_answers": "SELECT o_orderkey, upper(substr(trim(o_orderpriority), 1, 1)) AS answer FROM orders",
         "wrong_answer_choice": "SELECT doc_id, CASE lang WHEN 'en' THEN 'ES' WHEN 'fr' THEN 'ES' WHEN 'de' THEN 'ES' WHEN 'es' THEN 'DE' END AS wrong FROM documents",
@@ -337,8 +473,23 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "natural_deliberation": _sql_turns(3) + "SELECT sample_id, round, actor_response, critic_response, actor_answer FROM turns",
         "per_round_accuracy": _sql_turns(3) + f"SELECT round, n, round(a, 9) AS accuracy, round({z} * sqrt(a * (1 - a) / n + {z * z} / (4.0 * n * n)) / (1 + {z * z} / n), 9) AS margin FROM (SELECT round, count(*) AS n, avg(ok) AS a FROM scored GROUP BY round)",
         "per_round_delta": _sql_turns(3) + "SELECT round, delta FROM (SELECT round, round(a - lag(a) OVER (ORDER BY round), 9) AS delta FROM (SELECT round, avg(ok) AS a FROM scored GROUP BY round)) WHERE delta IS NOT NULL",
-        "flip_statistics": _sql_turns(3) + "SELECT " + ", ".join(f"count(*) FILTER (i = {i} AND f = {f}) AS n_{i}{f}" for i in (0, 1) for f in (0, 1)) + " FROM (SELECT arg_min(ok, round) AS i, arg_max(ok, round) AS f FROM scored GROUP BY sample_id)",
-        "rollout_reward": _sql_turns(2) + f"SELECT sample_id, round, round(avg(CASE WHEN {values} = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS reward FROM turns, (SELECT unnest(['1', '2', '3', '4', '5']) AS sim) GROUP BY sample_id, round",
+        "flip_statistics": _sql_turns(3) + "SELECT " + ", ".join(f"count(*) FILTER (i = {i} AND f = {f}) AS n_{i}{f}" for i in (0, 1) for f in (0, 1)) + " FROM (SELECT (arg_min(coalesce(actor_answer, ''), round) = upper(any_value(answer)))::INT AS i, (arg_max(coalesce(actor_answer, ''), round) = upper(any_value(answer)))::INT AS f FROM turns GROUP BY sample_id)",
+        "rollout_reward": _sql_turns(3) + f"SELECT sample_id, round, round(avg(ok), 9) AS reward FROM ({_sql_simulated('turns')}) GROUP BY sample_id, round",
+        "choice_deliberation": _sql_turns(2, "mmlu", _CHOICES, P.CANNED_CHOICE) + "SELECT sample_id, round, actor_response, critic_response, actor_answer FROM turns",
+        "mixed_deliberation": _sql_turns(2, "bbh", _CHOICES, P.CANNED + P.CANNED_CHOICE) + "SELECT sample_id, round, actor_response, actor_answer FROM turns",
+        "choice_rewards": _sql_turns(2, "mmlu", _CHOICES, P.CANNED_CHOICE) + f"SELECT sample_id, round, round(avg(ok), 9) AS reward FROM ({_sql_simulated('turns', 'mmlu', P.CANNED_CHOICE)}) GROUP BY sample_id, round",
+        "guided_round": _sql_turns(2, "mmlu", _CHOICES, P.CANNED_CHOICE) + f"SELECT sample_id, round, target, a AS actor_response, {_sql_respond('critic', steered, replies=P.CANNED_CHOICE)} AS critic_response FROM (SELECT *, {_sql_respond('actor', argued, replies=P.CANNED_CHOICE)} AS a FROM (SELECT *, {wrong} AS target FROM turns))",
+        "pair_cache_roundtrip": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",
+        "pairs_jsonl_roundtrip": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",
+        "preferences_roundtrip": f"{pairs} SELECT sample_id, round, positive_critic AS chosen, negative_critic AS rejected FROM pairs WHERE delta >= 0.1",
+        "results_roundtrip": _sql_turns(3) + "SELECT max(n) AS num_samples, round(arg_max(a, round), 9) AS final_accuracy, string_agg(c::VARCHAR, ',' ORDER BY round) AS correct FROM (SELECT round, count(*) AS n, avg(ok) AS a, count(*) FILTER (actor_answer = upper(answer)) AS c FROM scored GROUP BY round)",
+        "metric_log_roundtrip": _sql_turns(3) + ", m AS (SELECT round, avg(ok) AS a FROM scored GROUP BY round) SELECT 'eval' AS phase, round::BIGINT AS step, 'accuracy' AS metric, round(a, 9) AS value FROM m UNION ALL SELECT 'eval', round::BIGINT, 'error', round(1 - a, 9) FROM m",
+        "standardize_mc_struct": "SELECT doc_id AS sample_id, coalesce(length(text), 0) AS n_question, coalesce(upper(left(lang, 1)), '') AS answer, 'en,fr,de,es' AS choices, CASE WHEN doc_id % 2 = 0 THEN '1,2,3,4' ELSE 'A,B,C,D' END AS labels, 'multiple_choice' AS task_type FROM documents",
+        "split_fallback": f"SELECT * FROM ({_SPLIT}) WHERE split = 'validation'",
+        "settings_merge": "SELECT * FROM (VALUES ('rounds', 3.0::DOUBLE), ('simulations', 2.0::DOUBLE), ('threshold', 0.0::DOUBLE)) AS t(name, value)",
+        "dataset_tasks": "SELECT * FROM (VALUES ('arc', 'multiple_choice', 6), ('bbh', 'mixed', 6), ('boolq', 'yes_no', 6), ('mmlu', 'multiple_choice', 6), ('sciq', 'multiple_choice', 6)) AS t(dataset, task_type, n_prompts)",
+        "render_prompts_alias": f"SELECT dataset, doc_id, single_shot, critic FROM ({_sql_prompts('mmlu')}), (SELECT unnest(['arc', 'bbh', 'sciq']) AS dataset)",
+        "isolated_task": "SELECT event_id, CASE WHEN k < 50 THEN k END::VARCHAR AS k, CASE WHEN k >= 50 THEN 'ValueError: k out of range' END AS error FROM (SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events)",
     }
 
 

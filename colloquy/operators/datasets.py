@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def yes_no_answer(raw: Column) -> Column:
@@ -26,13 +27,23 @@ def choice_answer(index: Column, text: Column, n: Column) -> Column:
 
 
 def stratified_split(rows: DataFrame, stratum: str, key: str, test: float = 0.25, validation: float = 0.10, seed: int = 42) -> DataFrame:
-    """Adds split: per stratum, by a seeded hash order, floor(n * test) test rows, floor(n * validation) validation rows, the rest train."""
-    own = Window.partitionBy(stratum)
-    order = own.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key))
-    ranked = rows.withColumn("_rank", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(own))
-    first = F.floor(F.col("_n") * F.lit(float(test)))
-    second = first + F.floor(F.col("_n") * F.lit(float(validation)))
-    return ranked.withColumn("split", F.when(F.col("_rank") <= first, "test").when(F.col("_rank") <= second, "validation").otherwise("train")).drop("_rank", "_n")
+    """Adds split: per stratum, by a seeded hash order, floor(n * test) test rows, floor(n * validation) validation rows, the rest train.
+
+    Counts by the hash's first three hex digits place all rows but those of the two digits where a split ends; these
+    alone are ranked. So no task sorts a stratum, and sizes are exact.
+    """
+    hashed = rows.withColumn("_md5", F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))).withColumn("_digits", F.substring("_md5", 1, 3))
+    counts = hashed.groupBy(F.col(stratum).alias("_stratum"), F.col("_digits").alias("_d")).agg(F.count(F.lit(1)).alias("_in"))
+    own = Window.partitionBy("_stratum")
+    counts = counts.withColumn("_n", F.sum("_in").over(own)).withColumn("_to", F.sum("_in").over(own.orderBy("_d")))
+    counts = counts.withColumn("_first", F.floor(F.col("_n") * F.lit(float(test)))).withColumn("_second", F.col("_first") + F.floor(F.col("_n") * F.lit(float(validation))))
+    side = lambda at: F.when(at <= F.col("_first"), "test").when(at <= F.col("_second"), "validation").otherwise("train")
+    begin, end = side(F.col("_to") - F.col("_in") + 1), side(F.col("_to"))
+    placed = counts.select("_stratum", "_d", F.when(begin == end, end).alias("split"), (F.col("_to") - F.col("_in")).alias("_before"), "_first", "_second")
+    joined = hashed.join(placed, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_digits") == F.col("_d")))
+    order = Window.partitionBy("_stratum", "_d").orderBy("_md5", key)
+    ranked = joined.where("split is null").withColumn("split", side(F.col("_before") + F.row_number().over(order)))
+    return joined.where("split is not null").unionByName(ranked).select(*rows.columns, "split")
 
 
 def answer_distribution(rows: DataFrame, answer: str) -> DataFrame:
@@ -58,19 +69,20 @@ def dataset_statistics(rows: DataFrame, by: str | None = None) -> DataFrame:
 
 def isolate(rows: DataFrame, task: Callable[[dict], dict], schema: str) -> DataFrame:
     """Rows through a Python task, a batch at a time; a row whose task raises has its error and nulls, the rest go on."""
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    kinds = T._parse_datatype_string(schema)
+    names, arrow = [f.name for f in kinds.fields], to_arrow_schema(T.StructType([*kinds.fields, T.StructField("error", T.StringType())]))
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
                     out.append({**task(row), "error": None})
                 except Exception as e:  # the row is the unit that may fail
                     out.append({**{n: row.get(n) for n in names}, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(out, columns=[*names, "error"]).astype(object)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.mapInPandas(run, f"{schema}, error string")
+    return rows.mapInArrow(run, f"{schema}, error string")
 
 
 def rounds_of(turns: DataFrame) -> DataFrame:
@@ -91,3 +103,9 @@ def with_history(rounds: DataFrame) -> DataFrame:
 
 def responses_text(responses: Column) -> Column:
     return F.array_join(F.transform(responses, lambda x, i: F.concat(F.lit("\nPerson "), (i + 1).cast("string"), F.lit(" said: "), x)), "")
+
+
+def named_responses_text(responses: Column) -> Column:
+    """The same from a map of speaker to response, in the order of the speakers."""
+    entries = F.array_sort(F.map_entries(responses))
+    return F.array_join(F.transform(entries, lambda x: F.concat(F.lit("\nPerson "), x["key"].cast("string"), F.lit(" said: "), x["value"])), "")

@@ -1,79 +1,151 @@
-"""Rounds of two agents, simulated rewards and preference pairs, with a responder that is a column."""
+"""Rounds of two agents, simulated rewards and preference pairs, over a responder that answers prompts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.answers import extract_yes_no, normalize_answer
-from ..operators.datasets import responses_text
+from ..functions.answers import extract_answer, normalize_answer, wrong_answer
+from . import prompts
 
-#: A responder gives a text from role, prompt and simulation number. Models stand behind the same signature through a pandas UDF.
-Responder = Callable[[str, Column, Column], Column]
+#: Adds a column of replies: rows, role, prompt, simulation number (0 outside simulations), name of the new column.
+Responder = Callable[[DataFrame, str, Column, Column, str], DataFrame]
 
-CANNED = ("The answer is Yes.", "Final answer: No", "I think the answer is no.", "Yes it could be, but No in the end.", "The sky is blue.", "answer: yes", "")
-TEMPLATES = {
-    "single_shot": ("Question: ", "question", "\nPassage: ", "passage", "\nReply yes or no."),
-    "deliberation": ("Question: ", "question", "\nPassage: ", "passage", "\nOthers:", "responses_text", "\nReply yes or no."),
-    "guided_single_shot": ("Question: ", "question", "\nPassage: ", "passage", "\nArgue for ", "target_answer", "."),
-    "guided_deliberation": ("Question: ", "question", "\nPassage: ", "passage", "\nOthers:", "responses_text", "\nArgue for ", "target_answer", "."),
-    "critic": ("Question: ", "question", "\nReply under review: ", "actor_response", "\nGive feedback."),
-    "guided_critic": ("Question: ", "question", "\nReply under review: ", "actor_response", "\nSteer towards ", "target_answer", "."),
-}
-VARIABLES = {"question", "passage", "responses_text", "target_answer", "actor_response"}
+CANNED = ("My answer is Yes.", "Final answer: No", "I believe No fits.", "Perhaps Yes at first; on balance No", "Clouds drift slowly.", "answer: yes", "")
+CANNED_CHOICE = ("Final answer: (B)", "The answer is C.", "Option A looks right", "(D)", "None of them convinces me", "answer: a", "")
 
 
-def canned_responder(role: str, prompt: Column, sim: Column, seed: int = 42) -> Column:
-    key = F.concat(F.lit(f"{role}|{seed}|"), sim.cast("string"), F.lit("|"), prompt)
-    at = F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("int") % len(CANNED)
-    return F.element_at(F.array(*map(F.lit, CANNED)), at + 1)
+def canned_responder(replies: tuple[str, ...] = CANNED, seed: int = 42) -> Responder:
+    """Replies chosen by the MD5 of role, seed, simulation and prompt; a column, without Python."""
 
+    def respond(rows: DataFrame, role: str, prompt: Column, sim: Column, out: str) -> DataFrame:
+        key = F.concat(F.lit(f"{role}|{seed}|"), sim.cast("string"), F.lit("|"), prompt)
+        at = F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("int") % len(replies)
+        return rows.withColumn(out, F.element_at(F.array(*map(F.lit, replies)), at + 1))
 
-def render(kind: str, **bound: Column) -> Column:
-    """A template as one concat; unknown kinds and missing variables raise."""
-    if kind not in TEMPLATES:
-        raise ValueError(f"unknown prompt type {kind!r}")
-    return F.concat(*[bound[x] if x in VARIABLES else F.lit(x) for x in TEMPLATES[kind]])
+    return respond
 
 
-def deliberate(samples: DataFrame, rounds: int, respond: Responder = canned_responder) -> DataFrame:
-    """samples (sample_id, question, passage, answer) with one row a round: prompts, responses and the actor's answer."""
-    out = samples.withColumn("history", F.array().cast("array<string>"))
-    q, p, none = F.col("question"), F.col("passage"), F.lit(0)
+class Model(Protocol):
+    def generate(self, prompts: list[str]) -> list[str]:
+        """One reply for each prompt."""
+
+    def close(self) -> None: ...
+
+
+def model_responder(load: Callable[[str], Model], rows_a_call: int = 64) -> Responder:
+    """Replies of a Python model over Arrow batches. A task loads the role's model at its first row and closes it at its end.
+
+    A call that fails is repeated prompt by prompt; prompts that fail by themselves have a null reply, the rest go on.
+    """
+
+    def respond(rows: DataFrame, role: str, prompt: Column, sim: Column, out: str) -> DataFrame:
+        def one_by_one(model: Model, asked: list[str]) -> list[str | None]:
+            replies: list[str | None] = []
+            for x in asked:
+                try:
+                    replies += model.generate([x])
+                except Exception:  # the prompt is the unit that may fail
+                    replies.append(None)
+            return replies
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = None
+            try:
+                for batch in batches:
+                    asked, replies = batch.column("_prompt").to_pylist(), []
+                    if model is None and asked:
+                        model = load(role)
+                    for i in range(0, len(asked), rows_a_call):
+                        part = asked[i : i + rows_a_call]
+                        try:
+                            replies += model.generate(part)
+                        except Exception:
+                            replies += one_by_one(model, part)
+                    kept = [c for c in batch.schema.names if c != "_prompt"]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(replies, pa.string())], names=[*kept, out])
+            finally:
+                if model is not None:
+                    model.close()
+
+        return rows.withColumn("_prompt", prompt).mapInArrow(run, _fields(rows, out))
+
+    return respond
+
+
+def _fields(rows: DataFrame, out: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` string"])
+
+
+def _prompt(rows: DataFrame, dataset: str, kind: str, **bound: Column) -> Column:
+    """A data set's prompt from a sample's columns; passage and choices where rows have them."""
+    given = {c: F.col(c) for c in ("passage", "choices") if c in rows.columns}
+    return prompts.render(dataset, kind, F.col("question"), **given, **bound)
+
+
+def predicted(dataset: str, reply: Column) -> Column:
+    return extract_answer(reply, F.lit(prompts.task_type(dataset)))
+
+
+def deliberate(samples: DataFrame, rounds: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
+    """samples (sample_id, question, answer, and passage or choices) with one row a round: prompts, responses and the actor's answer.
+
+    Rounds follow one another in one plan, in which every prompt is rendered and answered once.
+    """
+    respond = respond or canned_responder()
+    out = samples.withColumn("_said", F.array().cast("array<string>"))
+    turns = []
     for t in range(rounds):
-        prompt = render("single_shot", question=q, passage=p) if t == 0 else render("deliberation", question=q, passage=p, responses_text=responses_text(F.col("history")))
-        out = out.withColumn(f"_p{t}", prompt).withColumn(f"_a{t}", respond("actor", F.col(f"_p{t}"), none))
-        out = out.withColumn(f"_q{t}", render("critic", question=q, actor_response=F.col(f"_a{t}"))).withColumn(f"_c{t}", respond("critic", F.col(f"_q{t}"), none))
-        out = out.withColumn("history", F.concat("history", F.array(f"_a{t}", f"_c{t}")))
-    turn = lambda t: F.struct(F.lit(t).alias("round"), F.col(f"_p{t}").alias("actor_prompt"), F.col(f"_a{t}").alias("actor_response"), F.col(f"_q{t}").alias("critic_prompt"), F.col(f"_c{t}").alias("critic_response"), extract_yes_no(F.col(f"_a{t}")).alias("actor_answer"))
-    return out.select(*samples.columns, F.explode(F.array(*map(turn, range(rounds)))).alias("turn")).select(*samples.columns, "turn.*")
+        prompt = _prompt(out, dataset, "single_shot") if t == 0 else _prompt(out, dataset, "deliberation", responses=F.col("_said"))
+        out = respond(out.withColumn(f"_p{t}", prompt), "actor", F.col(f"_p{t}"), F.lit(0), f"_a{t}")
+        out = out.withColumn(f"_q{t}", _prompt(out, dataset, "critic", actor_response=F.col(f"_a{t}")))
+        out = respond(out, "critic", F.col(f"_q{t}"), F.lit(0), f"_c{t}")
+        out = out.withColumn("_said", F.concat("_said", F.array(f"_a{t}", f"_c{t}")))
+        turns.append(F.struct(F.lit(t).alias("round"), F.col(f"_p{t}").alias("actor_prompt"), F.col(f"_a{t}").alias("actor_response"), F.col(f"_q{t}").alias("critic_prompt"), F.col(f"_c{t}").alias("critic_response"), predicted(dataset, F.col(f"_a{t}")).alias("actor_answer")))
+    return out.select(*samples.columns, F.explode(F.array(*turns)).alias("turn")).select(*samples.columns, "turn.*")
 
 
 def with_earlier(turns: DataFrame) -> DataFrame:
     """Adds history: the actor's responses of the sample's earlier rounds, which simulated and guided replies see."""
     before = Window.partitionBy("sample_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
-    return turns.withColumn("history", F.collect_list("actor_response").over(before))
+    return turns.withColumn("history", F.collect_list(F.coalesce("actor_response", F.lit(""))).over(before))
 
 
-def simulate(states: DataFrame, simulations: int, respond: Responder = canned_responder) -> DataFrame:
+def simulate(states: DataFrame, simulations: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
     """Adds right (0 or 1) of each simulated next reply, one row a simulation; 0 without label or simulations.
 
-    The reply sees history (where states has it: earlier responses, an array), then the actor's and the critic's response.
+    The reply sees history (earlier responses, an array that states must have), then the actor's and the critic's response.
     """
-    earlier = F.col("history") if "history" in states.columns else F.array().cast("array<string>")
+    if "history" not in states.columns:
+        raise ValueError("states need their history; see with_earlier")
+    respond = respond or canned_responder()
     sims = states.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(max(simulations, 1)))))
-    prompt = render("deliberation", question=F.col("question"), passage=F.col("passage"), responses_text=responses_text(F.concat(earlier, F.array("actor_response", "critic_response"))))
+    prompt = _prompt(sims, dataset, "deliberation", responses=F.concat("history", F.array("actor_response", "critic_response")))
+    sims = respond(sims, "actor", prompt, F.col("sim"), "_reply")
     label = normalize_answer(F.col("answer"))
-    right = F.when((label == "") | F.lit(simulations <= 0), 0.0).otherwise((normalize_answer(extract_yes_no(respond("actor", prompt, F.col("sim")))) == label).cast("double"))
-    return sims.withColumn("right", right)
+    right = F.when((label == "") | F.lit(simulations <= 0), 0.0).otherwise((normalize_answer(predicted(dataset, F.col("_reply"))) == label).cast("double"))
+    return sims.withColumn("right", right).drop("_reply")
 
 
-def rewards(states: DataFrame, keys: list[str], simulations: int, respond: Responder = canned_responder) -> DataFrame:
+def rewards(states: DataFrame, keys: list[str], simulations: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
     """The share of simulated next replies that give the label."""
-    return simulate(states, simulations, respond).groupBy(*keys).agg(F.avg("right").alias("reward"))
+    return simulate(states, simulations, respond, dataset).groupBy(*keys).agg(F.avg("right").alias("reward"))
+
+
+def guided_round(states: DataFrame, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
+    """states (a sample's columns, round, history, target) with actor_response and critic_response argued towards target.
+
+    The actor of round 0 has seen nobody; later ones see history. The critic sees the guided reply.
+    """
+    respond = respond or canned_responder()
+    first, later = (_prompt(states, dataset, kind, target_answer=F.col("target"), **seen) for kind, seen in (("guided_single_shot", {}), ("guided_deliberation", {"responses": F.col("history")})))
+    out = respond(states, "actor", F.when(F.size("history") == 0, first).otherwise(later), F.lit(0), "actor_response")
+    return respond(out, "critic", _prompt(out, dataset, "guided_critic", actor_response=F.col("actor_response"), target_answer=F.col("target")), F.lit(0), "critic_response")
 
 
 def select_pair(natural: Column, right: Column, wrong: Column, threshold: float = 0.0) -> Column:
@@ -83,20 +155,17 @@ def select_pair(natural: Column, right: Column, wrong: Column, threshold: float
     return F.when(gain >= threshold, pair("towards", gain)).when(loss >= threshold, pair("away", loss))
 
 
-def preference_pairs(turns: DataFrame, simulations: int, threshold: float = 0.0, respond: Responder = canned_responder) -> DataFrame:
+def preference_pairs(turns: DataFrame, simulations: int, threshold: float = 0.0, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
     """From round 1 on, at most one pair a round, as read_pairs has them; guidance sees the actor's earlier responses."""
-    q, p, none = F.col("question"), F.col("passage"), F.lit(0)
     late = with_earlier(turns).where("round >= 1")
-    wrong = F.when(F.lower("answer") == "yes", "no").otherwise("yes")
-    guides = F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("target")) for v, c in (("natural", F.lit("")), ("right", F.col("answer")), ("wrong", wrong))])
-    each = late.withColumn("g", F.explode(guides)).select("*", "g.*")
-    guided = respond("actor", render("guided_deliberation", question=q, passage=p, responses_text=responses_text(F.col("history")), target_answer=F.col("target")), none)
-    each = each.withColumn("actor_response", F.when(F.col("variant") == "natural", F.col("actor_response")).otherwise(guided))
-    critic = respond("critic", render("guided_critic", question=q, actor_response=F.col("actor_response"), target_answer=F.col("target")), none)
-    each = each.withColumn("critic_response", F.when(F.col("variant") == "natural", F.col("critic_response")).otherwise(critic))
+    away = wrong_answer(F.col("answer"), F.col("choices") if "choices" in turns.columns else F.array().cast("array<string>"))
+    guides = F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("target")) for v, c in (("natural", F.lit("")), ("right", F.col("answer")), ("wrong", away))])
+    each = late.withColumn("g", F.explode(guides)).select("*", "g.*").drop("g")
+    natural, others = each.where("variant = 'natural'"), each.where("variant <> 'natural'").drop("actor_response", "critic_response")
+    each = natural.unionByName(guided_round(others, respond, dataset))
     of = lambda v, c: F.when(F.col("variant") == v, F.col(c))
     names = ("natural", "right", "wrong")
-    wide = simulate(each, simulations, respond).groupBy("sample_id", "round").agg(
+    wide = simulate(each, simulations, respond, dataset).groupBy("sample_id", "round").agg(
         *[F.first(c).alias(c) for c in ("actor_prompt", "critic_prompt")],
         *[F.avg(of(v, "right")).alias(f"{v}_reward") for v in names],
         *[F.max(of(v, f"{agent}_response")).alias(f"{v}_{agent}") for v in names for agent in ("actor", "critic")],

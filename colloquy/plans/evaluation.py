@@ -49,12 +49,18 @@ def improvement_rate(final: Column, initial: Column) -> Column:
 
 
 def evaluate(turns: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """One row of all results; no row for no turns. Only one row a round is gathered."""
+    """One row of all results; no row for no turns. Turns are read once: a row a sample, then a row a round."""
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
-    rounds = by_round(turns).agg(F.array_sort(F.collect_list(F.struct("round", "n", "accuracy", "correct"))).alias("r"))
-    flips = sample_details(turns).agg(F.count_if(F.expr("initial_correct AND final_correct")).alias("correct_to_correct"), F.count_if("flipped_to_correct").alias("wrong_to_correct"), F.count_if("flipped_to_wrong").alias("correct_to_wrong"), F.count_if(F.expr("NOT initial_correct AND NOT final_correct")).alias("wrong_to_wrong"))
-    both = rounds.unionByName(flips, allowMissingColumns=True)
-    row = both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns]).where("size(r) > 0").withColumns({"initial_accuracy": F.get("r", F.lit(0))["accuracy"], "final_accuracy": F.element_at("r", -1)["accuracy"], "num_samples": F.element_at("r", -1)["n"]})
+    label = _or_empty("answer")
+    answer = F.struct("round", F.coalesce("actor_answer", F.lit("")).alias("answer"), same_normalized(F.col("actor_answer"), label).cast("double").alias("right"), same_upper(_or_empty("actor_answer"), label).alias("correct"))
+    each = turns.groupBy("sample_id").agg(F.array_sort(F.collect_list(answer)).alias("t"), F.first("answer").alias("label"))
+    first, last = (same_stripped(F.element_at("t", i)["answer"], _or_empty("label")) for i in (1, -1))
+    each = each.select(F.posexplode("t").alias("at", "x"), first.alias("was"), last.alias("now")).select("at", "x.*", "was", "now")
+    kinds = {"correct_to_correct": (True, True), "wrong_to_correct": (False, True), "correct_to_wrong": (True, False), "wrong_to_wrong": (False, False)}
+    flips = [F.count_if((F.col("at") == 0) & (F.col("was") == a) & (F.col("now") == b)).alias(k) for k, (a, b) in kinds.items()]
+    rounds = each.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.avg("right").alias("accuracy"), F.count_if("correct").alias("correct"), *flips)
+    row = rounds.agg(F.array_sort(F.collect_list(F.struct("round", "n", "accuracy", "correct"))).alias("r"), *[F.sum(k).alias(k) for k in kinds]).where("size(r) > 0")
+    row = row.withColumns({"initial_accuracy": F.get("r", F.lit(0))["accuracy"], "final_accuracy": F.element_at("r", -1)["accuracy"], "num_samples": F.element_at("r", -1)["n"]})
     margin, final, initial = wilson(F.col("final_accuracy"), F.col("num_samples"), z), F.col("final_accuracy"), F.col("initial_accuracy")
     accuracies = F.transform("r", lambda x: x["accuracy"])
     deltas = F.filter(F.transform(accuracies, lambda x, i: x - F.get(accuracies, i - 1)), lambda x: x.isNotNull())

@@ -26,6 +26,16 @@ _KIND = {"boolq": "yes_no", "mmlu": "choice", "bbh": "choice", "sciq": "choice",
 ORDER = ("question", "passage", "choice_a", "choice_b", "choice_c", "choice_d", "target_answer", "responses_text", "actor_response")
 
 
+_TASK = {"boolq": "yes_no", "bbh": "mixed"}
+
+
+def task_type(dataset: str) -> str:
+    """How answers are read from replies: yes_no, multiple_choice or mixed."""
+    if dataset not in _KIND:
+        raise ValueError(f"unknown data set {dataset!r}")
+    return _TASK.get(dataset, "multiple_choice")
+
+
 def datasets() -> list[str]:
     return sorted(_KIND)
 

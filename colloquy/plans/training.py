@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import stores
+from .deliberation import Responder, deliberate, preference_pairs
+from .evaluation import evaluate
 
 
 class Trainer(Protocol):
@@ -36,6 +38,46 @@ def preference_rows(pairs: DataFrame, min_delta: float = 0.0) -> DataFrame:
     return kept.select("sample_id", "round", "delta", "direction", F.explode(sides).alias("s")).select("s.*", "sample_id", "round", "delta", "direction")
 
 
+def generate_pairs(spark: SparkSession, samples: DataFrame, root: str, agent: str, iteration: int, respond: Responder | None = None, dataset: str = "boolq", rounds: int = 5, simulations: int = 5, threshold: float = 0.0, reuse: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(pairs, failed): preference pairs of all samples, stored by agent and iteration, and the samples without some reply.
+
+    Turns are stored before pairs are made from them, so every prompt is answered once. A sample of which some reply is
+    null failed; it gives no pairs, the others go on.
+    """
+    turns = stores.cached(spark, f"{root}/turns", agent, iteration, lambda: deliberate(samples, rounds, respond, dataset), reuse)
+    failed = turns.where("actor_response is null or critic_response is null").select("sample_id").distinct()
+    sound = turns.join(failed, "sample_id", "left_anti")
+    pairs = stores.cached(spark, f"{root}/pairs", agent, iteration, lambda: preference_pairs(sound, simulations, threshold, respond, dataset), reuse)
+    return pairs, failed
+
+
+def validation_record(turns: DataFrame, iteration: int) -> dict[str, float]:
+    """The four fields that alternation keeps of a validation; zeros for no turns."""
+    row = evaluate(turns).first()
+    found = (row["final_accuracy"], row["margin"], row["improvement_rate"]) if row else (0.0, 0.0, 0.0)
+    return {"iteration": iteration} | dict(zip(("val_accuracy", "val_ci_margin", "improvement_rate"), found, strict=True))
+
+
+@dataclass(frozen=True)
+class Adapter:
+    """Low-rank adapter settings that a trainer is given."""
+
+    rank: int = 256
+    alpha: int = 512
+    dropout: float = 0.0
+    targets: tuple[str, ...] = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj")
+
+
+def train_on_pairs(trainer: Trainer, pairs: DataFrame, path: str, agent: str, base: str, min_delta: float = 0.0) -> str:
+    """Store an agent's preference rows and train on them; no rows raise."""
+    if agent not in stores.AGENTS:
+        raise ValueError(f"unknown agent {agent!r}")
+    stores.write_preferences(preference_rows(pairs, min_delta).where(F.col("agent") == agent), path)
+    if stores.read_preferences(pairs.sparkSession, path, agent).isEmpty():
+        raise ValueError(f"no preference rows for {agent}")
+    return trainer.train(agent, path, base)
+
+
 def alternate(spark: SparkSession, root: str, models: dict[str, str], pairs_of: Callable[[dict[str, str]], DataFrame], trainer: Trainer, validate: Callable[[dict[str, str]], float] | None = None, iterations: int = 1, patience: int | None = None, least: float = 0.0, min_delta: float = 0.0, reuse: bool = False) -> Outcome:
     """Critic, then actor, each trained on pairs of the models of that moment; stops after patience validations without gain."""
     out, waited, best = Outcome(dict(models)), 0, float("-inf")

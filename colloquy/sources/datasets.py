@@ -82,7 +82,10 @@ def load_dataset(spark: SparkSession, name: str, root: str, form: str = "parquet
     Sets with a stratum are split by it; the others carry a split column, of which SPLITS are kept.
     """
     spec = spec_of(name)
-    raw = spark.read.format(form).load(f"{root}/{name}")
+    raw = text_rows(spark, f"{root}/{name}") if form == "text" else spark.read.format(form).load(f"{root}/{name}")
+    if spec.stratum and "task" in raw.columns and spec.stratum not in raw.columns:
+        # a folder for each task: task=name
+        raw = raw.withColumnRenamed("task", spec.stratum)
     if spec.stratum:
         raw = raw.withColumn(spec.stratum, F.col(spec.stratum) if spec.stratum in raw.columns else F.lit("unknown"))
         raw = D.stratified_split(raw, spec.stratum, "sample_id", seed=seed)
@@ -91,6 +94,11 @@ def load_dataset(spark: SparkSession, name: str, root: str, form: str = "parquet
     return standardize(raw, spec.task_type, legacy)
 
 
+def text_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows without fields: each line is the data of a sample, whose id is the hash of the line."""
+    return spark.read.text(path).select(F.xxhash64("value").alias("sample_id"), F.col("value").alias("data"))
+
+
 def evaluation_rows(samples: DataFrame) -> DataFrame:
     """The test rows, or those of validation where there is no test row."""
     tests = samples.where("split = 'test'")

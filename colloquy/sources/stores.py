@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+import tempfile
+import uuid
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAIRS = "sample_id long, actor_prompt string, critic_prompt string, positive string, negative string, positive_critic string, negative_critic string, round int, delta double, direction string"
+PREFERENCES = "sample_id long, prompt string, chosen string, rejected string, round int, delta double, direction string, agent string"
 METRICS = "phase string, step long, timestamp timestamp, metrics map<string,double>"
 AGENTS = ("actor", "critic")
 
@@ -21,6 +26,22 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").json(path)
 
 
+def write_array(pairs: DataFrame, path: str) -> None:
+    """One JSON array in one file, for readers that know no JSON lines; one task writes it, so for small tables."""
+    one = pairs.agg(F.to_json(F.collect_list(F.struct(*pairs.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    one.write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path under spark.checkpoint.dir, or under a temporary folder on one machine where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/colloquy-stores/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
@@ -46,7 +67,7 @@ def write_preferences(preferences: DataFrame, path: str) -> None:
 
 
 def read_preferences(spark: SparkSession, path: str, agent: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("agent") == agent)
+    return spark.read.schema(PREFERENCES).parquet(path).where(F.col("agent") == agent)
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -58,3 +79,51 @@ def write_results(results: DataFrame, path: str) -> None:
 def append_metrics(spark: SparkSession, path: str, phase: str, metrics: dict[str, float], step: int | None = None) -> None:
     row = spark.createDataFrame([(phase, step, {k: float(v) for k, v in metrics.items()})], "phase string, step long, metrics map<string,double>")
     row.select("phase", "step", F.current_timestamp().alias("timestamp"), "metrics").coalesce(1).write.mode("append").json(path)
+
+
+class MetricLog:
+    """Metrics of one experiment as rows under a path, and to a tracker if there is one; NoTracker otherwise."""
+
+    def __init__(self, spark: SparkSession, path: str, tracker: Tracker | None = None, name: str = "experiment"):
+        self.spark, self.path, self.tracker = spark, path, tracker or NoTracker()
+        self.log = logging.getLogger(name)
+
+    def metrics(self, phase: str, values: dict[str, float], step: int | None = None) -> None:
+        self.log.info("%s %s: %s", phase, step, values)
+        append_metrics(self.spark, self.path, phase, values, step)
+        self.tracker.send({f"{phase}/{k}": v for k, v in values.items()}, step)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(METRICS).json(self.path)
+
+    def close(self) -> None:
+        self.tracker.close()
+
+
+class Tracker(Protocol):
+    def send(self, values: dict[str, float], step: int | None) -> None: ...
+
+    def close(self) -> None: ...
+
+
+class NoTracker:
+    """Stands where no remote tracker is."""
+
+    def send(self, values: dict[str, float], step: int | None) -> None:
+        return None
+
+    def close(self) -> None:
+        return None
+
+
+def setup_logging(level: int = logging.INFO, path: str | None = None) -> logging.Logger:
+    """The package's logger on the driver, to standard error and to a file if one is named; repeated calls add no handlers."""
+    log = logging.getLogger("colloquy")
+    log.setLevel(level)
+    wanted = [logging.StreamHandler()] + ([logging.FileHandler(path, encoding="utf-8")] if path else [])
+    known = {(type(h), getattr(h, "baseFilename", None)) for h in log.handlers}
+    for h in wanted:
+        if (type(h), getattr(h, "baseFilename", None)) not in known:
+            h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+            log.addHandler(h)
+    return log

@@ -22,12 +22,18 @@ def one(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t"))).first()[0]
 
 
-@pytest.mark.parametrize(("text", "wanted"), [("The answer is Yes.", "YES"), ("Final answer: No", "NO"), ("I think the answer is no.", "NO"), ("The sky is blue.", None), ("Yes it could be, but actually No in the end.", "NO"), ("Answer: Not sure", "NO"), ("", None), (None, None)])
+YES_NO = [("My answer: yes, gladly", "YES"), ("FINAL ANSWER no", "NO"), ("I believe the answer is yes", "YES"), ("We saw rain and nothing else", None), ("At first yes, later no, and then silence", "NO"), ("answer:  Nobody knows", "NO"), ("", None), (None, None)]
+
+
+@pytest.mark.parametrize(("text", "wanted"), YES_NO)
 def test_yes_no(spark, text, wanted):
     assert one(spark, text, A.extract_yes_no) == wanted
 
 
-@pytest.mark.parametrize(("text", "wanted"), [("The answer is (A).", "A"), ("Final Answer: (B)", "B"), ("I choose C", "C"), ("The correct option is D.", "D"), ("The answer is (E).", None), ("this is optional", "A"), ("Answer: Beijing", "B")])
+CHOICE = [("Surely (d) fits", "D"), ("final answer b", "B"), ("Between them I take C", "C"), ("the correct answer is ( a )", "A"), ("Pick (F) instead", None), ("an optional bonus", "A"), ("answer: Berlin", "B"), ("choice D over the rest", "D")]
+
+
+@pytest.mark.parametrize(("text", "wanted"), CHOICE)
 def test_choice(spark, text, wanted):
     assert one(spark, text, A.extract_choice) == wanted
 
@@ -56,12 +62,16 @@ def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "labels", "conversations", "orders", "part", "events"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    ours = catalog.queries()[name](spark, SF).toPandas()
-    theirs = con.sql(catalog.oracle_sql()[name]).df()[list(ours.columns)]
-    rows = lambda x: sorted(map(str, x.astype(object).where(x.notna(), None).itertuples(index=False, name=None)))
+    ours = catalog.queries()[name](spark, SF).toArrow()
+    theirs = con.sql(catalog.oracle_sql()[name]).to_arrow_table().select(ours.column_names)
+    rows = lambda x: sorted(str(tuple(r.values())) for r in x.to_pylist())
     assert rows(ours) == rows(theirs)
 
 
+def test_all_queries_have_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
 def test_rollout_reward_brute_force(spark):
     """Each state of three rounds with the actor's earlier responses before it; no SQL."""
     answers = dict(zip(P.CANNED, ("Y", "N", "N", "N", "", "Y", ""), strict=True))
@@ -70,15 +80,15 @@ def test_rollout_reward_brute_force(spark):
         return P.CANNED[int(hashlib.md5(f"{role}|42|{sim}|{prompt}".encode()).hexdigest()[:6], 16) % len(P.CANNED)]
 
     def ask(r, said):
-        others = "\nOthers:" + "".join(f"\nPerson {i} said: {x}" for i, x in enumerate(said, 1)) if said else ""
-        return f"Question: {r.question}\nPassage: {r.passage}{others}\nReply yes or no."
+        others = "Others:" + "".join(f"\nPerson {i} said: {x}" for i, x in enumerate(said, 1)) + "\n" if said else ""
+        return f"Question: {r.question}\nPassage: {r.passage}\n{others}Reply yes or no."
 
     wanted = {}
     for r in catalog.standardize_yes_no(spark, SF).collect():
         both, actor = [], []
         for t in range(3):
             a = say("actor", 0, ask(r, both))
-            c = say("critic", 0, f"Question: {r.question}\nReply under review: {a}\nGive feedback.")
+            c = say("critic", 0, f"Question: {r.question}\nPassage: {r.passage}\nReply under review: {a}\nGive feedback.")
             right = [answers[say("actor", sim, ask(r, [*actor, a, c]))] == r.answer[0].upper() for sim in range(1, 6)]
             wanted[r.sample_id, t] = sum(right) / 5
             both, actor = [*both, a, c], [*actor, a]
@@ -86,6 +96,105 @@ def test_rollout_reward_brute_force(spark):
     assert len(got) == len(wanted) and {(r.sample_id, r["round"]): r.reward for r in got} == wanted
 
 
+def test_simulation_needs_history(spark):
+    with pytest.raises(ValueError):
+        P.simulate(spark.createDataFrame([("q", "yes", "a", "c")], "question string, answer string, actor_response string, critic_response string"), 2)
+
+
+SAMPLES = "sample_id long, question string, passage string, answer string"
+
+
+def test_model_responder_asks_once_and_isolates(spark, tmp_path):
+    """Each prompt is answered once; a failing prompt spoils its own sample alone; a task loads and closes its model."""
+    log = str(tmp_path)
+
+    class Model:
+        def __init__(self, role):
+            self.role = role
+
+        def generate(self, prompts):
+            if any("broken" in x for x in prompts):
+                raise RuntimeError("no reply")
+            for x in prompts:
+                with open(f"{log}/asked-{hashlib.md5((self.role + x).encode()).hexdigest()}", "a") as f:
+                    f.write("x")
+            return ["Final answer: Yes"] * len(prompts)
+
+        def close(self):
+            open(f"{log}/closed", "a").close()
+
+    rows = [(i, "broken?" if i == 3 else f"question {i}?", "p", "yes") for i in range(6)]
+    samples = spark.createDataFrame(rows, SAMPLES)
+    pairs, failed = training.generate_pairs(spark, samples, f"{tmp_path}/out", "critic", 0, P.model_responder(Model, 4), rounds=2, simulations=2)
+    assert [r.sample_id for r in failed.collect()] == [3]
+    assert sorted(r.sample_id for r in pairs.collect()) == [0, 1, 2, 4, 5]
+    asked = [len(open(x).read()) for x in tmp_path.glob("asked-*")]
+    first = {hashlib.md5(f"actorQuestion: question {i}?\nPassage: p\nReply yes or no.".encode()).hexdigest() for i in (0, 1, 2, 4, 5)}
+    counts = {x.name[6:]: len(x.read_text()) for x in tmp_path.glob("asked-*")}
+    assert asked and all(counts[x] == 1 for x in first) and (tmp_path / "closed").exists()
+
+
+def test_guided_first_round(spark):
+    seen = []
+
+    def respond(rows, role, prompt, sim, out):
+        seen.append(role)
+        return rows.withColumn(out, prompt)
+
+    states = spark.createDataFrame([(1, "q", "p", "yes", 0, [], "no"), (1, "q", "p", "yes", 1, ["x"], "no")], SAMPLES + ", round int, history array<string>, target string")
+    got = {r["round"]: r for r in P.guided_round(states, respond).collect()}
+    assert seen == ["actor", "critic"] and "Others:" not in got[0].actor_response and "Others:\nPerson 1 said: x" in got[1].actor_response
+    assert "Argue for no" in got[0].actor_response and "Steer towards no" in got[1].critic_response
+
+
+def test_splits_without_hot_tasks(spark):
+    """Sizes are floors, no stratum meets in a task, repeated and null strata are strata."""
+    rows = spark.range(10_000).select(F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, None).otherwise(F.when(F.col("id") % 3 == 1, "a").otherwise("b")).alias("s"))
+    got = D.stratified_split(rows, "s", "k")
+    sizes = {(r.s, r.split): r["count"] for r in got.groupBy("s", "split").count().collect()}
+    assert sizes[None, "test"] == 3334 // 4 and sizes[None, "validation"] == 333 and sum(sizes.values()) == 10_000
+    order = {s: sorted(hashlib.md5(f"42|{k}".encode()).hexdigest() for k in range(10_000) if k % 3 == i) for i, s in enumerate((None, "a", "b"))}
+    for r in got.where("k < 500").collect():
+        at, n = order[r.s].index(hashlib.md5(f"42|{r.k}".encode()).hexdigest()) + 1, len(order[r.s])
+        assert r.split == ("test" if at <= n // 4 else "validation" if at <= n // 4 + n // 10 else "train")
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "SinglePartition" not in plan and "RangePartitioning" not in plan
+    assert D.stratified_split(rows.limit(0), "s", "k").count() == 0
+
+
+def test_named_responses(spark):
+    got = spark.range(1).select(D.named_responses_text(F.create_map(F.lit(2), F.lit("b"), F.lit(1), F.lit("a")))).first()[0]
+    assert got == "\nPerson 1 said: a\nPerson 2 said: b"
+
+
+def test_stores_of_results(spark, tmp_path):
+    pair = spark.createDataFrame([(1, "p", "cp", "+", "-", "c+", "c-", 1, 0.5, "towards"), (2, None, "cp", "+", "-", "c+", "c-", 1, None, "away")], stores.PAIRS)
+    stores.write_array(pair, f"{tmp_path}/array")
+    assert sorted(stores.read_pairs(spark, f"{tmp_path}/array", whole_array=True).collect()) == sorted(pair.collect())
+    turns = spark.createDataFrame([(1, 0, "NO", "yes"), (1, 1, "YES", "yes")], "sample_id long, round int, actor_answer string, answer string")
+    assert training.validation_record(turns, 4)["val_accuracy"] == 1.0 and training.validation_record(turns.limit(0), 4)["iteration"] == 4
+    with pytest.raises(ValueError):
+        training.train_on_pairs(None, pair.limit(0), f"{tmp_path}/none", "actor", "m")
+    sent = []
+
+    class Own(stores.NoTracker):
+        def send(self, values, step):
+            sent.append((values, step))
+
+    log = stores.MetricLog(spark, f"{tmp_path}/log", Own())
+    log.metrics("train", {"loss": 2}, 3)
+    log.close()
+    assert sent == [({"train/loss": 2}, 3)] and log.read().first().metrics == {"loss": 2.0}
+    assert len(stores.setup_logging(path=f"{tmp_path}/x.log").handlers) == len(stores.setup_logging(path=f"{tmp_path}/x.log").handlers) == 2
+
+
+def test_text_rows(spark, tmp_path):
+    (tmp_path / "bbh").mkdir()
+    (tmp_path / "bbh" / "x.txt").write_text("".join(f"row {i}\n" for i in range(20)))
+    got = S.load_dataset(spark, "bbh", str(tmp_path), "text")
+    assert got.count() == 20 and {r["split"]: r["count"] for r in got.groupBy("split").count().collect()} == {"test": 5, "validation": 2, "train": 13}
+
+
 def test_settings(tmp_path):
     s = config.Settings(config.DEFAULTS, {"deliberation": {"rounds": 2}}, None)
     assert (s.get("deliberation.rounds"), s.require("deliberation.simulations"), s.get("no.such", 3)) == (2, 5, 3)
