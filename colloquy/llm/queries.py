@@ -14,6 +14,7 @@ from .media import op7_media
 from .mixing import op10_mixing
 from .neardup import op9_neardup
 from .quality import op5_quality
+from .sql import oracle_sql as oracle_sql
 from .tokens import op8_tokens
 from .warc import op6_warc
 
@@ -31,7 +32,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_neardup": op9_neardup,
         "op10_mixing": op10_mixing,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
