@@ -128,8 +128,12 @@ def training_rows(labelled: DataFrame) -> DataFrame:
     Counts first leave about four times the bound of each language, so that ranks are taken over few rows.
     """
     labelled = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text", F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")).alias("_h"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    near = labelled.join(counts, "lang").where(F.shiftrightunsigned("_h", 1) < F.lit(float(1 << 63)) * 4 * TRAIN_DOCS / F.col("_n"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    # MAX_LANGUAGES rows at most, so texts never move by language
+    sizes = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, _n long")
+    near = labelled.join(F.broadcast(sizes), "lang").where(F.shiftrightunsigned("_h", 1) < F.lit(float(1 << 63)) * 4 * TRAIN_DOCS / F.col("_n"))
     order = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
     ranked = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TRAIN_DOCS)
     return ranked.select("lang", "text")
@@ -138,9 +142,7 @@ def training_rows(labelled: DataFrame) -> DataFrame:
 def train(labelled: DataFrame) -> BitSlicedFilter:
     """(doc_id, lang, text) to the filter."""
     chosen = materialize(training_rows(labelled), "training")
-    sizes = sorted((r["lang"], r["n"]) for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect())
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    sizes = sorted((r["lang"], r["n"]) for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     langs = [lang for lang, _ in sizes]
     if not langs:
         return BitSlicedFilter([], np.zeros((MIN_SLOTS, 1), np.uint64))
