@@ -15,7 +15,6 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, read, scratch_path
+from .common import bucketed, materialize, mix64, read, scratch_path
 
 BLOCK, PAD = 576, b"\xff"
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 512, 16384, 11
@@ -147,13 +146,9 @@ def media_features(docs: DataFrame) -> DataFrame:
     stored = first.groupBy("media").agg(F.collect_list("stored_seq").alias("stored"))
 
     packed = docs.mapInArrow(_pack, "media binary, packed binary").groupBy("media").agg(F.first("packed").alias("packed"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = packed.join(places, "media", "left").join(stored, "media", "left")
     rows = rows.mapInArrow(_store, "media binary, private array<struct<seq: int, bytes: binary>>, shared array<struct<digest: binary, bytes: binary>>")
-    name = f"chunk_store_{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option("path", scratch_path(spark, "store")).bucketBy(n, "media").saveAsTable(name)
-
-    store = spark.table(name)
+    store = bucketed(rows, "media", scratch_path(spark, "store"), compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
     shared = store.select(F.explode("shared").alias("x")).select("x.digest", "x.bytes")
     away = held.select("media", "seq", "digest").join(shared, "digest").groupBy("media").agg(F.collect_list(F.struct("seq", "bytes")).alias("foreign"))
     whole = store.select("media", "private").join(away, "media", "left")
