@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words that a worker remembers the hashes of before it starts anew.
 MEMO_WORDS = 1_000_000
+#: A key with over one in HOT_PARTS of all rows is dealt over several tasks; there are fewer such keys than that, so that a
+#: list of them may be broadcast. A key of at most COLD_ROWS rows is not split.
+HOT_PARTS, COLD_ROWS = 1024, 256
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +89,25 @@ def bucketed(df: DataFrame, key: str, path: str, **options: str) -> DataFrame:
     return found
 
 
+def hot_keys(counts: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """counts (key, n) to (key, _parts) for hot keys alone: fewer than HOT_PARTS rows, whatever the size of counts."""
+    total = total if total is not None else counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(COLD_ROWS, -(-total // HOT_PARTS))
+    return counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts"))
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """left joined to right on key; left's rows of a hot key are dealt by a hash of column by over parts that each have right's rows.
+
+    With how = "left", rows without a key are dealt over HOT_PARTS.
+    """
+    hot, parts = F.broadcast(hot), F.coalesce("_parts", F.lit(1))
+    dealt = F.when(F.col(key).isNull(), HOT_PARTS).otherwise(parts)
+    left = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), dealt).cast("int")).drop("_parts")
+    right = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 def merged_splits(df: DataFrame, wanted: int = 128 << 20) -> DataFrame:
     """Join neighbouring input splits up to the wanted size, but leave every core a task."""
     spark = df.sparkSession

@@ -10,6 +10,7 @@ leaders, chosen by hash so that a document meets others in each bucket, and at l
 bucket's main component with the members of other components. In open buckets four bits of 512
 coordinates are compared first inside the join, so pairs that merely share a passage never leave it.
 Two members of one component need no comparison, so no link that could join components is lost.
+Buckets, leaders, hubs and classes that hold a large share of rows are split over tasks (common.join_spread).
 
 Results at the edges: null or blank text has an empty set and is alone; fewer than five words
 make one shingle; equal word sequences are one class under its smallest id; rows that repeat a
@@ -27,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix64, read, windows
+from .common import COLD_ROWS, HOT_PARTS, WordHashes, hot_keys, join_spread, materialize, mix64, read, windows
 
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)
 #: Coordinates of the longer signature of documents in buckets that stay open, and how many of the first 128 and of all must
-#: agree in four bits before a pair is verified. At Jaccard 0.75, 98 and 392 agree on average (deviations 4.8 and 9.6); about 30
-#: pairs in a million fall short.
-DEEP, LEAST_AGREEING = 512, (78, 352)
+#: agree in four bits before a pair is verified. At Jaccard 0.75, 98 and 392 agree on average (deviations 4.8 and 9.6); two
+#: pairs in a thousand million fall short, far fewer than banding misses.
+DEEP, LEAST_AGREEING = 512, (68, 320)
 _CHUNK = 2048
 
 
@@ -143,25 +144,30 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds linked to pairs (a, b): Jaccard similarity of the full sets against the threshold."""
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean")
+    total = pairs.count()
+    hot_a, hot_b = (hot_keys(pairs.groupBy(k).agg(F.count(F.lit(1)).alias("n")), k, total) for k in ("a", "b"))
+    return join_spread(join_spread(pairs, b, "b", hot_b, "a"), a, "a", hot_a, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) links to (node, component), the smallest node reachable; alternating stars, until nothing changes."""
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges, seen = materialize(edges, "edges"), None
+    n = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hot = hot_keys(low, "u", 2 * n)
+        low = low.select("u", F.least("u", "m").alias("m"))
+        large = join_spread(both.where("v > u"), low, "u", hot, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = join_spread(large, low, "u", hot, "v")  # no node has more links here than before
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     every = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return every.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
@@ -170,40 +176,54 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return verify(pairs, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _open_buckets(member: DataFrame, comp: DataFrame) -> DataFrame:
+def _open_buckets(member: DataFrame, comp: DataFrame, hot: DataFrame) -> DataFrame:
     """(bucket, rep, comp, main) of buckets whose members lie in several components; main is the largest."""
     placed = member.select("bucket", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
     sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("bucket", "main")
-    return placed.join(main, "bucket").select("bucket", "rep", "comp", "main")
+    return join_spread(placed, main, "bucket", hot, "rep").select("bucket", "rep", "comp", "main")
 
 
 def _apart(some: DataFrame, open_: DataFrame, bits: DataFrame, once: bool = False) -> DataFrame:
     """Pairs (a, b) of a row of some and a member of its bucket in another component that may be similar.
 
-    With once, a pair leaves the join in the first of its common buckets alone.
+    With once, some are the rows outside main components, and a pair leaves the join in the first of its common buckets alone.
+    The rows of a large bucket meet in a grid: each cell has a part of some and a part of the members.
     """
+    sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("comp") != F.col("main")).alias("k"))
+    limit = max(COLD_ROWS, -(-open_.count() // HOT_PARTS))
+    columns = F.greatest(F.ceil(F.col("k") / limit).cast("int"), F.lit(1)) if once else F.lit(1)
+    grid = F.broadcast(sizes.where(F.col("n") > limit).select("bucket", columns.alias("gx"), F.ceil(F.col("n") / limit).cast("int").alias("gy")))
+
+    def dealt(rows: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        parts, copies = (F.coalesce(f"g{c}", F.lit(1)) for c in (own, other))
+        rows = rows.join(grid, "bucket", "left").withColumn(own + "_cell", F.pmod(F.xxhash64(by), parts).cast("int"))
+        return rows.withColumn(other + "_cell", F.explode(F.sequence(F.lit(0), copies - 1))).drop("gx", "gy")
+
     x = some.join(bits, "rep").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("nibbles").alias("xn"), F.col("bands").alias("xb"))
     wanted = (F.col("xc") != F.col("comp")) & maybe_similar(F.col("xn"), F.col("nibbles"))
     if once:
         wanted &= F.array_min(F.array_intersect("xb", "bands")) == F.col("bucket")
-    return x.join(open_.join(bits, "rep"), "bucket").where(wanted).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+    x, y = dealt(x, "x", "x", "y"), dealt(open_.join(bits, "rep"), "rep", "y", "x")
+    return x.join(y, ["bucket", "x_cell", "y_cell"]).where(wanted).select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_shingles, component_id, kept), one row per row."""
     sketched = materialize(sketch(docs), "sketch")
-    classes = sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    classes = sketched.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
     first = sketched.join(classes, (sketched["cls"] == classes["cls"]) & (sketched["doc_id"] == classes["rep"])).select("rep", "bands")
     banded = materialize(first.select("rep", F.explode("bands").alias("bucket")), "bands")
 
     # two leaders of each bucket by a hash of the member alone: the same ones in many buckets, so their pairs fall together
     banded = banded.withColumn("h", F.xxhash64("rep"))
-    ends = banded.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
-    member = materialize(banded.join(ends, "bucket").distinct(), "members")
+    ends = banded.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    ends = materialize(ends, "ends")
+    hot = materialize(hot_keys(ends, "bucket"), "hot")
+    member = materialize(join_spread(banded, ends.drop("n"), "bucket", hot, "rep").distinct(), "members")
     leader = member.where("h = lo or h = hi").select("bucket", F.col("rep").alias("lead"))
-    stars = member.join(leader, "bucket").where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    stars = join_spread(member, leader, "bucket", hot, "rep").where("rep <> lead").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     stars = materialize(stars, "pairs")
     ids = stars.select(F.col("a").alias("doc_id")).union(member.select("rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").join(ids, "doc_id", "left_semi")
@@ -211,28 +231,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_links(stars, texts), "links")
     comp = materialize(components(links), "components")
 
-    open_ = materialize(_open_buckets(member, comp), "open")
+    open_ = materialize(_open_buckets(member, comp, hot), "open")
     deep = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     bits = deep.mapInArrow(_deep, "rep long, nibbles array<long>").dropDuplicates(["rep"]).join(first.dropDuplicates(["rep"]), "rep")
     bits = materialize(bits, "bits")
     # in open buckets two more leaders, other ones in each bucket; then what still lies apart with all members
     seconds = open_.withColumn("h", F.xxhash64("bucket", "rep"))
     ends = seconds.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
-    seconds = seconds.join(ends, "bucket").where("h = lo or h = hi").select(open_.columns)
+    seconds = join_spread(seconds, ends, "bucket", hot, "rep").where("h = lo or h = hi").select(open_.columns)
     near = materialize(_apart(seconds, open_, bits).join(stars, ["a", "b"], "left_anti"), "pairs")
     more = materialize(_links(near, texts), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
         comp = materialize(components(links), "components")
-        open_ = materialize(_open_buckets(open_, comp), "open")
+        open_ = materialize(_open_buckets(open_, comp, hot), "open")
     rest = _apart(open_.where("comp <> main"), open_, bits, once=True)
     rest = materialize(rest.join(stars.unionByName(near), ["a", "b"], "left_anti"), "pairs")
     more = materialize(_links(rest, texts), "links")
     if not more.isEmpty():
         comp = materialize(components(links.unionByName(more)), "components")
 
-    named = sketched.select("doc_id", "cls", "n_shingles").join(classes, "cls", "left")
-    named = named.join(comp, F.col("rep") == F.col("node"), "left")
+    placed = classes.join(comp, F.col("rep") == F.col("node"), "left").select("cls", "rep", "component")
+    named = join_spread(sketched.select("doc_id", "cls", "n_shingles"), placed, "cls", hot_keys(classes, "cls"), "doc_id", "left")
     own = F.coalesce("component", "rep", "doc_id")
     return named.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.col("rep").isNull()).alias("kept"))
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, chat, langid, lmscore, media, mixing, neardup, quality, queries, tokens, warc
+from colloquy.llm import bpe, chat, common, langid, lmscore, media, mixing, neardup, quality, queries, tokens, warc
 from colloquy.llm.common import scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long"
@@ -31,24 +32,67 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_neardup_brute_force(docs, empty):
-    sets, found = {}, {}
-    for i, t, *_ in rows():
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+def components_by_brute_force(texts):
+    """{id: (component, shingles)} from all pairs."""
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
     group = {i: i for i in sets}
     for a in sorted(sets):
         for b in sorted(sets):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            if group[a] != group[b] and both and 100 * both >= 75 * len(sets[a] | sets[b]):
                 low, old = min(group[a], group[b]), {group[a], group[b]}
                 group = {k: low if v in old else v for k, v in group.items()}
-    for r in neardup.near_duplicates(docs).collect():
-        found[r.doc_id] = (r.component_id, r.n_shingles, r.kept)
-    assert found == {i: (group[i], len(sets[i]), group[i] == i) for i in sets}
+    return {i: (group[i], len(sets[i])) for i in sets}
+
+
+def test_neardup_brute_force(docs, empty):
+    wanted = components_by_brute_force([(i, t) for i, t, *_ in rows()])
+    found = {r.doc_id: (r.component_id, r.n_shingles, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    assert found == {i: (c, n, c == i) for i, (c, n) in wanted.items()}
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_neardup_hot_groups(spark, monkeypatch):
+    """Exact copies, a star and a chain of near copies, a passage that many share and nulls, each a large share of the rows, all split."""
+    monkeypatch.setattr(common, "COLD_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_PARTS", 40)
+    monkeypatch.setattr(neardup, "COLD_ROWS", 2)
+    monkeypatch.setattr(neardup, "HOT_PARTS", 40)
+    rng = random.Random(5)
+
+    def some(n):
+        return ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+
+    exact, centre, link, passage = some(40), some(120), some(80), some(60)
+    texts = [exact] * 50 + [None] * 30 + [centre]
+    for _ in range(60):
+        texts.append([*centre[: rng.randrange(100, 121)], *some(rng.randrange(6))])
+    for _ in range(40):
+        link = link[4:] + some(4)
+        texts.append(link)
+    texts += [[*passage, *some(rng.choice((8, 12, 30, 60)))] for _ in range(60)]
+    rng.shuffle(texts)
+    texts = [(i, x and " ".join(x)) for i, x in enumerate(texts)]
+    wanted = components_by_brute_force(texts)
+    found = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(7))
+    assert sorted(tuple(r) for r in found.collect()) == [(i, n, c, c == i) for i, (c, n) in sorted(wanted.items())]
+
+
+def test_join_spread(spark):
+    """Equal to a plain join, hot, cold and missing keys alike; the list of hot keys is short at every size."""
+    left = spark.range(3000).select((F.col("id") % 1000).alias("v"), F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id")).alias("u"))
+    right = spark.range(0, 2000, 2).select(F.col("id").alias("u"), (F.col("id") * 7).alias("w"))
+    hot = common.hot_keys(left.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "u")
+    assert [tuple(r) for r in hot.collect()] == [(0, 4)]
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.join_spread(left, right, "u", hot, "v", how).collect())) == sorted(map(str, left.join(right, "u", how).collect()))
+    many = spark.range(5000).select(F.col("id").alias("u"), F.lit(1000).alias("n"))
+    assert common.hot_keys(many, "u").count() == 0
+
+
 def test_bpe_styles_agree_with_library(docs, empty):
     import public_tokenizers
     import tiktoken
@@ -201,7 +245,6 @@ def tongue(rng, lang, n=40):
 
 def test_langid_held_out(spark, empty):
     """Held-out accuracy of invented languages; no text with a letter is und, whatever it holds."""
-    import random
     import zlib
 
     rng = random.Random(2)
