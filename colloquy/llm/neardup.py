@@ -10,7 +10,7 @@ leaders, chosen by hash so that a document meets others in each bucket, and at l
 bucket's main component with the members of other components. In open buckets four bits of 512
 coordinates are compared first inside the join, so pairs that merely share a passage never leave it.
 Two members of one component need no comparison, so no link that could join components is lost.
-Buckets, leaders, hubs and classes that hold a large share of rows are split over tasks (common.join_spread).
+Buckets, hubs and classes that hold a large share of rows are split over tasks (common.join_spread).
 
 Results at the edges: null or blank text has an empty set and is alone; fewer than five words
 make one shingle; equal word sequences are one class under its smallest id; rows that repeat a
@@ -144,9 +144,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds linked to pairs (a, b): Jaccard similarity of the full sets against the threshold."""
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    total = pairs.count()
-    hot_a, hot_b = (hot_keys(pairs.groupBy(k).agg(F.count(F.lit(1)).alias("n")), k, total) for k in ("a", "b"))
-    return join_spread(join_spread(pairs, b, "b", hot_b, "a"), a, "a", hot_a, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean")
+    # texts are wide and nothing is grouped behind these joins, so Spark itself splits a leader's pairs
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
