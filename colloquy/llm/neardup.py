@@ -34,7 +34,7 @@ BANDS, ROWS = 32, 4
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)
 #: Coordinates of the longer signature of documents in buckets that stay open, and how many of the first 128 and of all must
-#: agree in four bits before a pair is verified. At Jaccard 0.75, 98 and 392 agree on average (deviations 4.8 and 9.6); about 30
+#: agree in four bits before a pair is verified. At Jaccard 0.75, 98 and 392 agree on average (deviations 4.8 and 9.6); about 50
 #: pairs in a million fall short. Lower limits let pairs of similarity 0.6 out of the join, whose number is that of a group squared.
 DEEP, LEAST_AGREEING = 512, (78, 352)
 _CHUNK = 2048
