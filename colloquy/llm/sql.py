@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lmscore, mixing, warc
+from . import chat, fim, lmscore, mixing, warc
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -93,5 +93,52 @@ SELECT doc_id, size, source_size, target, size * (whole + (part <= coalesce(last
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN last ON d.source IS NOT DISTINCT FROM last.source"""
 
 
+def fim_sql() -> str:
+    """Cuts by left() and substr() over code points."""
+    h = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    marks = " OR ".join(f"contains(text, '{x}')" for x in (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+    p, m, s = "left(text, a)", "substr(text, a + 1, b - a)", "substr(text, b + 1)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{fim.SALT}' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (SELECT doc_id, text, length(text) AS n, {h} FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, CASE WHEN text = '' OR {marks} OR h3 % 100 >= {fim.PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {fim.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM x)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{fim.PREFIX}' || {p} || '{fim.SUFFIX}' || {s} || '{fim.MIDDLE}' || {m} ELSE '{fim.SUFFIX}' || {s} || '{fim.PREFIX}' || {p} || '{fim.MIDDLE}' || {m} END) AS output_sha256, sha256(text) AS restored_sha256 FROM f"""
+
+
+def repair_sql() -> str:
+    """The four least audits turn by turn in a recursion; a state is eight digits of cost, then the audit."""
+    crc = _sql_crc32("key")
+    add = lambda x, cost, edit: f"(lpad(((left({x}, 8))::BIGINT + {cost})::VARCHAR, 8, '0') || substr({x}, 9) || {edit})"
+    u, a = f"least(u, {add('n', 2, chr(39) + 'I' + chr(39))}, {add('s', 2, chr(39) + 'I' + chr(39))}, {add('a', 2, chr(39) + 'I' + chr(39))})", f"least(a, {add('ui', 2, chr(39) + 'I' + chr(39))})"
+    gone = lambda x: add(x, 3, "'D'")
+    stay = lambda x, role: f"CASE WHEN may THEN {add(x, f'cut + CASE WHEN i1 = {role} THEN 0 ELSE 2 END', f'CASE WHEN i1 = {role} THEN {chr(39)}K{chr(39)} ELSE {chr(39)}R{chr(39)} END')} END"
+    return rf"""WITH RECURSIVE c AS MATERIALIZED (SELECT row_number() OVER () AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+z AS MATERIALIZED (SELECT *, {crc} % 20 AS kind FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM z WHERE kind <> 0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN said = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS i1 FROM o),
+g AS (SELECT f.*, fault IN ('', 'truncated') AS may, (fault = 'truncated')::INT AS cut, f.i1 || lead(i1) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM f),
+r AS (SELECT conv_id, 0::BIGINT AS i, '00000000' AS n, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM (SELECT DISTINCT conv_id FROM c)
+UNION ALL SELECT conv_id, i, {gone("n")}, CASE WHEN may AND i1 = 's' THEN coalesce(least({gone("s")}, {add("n", "cut", "'K'")}), {add("n", "cut", "'K'")}) ELSE {gone("s")} END, least({gone("ui")}, {stay("least(n, s, ai)", "'u'")}), least({gone("ai")}, {stay("ui", "'a'")})
+FROM (SELECT *, {a} AS ai FROM (SELECT r.conv_id, g.i, n, s, a, {u} AS ui, may, cut, i1 FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1))),
+e AS (SELECT conv_id, n, s, a, {u} AS ui FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+best AS MATERIALIZED (SELECT conv_id, least(n, {a}) AS x FROM e),
+audits AS MATERIALIZED (SELECT conv_id, left(x, 8)::BIGINT AS cost, substr(x, 9) AS audit FROM best),
+edits AS (SELECT conv_id, audit, p, substr(audit, p, 1) AS edit FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM audits)),
+places AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM edits),
+made AS (SELECT y.*, g.role, g.text, y.edit <> 'D' AND NOT (y.edit = 'K' AND g.i1 = 's') AS counts FROM places y LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM y.conv_id AND g.i = y.i AND y.edit <> 'I'),
+lines AS (SELECT *, CASE WHEN count(*) FILTER (counts) OVER (PARTITION BY conv_id ORDER BY p) % 2 = 1 THEN 'user' ELSE 'assistant' END AS due FROM made),
+whole AS (SELECT conv_id, string_agg(CASE edit WHEN 'K' THEN role ELSE due END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p) FILTER (edit <> 'D') AS repaired FROM lines GROUP BY conv_id),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id)
+SELECT t.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM audits t LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN whole ON whole.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
+def _sql_crc32(text: str) -> str:
+    """crc32 of an ASCII text, eight bits a character."""
+    bits = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+    return f"(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)), lambda x, y: xor(x >> 8, ({bits})[(xor(x, y) & 255) + 1])), 4294967295))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat_sql(), "op3_lmscore": lmscore_sql(), "op6_warc": warc_sql(), "op9_neardup": neardup_sql(), "op10_mixing": mixing_sql()}
+    return {"op1_chat": chat_sql(), "op3_lmscore": lmscore_sql(), "op6_warc": warc_sql(), "op9_neardup": neardup_sql(), "op10_mixing": mixing_sql(), "op12_fim": fim_sql(), "op13_repair": repair_sql()}
