@@ -13,8 +13,9 @@ from . import config
 from .functions import answers as A
 from .operators import datasets as D
 from .plans import deliberation as P
+from .plans import dpo, prompts, training
 from .plans import evaluation as E
-from .plans import prompts, training
+from .plans import generation as G
 from .sources import datasets, stores
 from .streaming import metrics
 
@@ -32,10 +33,9 @@ LANGUAGES = ("en", "fr", "de", "es")
 
 
 def _choice_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents as questions for their language, a letter of four choices."""
+    """Documents as questions for their language, a letter of four choices."""
     index = F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")).cast("int") - 1
-    docs = _read(spark, d, "documents").join(_read(spark, d, "labels").select("doc_id"), "doc_id")
-    return docs.select(F.col("doc_id").alias("sample_id"), F.coalesce("text", F.lit("")).alias("question"), D.choice_answer(index, F.lit(None).cast("string"), F.lit(4)).alias("answer"), F.array(*map(F.lit, LANGUAGES)).alias("choices"))
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.coalesce("text", F.lit("")).alias("question"), D.choice_answer(index, F.lit(None).cast("string"), F.lit(4)).alias("answer"), F.array(*map(F.lit, LANGUAGES)).alias("choices"))
 
 
 def standardize_yes_no(spark, d):
@@ -107,7 +107,7 @@ def natural_deliberation(spark, d):
     return _turns(spark, d).select("sample_id", "round", "actor_response", "critic_response", "actor_answer")
 
 
-CHOOSER = P.canned_responder(P.CANNED_CHOICE)
+CHOOSER = G.canned_responder(G.CANNED_CHOICE)
 
 
 def choice_deliberation(spark, d):
@@ -116,12 +116,12 @@ def choice_deliberation(spark, d):
 
 def mixed_deliberation(spark, d):
     """Yes/no replies where a letter may stand, as mixed tasks have them."""
-    return P.deliberate(_choice_samples(spark, d), 2, P.canned_responder(P.CANNED + P.CANNED_CHOICE), "bbh").select("sample_id", "round", "actor_response", "actor_answer")
+    return P.deliberate(_choice_samples(spark, d), 2, G.canned_responder(G.CANNED + G.CANNED_CHOICE), "bbh").select("sample_id", "round", "actor_response", "actor_answer")
 
 
 def choice_rewards(spark, d):
     turns = P.with_earlier(P.deliberate(_choice_samples(spark, d), 2, CHOOSER, "mmlu"))
-    return P.rewards(turns, ["sample_id", "round"], 5, CHOOSER, "mmlu").withColumn("reward", F.round("reward", 9))
+    return P.rewards(turns, ["sample_id", "round"], 5, CHOOSER, "mmlu").select("sample_id", "round", F.round("reward", 9).alias("reward"))
 
 
 def guided_round(spark, d):
@@ -153,7 +153,7 @@ def flip_statistics(spark, d):
 
 def rollout_reward(spark, d):
     out = P.rewards(P.with_earlier(_turns(spark, d)), ["sample_id", "round"], 5)
-    return out.withColumn("reward", F.round("reward", 9))
+    return out.select("sample_id", "round", F.round("reward", 9).alias("reward"))
 
 
 def _pairs(spark, d):
@@ -233,13 +233,16 @@ def split_fallback(spark, d):
 
 
 def settings_merge(spark, d):
-    """Common settings under a step's, key by key."""
-    tree = config.Settings(config.DEFAULTS, {"seed": 7, "deliberation": {"rounds": 3}}, {"deliberation": {"simulations": 2}}).section("deliberation")
-    return spark.createDataFrame(sorted((k, float(v)) for k, v in tree.items()), "name string, value double")
+    """Each user's settings, event by event, merged key by key: later layers win where they have a value."""
+    layers = _read(spark, d, "events").select("user_id", F.col("event_type").alias("name"), "ts", "event_id", F.nullif(F.from_json("props", "k long")["k"] % 7, F.lit(0)).alias("value"))
+    return config.merged_layers(layers, ["user_id"], "name", ["ts", "event_id"], "value")
 
 
 def dataset_tasks(spark, d):
-    return spark.createDataFrame([(n, datasets.spec_of(n).task_type, len(prompts.TYPES)) for n in prompts.datasets()], "dataset string, task_type string, n_prompts int")
+    """Documents dealt over the registered sets and one that is unknown, by task type."""
+    names = F.array(*map(F.lit, (*prompts.datasets(), "none")))
+    rows = _read(spark, d, "documents").select("doc_id", F.get(names, F.pmod("doc_id", F.lit(6)).cast("int")).alias("dataset"))
+    return datasets.with_task(rows).groupBy("dataset", "task_type", "known").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
 def extract_mixed(spark, d):
@@ -281,6 +284,18 @@ def render_prompts_alias(spark, d):
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
+SET_NAMES = ("arc", "bbh", "boolq", "mmlu", "sciq", "none")
+
+
+def render_mixed_datasets(spark, d):
+    """Prompts of five data sets and six types in one plan; the sixth set has no template."""
+    kinds = F.array(*[F.struct(F.lit(t).alias("prompt_type")) for t in prompts.TYPES])
+    docs = _read(spark, d, "documents").select("doc_id", "text", "source", "lang", F.get(F.array(*map(F.lit, SET_NAMES)), F.pmod("doc_id", F.lit(6)).cast("int")).alias("dataset"), F.explode(kinds).alias("k")).select("*", "k.*").drop("k")
+    choices = F.when(F.pmod("doc_id", F.lit(5)) == 0, F.array(F.lit("en"), F.lit("fr"))).otherwise(F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.coalesce("lang", F.lit(""))))
+    values = prompts.values_of(F.concat_ws(" ", "source", F.lit("{choice_b}")), F.col("text"), choices, F.array(F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))), F.col("lang"), F.col("source"))
+    return prompts.render_rows(docs, values, F.size(choices)).select("doc_id", "dataset", "prompt_type", F.md5("prompt").alias("prompt_md5"))
+
+
 def unstratified_split(spark, d):
     rows = _read(spark, d, "documents").select("doc_id", F.lit("all").alias("_all"))
     return D.stratified_split(rows, "_all", "doc_id").select("doc_id", "split")
@@ -297,6 +312,57 @@ def split_statistics(spark, d):
     return found.select("split", "n", F.array_join("task_types", ",").alias("task_types"), "avg_question_length", F.coalesce(F.try_element_at("answer_distribution", F.lit("yes")), F.lit(0).cast("long")).alias("n_yes"))
 
 
+REFUSED_EVERY = 200
+
+
+def reply_quarantine(spark, d):
+    """Pairs where some prompts of each stage are refused: samples of which a reply failed have the reason in place of pairs."""
+    respond = G.refusing_responder(G.canned_responder(), REFUSED_EVERY)
+    pairs, failed = training.generate_pairs(spark, _samples(spark, d), stores.scratch(spark, "quarantine"), "critic", 0, respond, rounds=3)
+    columns = ("sample_id", "round", "direction", "positive", "negative")
+    return pairs.select(*columns, F.round("delta", 9).alias("delta"), F.lit(None).cast("string").alias("error")).unionByName(failed, allowMissingColumns=True)
+
+
+def resumed_pairs(spark, d):
+    """Pairs by batches on a ledger, in two runs: the second has samples that the first had not."""
+    root, samples = stores.scratch(spark, "resumed"), _samples(spark, d)
+    training.generate_resumably(spark, samples.where("answer = 'yes'"), root, "critic", 0, batches=2, rounds=3)
+    return training.generate_resumably(spark, samples, root, "critic", 0, batches=2, rounds=3)[0].select(*_PAIR)
+
+
+def generated_samples(spark, d):
+    """Three draws a prompt over the benchmark's items, cut at a stop string."""
+    sampling = G.Sampling(n=3, max_tokens=16, stop=(";", "fits"))
+    out = G.generate(_read(spark, d, "benchmark").select("item_id", "text"), F.concat(F.lit("Is this so? "), F.coalesce("text", F.lit(""))), G.CannedModel, sampling, budget=4096)
+    return G.samples_of(out.drop("text")).select("item_id", "draw", "text", "error")
+
+
+def array_roundtrip(spark, d):
+    """Pairs as JSON arrays, a file a task, read back by as many tasks as there are bytes."""
+    path = stores.scratch(spark, "array")
+    stores.write_array(_pairs(spark, d), path, files=None)
+    return stores.read_array(spark, path).select(*_PAIR)
+
+
+OBJECTIVE = dpo.Objective(beta=0.5, nll=0.25, rate=2.0)
+
+
+def dpo_steps(spark, d):
+    """Losses of the actor's policy before and after one step on its preference rows."""
+    path = stores.scratch(spark, "dpo")
+    dpo.packed(training.preference_rows(_pairs(spark, d)).where("agent = 'actor'")).write.parquet(path)
+    rows, reference = spark.read.parquet(path), [0.0] * dpo.BUCKETS
+    weights, out = reference, []
+    for i in range(2):
+        found = dpo.step(rows, weights, reference, OBJECTIVE)
+        if found is None:
+            break
+        out.append((i, found.loss, found.dpo, found.nll, found.preferred))
+        weights = [w - OBJECTIVE.rate * g for w, g in zip(weights, found.gradient, strict=True)]
+    rounded = [F.round(c, 9).alias(c) for c in ("loss", "dpo", "nll", "preferred")]
+    return spark.createDataFrame(out, "step int, loss double, dpo double, nll double, preferred double").select("step", *rounded)
+
+
 def early_stopping_fold(spark, d):
     days = _read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("a"))
     series = days.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "a"))), lambda x: x["a"]).alias("series"))
@@ -304,8 +370,14 @@ def early_stopping_fold(spark, d):
 
 
 def config_resolve(spark, d):
-    flat = config.resolve({"seed": 42, "rounds": 5, "simulations": 5, "patience": 0}, {"seed": 7, "rounds": 3, "unknown": 1}, {"simulations": None, "rounds": 2}, {"seed", "rounds"})
-    return spark.createDataFrame(sorted(flat.items()), "name string, value int")
+    """Flat settings of each event: defaults under the common ones that are shared, under the step's; nulls and unknown names change nothing."""
+    entry = lambda k, v: (F.lit(k), v.cast("long"))
+    k = F.from_json("props", "k long")["k"]
+    defaults = F.create_map(*entry("seed", F.lit(42)), *entry("rounds", F.lit(5)), *entry("patience", F.lit(0)))
+    common = F.create_map(*entry("seed", F.col("user_id")), *entry("patience", k), *entry("unknown", F.lit(1)))
+    step = F.create_map(*entry("rounds", F.when(F.col("event_type") == "click", 2)), *entry("seed", F.when(k > 50, k)))
+    found = config.resolve_column(defaults, common, step, ("seed",))
+    return _read(spark, d, "events").select("event_id", *[F.element_at(found, x).alias(x) for x in ("seed", "rounds", "patience")])
 
 
 def error_quarantine(spark, d):
@@ -338,15 +410,19 @@ NAMES = (
     detect_model_type, metrics_jsonl_parse, metric_windows, natural_deliberation, choice_deliberation, mixed_deliberation, choice_rewards, guided_round,
     per_round_accuracy, per_round_delta, flip_statistics, sample_details, correct_at_each_round, evaluate_benchmark, rollout_reward,
     preference_pairs, pairs_min_delta, prefs_actor, prefs_critic, pair_cache_roundtrip, pairs_jsonl_roundtrip, preferences_roundtrip, results_roundtrip, metric_log_roundtrip,
-    render_prompts_yes_no, render_prompts_choice, render_prompts_alias, early_stopping_fold, config_resolve, settings_merge, dataset_tasks, error_quarantine, isolated_task,
+    render_prompts_yes_no, render_prompts_choice, render_prompts_alias, render_mixed_datasets,
+    reply_quarantine, resumed_pairs, generated_samples, array_roundtrip, dpo_steps, early_stopping_fold, config_resolve, settings_merge, dataset_tasks, error_quarantine, isolated_task,
 )
 
 _S = "SELECT d.doc_id AS sample_id, 'Is document ' || d.doc_id || ' good?' AS question, coalesce(d.text, '') AS passage, CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS answer FROM documents d JOIN labels l USING (doc_id)"
 _SPLIT = "SELECT doc_id, lang, CASE WHEN r <= floor(n * 0.25::DOUBLE) THEN 'test' WHEN r <= floor(n * 0.25::DOUBLE) + floor(n * 0.10::DOUBLE) THEN 'validation' ELSE 'train' END AS split FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM documents)"
 
 
-def _sql_respond(role: str, prompt: str, sim: str = "'0'", replies: tuple[str, ...] = P.CANNED) -> str:
+def _sql_respond(role: str, prompt: str, sim: str = "'0'", replies: tuple[str, ...] = G.CANNED, every: int = 0) -> str:
+    """The canned reply; with every, null for prompts that are refused."""
     canned = ", ".join("'" + x.replace("'", "''") + "'" for x in replies)
+    if every:
+        return f"CASE WHEN ('0x' || substr(md5({prompt}), 7, 6))::BIGINT % {every} <> 0 THEN {_sql_respond(role, prompt, sim, replies)} END"
     return f"([{canned}])[1 + (('0x' || substr(md5('{role}|42|' || {sim} || '|' || {prompt}), 1, 6))::BIGINT % {len(replies)})]"
 
 
@@ -361,13 +437,13 @@ def _sql_person(n: str, said: str) -> str:
     return f"'\nPerson ' || ({n}) || ' said: ' || {said}"
 
 
-def _sql_turns(rounds: int, dataset: str = "boolq", samples: str = "", replies: tuple[str, ...] = P.CANNED) -> str:
+def _sql_turns(rounds: int, dataset: str = "boolq", samples: str = "", replies: tuple[str, ...] = G.CANNED, every: int = 0) -> str:
     reader = {"yes_no": _YES_NO, "multiple_choice": _CHOICE, "mixed": f"coalesce({_CHOICE}, {_YES_NO})"}[prompts.task_type(dataset)]
     sql, previous, history = f"WITH s AS ({samples or _S})", "s", "''"
     for t in range(rounds):
         prompt = _sql_prompt(dataset, "single_shot") if t == 0 else _sql_prompt(dataset, "deliberation", responses_text=f"({history})")
         critic = _sql_prompt(dataset, "critic", actor_response=f"a{t}")
-        sql += f", x{t} AS (SELECT *, {prompt} AS p{t}, {_sql_respond('actor', prompt, replies=replies)} AS a{t} FROM {previous}), y{t} AS (SELECT *, {critic} AS q{t}, {_sql_respond('critic', critic, replies=replies)} AS c{t} FROM x{t})"
+        sql += f", x{t} AS (SELECT *, {prompt} AS p{t}, {_sql_respond('actor', prompt, replies=replies, every=every)} AS a{t} FROM {previous}), y{t} AS (SELECT *, {critic} AS q{t}, {_sql_respond('critic', critic, replies=replies, every=every)} AS c{t} FROM x{t})"
         previous, history = f"y{t}", f"{history} || {_sql_person(str(2 * t + 1), f'a{t}')} || {_sql_person(str(2 * t + 2), f'c{t}')}"
     columns = "sample_id, question, answer" + (", passage" if not samples else "")
     parts = " UNION ALL ".join(f"SELECT {columns}, {t}::INT AS round, p{t} AS actor_prompt, q{t} AS critic_prompt, a{t} AS actor_response, c{t} AS critic_response, {reader.replace('text', f'a{t}')} AS actor_answer FROM y{rounds - 1}" for t in range(rounds))
@@ -375,15 +451,15 @@ def _sql_turns(rounds: int, dataset: str = "boolq", samples: str = "", replies:
     return f"{sql}, said AS ({parts}), turns AS (SELECT *, coalesce({seen}, '') AS h FROM said), scored AS (SELECT *, CASE WHEN coalesce(left(actor_answer, 1), '') = upper(left(answer, 1)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM turns) "
 
 
-def _sql_simulated(source: str, dataset: str = "boolq", replies: tuple[str, ...] = P.CANNED, a: str = "actor_response", c: str = "critic_response") -> str:
+def _sql_simulated(source: str, dataset: str = "boolq", replies: tuple[str, ...] = G.CANNED, a: str = "actor_response", c: str = "critic_response", every: int = 0) -> str:
     """Rows of source, which has h, with ok of each of five simulated replies."""
     prompt = _sql_prompt(dataset, "deliberation", responses_text=f"(h || {_sql_person('round + 1', a)} || {_sql_person('round + 2', c)})")
     reader = (_CHOICE if prompts.task_type(dataset) == "multiple_choice" else _YES_NO).replace("text", "reply")
-    replied = f"SELECT *, {_sql_respond('actor', prompt, 'sim', replies)} AS reply FROM {source}, (SELECT unnest(['1', '2', '3', '4', '5']) AS sim)"
+    replied = f"SELECT *, {_sql_respond('actor', prompt, 'sim', replies, every)} AS reply FROM {source}, (SELECT unnest(['1', '2', '3', '4', '5']) AS sim)"
     return f"SELECT *, CASE WHEN coalesce(left({reader}, 1), '') = upper(left(answer, 1)) AND answer <> '' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ok FROM ({replied})"
 
 
-_CHOICES = "SELECT d.doc_id AS sample_id, coalesce(d.text, '') AS question, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' WHEN 'de' THEN 'C' WHEN 'es' THEN 'D' END AS answer FROM documents d JOIN labels l USING (doc_id)"
+_CHOICES = "SELECT d.doc_id AS sample_id, coalesce(d.text, '') AS question, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' WHEN 'de' THEN 'C' WHEN 'es' THEN 'D' END AS answer FROM documents d"
 
 
 def _sql_first(patterns: tuple[str, ...], text: str = "text") -> str:
@@ -397,16 +473,16 @@ _YES_NO = f"upper(coalesce({_sql_first(A.YES_NO)}, nullif(regexp_extract(text, '
 _CHOICE = f"upper(coalesce({_sql_first((*A.CHOICE[:-1], _LONE_LETTER))}))"
 
 
-def _sql_pairs() -> str:
+def _sql_pairs(late: str = "SELECT * FROM turns WHERE round >= 1", every: int = 0) -> str:
     """Pairs of three rounds, from CTE turns."""
     guided, steered = _sql_prompt("boolq", "guided_deliberation", responses_text="h", target_answer="target"), _sql_prompt("boolq", "guided_critic", actor_response="a", target_answer="target")
     texts = ", ".join(f"max({x}) FILTER (variant = '{v}') AS {v}_{x}" for v in ("natural", "right", "wrong") for x in "ac")
     means = ", ".join(f"avg(ok) FILTER (variant = '{v}') AS {v}_v" for v in ("natural", "right", "wrong"))
-    return f""", late AS (SELECT * FROM turns WHERE round >= 1),
+    return f""", late AS ({late}),
 variants AS (SELECT *, 'natural' AS variant, '' AS target FROM late UNION ALL SELECT *, 'right', answer FROM late UNION ALL SELECT *, 'wrong', CASE answer WHEN 'yes' THEN 'no' ELSE 'yes' END FROM late),
-acted AS (SELECT *, CASE variant WHEN 'natural' THEN actor_response ELSE {_sql_respond('actor', guided)} END AS a FROM variants),
-both_said AS (SELECT *, CASE variant WHEN 'natural' THEN critic_response ELSE {_sql_respond('critic', steered)} END AS c FROM acted),
-simulated AS ({_sql_simulated('both_said', a='a', c='c')}),
+acted AS (SELECT *, CASE variant WHEN 'natural' THEN actor_response ELSE {_sql_respond('actor', guided, every=every)} END AS a FROM variants),
+both_said AS (SELECT *, CASE variant WHEN 'natural' THEN critic_response ELSE {_sql_respond('critic', steered, every=every)} END AS c FROM acted),
+simulated AS ({_sql_simulated('both_said', a='a', c='c', every=every)}),
 wide AS (SELECT sample_id, round, any_value(actor_prompt) AS actor_prompt, any_value(critic_prompt) AS critic_prompt, {texts}, {means} FROM simulated GROUP BY sample_id, round),
 pairs AS (SELECT sample_id, actor_prompt, critic_prompt, right_a AS positive, natural_a AS negative, right_c AS positive_critic, natural_c AS negative_critic, round, round(right_v - natural_v, 9) AS delta, 'towards' AS direction FROM wide WHERE right_v - natural_v >= 0
 UNION ALL SELECT sample_id, actor_prompt, critic_prompt, natural_a, wrong_a, natural_c, wrong_c, round, round(natural_v - wrong_v, 9), 'away' FROM wide WHERE right_v - natural_v < 0 AND natural_v - wrong_v >= 0) """
@@ -421,6 +497,54 @@ def _sql_prompts(dataset: str) -> str:
     return f"SELECT doc_id, {', '.join(columns)} FROM (SELECT doc_id, text, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)"
 
 
+def _sql_mixed() -> str:
+    """Each set's templates by concatenation; with two choices, names put in one after another."""
+    base = {"question": "concat_ws(' ', source, '{choice_b}')", "passage": "coalesce(text, '')", "choice_a": "'en'", "choice_b": "'fr'", "choice_c": "'de'", "choice_d": "coalesce(lang, '')", "target_answer": "coalesce(lang, '')", "responses_text": "'\nPerson 1 said: ' || coalesce(source, '') || '\nPerson 2 said: ' || coalesce(lang, '')", "actor_response": "coalesce(source, '')"}
+    cases = []
+    for name in SET_NAMES[:-1]:
+        for t in prompts.TYPES:
+            text = prompts.template(name, t)
+            whole = " || ".join(base[x] if i % 2 else f"'{x}'" for i, x in enumerate(re.split(r"\{(\w+)\}", text)))
+            put = f"'{text}'"
+            for x in prompts.ORDER:
+                if x not in ("choice_c", "choice_d"):
+                    put = f"replace({put}, '{{{x}}}', {base[x]})"
+            two = f"WHEN dataset = '{name}' AND prompt_type = '{t}' AND doc_id % 5 = 0 THEN {put} " if "{choice_a}" in text else ""
+            cases.append(f"{two}WHEN dataset = '{name}' AND prompt_type = '{t}' THEN {whole}")
+    return f"SELECT doc_id, dataset, prompt_type, md5(CASE {' '.join(cases)} END) AS prompt_md5 FROM (SELECT *, ([{', '.join(repr(x) for x in SET_NAMES)}])[1 + doc_id % 6] AS dataset, unnest([{', '.join(repr(x) for x in prompts.TYPES)}]) AS prompt_type FROM documents)"
+
+
+def _sql_quarantine() -> str:
+    """A sample's first failed turn, else the least of its later errors; pairs of samples without."""
+    n = REFUSED_EVERY
+    first = "arg_min(CASE WHEN actor_response IS NULL THEN 'round ' || round || ' actor: refused' ELSE 'round ' || round || ' critic: refused' END, round) FILTER (actor_response IS NULL OR critic_response IS NULL)"
+    late = "SELECT turns.* FROM turns JOIN bad USING (sample_id) WHERE round >= 1 AND error IS NULL"
+    said = _sql_turns(3, every=n) + f", bad AS (SELECT sample_id, {first} AS error FROM turns GROUP BY sample_id)" + _sql_pairs(late, n)
+    later = "CASE WHEN a IS NULL THEN 'round ' || round || ' guided actor: refused' WHEN c IS NULL THEN 'round ' || round || ' guided critic: refused' WHEN reply IS NULL THEN 'round ' || round || ' simulated actor: refused' END"
+    return said + f""", worse AS (SELECT sample_id, min({later}) AS error FROM simulated GROUP BY sample_id),
+gone AS (SELECT sample_id, coalesce(bad.error, worse.error) AS error FROM bad LEFT JOIN worse USING (sample_id) WHERE coalesce(bad.error, worse.error) IS NOT NULL)
+SELECT sample_id, round, direction, positive, negative, delta, NULL::VARCHAR AS error FROM pairs WHERE sample_id NOT IN (SELECT sample_id FROM gone)
+UNION ALL SELECT sample_id, NULL::INT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, error FROM gone"""
+
+
+def _sql_dpo(pairs: str) -> str:
+    """Loss at equal weights, the gradient there by bucket, and the loss after one step; buckets without a word share one weight."""
+    b, o = f"{dpo.BUCKETS}.0::DOUBLE", OBJECTIVE
+    words = lambda c: f"regexp_extract_all(lower(coalesce({c}, '')), '[^\\x20\\x09-\\x0D]+')"
+    return f"""{pairs}, p AS (SELECT row_number() OVER () AS i, {words("positive")} AS yes, {words("negative")} AS no FROM pairs),
+x AS (SELECT i, len(yes)::DOUBLE AS ny, len(no)::DOUBLE AS nn FROM p), total AS (SELECT count(*)::DOUBLE AS n FROM p),
+w AS (SELECT i, unnest(yes) AS word, 1.0::DOUBLE AS y, 0.0::DOUBLE AS o FROM p UNION ALL SELECT i, unnest(no), 0.0::DOUBLE, 1.0::DOUBLE FROM p),
+f AS (SELECT i, ('0x' || substr(md5(word), 1, 8))::BIGINT % {dpo.BUCKETS} AS bucket, sum(y) AS y, sum(o) AS o FROM w GROUP BY ALL),
+g AS (SELECT bucket, sum(({-o.beta / 2}::DOUBLE) * (y - f.o) - {o.nll}::DOUBLE * y / greatest(ny, 1)) / (SELECT n FROM total) AS g FROM f JOIN x USING (i) GROUP BY bucket),
+drawn AS (SELECT sum(g) AS s, count(*) AS seen FROM g),
+v AS (SELECT bucket, -{o.rate}::DOUBLE * (g - s / {b}) AS v FROM g, drawn), u AS (SELECT -{o.rate}::DOUBLE * (-s / {b}) AS u, seen FROM drawn),
+z AS (SELECT ln((SELECT sum(exp(v)) FROM v) + ({b} - seen) * exp(u)) AS z FROM u),
+r AS (SELECT i, sum((y - o) * v) AS d, sum(y * v) AS y FROM f JOIN v USING (bucket) GROUP BY i),
+m AS (SELECT x.i, coalesce(d, 0) - (ny - nn) * (z - ln({b})) AS m, (ny * z - coalesce(y, 0)) / greatest(ny, 1) AS nll FROM x LEFT JOIN r USING (i), z),
+l AS (SELECT 0::INT AS step, avg(ln(2.0::DOUBLE)) AS dpo, avg(ny * ln({b}) / greatest(ny, 1)) AS nll, 0.0::DOUBLE AS preferred FROM x UNION ALL SELECT 1::INT, avg(ln(1 + exp(-{o.beta}::DOUBLE * m))), avg(nll), avg((m > 0)::INT::DOUBLE) FROM m)
+SELECT step, round(dpo + {o.nll}::DOUBLE * nll, 9) AS loss, round(dpo, 9) AS dpo, round(nll, 9) AS nll, round(preferred, 9) AS preferred FROM l"""
+
+
 _STOP = """WITH RECURSIVE days AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, a FROM (SELECT event_type, ts::DATE AS day, round(avg(value), 6) AS a FROM events GROUP BY ALL)),
 f AS (SELECT event_type, 0::BIGINT AS i, '-infinity'::DOUBLE AS best, 0 AS waited, 0 AS ran FROM (SELECT DISTINCT event_type FROM days)
 UNION ALL SELECT f.event_type, d.i, CASE WHEN d.a > best THEN d.a ELSE best END, CASE WHEN d.a > best THEN 0 ELSE waited + 1 END, ran + 1 FROM f JOIN days d ON d.event_type = f.event_type AND d.i = f.i + 1 WHERE waited < 2)
@@ -430,10 +554,11 @@ SELECT event_type, max(ran) AS ran FROM f GROUP BY event_type"""
 def oracle_sql() -> dict[str, str]:
     z = 1.959963984540054
     # a letter is none of the choices' texts, so one of all four is drawn: that of random.Random(42).choice
-    wrong = "'EN'"
+    wrong = "CASE WHEN answer IS NOT NULL THEN 'EN' END"
     argued = f"CASE WHEN round = 0 THEN {_sql_prompt('mmlu', 'guided_single_shot', target_answer='target')} ELSE {_sql_prompt('mmlu', 'guided_deliberation', responses_text='h', target_answer='target')} END"
     steered = _sql_prompt("mmlu", "guided_critic", actor_response="a", target_answer="target")
     pairs = _sql_turns(3) + _sql_pairs()
+    prompted = "'Is this so? ' || coalesce(text, '')"
     return {
         "standardize_yes_no": _S,
         "standardize_mc": "SELECT doc_id, CASE lang WHEN 'en' THEN 'A' WHEN 'fr' THEN 'B' WHEN 'de' THEN 'C' WHEN 'es' THEN 'D' END AS answer, 'A,B,C,D' AS labels FROM documents",
@@ -459,7 +584,13 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "render_prompts_yes_no": _sql_prompts("boolq"),
         "render_prompts_choice": _sql_prompts("mmlu"),
         "early_stopping_fold": _STOP,
-        "config_resolve": "SELECT * FROM (VALUES ('seed', coalesce(NULL, 7, 42)), ('rounds', coalesce(2, 3, 5)), ('simulations', coalesce(NULL, NULL, 5)), ('patience', coalesce(NULL, NULL, 0))) AS t(name, value)",
+        "config_resolve": "SELECT event_id, coalesce(CASE WHEN k > 50 THEN k END, user_id, 42)::BIGINT AS seed, CASE WHEN event_type = 'click' THEN 2 ELSE 5 END::BIGINT AS rounds, 0::BIGINT AS patience FROM (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events)",
+        "render_mixed_datasets": _sql_mixed(),
+        "reply_quarantine": _sql_quarantine(),
+        "resumed_pairs": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",
+        "array_roundtrip": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",
+        "generated_samples": f"SELECT item_id, draw, string_split(string_split({_sql_respond('actor', prompted, 'draw::VARCHAR')}, ';')[1], 'fits')[1] AS text, NULL::VARCHAR AS error FROM benchmark, (SELECT unnest([0, 1, 2])::INT AS draw)",
+        "dpo_steps": _sql_dpo(pairs),
         "error_quarantine": "SELECT event_id, CASE WHEN k < 50 THEN k END::VARCHAR AS k, CASE WHEN k IS NULL THEN 'no k' WHEN k >= 50 THEN 'k out of range: ' || k END AS error FROM (SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events)",
         "metric_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS phase, 'value' AS metric, count(value) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
         "normalize_answers": "SELECT o_orderkey, upper(substr(trim(o_orderpriority), 1, 1)) AS answer FROM orders",
@@ -475,10 +606,10 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "per_round_delta": _sql_turns(3) + "SELECT round, delta FROM (SELECT round, round(a - lag(a) OVER (ORDER BY round), 9) AS delta FROM (SELECT round, avg(ok) AS a FROM scored GROUP BY round)) WHERE delta IS NOT NULL",
         "flip_statistics": _sql_turns(3) + "SELECT " + ", ".join(f"count(*) FILTER (i = {i} AND f = {f}) AS n_{i}{f}" for i in (0, 1) for f in (0, 1)) + " FROM (SELECT (arg_min(coalesce(actor_answer, ''), round) = upper(any_value(answer)))::INT AS i, (arg_max(coalesce(actor_answer, ''), round) = upper(any_value(answer)))::INT AS f FROM turns GROUP BY sample_id)",
         "rollout_reward": _sql_turns(3) + f"SELECT sample_id, round, round(avg(ok), 9) AS reward FROM ({_sql_simulated('turns')}) GROUP BY sample_id, round",
-        "choice_deliberation": _sql_turns(2, "mmlu", _CHOICES, P.CANNED_CHOICE) + "SELECT sample_id, round, actor_response, critic_response, actor_answer FROM turns",
-        "mixed_deliberation": _sql_turns(2, "bbh", _CHOICES, P.CANNED + P.CANNED_CHOICE) + "SELECT sample_id, round, actor_response, actor_answer FROM turns",
-        "choice_rewards": _sql_turns(2, "mmlu", _CHOICES, P.CANNED_CHOICE) + f"SELECT sample_id, round, round(avg(ok), 9) AS reward FROM ({_sql_simulated('turns', 'mmlu', P.CANNED_CHOICE)}) GROUP BY sample_id, round",
-        "guided_round": _sql_turns(2, "mmlu", _CHOICES, P.CANNED_CHOICE) + f"SELECT sample_id, round, target, a AS actor_response, {_sql_respond('critic', steered, replies=P.CANNED_CHOICE)} AS critic_response FROM (SELECT *, {_sql_respond('actor', argued, replies=P.CANNED_CHOICE)} AS a FROM (SELECT *, {wrong} AS target FROM turns))",
+        "choice_deliberation": _sql_turns(2, "mmlu", _CHOICES, G.CANNED_CHOICE) + "SELECT sample_id, round, actor_response, critic_response, actor_answer FROM turns",
+        "mixed_deliberation": _sql_turns(2, "bbh", _CHOICES, G.CANNED + G.CANNED_CHOICE) + "SELECT sample_id, round, actor_response, actor_answer FROM turns",
+        "choice_rewards": _sql_turns(2, "mmlu", _CHOICES, G.CANNED_CHOICE) + f"SELECT sample_id, round, round(avg(ok), 9) AS reward FROM ({_sql_simulated('turns', 'mmlu', G.CANNED_CHOICE)}) GROUP BY sample_id, round",
+        "guided_round": _sql_turns(2, "mmlu", _CHOICES, G.CANNED_CHOICE) + f"SELECT sample_id, round, target, a AS actor_response, {_sql_respond('critic', steered, replies=G.CANNED_CHOICE)} AS critic_response FROM (SELECT *, {_sql_respond('actor', argued, replies=G.CANNED_CHOICE)} AS a FROM (SELECT *, {wrong} AS target FROM turns))",
         "pair_cache_roundtrip": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",
         "pairs_jsonl_roundtrip": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",
         "preferences_roundtrip": f"{pairs} SELECT sample_id, round, positive_critic AS chosen, negative_critic AS rejected FROM pairs WHERE delta >= 0.1",
@@ -486,8 +617,8 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "metric_log_roundtrip": _sql_turns(3) + ", m AS (SELECT round, avg(ok) AS a FROM scored GROUP BY round) SELECT 'eval' AS phase, round::BIGINT AS step, 'accuracy' AS metric, round(a, 9) AS value FROM m UNION ALL SELECT 'eval', round::BIGINT, 'error', round(1 - a, 9) FROM m",
         "standardize_mc_struct": "SELECT doc_id AS sample_id, coalesce(length(text), 0) AS n_question, coalesce(upper(left(lang, 1)), '') AS answer, 'en,fr,de,es' AS choices, CASE WHEN doc_id % 2 = 0 THEN '1,2,3,4' ELSE 'A,B,C,D' END AS labels, 'multiple_choice' AS task_type FROM documents",
         "split_fallback": f"SELECT * FROM ({_SPLIT}) WHERE split = 'validation'",
-        "settings_merge": "SELECT * FROM (VALUES ('rounds', 3.0::DOUBLE), ('simulations', 2.0::DOUBLE), ('threshold', 0.0::DOUBLE)) AS t(name, value)",
-        "dataset_tasks": "SELECT * FROM (VALUES ('arc', 'multiple_choice', 6), ('bbh', 'mixed', 6), ('boolq', 'yes_no', 6), ('mmlu', 'multiple_choice', 6), ('sciq', 'multiple_choice', 6)) AS t(dataset, task_type, n_prompts)",
+        "settings_merge": "SELECT user_id, event_type AS name, arg_max(v, (ts, event_id)) AS value, count(*) AS layers FROM (SELECT *, (props::JSON->>'k')::BIGINT % 7 AS v FROM events) WHERE v <> 0 GROUP BY user_id, event_type",
+        "dataset_tasks": "SELECT dataset, CASE dataset WHEN 'boolq' THEN 'yes_no' WHEN 'bbh' THEN 'mixed' WHEN 'none' THEN 'unknown' ELSE 'multiple_choice' END AS task_type, dataset <> 'none' AS known, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, (['arc', 'bbh', 'boolq', 'mmlu', 'sciq', 'none'])[1 + doc_id % 6] AS dataset FROM documents) GROUP BY dataset",
         "render_prompts_alias": f"SELECT dataset, doc_id, single_shot, critic FROM ({_sql_prompts('mmlu')}), (SELECT unnest(['arc', 'bbh', 'sciq']) AS dataset)",
         "isolated_task": "SELECT event_id, CASE WHEN k < 50 THEN k END::VARCHAR AS k, CASE WHEN k >= 50 THEN 'ValueError: k out of range' END AS error FROM (SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events)",
     }

@@ -8,6 +8,9 @@ from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 #: Settings a step has by itself.
 DEFAULTS: dict[str, Any] = {
     "seed": 42,
@@ -56,6 +59,19 @@ def resolve(defaults: Mapping[str, Any], common: Mapping[str, Any] | None = None
     return out
 
 
+def resolve_column(defaults: Column, common: Column, step: Column, shared: tuple[str, ...]) -> Column:
+    """resolve row by row, over maps: settings that differ from row to row."""
+    of = lambda layer, k: F.try_element_at(layer, k)
+    from_common = lambda k: F.when(k.isin(*shared), of(common, k))
+    return F.transform_values(defaults, lambda k, v: F.coalesce(of(step, k), from_common(k), v))
+
+
+def merged_layers(rows: DataFrame, scope: list[str], name: str, order: list[str], value: str) -> DataFrame:
+    """Layers as rows, merged by scope: each name has the value of the last layer that has one; layers without one change nothing."""
+    there = rows.where(F.col(name).isNotNull() & F.col(value).isNotNull())
+    return there.groupBy(*scope, name).agg(F.max_by(value, F.struct(*order)).alias(value), F.count(F.lit(1)).alias("layers"))
+
+
 class Settings:
     """A tree of settings with dotted names."""
 

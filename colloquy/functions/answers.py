@@ -60,14 +60,29 @@ def normalize_answer(answer: Column) -> Column:
     return F.substring(F.upper(bare), 1, 1)
 
 
+#: Choices up to which the place of the drawn one is looked up; beyond it is drawn.
+LOOKED_UP = 256
+
+
+def _place(n: int) -> int:
+    """The index that choice() takes among n."""
+    return next((x >> (32 - n.bit_length()) for x in DRAWS if x >> (32 - n.bit_length()) < n), -1)
+
+
+_PLACES = [_place(n) for n in range(1, LOOKED_UP + 1)]
+
+
 def wrong_answer(correct: Column, choices: Column) -> Column:
+    """No for yes and yes for no; else the seeded choice among choices that are not the correct one, in upper case; else among other letters."""
     low = F.lower(correct)
     others = F.filter(choices, lambda c: F.upper(c) != F.upper(correct))
     letters = F.filter(F.array(*map(F.lit, "ABCD")), lambda c: c != F.upper(correct))
     pool = F.when(F.size(others) > 0, others).otherwise(letters)
     unused = F.lit(32) - F.length(F.bin(F.size(pool)))
     upper = F.transform(F.array(*[F.lit(x).cast("long") for x in DRAWS]), lambda x: F.call_function("shiftright", x, unused).cast("int"))
-    index = F.get(F.filter(upper, lambda i: i < F.size(pool)), F.lit(0))
+    drawn = F.get(F.filter(upper, lambda i: i < F.size(pool)), F.lit(0))
+    looked_up = F.get(F.array(*map(F.lit, _PLACES)), F.size(pool) - 1)
+    index = F.when(F.size(pool) <= LOOKED_UP, looked_up).otherwise(drawn)
     return F.when(low == "yes", "no").when(low == "no", "yes").otherwise(F.upper(F.get(pool, index)))
 
 

@@ -1,85 +1,19 @@
-"""Rounds of two agents, simulated rewards and preference pairs, over a responder that answers prompts."""
+"""Rounds of two agents, simulated rewards and preference pairs, over a responder that answers prompts.
+
+A failed reply is nobody's answer: its error goes with the sample, whose later prompts are not asked, and a sample with an error
+at any stage gives no pair.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
-from typing import Protocol
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import extract_answer, normalize_answer, wrong_answer
 from . import prompts
-
-#: Adds a column of replies: rows, role, prompt, simulation number (0 outside simulations), name of the new column.
-Responder = Callable[[DataFrame, str, Column, Column, str], DataFrame]
-
-CANNED = ("My answer is Yes.", "Final answer: No", "I believe No fits.", "Perhaps Yes at first; on balance No", "Clouds drift slowly.", "answer: yes", "")
-CANNED_CHOICE = ("Final answer: (B)", "The answer is C.", "Option A looks right", "(D)", "None of them convinces me", "answer: a", "")
-
-
-def canned_responder(replies: tuple[str, ...] = CANNED, seed: int = 42) -> Responder:
-    """Replies chosen by the MD5 of role, seed, simulation and prompt; a column, without Python."""
-
-    def respond(rows: DataFrame, role: str, prompt: Column, sim: Column, out: str) -> DataFrame:
-        key = F.concat(F.lit(f"{role}|{seed}|"), sim.cast("string"), F.lit("|"), prompt)
-        at = F.conv(F.substring(F.md5(key), 1, 6), 16, 10).cast("int") % len(replies)
-        return rows.withColumn(out, F.element_at(F.array(*map(F.lit, replies)), at + 1))
-
-    return respond
-
-
-class Model(Protocol):
-    def generate(self, prompts: list[str]) -> list[str]:
-        """One reply for each prompt."""
-
-    def close(self) -> None: ...
-
-
-def model_responder(load: Callable[[str], Model], rows_a_call: int = 64) -> Responder:
-    """Replies of a Python model over Arrow batches. A task loads the role's model at its first row and closes it at its end.
-
-    A call that fails is repeated prompt by prompt; prompts that fail by themselves have a null reply, the rest go on.
-    """
-
-    def respond(rows: DataFrame, role: str, prompt: Column, sim: Column, out: str) -> DataFrame:
-        def one_by_one(model: Model, asked: list[str]) -> list[str | None]:
-            replies: list[str | None] = []
-            for x in asked:
-                try:
-                    replies += model.generate([x])
-                except Exception:  # the prompt is the unit that may fail
-                    replies.append(None)
-            return replies
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = None
-            try:
-                for batch in batches:
-                    asked, replies = batch.column("_prompt").to_pylist(), []
-                    if model is None and asked:
-                        model = load(role)
-                    for i in range(0, len(asked), rows_a_call):
-                        part = asked[i : i + rows_a_call]
-                        try:
-                            replies += model.generate(part)
-                        except Exception:
-                            replies += one_by_one(model, part)
-                    kept = [c for c in batch.schema.names if c != "_prompt"]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(replies, pa.string())], names=[*kept, out])
-            finally:
-                if model is not None:
-                    model.close()
-
-        return rows.withColumn("_prompt", prompt).mapInArrow(run, _fields(rows, out))
-
-    return respond
-
-
-def _fields(rows: DataFrame, out: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{out}` string"])
+from .generation import NO_REPLY, Responder, canned_responder
 
 
 def _prompt(rows: DataFrame, dataset: str, kind: str, **bound: Column) -> Column:
@@ -92,60 +26,87 @@ def predicted(dataset: str, reply: Column) -> Column:
     return extract_answer(reply, F.lit(prompts.task_type(dataset)))
 
 
+def _ask(rows: DataFrame, respond: Responder, role: str, prompt: Column, sim: Column, out: str, stage: Column, only: Column | None = None) -> DataFrame:
+    """rows with out, the reply, and with error (a column of rows), now the first error of all so far, named by its stage.
+
+    Rows with an error, and those outside only, are not asked.
+    """
+    wanted = F.col("error").isNull() if only is None else F.col("error").isNull() & only
+    rows = respond(rows.withColumn("_asked", F.when(wanted, prompt)), role, F.col("_asked"), sim, out)
+    failed = F.when(F.col("_asked").isNotNull() & (F.col(out)["text"].isNull() | F.col(out)["error"].isNotNull()), F.concat(stage, F.lit(f" {role}: "), F.coalesce(F.col(out)["error"], F.lit(NO_REPLY))))
+    return rows.withColumn("error", F.coalesce("error", failed)).drop("_asked")
+
+
+def with_error(rows: DataFrame) -> DataFrame:
+    return rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+
+
 def deliberate(samples: DataFrame, rounds: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
     """samples (sample_id, question, answer, and passage or choices) with one row a round: prompts, responses and the actor's answer.
 
-    Rounds follow one another in one plan, in which every prompt is rendered and answered once.
+    history is what the actor said in earlier rounds, error the sample's first error in any round, seconds what its replies of
+    this round took. Rounds follow one another in one plan, in which every prompt is rendered and answered once.
     """
     respond = respond or canned_responder()
-    out = samples.withColumn("_said", F.array().cast("array<string>"))
+    out = with_error(samples).withColumn("_said", F.array().cast("array<string>")).withColumn("_h0", F.array().cast("array<string>"))
     turns = []
     for t in range(rounds):
         prompt = _prompt(out, dataset, "single_shot") if t == 0 else _prompt(out, dataset, "deliberation", responses=F.col("_said"))
-        out = respond(out.withColumn(f"_p{t}", prompt), "actor", F.col(f"_p{t}"), F.lit(0), f"_a{t}")
-        out = out.withColumn(f"_q{t}", _prompt(out, dataset, "critic", actor_response=F.col(f"_a{t}")))
-        out = respond(out, "critic", F.col(f"_q{t}"), F.lit(0), f"_c{t}")
-        out = out.withColumn("_said", F.concat("_said", F.array(f"_a{t}", f"_c{t}")))
-        turns.append(F.struct(F.lit(t).alias("round"), F.col(f"_p{t}").alias("actor_prompt"), F.col(f"_a{t}").alias("actor_response"), F.col(f"_q{t}").alias("critic_prompt"), F.col(f"_c{t}").alias("critic_response"), predicted(dataset, F.col(f"_a{t}")).alias("actor_answer")))
-    return out.select(*samples.columns, F.explode(F.array(*turns)).alias("turn")).select(*samples.columns, "turn.*")
+        out = _ask(out.withColumn(f"_p{t}", prompt), respond, "actor", F.col(f"_p{t}"), F.lit(0), f"_a{t}", F.lit(f"round {t}"))
+        out = out.withColumn(f"_q{t}", _prompt(out, dataset, "critic", actor_response=F.col(f"_a{t}.text")))
+        out = _ask(out, respond, "critic", F.col(f"_q{t}"), F.lit(0), f"_c{t}", F.lit(f"round {t}"))
+        out = out.withColumn("_said", F.concat("_said", F.array(f"_a{t}.text", f"_c{t}.text")))
+        out = out.withColumn(f"_h{t + 1}", F.concat(f"_h{t}", F.array(f"_a{t}.text")))
+        turns.append(F.struct(F.lit(t).alias("round"), F.col(f"_p{t}").alias("actor_prompt"), F.col(f"_a{t}.text").alias("actor_response"), F.col(f"_q{t}").alias("critic_prompt"), F.col(f"_c{t}.text").alias("critic_response"), predicted(dataset, F.col(f"_a{t}.text")).alias("actor_answer"), F.col(f"_h{t}").alias("history"), (F.col(f"_a{t}.seconds") + F.col(f"_c{t}.seconds")).alias("seconds")))
+    kept = [c for c in samples.columns if c != "error"]
+    return out.select(*kept, "error", F.explode(F.array(*turns)).alias("turn")).select(*kept, "turn.*", "error")
 
 
 def with_earlier(turns: DataFrame) -> DataFrame:
-    """Adds history: the actor's responses of the sample's earlier rounds, which simulated and guided replies see."""
+    """Adds history, the actor's responses of the sample's earlier rounds, to turns that don't carry it."""
+    if "history" in turns.columns:
+        return turns
     before = Window.partitionBy("sample_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
     return turns.withColumn("history", F.collect_list(F.coalesce("actor_response", F.lit(""))).over(before))
 
 
 def simulate(states: DataFrame, simulations: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
-    """Adds right (0 or 1) of each simulated next reply, one row a simulation; 0 without label or simulations.
+    """Adds right (0 or 1) of each simulated next reply, one row a simulation; 0 without label or simulations, null without reply.
 
     The reply sees history (earlier responses, an array that states must have), then the actor's and the critic's response.
+    error is that of the state or else of the simulated reply.
     """
     if "history" not in states.columns:
         raise ValueError("states need their history; see with_earlier")
     respond = respond or canned_responder()
-    sims = states.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(max(simulations, 1)))))
+    sims = with_error(states).withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(max(simulations, 1)))))
     prompt = _prompt(sims, dataset, "deliberation", responses=F.concat("history", F.array("actor_response", "critic_response")))
-    sims = respond(sims, "actor", prompt, F.col("sim"), "_reply")
     label = normalize_answer(F.col("answer"))
-    right = F.when((label == "") | F.lit(simulations <= 0), 0.0).otherwise((normalize_answer(predicted(dataset, F.col("_reply"))) == label).cast("double"))
+    unscored = (label == "") | F.lit(simulations <= 0)
+    sims = _ask(sims, respond, "actor", prompt, F.col("sim"), "_reply", F.concat(F.lit("round "), F.col("round").cast("string") if "round" in states.columns else F.lit("?"), F.lit(" simulated")), ~unscored)
+    right = F.when(F.col("error").isNull(), F.when(unscored, 0.0).otherwise((normalize_answer(predicted(dataset, F.col("_reply.text"))) == label).cast("double")))
     return sims.withColumn("right", right).drop("_reply")
 
 
 def rewards(states: DataFrame, keys: list[str], simulations: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
-    """The share of simulated next replies that give the label."""
-    return simulate(states, simulations, respond, dataset).groupBy(*keys).agg(F.avg("right").alias("reward"))
+    """(keys, reward, error): the share of simulated next replies that give the label; no reward where one of them failed."""
+    found = simulate(states, simulations, respond, dataset).groupBy(*keys).agg(F.avg("right").alias("reward"), F.min("error").alias("error"))
+    return found.withColumn("reward", F.when(F.col("error").isNull(), F.col("reward")))
 
 
-def guided_round(states: DataFrame, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
-    """states (a sample's columns, round, history, target) with actor_response and critic_response argued towards target.
+def guided_round(states: DataFrame, respond: Responder | None = None, dataset: str = "boolq", only: Column | None = None) -> DataFrame:
+    """states (a sample's columns, round, history, target) with actor_response and critic_response argued towards target, and error.
 
-    The actor of round 0 has seen nobody; later ones see history. The critic sees the guided reply.
+    The actor of round 0 has seen nobody; later ones see history. The critic sees the guided reply. Rows outside only are not
+    asked; they have no responses.
     """
     respond = respond or canned_responder()
+    stage = F.concat(F.lit("round "), F.col("round").cast("string"), F.lit(" guided"))
+    states = with_error(states)
     first, later = (_prompt(states, dataset, kind, target_answer=F.col("target"), **seen) for kind, seen in (("guided_single_shot", {}), ("guided_deliberation", {"responses": F.col("history")})))
-    out = respond(states, "actor", F.when(F.size("history") == 0, first).otherwise(later), F.lit(0), "actor_response")
-    return respond(out, "critic", _prompt(out, dataset, "guided_critic", actor_response=F.col("actor_response"), target_answer=F.col("target")), F.lit(0), "critic_response")
+    out = _ask(states, respond, "actor", F.when(F.size("history") == 0, first).otherwise(later), F.lit(0), "_guided", stage, only).withColumn("actor_response", F.col("_guided.text"))
+    out = _ask(out, respond, "critic", _prompt(out, dataset, "guided_critic", actor_response=F.col("actor_response"), target_answer=F.col("target")), F.lit(0), "_steered", stage, only)
+    return out.withColumn("critic_response", F.col("_steered.text")).drop("_guided", "_steered")
 
 
 def select_pair(natural: Column, right: Column, wrong: Column, threshold: float = 0.0) -> Column:
@@ -155,26 +116,54 @@ def select_pair(natural: Column, right: Column, wrong: Column, threshold: float
     return F.when(gain >= threshold, pair("towards", gain)).when(loss >= threshold, pair("away", loss))
 
 
-def preference_pairs(turns: DataFrame, simulations: int, threshold: float = 0.0, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
-    """From round 1 on, at most one pair a round, as read_pairs has them; guidance sees the actor's earlier responses."""
-    late = with_earlier(turns).where("round >= 1")
+NAMES = ("natural", "right", "wrong")
+
+
+def scored_variants(turns: DataFrame, simulations: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
+    """From round 1 on, a row a round: its prompts, the natural replies and those guided to the label and from it, their rewards, and error.
+
+    Guidance sees the actor's earlier responses. A turn is read once: its three variants are rows of one frame, and only guided
+    ones are asked anew.
+    """
+    late = with_error(with_earlier(turns)).where("round >= 1")
     away = wrong_answer(F.col("answer"), F.col("choices") if "choices" in turns.columns else F.array().cast("array<string>"))
-    guides = F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("target")) for v, c in (("natural", F.lit("")), ("right", F.col("answer")), ("wrong", away))])
-    each = late.withColumn("g", F.explode(guides)).select("*", "g.*").drop("g")
-    natural, others = each.where("variant = 'natural'"), each.where("variant <> 'natural'").drop("actor_response", "critic_response")
-    each = natural.unionByName(guided_round(others, respond, dataset))
+    targets = F.array(*[F.struct(F.lit(v).alias("variant"), c.alias("target")) for v, c in zip(NAMES, (F.lit(""), F.col("answer"), away), strict=True)])
+    each = late.withColumn("g", F.explode(targets)).select("*", "g.*").drop("g")
+    each = each.withColumnsRenamed({"actor_response": "_actor", "critic_response": "_critic"})
+    natural = F.col("variant") == "natural"
+    each = guided_round(each, respond, dataset, ~natural)
+    each = each.withColumns({f"{x}_response": F.when(natural, F.col(f"_{x}")).otherwise(F.col(f"{x}_response")) for x in ("actor", "critic")})
     of = lambda v, c: F.when(F.col("variant") == v, F.col(c))
-    names = ("natural", "right", "wrong")
-    wide = simulate(each, simulations, respond, dataset).groupBy("sample_id", "round").agg(
+    return simulate(each, simulations, respond, dataset).groupBy("sample_id", "round").agg(
         *[F.first(c).alias(c) for c in ("actor_prompt", "critic_prompt")],
-        *[F.avg(of(v, "right")).alias(f"{v}_reward") for v in names],
-        *[F.max(of(v, f"{agent}_response")).alias(f"{v}_{agent}") for v in names for agent in ("actor", "critic")],
+        *[F.avg(of(v, "right")).alias(f"{v}_reward") for v in NAMES],
+        *[F.max(of(v, f"{agent}_response")).alias(f"{v}_{agent}") for v in NAMES for agent in ("actor", "critic")],
+        F.min("error").alias("error"),
     )
-    wide = wide.withColumn("pair", select_pair(*[F.col(f"{v}_reward") for v in names], threshold)).where("pair IS NOT NULL").select("*", "pair.*")
+
+
+def pairs_of(variants: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """At most one pair a row of scored_variants, as read_pairs has them; rows with an error give none."""
+    wide = variants.where("error is null").withColumn("pair", select_pair(*[F.col(f"{v}_reward") for v in NAMES], threshold)).where("pair IS NOT NULL").select("*", "pair.*")
     better = lambda agent, good: F.when(F.col("direction") == "towards", F.col(f"{'right' if good else 'natural'}_{agent}")).otherwise(F.col(f"{'natural' if good else 'wrong'}_{agent}"))
     return wide.select("sample_id", "actor_prompt", "critic_prompt", better("actor", True).alias("positive"), better("actor", False).alias("negative"), better("critic", True).alias("positive_critic"), better("critic", False).alias("negative_critic"), "round", "delta", "direction")
 
 
+def failures(rows: DataFrame) -> DataFrame:
+    """(sample_id, error) of the samples that failed in some row."""
+    return rows.where("error is not null").groupBy("sample_id").agg(F.min("error").alias("error"))
+
+
+def quarantined(variants: DataFrame) -> DataFrame:
+    """The rows with error that of the sample: one failed reply at any stage takes the sample out."""
+    return variants.withColumn("error", F.min("error").over(Window.partitionBy("sample_id")))
+
+
+def preference_pairs(turns: DataFrame, simulations: int, threshold: float = 0.0, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
+    """Pairs of all samples without an error at any stage, in one plan; training.generate_pairs stores each stage and lists the others."""
+    return pairs_of(quarantined(scored_variants(turns, simulations, respond, dataset)), threshold)
+
+
 def wilson(accuracy: Column, n: Column, z: float = 1.959963984540054) -> Column:
     half = z * F.sqrt(accuracy * (1 - accuracy) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.when(n > 0, half).otherwise(0.0)

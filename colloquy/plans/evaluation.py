@@ -49,22 +49,31 @@ def improvement_rate(final: Column, initial: Column) -> Column:
 
 
 def evaluate(turns: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """One row of all results; no row for no turns. Turns are read once: a row a sample, then a row a round."""
+    """One row of all results; no row for no turns. Turns are read once: a row a sample, then a row a round.
+
+    Samples with an error are counted as num_failed and enter nothing else. Times are those of the replies, where turns have seconds.
+    """
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
     label = _or_empty("answer")
+    failed = F.max(F.col("error").isNotNull()) if "error" in turns.columns else F.lit(False)
+    took = F.sum("seconds") if "seconds" in turns.columns else F.lit(None).cast("double")
     answer = F.struct("round", F.coalesce("actor_answer", F.lit("")).alias("answer"), same_normalized(F.col("actor_answer"), label).cast("double").alias("right"), same_upper(_or_empty("actor_answer"), label).alias("correct"))
-    each = turns.groupBy("sample_id").agg(F.array_sort(F.collect_list(answer)).alias("t"), F.first("answer").alias("label"))
+    each = turns.groupBy("sample_id").agg(F.array_sort(F.collect_list(answer)).alias("t"), F.first("answer").alias("label"), (~failed).alias("ok"), took.alias("took"))
     first, last = (same_stripped(F.element_at("t", i)["answer"], _or_empty("label")) for i in (1, -1))
-    each = each.select(F.posexplode("t").alias("at", "x"), first.alias("was"), last.alias("now")).select("at", "x.*", "was", "now")
+    each = each.select(F.posexplode("t").alias("at", "x"), first.alias("was"), last.alias("now"), "ok", "took").select("at", "x.*", "was", "now", "ok", "took")
     kinds = {"correct_to_correct": (True, True), "wrong_to_correct": (False, True), "correct_to_wrong": (True, False), "wrong_to_wrong": (False, False)}
-    flips = [F.count_if((F.col("at") == 0) & (F.col("was") == a) & (F.col("now") == b)).alias(k) for k, (a, b) in kinds.items()]
-    rounds = each.groupBy("round").agg(F.count(F.lit(1)).alias("n"), F.avg("right").alias("accuracy"), F.count_if("correct").alias("correct"), *flips)
-    row = rounds.agg(F.array_sort(F.collect_list(F.struct("round", "n", "accuracy", "correct"))).alias("r"), *[F.sum(k).alias(k) for k in kinds]).where("size(r) > 0")
+    begins = F.col("ok") & (F.col("at") == 0)
+    flips = [F.count_if(begins & (F.col("was") == a) & (F.col("now") == b)).alias(k) for k, (a, b) in kinds.items()]
+    counts = [F.count_if((F.col("at") == 0) & ~F.col("ok")).alias("num_failed"), F.sum(F.when(begins, F.col("took"))).alias("total_seconds")]
+    rounds = each.groupBy("round").agg(F.count_if("ok").alias("n"), F.avg(F.when(F.col("ok"), F.col("right"))).alias("accuracy"), F.count_if(F.col("ok") & F.col("correct")).alias("correct"), *flips, *counts)
+    of_round = F.when(F.col("n") > 0, F.struct("round", "n", "accuracy", "correct"))
+    row = rounds.agg(F.array_sort(F.collect_list(of_round)).alias("r"), *[F.sum(k).alias(k) for k in (*kinds, "num_failed", "total_seconds")]).where("size(r) > 0")
     row = row.withColumns({"initial_accuracy": F.get("r", F.lit(0))["accuracy"], "final_accuracy": F.element_at("r", -1)["accuracy"], "num_samples": F.element_at("r", -1)["n"]})
     margin, final, initial = wilson(F.col("final_accuracy"), F.col("num_samples"), z), F.col("final_accuracy"), F.col("initial_accuracy")
     accuracies = F.transform("r", lambda x: x["accuracy"])
     deltas = F.filter(F.transform(accuracies, lambda x, i: x - F.get(accuracies, i - 1)), lambda x: x.isNotNull())
-    return row.select("num_samples", "initial_accuracy", "final_accuracy", margin.alias("margin"), F.greatest(F.lit(0.0), final - margin).alias("ci_low"), F.least(F.lit(1.0), final + margin).alias("ci_high"), improvement_rate(final, initial).alias("improvement_rate"), (final - initial).alias("absolute_gain"), accuracies.alias("per_round_accuracy"), deltas.alias("per_round_delta"), F.transform("r", lambda x: x["correct"]).alias("correct_at_each_round"), F.struct("correct_to_correct", "wrong_to_correct", "correct_to_wrong", "wrong_to_wrong").alias("flip_statistics"))
+    times = [F.round("total_seconds", 1).alias("total_seconds"), F.round(F.col("total_seconds") / F.greatest(F.col("num_samples"), F.lit(1)), 2).alias("average_seconds")]
+    return row.select("num_samples", "num_failed", "initial_accuracy", "final_accuracy", margin.alias("margin"), F.greatest(F.lit(0.0), final - margin).alias("ci_low"), F.least(F.lit(1.0), final + margin).alias("ci_high"), improvement_rate(final, initial).alias("improvement_rate"), (final - initial).alias("absolute_gain"), accuracies.alias("per_round_accuracy"), deltas.alias("per_round_delta"), F.transform("r", lambda x: x["correct"]).alias("correct_at_each_round"), F.struct("correct_to_correct", "wrong_to_correct", "correct_to_wrong", "wrong_to_wrong").alias("flip_statistics"), *times)
 
 
 def report(results: DataFrame) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import stores
-from .deliberation import Responder, deliberate, preference_pairs
+from .deliberation import deliberate, failures, pairs_of, scored_variants
 from .evaluation import evaluate
+from .generation import Responder
 
 
 class Trainer(Protocol):
@@ -39,18 +41,52 @@ def preference_rows(pairs: DataFrame, min_delta: float = 0.0) -> DataFrame:
 
 
 def generate_pairs(spark: SparkSession, samples: DataFrame, root: str, agent: str, iteration: int, respond: Responder | None = None, dataset: str = "boolq", rounds: int = 5, simulations: int = 5, threshold: float = 0.0, reuse: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(pairs, failed): preference pairs of all samples, stored by agent and iteration, and the samples without some reply.
+    """(pairs, failed): preference pairs of all samples, stored by agent and iteration, and (sample_id, error) of samples that failed.
 
-    Turns are stored before pairs are made from them, so every prompt is answered once. A sample of which some reply is
-    null failed; it gives no pairs, the others go on.
+    Turns and then scored variants are stored before pairs are made from them, so every prompt is answered once. A sample of
+    which some reply failed at any stage gives no pair; the others go on.
     """
-    turns = stores.cached(spark, f"{root}/turns", agent, iteration, lambda: deliberate(samples, rounds, respond, dataset), reuse)
-    failed = turns.where("actor_response is null or critic_response is null").select("sample_id").distinct()
-    sound = turns.join(failed, "sample_id", "left_anti")
-    pairs = stores.cached(spark, f"{root}/pairs", agent, iteration, lambda: preference_pairs(sound, simulations, threshold, respond, dataset), reuse)
+    store = lambda name, make: stores.cached(spark, f"{root}/{name}", agent, iteration, make, reuse)
+    turns = store("turns", lambda: deliberate(samples, rounds, respond, dataset))
+    variants = store("variants", lambda: scored_variants(turns.where("error is null"), simulations, respond, dataset))
+    failed = failures(turns.select("sample_id", "error").unionByName(variants.select("sample_id", "error")))
+    pairs = store("pairs", lambda: pairs_of(variants.join(failed.select("sample_id"), "sample_id", "left_anti"), threshold))
     return pairs, failed
 
 
+def generate_resumably(spark: SparkSession, samples: DataFrame, root: str, agent: str, iteration: int, respond: Responder | None = None, batches: int = 64, **how) -> tuple[DataFrame, DataFrame]:
+    """As generate_pairs, in batches of samples that are committed one after another; a call on the same root goes on where one broke off.
+
+    A ledger under root names the committed batches. Samples of those are left out by an anti join, so new samples may come
+    later; the rest falls into parts by a hash of sample_id, and a part's next batch has a name that a broken run had as well,
+    so what that left behind is reused where its stage was committed and overwritten where not. No prompt of a committed stage is
+    answered twice.
+    """
+    base = f"{root}/agent={agent}/iteration={iteration}"
+    ledger = stores.Ledger(spark, f"{base}/_ledger")
+    part = F.pmod(F.xxhash64("sample_id"), F.lit(batches)).cast("int")
+    for _ in range(2):  # once more for samples that came after a broken run whose batch was reused
+        committed = ledger.names()
+        rest = samples
+        if committed:
+            done = spark.read.schema("sample_id long").parquet(*[f"{base}/{name}/samples" for name in committed])
+            rest = samples.join(done, "sample_id", "left_anti")
+        parts = sorted(r[0] for r in rest.select(part.alias("part")).distinct().collect())  # batches rows at most
+        for p in parts:
+            name = f"part={p:05d}-{sum(x.startswith(f'part={p:05d}-') for x in committed):05d}"
+            pairs, failed = generate_pairs(spark, rest.where(part == p), f"{base}/{name}", agent, iteration, respond, **how)
+            failed.write.mode("overwrite").parquet(f"{base}/{name}/failed")
+            turns = spark.read.parquet(f"{base}/{name}/turns/agent={agent}/iteration={iteration}")
+            turns.select("sample_id").distinct().write.mode("overwrite").parquet(f"{base}/{name}/samples")
+            ledger.commit(name, {"agent": agent, "iteration": iteration})
+        if not parts:
+            break
+    names = ledger.names()
+    if not names:
+        return spark.createDataFrame([], stores.PAIRS), spark.createDataFrame([], "sample_id long, error string")
+    return spark.read.schema(stores.PAIRS).parquet(*[f"{base}/{n}/pairs/agent={agent}/iteration={iteration}" for n in names]), spark.read.schema("sample_id long, error string").parquet(*[f"{base}/{n}/failed" for n in names])
+
+
 def validation_record(turns: DataFrame, iteration: int) -> dict[str, float]:
     """The four fields that alternation keeps of a validation; zeros for no turns."""
     row = evaluate(turns).first()
@@ -62,37 +98,63 @@ def validation_record(turns: DataFrame, iteration: int) -> dict[str, float]:
 class Adapter:
     """Low-rank adapter settings that a trainer is given."""
 
-    rank: int = 256
-    alpha: int = 512
+    rank: int
+    alpha: int
+    targets: tuple[str, ...]
     dropout: float = 0.0
-    targets: tuple[str, ...] = ("q_proj", "k_proj", "v_proj", "o_proj", "gate_proj", "up_proj", "down_proj")
 
 
 def train_on_pairs(trainer: Trainer, pairs: DataFrame, path: str, agent: str, base: str, min_delta: float = 0.0) -> str:
-    """Store an agent's preference rows and train on them; no rows raise."""
+    """Store an agent's preference rows, in place of all that it had there, and train on them; no rows raise."""
     if agent not in stores.AGENTS:
         raise ValueError(f"unknown agent {agent!r}")
-    stores.write_preferences(preference_rows(pairs, min_delta).where(F.col("agent") == agent), path)
+    stores.write_preferences(preference_rows(pairs, min_delta).where(F.col("agent") == agent), path, (agent,))
     if stores.read_preferences(pairs.sparkSession, path, agent).isEmpty():
         raise ValueError(f"no preference rows for {agent}")
     return trainer.train(agent, path, base)
 
 
-def alternate(spark: SparkSession, root: str, models: dict[str, str], pairs_of: Callable[[dict[str, str]], DataFrame], trainer: Trainer, validate: Callable[[dict[str, str]], float] | None = None, iterations: int = 1, patience: int | None = None, least: float = 0.0, min_delta: float = 0.0, reuse: bool = False) -> Outcome:
-    """Critic, then actor, each trained on pairs of the models of that moment; stops after patience validations without gain."""
+def train_agent(spark: SparkSession, samples: DataFrame, root: str, agent: str, iteration: int, trainer: Trainer, base: str, respond: Responder | None = None, min_delta: float = 0.0, **how) -> tuple[str, DataFrame]:
+    """(new model, failed samples): one agent's phase as a whole, from samples over pairs and preference rows to training."""
+    pairs, failed = generate_resumably(spark, samples, f"{root}/generated", agent, iteration, respond, **how)
+    if pairs.isEmpty():
+        raise ValueError(f"no preference pairs for {agent} in iteration {iteration}")
+    return train_on_pairs(trainer, pairs, f"{root}/preferences/iteration={iteration}", agent, base, min_delta), failed
+
+
+def alternate(spark: SparkSession, root: str, models: dict[str, str], pairs_of_models: Callable[[dict[str, str]], DataFrame], trainer: Trainer, validate: Callable[[dict[str, str]], float] | None = None, iterations: int = 1, patience: int | None = None, least: float = 0.0, min_delta: float = 0.0, reuse: bool = False) -> Outcome:
+    """Critic, then actor, each trained on pairs of the models of that moment; stops after patience validations without gain.
+
+    With reuse, pairs and phases of an earlier run on root are taken over: a ledger has the model path of each finished phase and
+    the accuracy of each validation, so that a run that was broken off goes on and ends as an unbroken one does.
+    """
     out, waited, best = Outcome(dict(models)), 0, float("-inf")
+    run = "ledger" if reuse else f"ledger-{uuid.uuid4().hex}"
+    ledger = stores.Ledger(spark, f"{root}/_{run}")
+
+    def phase(name: str, make: Callable[[], dict]) -> dict:
+        found = ledger.get(name)
+        if found is None:
+            ledger.commit(name, make())
+            found = ledger.get(name)  # what another run committed first, if there was one
+        return found
+
+    def trained(i: int, agent: str) -> dict:
+        now = dict(out.models)
+        pairs = stores.cached(spark, f"{root}/pairs", agent, i, lambda: pairs_of_models(now), reuse)
+        if pairs.isEmpty():
+            raise ValueError(f"no preference pairs for {agent} in iteration {i}")
+        return {"model": train_on_pairs(trainer, pairs, f"{root}/preferences/iteration={i}", agent, now[agent], min_delta), "base": now}
+
     for i in range(iterations):
         for agent in ("critic", "actor"):
-            now = dict(out.models)
-            pairs = stores.cached(spark, f"{root}/pairs", agent, i, lambda now=now: pairs_of(now), reuse)
-            if pairs.isEmpty():
-                raise ValueError(f"no preference pairs for {agent} in iteration {i}")
-            path = f"{root}/preferences/iteration={i}"
-            stores.write_preferences(preference_rows(pairs, min_delta).where(F.col("agent") == agent), path)
-            out.models[agent] = trainer.train(agent, path, now[agent])
+            done = phase(f"{i:05d}-{agent}", lambda i=i, agent=agent: trained(i, agent))
+            if done["base"] != out.models:
+                raise ValueError(f"the ledger's phase {i} of {agent} began from other models")
+            out.models[agent] = done["model"]
         if validate is None:
             continue
-        accuracy = validate(dict(out.models))
+        accuracy = phase(f"{i:05d}-validation", lambda: {"accuracy": validate(dict(out.models))})["accuracy"]
         out.history.append({"iteration": i, "val_accuracy": accuracy})
         if patience is not None:
             better = accuracy > best + least

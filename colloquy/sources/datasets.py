@@ -108,3 +108,10 @@ def evaluation_rows(samples: DataFrame) -> DataFrame:
 def first_samples(samples: DataFrame, n: int | None) -> DataFrame:
     """The first n by sample_id; all for 0 and None."""
     return samples.orderBy("sample_id").limit(n) if n else samples
+
+
+def with_task(rows: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Adds task_type and known by the registry, a table of a row a data set; rows of unknown sets stay, with the task type unknown."""
+    known = rows.sparkSession.createDataFrame([(n, s.task_type) for n, s in REGISTRY.items()], f"`{dataset}` string, task_type string")
+    out = rows.join(F.broadcast(known), dataset, "left")
+    return out.withColumn("known", F.col("task_type").isNotNull()).withColumn("task_type", F.coalesce("task_type", F.lit("unknown")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import tempfile
 import uuid
-from collections.abc import Callable
-from typing import Protocol
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +20,56 @@ METRICS = "phase string, step long, timestamp timestamp, metrics map<string,doub
 AGENTS = ("actor", "critic")
 
 
-def read_pairs(spark: SparkSession, path: str, whole_array: bool = False) -> DataFrame:
-    """JSON lines, or one JSON array; malformed rows and a missing path raise."""
-    return spark.read.schema(PAIRS).option("mode", "FAILFAST").option("multiLine", whole_array).json(path)
+#: How the records of an array lie in its file: one a line behind its comma, or each over several lines under an indent of two.
+LINES, INDENTED = "lines", "indented"
+
+
+def read_pairs(spark: SparkSession, path: str, whole_array: bool = False, schema: str = PAIRS) -> DataFrame:
+    """JSON lines, or one JSON array in any layout, a file a task; malformed rows and a missing path raise. For arrays that many tasks read see read_array."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", whole_array).json(path)
 
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("overwrite").json(path)
 
 
-def write_array(pairs: DataFrame, path: str) -> None:
-    """One JSON array in one file, for readers that know no JSON lines; one task writes it, so for small tables."""
-    one = pairs.agg(F.to_json(F.collect_list(F.struct(*pairs.columns)), {"ignoreNullFields": "false"}).alias("value"))
-    one.write.mode("overwrite").text(path)
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of one array: a record a line, commas before all but the first."""
+    begun = False
+    for batch in batches:
+        if batch.num_rows:
+            lines = pc.binary_join_element_wise(",", batch.column("value"), "")
+            if not begun:
+                lines = pa.concat_arrays([pa.array(["["]), batch.column("value").slice(0, 1).cast(pa.string()), lines.slice(1).cast(pa.string())])
+            begun = True
+            yield pa.RecordBatch.from_arrays([lines.cast(pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]"] if begun else ["[", "]"])], names=["value"])
+
+
+def write_array(rows: DataFrame, path: str, files: int | None = 1) -> None:
+    """JSON arrays, one a file, record by record through a task: nothing is gathered. files=None leaves a file to each partition."""
+    records = rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    records = records.coalesce(files) if files else records
+    records.mapInArrow(_bracketed, "value string").write.mode("overwrite").text(path)
+
+
+def read_array(spark: SparkSession, path: str, schema: str = PAIRS, layout: str = LINES) -> DataFrame:
+    """Records of JSON arrays, by as many tasks as the bytes make: a task starts at the first record that begins in its range.
+
+    lines: as write_array has them. indented: as common writers lay arrays out with an indent of two, where a line feed, two
+    blanks and a brace begin a record and nothing else, since texts have no line feed of their own in JSON. Malformed records
+    and a missing path raise.
+    """
+    if layout == LINES:
+        bare = F.regexp_replace(F.regexp_replace("value", r"^\s*[\[,]?\s*", ""), r"\s*[,\]]?\s*$", "")
+        text = spark.read.text(path).select(bare.alias("r")).where("r <> ''")
+    elif layout == INDENTED:
+        # the separator takes the brace with it; the last record has the array's end behind it
+        bare = F.regexp_replace("value", r"\n  \}\s*,?\s*(?:\]\s*)?$", "\n}")
+        text = spark.read.option("lineSep", "\n  {").text(path).where(~F.col("value").rlike(r"^\s*\[?\s*(?:\]\s*)?$")).select(F.concat(F.lit("{"), bare).alias("r"))
+    else:
+        raise ValueError(f"unknown layout {layout!r}")
+    return text.select(F.from_json("r", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -42,17 +82,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/colloquy-stores/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _file_system(spark, path)
+    return files.exists(at)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to path was committed."""
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def cached(spark: SparkSession, root: str, agent: str, iteration: int, make: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
-    """Rows of root/agent=.../iteration=...; made and written first where they are missing, empty, or not to be reused."""
+    """Rows of root/agent=.../iteration=...; made and written first where no write was committed, where there are none, or not to be reused."""
     if agent not in AGENTS:
         raise ValueError(f"unknown agent {agent!r}")
     path = f"{root}/agent={agent}/iteration={iteration}"
-    if reuse and exists(spark, path):
+    if reuse and complete(spark, path):
         found = spark.read.parquet(path)
         if not found.isEmpty():
             return found
@@ -61,9 +111,63 @@ def cached(spark: SparkSession, root: str, agent: str, iteration: int, make: Cal
     return spark.read.schema(made.schema).parquet(path)
 
 
-def write_preferences(preferences: DataFrame, path: str) -> None:
-    """By agent; only the agents among the rows are replaced."""
-    preferences.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("agent").parquet(path)
+class Ledger:
+    """What has been committed under a folder: small entries, each a file whose name appears with all of its content.
+
+    An entry is written beside its name and renamed; a name that is there already stays as it is, so that of two writers one wins.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _at(self, name: str):
+        return _file_system(self.spark, f"{self.path}/{name}.json")
+
+    def commit(self, name: str, entry: dict[str, Any]) -> bool:
+        """Whether this call made the entry."""
+        at, files = self._at(name)
+        if files.exists(at):
+            return False
+        aside = _file_system(self.spark, f"{self.path}/_{uuid.uuid4().hex}")[0]
+        out = files.create(aside, False)
+        out.write(bytearray(json.dumps(entry, ensure_ascii=False).encode()))
+        out.close()
+        if files.rename(aside, at):
+            return True
+        files.delete(aside, False)
+        return False
+
+    def get(self, name: str) -> dict[str, Any] | None:
+        at, files = self._at(name)
+        if not files.exists(at):
+            return None
+        stream = files.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def names(self) -> list[str]:
+        """Names of all entries, in order."""
+        at, files = _file_system(self.spark, self.path)
+        if not files.exists(at):
+            return []
+        found = [x.getPath().getName() for x in files.listStatus(at)]
+        return sorted(x.removesuffix(".json") for x in found if x.endswith(".json") and not x.startswith("_"))
+
+
+def write_preferences(preferences: DataFrame, path: str, agents: tuple[str, ...] = AGENTS) -> None:
+    """By agent. All of agents are replaced, those without rows by nothing; readers see the old rows until the new ones are written."""
+    spark = preferences.sparkSession
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    preferences.where(F.col("agent").isin(*agents)).write.partitionBy("agent").parquet(staged)
+    for agent in agents:
+        old, files = _file_system(spark, f"{path}/agent={agent}")
+        files.delete(old, True)
+        new = _file_system(spark, f"{staged}/agent={agent}")[0]
+        if files.exists(new) and not files.rename(new, old):
+            raise OSError(f"{new} could not be moved to {old}")
+    files.delete(_file_system(spark, staged)[0], True)
 
 
 def read_preferences(spark: SparkSession, path: str, agent: str) -> DataFrame:

@@ -10,6 +10,7 @@ from colloquy.functions import answers as A
 from colloquy.operators import datasets as D
 from colloquy.plans import deliberation as P
 from colloquy.plans import evaluation as E
+from colloquy.plans import generation as G
 from colloquy.plans import prompts, training
 from colloquy.sources import datasets as S
 from colloquy.sources import stores
@@ -60,7 +61,7 @@ def test_early_stop():
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations", "orders", "part", "events"):
+    for t in ("documents", "labels", "conversations", "orders", "part", "events", "benchmark"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ours = catalog.queries()[name](spark, SF).toArrow()
     theirs = con.sql(catalog.oracle_sql()[name]).to_arrow_table().select(ours.column_names)
@@ -74,10 +75,10 @@ def test_all_queries_have_sql():
 
 def test_rollout_reward_brute_force(spark):
     """Each state of three rounds with the actor's earlier responses before it; no SQL."""
-    answers = dict(zip(P.CANNED, ("Y", "N", "N", "N", "", "Y", ""), strict=True))
+    answers = dict(zip(G.CANNED, ("Y", "N", "N", "N", "", "Y", ""), strict=True))
 
     def say(role, sim, prompt):
-        return P.CANNED[int(hashlib.md5(f"{role}|42|{sim}|{prompt}".encode()).hexdigest()[:6], 16) % len(P.CANNED)]
+        return G.CANNED[int(hashlib.md5(f"{role}|42|{sim}|{prompt}".encode()).hexdigest()[:6], 16) % len(G.CANNED)]
 
     def ask(r, said):
         others = "Others:" + "".join(f"\nPerson {i} said: {x}" for i, x in enumerate(said, 1)) + "\n" if said else ""
@@ -112,21 +113,21 @@ def test_model_responder_asks_once_and_isolates(spark, tmp_path):
         def __init__(self, role):
             self.role = role
 
-        def generate(self, prompts):
+        def generate(self, prompts, sampling):
             if any("broken" in x for x in prompts):
-                raise RuntimeError("no reply")
+                raise RuntimeError("cannot say")
             for x in prompts:
                 with open(f"{log}/asked-{hashlib.md5((self.role + x).encode()).hexdigest()}", "a") as f:
                     f.write("x")
-            return ["Final answer: Yes"] * len(prompts)
+            return [["Final answer: Yes"]] * len(prompts)
 
         def close(self):
             open(f"{log}/closed", "a").close()
 
     rows = [(i, "broken?" if i == 3 else f"question {i}?", "p", "yes") for i in range(6)]
     samples = spark.createDataFrame(rows, SAMPLES)
-    pairs, failed = training.generate_pairs(spark, samples, f"{tmp_path}/out", "critic", 0, P.model_responder(Model, 4), rounds=2, simulations=2)
-    assert [r.sample_id for r in failed.collect()] == [3]
+    pairs, failed = training.generate_pairs(spark, samples, f"{tmp_path}/out", "critic", 0, G.model_responder(Model), rounds=2, simulations=2)
+    assert [tuple(r) for r in failed.collect()] == [(3, "round 0 actor: RuntimeError: cannot say")]
     assert sorted(r.sample_id for r in pairs.collect()) == [0, 1, 2, 4, 5]
     asked = [len(open(x).read()) for x in tmp_path.glob("asked-*")]
     first = {hashlib.md5(f"actorQuestion: question {i}?\nPassage: p\nReply yes or no.".encode()).hexdigest() for i in (0, 1, 2, 4, 5)}
@@ -139,7 +140,7 @@ def test_guided_first_round(spark):
 
     def respond(rows, role, prompt, sim, out):
         seen.append(role)
-        return rows.withColumn(out, prompt)
+        return rows.withColumn(out, G.reply_of(prompt))
 
     states = spark.createDataFrame([(1, "q", "p", "yes", 0, [], "no"), (1, "q", "p", "yes", 1, ["x"], "no")], SAMPLES + ", round int, history array<string>, target string")
     got = {r["round"]: r for r in P.guided_round(states, respond).collect()}
