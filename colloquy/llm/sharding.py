@@ -7,10 +7,12 @@ between documents of different texts may be given besides.
 
 Each node starts in a shard by its hash. In a round half of the nodes, by a seeded coin, look at
 the shards of those they are linked with (Spark joins and aggregates over links) and want to move
-where that cuts fewer links. A shard takes movers while its quota of rows lasts, the greatest gains
-first: sums of weights by classes of gain and hash find the last class that fits, so nothing is
-sorted or gathered; the driver sees one number a shard. Rounds end when nobody wants to move, or
-none was let in twice, or after ROUNDS.
+where that cuts fewer links. What moves from each shard to each other is thinned out until no shard
+gains more than its quota of rows has room for, counting what leaves it; so full shards exchange
+rows. The greatest gains go first: sums of weights by classes of gain and hash find the last class
+that goes, so nothing is sorted or gathered; the driver sees a number for each pair of shards. Rounds
+end when nobody wants to move, or none was let in for three rounds, or after ROUNDS. On the way a
+shard may have SLACK more than its quota.
 
 Rows without links then fill the shards up, so that row counts are at most one apart (law `rows`);
 rows beyond a quota are dealt out with them. All numbers come from counts by stored partition and
@@ -25,6 +27,9 @@ table is read.
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +38,10 @@ from .common import hot_keys, join_spread, materialize, read
 SHARDS, ROUNDS, SEED = 16, 16, 11
 #: Rows of a node at most, and classes of hash in which movers of one gain are let in.
 CELL, CLASSES = 1024, 4096
+#: Share of a quota by which propagation may exceed it; level() ends at the quota itself.
+SLACK = 0.01
+#: Rounds without a move after which propagation ends.
+PATIENCE = 3
 LAW = "rows"
 
 
@@ -41,8 +50,8 @@ def quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (j < n % shards) for j in range(shards)]
 
 
-def _table(quota: list[int]) -> Column:
-    return F.array(*[F.lit(x).cast("long") for x in quota])
+def _table(numbers: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps([int(x) for x in numbers])), "array<bigint>")
 
 
 def nodes_of(rows: DataFrame, cell: int, half: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,6 +80,32 @@ def with_links(rows: DataFrame, nodes: DataFrame, links: DataFrame, given: DataF
     return nodes.unionByName(single), links.unionByName(more)
 
 
+def flows(wanted: np.ndarray, room: np.ndarray, turn: int, seed: int) -> np.ndarray:
+    """Weights that may move from i to j: wanted, thinned out until no shard gains more than its room; rounded by a seeded coin."""
+    flow = wanted.astype(float)
+    for _ in range(1000):
+        gains, leaving = flow.sum(axis=0), flow.sum(axis=1)
+        over = gains - leaving > np.maximum(room, 0) + 1e-6
+        if not over.any():
+            break
+        flow[:, over] *= ((np.maximum(room, 0) + leaving)[over] / gains[over])[None, :]
+    coins = np.random.default_rng([seed, turn]).random(flow.shape)
+    return np.minimum(np.floor(flow + coins), wanted).astype(np.int64)
+
+
+def _within(taken: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """taken without the least pairs whose moves would take a shard beyond its room, since others took less than they might."""
+    taken = taken.copy()
+    while True:
+        over = taken.sum(axis=0) - taken.sum(axis=1) - np.maximum(room, 0)
+        j = int(over.argmax())
+        if over[j] <= 0:
+            return taken
+        into = np.where(taken[:, j] > 0, taken[:, j], np.iinfo(np.int64).max)
+        enough = np.where(into >= over[j], into, np.iinfo(np.int64).max)
+        taken[int((enough if enough.min() < np.iinfo(np.int64).max else into).argmin()), j] = 0
+
+
 def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """nodes (node, weight) and links (u, v) to (node, weight, shard)."""
     shards = len(quota)
@@ -78,30 +113,39 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
     both = materialize(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "links")), "links")
     hot = materialize(hot_keys(both.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v"), "hot")
     now = materialize(nodes.select("node", "weight", F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(shards)).cast("int").alias("shard")), "shards")
+    slack = np.array([max(1, int(SLACK * q)) for q in quota])
     idle = 0
     for turn in range(rounds):
         near = join_spread(both, now.select(F.col("node").alias("v"), "shard"), "v", hot, "u")
         votes = near.groupBy("u", "shard").agg(F.sum("links").alias("n"))
         best = votes.groupBy(F.col("u").alias("node")).agg(F.max(F.struct("n", F.xxhash64("u", "shard").alias("h"), F.col("shard").alias("to"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("of"))
         gain = F.col("best.n") - F.coalesce(F.try_element_at("of", F.col("shard")), F.lit(0))
-        wants = now.join(best, "node").select("node", "weight", F.col("best.to").alias("to"), gain.alias("gain")).where("gain > 0")
+        wants = now.join(best, "node").select("node", "weight", "shard", F.col("best.to").alias("to"), gain.alias("gain")).where("gain > 0")
         coin = F.xxhash64(F.lit(seed), F.lit(turn), "node")
         # the greatest power of two in the gain, then a class of the hash
         rank = (F.lit(62) - F.floor(F.log2("gain"))) * CLASSES + F.pmod(F.shiftright(coin, 8), F.lit(CLASSES))
-        wants = materialize(wants.select("node", "weight", "to", rank.alias("rank"), (coin % 2 == 0).alias("moves")), "wants")
+        pair = F.col("shard") * shards + F.col("to")
+        wants = materialize(wants.select("node", "weight", "to", pair.alias("pair"), rank.alias("rank"), (coin % 2 == 0).alias("moves")), "wants")
         loads = dict(now.groupBy("shard").agg(F.sum("weight")).collect())
-        room = _table([max(0, q - loads.get(j, 0)) for j, q in enumerate(quota)])
-        classes = wants.where("moves").groupBy("to", "rank").agg(F.sum("weight").alias("w"))
-        so_far = F.sum("w").over(Window.partitionBy("to").orderBy("rank"))
-        fits = classes.select("to", "rank", so_far.alias("so_far")).where(F.col("so_far") <= F.get(room, F.col("to"))).groupBy("to").agg(F.max("rank").alias("last"))
-        last = dict(fits.collect())  # one number a shard
-        if not last and (wants.isEmpty() or idle):
-            break
-        idle = 0 if last else idle + 1
-        if last:
-            limits = F.array(*[F.lit(last.get(j, -1)).cast("long") for j in range(shards)])
-            let_in = wants.where(F.col("moves") & (F.col("rank") <= F.get(limits, F.col("to")))).select("node", "to")
+        room = np.array([q - loads.get(j, 0) for j, q in enumerate(quota)]) + slack
+        classes = wants.where("moves").groupBy("pair", "rank").agg(F.sum("weight").alias("w"))
+        wanted = np.zeros((shards, shards), np.int64)
+        for p, w in classes.groupBy("pair").agg(F.sum("w")).collect():
+            wanted[p // shards, p % shards] = w
+        allowed = _table(flows(wanted, room, turn, seed).ravel())
+        so_far = F.sum("w").over(Window.partitionBy("pair").orderBy("rank"))
+        fits = classes.select("pair", "rank", so_far.alias("so_far")).where(F.col("so_far") <= F.get(allowed, F.col("pair"))).groupBy("pair").agg(F.max("rank").alias("last"), F.max("so_far").alias("w"))
+        taken, last = np.zeros_like(wanted), {}
+        for p, r, w in fits.collect():
+            taken[p // shards, p % shards], last[p] = w, r
+        taken = _within(taken, room).ravel()
+        if taken.any():
+            limits = _table([last[p] if taken[p] else -1 for p in range(shards * shards)])
+            let_in = wants.where(F.col("moves") & (F.col("rank") <= F.get(limits, F.col("pair")))).select("node", "to")
             now = materialize(now.join(let_in, "node", "left").select("node", "weight", F.coalesce("to", "shard").alias("shard")), "shards")
+        idle = 0 if taken.any() else idle + 1
+        if idle == PATIENCE or idle and wants.isEmpty():
+            break
     return now
 
 
