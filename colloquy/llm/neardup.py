@@ -7,9 +7,12 @@ coordinates in 32 bands of 4 miss a pair of Jaccard 0.75 with probability 5e-6.
 No bucket is expanded into all pairs. Each bucket's members are compared with two leaders. Buckets
 whose members still lie in several components stay open: there members are compared with two more
 leaders, chosen by hash so that a document meets others in each bucket, and at last those outside the
-bucket's main component with the members of other components. In open buckets four bits of 512
-coordinates are compared first inside the join, so pairs that merely share a passage never leave it.
-Two members of one component need no comparison, so no link that could join components is lost.
+bucket's main component with the members of other components. In open buckets the join itself drops
+pairs that can't be linked, by sizes and by parities: shingles fall into cells by hash, and a cell
+whose counts in two sets differ in parity holds a shingle of one alone, so the cells that differ are
+no more than such shingles, which in a linked pair are at most a seventh of both sizes together. That
+is a proof, not an estimate: no link is lost behind banding, and pairs that merely share a passage
+never leave the join. Two members of one component need no comparison.
 Buckets, hubs and classes that hold a large share of rows are split over tasks (common.join_spread).
 
 Results at the edges: null or blank text has an empty set and is alone; fewer than five words
@@ -33,10 +36,8 @@ from .common import COLD_ROWS, HOT_PARTS, WordHashes, hot_keys, join_spread, mat
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS = 5
 THRESHOLD = (75, 100)
-#: Coordinates of the longer signature of documents in buckets that stay open, and how many of the first 128 and of all must
-#: agree in four bits before a pair is verified. At Jaccard 0.75, 98 and 392 agree on average (deviations 4.8 and 9.6); about 50
-#: pairs in a million fall short. Lower limits let pairs of similarity 0.6 out of the join, whose number is that of a group squared.
-DEEP, LEAST_AGREEING = 512, (78, 352)
+#: Cells of parities that all documents have, and of those that sets of more than WIDE_FROM shingles have besides.
+CELLS, WIDE_CELLS, WIDE_FROM = 1024, 4096, 256
 _CHUNK = 2048
 
 
@@ -76,25 +77,23 @@ def bands_of(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def nibbles_of(sig: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen coordinates a long."""
-    bits = (mix64(sig.astype(np.uint64)) & np.uint64(15)).reshape(-1, 16)
-    return np.bitwise_or.reduce(bits << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1).view(np.int64)
+def parities(shingles: np.ndarray, cells: int) -> np.ndarray:
+    """A bit a cell, packed into longs: whether an odd number of the set's shingles fall there."""
+    at = (mix64(shingles + np.uint64(0x2545F4)) % np.uint64(cells)).astype(np.int64)
+    odd = (np.bincount(at, minlength=cells) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
-def _differing(a: Column, b: Column) -> Column:
-    """How many of the sixteen coordinates in two longs differ."""
-    x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-
-
-def maybe_similar(a: Column, b: Column) -> Column:
-    """Whether enough coordinates agree: the first 128 in compiled code, then, if they do, all."""
-    short = sum((_differing(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range(1, BANDS * ROWS // 16)), _differing(F.get(a, F.lit(0)), F.get(b, F.lit(0))))
-    long = F.aggregate(F.zip_with(a, b, _differing), F.lit(0), lambda n, x: n + x)
-    return (F.lit(BANDS * ROWS) - short >= LEAST_AGREEING[0]) & (F.lit(DEEP) - long >= LEAST_AGREEING[1])
+def maybe_similar(a: str, b: str) -> Column:
+    """False only for pairs of structs (n, odd, wide) whose sets can't be linked."""
+    least, most = THRESHOLD
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    room = (most - least) * (n_a + n_b)
+    differing = lambda i: F.bit_count(F.get(F.col(f"{a}.odd"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.odd"), F.lit(i))))
+    narrow = sum((differing(i) for i in range(1, CELLS // 64)), differing(0))
+    wide = F.aggregate(F.zip_with(f"{a}.wide", f"{b}.wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sizes = most * F.least(n_a, n_b) >= least * F.greatest(n_a, n_b)
+    return sizes & ((most + least) * narrow <= room) & F.coalesce((most + least) * wide <= room, F.lit(True))
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -120,10 +119,12 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def _deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
+    memo, longs = WordHashes(), pa.list_(pa.int64())
     for batch in batches:
-        found = [nibbles_of(signature(np.unique(windows(memo.of(words_of(x)), SHINGLE_WORDS)), DEEP)) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["rep", "nibbles"])
+        sets = [np.unique(windows(memo.of(words_of(x)), SHINGLE_WORDS)) for x in batch.column("text").to_pylist()]
+        wide = [parities(x, WIDE_CELLS) if len(x) > WIDE_FROM else None for x in sets]
+        columns = [pa.array(list(map(len, sets)), pa.int64()), pa.array([parities(x, CELLS) for x in sets], longs), pa.array(wide, longs)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["rep", "n", "odd", "wide"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +200,8 @@ def _apart(some: DataFrame, open_: DataFrame, bits: DataFrame, once: bool = Fals
         rows = rows.join(grid, "bucket", "left").withColumn(own + "_cell", F.pmod(F.xxhash64(by), parts).cast("int"))
         return rows.withColumn(other + "_cell", F.explode(F.sequence(F.lit(0), copies - 1))).drop("gx", "gy")
 
-    x = some.join(bits, "rep").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("nibbles").alias("xn"), F.col("bands").alias("xb"))
-    wanted = (F.col("xc") != F.col("comp")) & maybe_similar(F.col("xn"), F.col("nibbles"))
+    x = some.join(bits, "rep").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("xc"), F.col("parity").alias("xp"), F.col("bands").alias("xb"))
+    wanted = (F.col("xc") != F.col("comp")) & maybe_similar("xp", "parity")
     if once:
         wanted &= F.array_min(F.array_intersect("xb", "bands")) == F.col("bucket")
     x, y = dealt(x, "x", "x", "y"), dealt(open_.join(bits, "rep"), "rep", "y", "x")
@@ -232,7 +233,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     open_ = materialize(_open_buckets(member, comp, hot), "open")
     deep = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    bits = deep.mapInArrow(_deep, "rep long, nibbles array<long>").dropDuplicates(["rep"]).join(first.dropDuplicates(["rep"]), "rep")
+    bits = deep.mapInArrow(_deep, "rep long, n long, odd array<long>, wide array<long>").distinct()
+    # an id with several texts has a row for each, so that none of them is overlooked
+    bits = bits.select("rep", F.struct("n", "odd", "wide").alias("parity")).join(first.distinct(), "rep")
     bits = materialize(bits, "bits")
     # in open buckets two more leaders, other ones in each bucket; then what still lies apart with all members
     seconds = open_.withColumn("h", F.xxhash64("bucket", "rep"))
