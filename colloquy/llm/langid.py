@@ -7,10 +7,11 @@ language, corrected for that language's rate of false positives, decides.
 Fit: documents with a language and fold other than 2, at most TRAIN_DOCS of each language (the
 smallest by seeded hash; a documented bound on the fit alone). An n-gram counts for a language if
 at least MIN_SHARE of its training documents hold it, so mislabelled documents teach nothing.
-N-grams are set as bits by Spark; the driver gets the filter's rows that have a bit, at most
-MAX_SLOTS, and one row a language. The filter has SPARE slots for each n-gram of the richest
-language, within MAX_SLOTS; beyond that it gets denser and its correction larger, nothing is left
-out. Labels of more than MAX_LANGUAGES values are not languages, and raise.
+N-grams are set as bits by Spark; the driver gets the filter's rows that have a bit, FILTER_BYTES
+together at most, and one row a language. The filter has SPARE slots for each n-gram of the richest
+language, within FILTER_BYTES; beyond that it gets denser and its correction larger, nothing is left
+out. Of more than MAX_LANGUAGES values of lang, the most frequent ones are learned (then the first in
+code-point order): a bound on the fit, like TRAIN_DOCS; documents of the others are predicted like all.
 
 N-grams of NGRAM letters decide. A text of which none is known is decided by shorter ones, of
 SHORTER letters, in the same filter; one of which nothing is known gets the language with the most
@@ -36,8 +37,10 @@ from .common import materialize, mix64, read
 NGRAM, SHORTER = 4, (3, 2, 1)
 TRAIN_DOCS, MIN_SHARE, MIN_DOCS = 2000, 0.01, 2
 HASHES, SPARE = 2, 16
-MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 23
-MAX_LANGUAGES = 512
+MIN_SLOTS, FILTER_BYTES = 1 << 16, 64 << 20
+MAX_LANGUAGES = 4096
+#: Classes of hash that a language's candidates for training fall into.
+CLASSES = 1024
 SEED = 7
 UNKNOWN = "und"
 _BLOCK = 1 << 20
@@ -105,7 +108,10 @@ class BitSlicedFilter:
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Popcounts per language, less what false positives add."""
         found = self.masks(grams)
-        raw = np.array([np.count_nonzero(found[:, i // 64] & (np.uint64(1) << np.uint64(i % 64))) for i in range(len(self.langs))], float)
+        if len(self.langs) <= 64:
+            raw = np.array([np.count_nonzero(found[:, 0] & (np.uint64(1) << np.uint64(i))) for i in range(len(self.langs))], float)
+        else:
+            raw = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)[: len(self.langs)].astype(float)
         return np.clip((raw - len(grams) * self.rates) / np.maximum(1 - self.rates, 1e-9), 0, len(grams))
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -115,7 +121,8 @@ class BitSlicedFilter:
         letters = letters_of(text)
         for n in (NGRAM, *SHORTER):
             grams = ngram_hashes(letters, n)
-            hits = sum((self.hits(grams[i : i + _BLOCK]) for i in range(0, len(grams), _BLOCK)), np.zeros(len(self.langs)))
+            block = _BLOCK // self.words.shape[1]
+            hits = sum((self.hits(grams[i : i + block]) for i in range(0, len(grams), block)), np.zeros(len(self.langs)))
             if hits.sum():
                 best = int(hits.argmax())
                 return self.langs[best], float(hits[best] / hits.sum()), float(hits[best] / len(grams)) if n == NGRAM else 0.0
@@ -123,20 +130,24 @@ class BitSlicedFilter:
 
 
 def training_rows(labelled: DataFrame) -> DataFrame:
-    """(lang, text) of TRAIN_DOCS rows of each language at most, those of the smallest hashes.
+    """(lang, text) of TRAIN_DOCS rows of each language at most, those of the smallest hashes of id and text.
 
-    Counts first leave about four times the bound of each language, so that ranks are taken over few rows.
+    Counts leave about four times the bound of each language. These fall into CLASSES by hash; whole classes are taken while the
+    bound lasts, and only rows of the class where it ends are ranked, so that no task holds a language.
     """
-    labelled = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text", F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string")).alias("_h"))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    labelled = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), "text", F.xxhash64(F.lit(SEED), F.col("doc_id").cast("string"), "text").alias("_h"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     # MAX_LANGUAGES rows at most, so texts never move by language
-    sizes = labelled.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in counts], "lang string, _n long")
-    near = labelled.join(F.broadcast(sizes), "lang").where(F.shiftrightunsigned("_h", 1) < F.lit(float(1 << 63)) * 4 * TRAIN_DOCS / F.col("_n"))
-    order = Window.partitionBy("lang").orderBy("_h", F.xxhash64("text"))
-    ranked = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= TRAIN_DOCS)
-    return ranked.select("lang", "text")
+    sizes = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * TRAIN_DOCS / r["n"])) for r in counts], "lang string, _share double")
+    at = F.shiftrightunsigned("_h", 1) / F.lit(float(1 << 63))
+    near = labelled.join(F.broadcast(sizes), "lang").where(at < F.col("_share")).withColumn("_class", F.floor(at / F.col("_share") * CLASSES)).drop("_share")
+    near = materialize(near, "candidates")
+    classes = near.groupBy("lang", "_class").agg(F.count(F.lit(1)).alias("_in"))
+    classes = classes.withColumn("_left", F.lit(TRAIN_DOCS) - F.sum("_in").over(Window.partitionBy("lang").orderBy("_class")) + F.col("_in")).where("_left > 0")
+    joined = near.join(classes, ["lang", "_class"])
+    order = Window.partitionBy("lang", "_class").orderBy("_h")
+    last = joined.where("_in > _left").withColumn("_r", F.row_number().over(order)).where("_r <= _left")
+    return joined.where("_in <= _left").select("lang", "text").unionByName(last.select("lang", "text"))
 
 
 def train(labelled: DataFrame) -> BitSlicedFilter:
@@ -150,7 +161,7 @@ def train(labelled: DataFrame) -> BitSlicedFilter:
     places = chosen.sparkSession.createDataFrame([(lang, i, float(max(min(MIN_DOCS, n), MIN_SHARE * n))) for i, (lang, n) in enumerate(sizes)], "lang string, at int, least double")
     grams = materialize(grams.join(F.broadcast(places), "lang").where("held >= least").select("at", "gram"), "grams")
     most = grams.groupBy("at").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    slots = min(max(MIN_SLOTS, 1 << (SPARE * most - 1).bit_length()), MAX_SLOTS)
+    slots = min(max(MIN_SLOTS, 1 << (SPARE * most - 1).bit_length()), FILTER_BYTES // (8 * -(-len(langs) // 64)))
     bits = grams.mapInArrow(_bits_of(slots), "slot int, word int, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
     words = np.zeros((slots, -(-len(langs) // 64)), np.uint64)
     words[bits.column("slot").to_numpy(), bits.column("word").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)

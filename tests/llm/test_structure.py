@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import fim, repair, sharding
+from colloquy.llm import fim, langid, neardup, repair, sharding, tokens
+from colloquy.llm.common import scratch_path
 
 DOCS = "doc_id long, text string, row string, n long, output string, shard int, node long"
 TURNS = "conv_id long, turn long, role string, text string, fault string, seen string"
@@ -222,3 +223,154 @@ def test_propagation_brute_force(spark):
     placed = spark.createDataFrame(list(found.items()), "node long, shard int")
     assert tuple(sharding.cut_links(edges, placed).first()) == (sum(u != v for u, v in links), cut)
     assert cut < 0.5 * 7 / 8 * len(links)
+
+
+def test_parity_filter_loses_no_link(spark):
+    """On pairs of sets of all sizes and similarities: no linked pair is dropped, and most pairs of similarity 0.6 are."""
+    rng, rows, linked = np.random.default_rng(5), [], []
+    for k in range(600):
+        n = int(rng.choice([1, 2, 3, 7, 20, 100, 256, 257, 900, 3000, 9000]))
+        share = float(rng.choice([0.3, 0.6, 0.72, 0.75, 0.76, 0.9, 1.0]))
+        both = max(1, round(n * 2 * share / (1 + share)))
+        extra = n - both
+        pool = rng.integers(0, 2**63, both + 2 * extra + 3).astype(np.uint64)
+        a, b = pool[: both + extra], np.concatenate([pool[:both], pool[both + extra : both + 2 * extra + int(rng.integers(3))]])
+        rows.append([k, *[x for s in (a, b) for x in (len(s), neardup.parities(s, neardup.CELLS).tolist(), neardup.parities(s, neardup.WIDE_CELLS).tolist() if len(s) > neardup.WIDE_FROM else None)]])
+        meet = len(np.intersect1d(a, b))
+        linked.append((100 * meet >= 75 * (len(a) + len(b) - meet), share, n))
+    kind = "struct<n:long,odd:array<long>,wide:array<long>>"
+    frame = spark.createDataFrame([(k, (n, x, y), (m, u, v)) for k, n, x, y, m, u, v in rows], f"k long, a {kind}, b {kind}")
+    kept = {r.k for r in frame.where(neardup.maybe_similar("a", "b")).select("k").collect()}
+    assert all(k in kept for k, (is_linked, *_) in enumerate(linked) if is_linked)
+    apart = [k for k, (_, share, n) in enumerate(linked) if share <= 0.6 and 20 <= n <= 900]
+    assert sum(k in kept for k in apart) < 0.05 * len(apart)
+
+
+def test_neardup_edges(spark):
+    """Null ids, one id with two texts of which only one is linked, repeated rows, clashing columns, an empty table."""
+    rng = random.Random(7)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+    long = words(80)
+    near = " ".join([*long[:78], "x", "y"])
+    rows = [(1, " ".join(long)), (5, near), (5, " ".join(words(50))), (None, near), (None, None), (None, " ".join(words(9))), (7, ""), (7, ""), (8, "a b c"), (9, "A b\tC")]
+    frame = spark.createDataFrame([(i, t, 1, "own", 2) for i, t in rows], "doc_id long, text string, rep long, bucket string, cls long")
+    got = Counter(map(tuple, neardup.near_duplicates(frame).select("doc_id", "component_id", "kept").collect()))
+    assert got == Counter([(1, 1, True), (5, 1, False), (5, 1, False), (None, 1, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (8, 8, True), (9, 8, False)])
+    assert neardup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def grams_of(text, n):
+    """n-grams of letters in lower case, words apart, as texts."""
+    low = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in low:
+        low = low.replace("  ", " ")
+    return [low[i : i + n] for i in range(len(low) - n + 1)]
+
+
+def test_language_filter_against_exact_sets(spark):
+    """Corrected popcounts of the filter near those of exact sets, in a sparse filter and in one so dense that half of all hits are false."""
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 2**63, 3000).astype(np.uint64) for _ in range(70)]
+    for slots in (1 << 18, 1 << 13):
+        words = np.zeros((slots, 2), np.uint64)
+        for i, s in enumerate(sets):
+            for slot in langid.slots_of(s, slots):
+                np.bitwise_or.at(words[:, i // 64], slot, np.uint64(1) << np.uint64(i % 64))
+        model = langid.BitSlicedFilter([f"l{i:02d}" for i in range(70)], words)
+        query = np.concatenate([sets[5][:900], sets[69][:300], rng.integers(0, 2**63, 1800).astype(np.uint64)])
+        exact = np.array([np.isin(query, s).sum() for s in sets])
+        raw = np.array([np.count_nonzero(model.masks(query)[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)) for i in range(70)])
+        assert (raw >= exact).all() and np.abs(model.hits(query) - exact).max() < (10 if slots > 1 << 13 else 150)
+        if slots == 1 << 13:
+            assert (raw - exact).max() > 500
+        assert int(model.hits(query).argmax()) == 5
+
+
+def test_language_id_brute_force(spark):
+    """The whole prediction against exact sets of n-grams; held-out documents, nulls and texts without letters; labels beyond the bound."""
+    rng = random.Random(11)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "ijklmno"}
+    some = lambda lang, n: " ".join("".join(rng.choices(letters[lang], k=rng.randrange(2, 7))) for _ in range(n))
+    rows = [(i, some(lang, rng.randrange(3, 40)), lang) for i, lang in enumerate(rng.choices(list(letters), [5, 2, 1], k=500))]
+    rows += [(900, None, "aa"), (901, "12 34!", "aa"), (902, some("bb", 30), None), (None, some("cc", 30), None)]
+    docs = spark.createDataFrame([(i, t, x, "own") for i, t, x in rows], "doc_id long, text string, lang string, row string")
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(docs).collect()}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(t, x) for i, t, x in rows if t is not None and x is not None and not held(i)]
+    n_docs = Counter(x for _, x in train)
+    known = {}
+    for lang in letters:
+        for n in (4, 3, 2, 1):
+            per = Counter(g for t, x in train if x == lang for g in set(grams_of(t, n)))
+            known[lang, n] = {g for g, c in per.items() if c >= max(min(langid.MIN_DOCS, n_docs[lang]), langid.MIN_SHARE * n_docs[lang])}
+    for i, t, _ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            assert (i, "und") in got
+            continue
+        for n in (4, 3, 2, 1):
+            hits = {x: sum(g in known[x, n] for g in grams_of(t, n)) for x in letters}
+            if any(hits.values()):
+                best = sorted(hits, key=lambda x: (-hits[x], x))
+                if hits[best[0]] > 1.05 * hits[best[1]] + 1:  # the filter is exact but for a few false positives
+                    assert (i, best[0]) in got
+                break
+
+
+@pytest.mark.parametrize("labels", [70, 700])
+def test_many_languages(spark, monkeypatch, labels):
+    """More values of lang than bits in a long, and more than the filter has room for: no crash, the bound's languages are learned."""
+    rng = random.Random(labels)
+    words = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(labels)}
+    rows = [(i, " ".join(rng.choices(words[f"l{i % labels:03d}"], k=20)), f"l{i % labels:03d}") for i in range(12 * labels)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    right = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.95
+    if labels == 70:
+        monkeypatch.setattr(langid, "MAX_LANGUAGES", 50)
+        assert langid.identify(docs).select("lang_pred").distinct().count() <= 50
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """At most the bound of each language, exactly the bound where there are enough rows, whatever the ids."""
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 40)
+    rows = [(None if i % 2 else i, f"text {i}", "aa" if i % 10 else "bb") for i in range(3000)] + [(None, "same", "cc")] * 30
+    got = Counter(r.lang for r in langid.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
+    assert got == {"aa": 40, "bb": 40, "cc": 30}
+
+
+def test_orc_files_prune(spark):
+    """Files hold Bloom filters on doc_id and row indexes, in stripes by ascending id; a search for an id that no row has reads no row."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer_json = f.read()
+    path = scratch_path(spark, "orc")
+    docs = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    tokens.write_orc(docs, tokenizer_json, path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = [x.getPath() for x in at.getFileSystem(conf).listStatus(at) if x.getPath().getName().endswith(".orc")]
+    ends = []
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        kinds = set()
+        for stripe in reader.getStripes():
+            assert stripe.getIndexLength() > 0
+            footer = reader.rows().readStripeFooter(stripe) if hasattr(reader.rows(), "readStripeFooter") else None
+            kinds |= {s.getKind().toString() for s in footer.getStreamsList()} if footer is not None else set()
+        assert not kinds or {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+        statistics = reader.getStatistics()[1]
+        ends.append((statistics.getMinimum(), statistics.getMaximum()))
+    ends.sort()
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False)) and ends[0][0] == 0 and ends[-1][1] == 39_998
+
+    def rows_read(i):
+        found = spark.read.orc(path).where(F.col("doc_id") == i).select("ids")
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan()
+        scan = [p for p in [plan, *(plan.collectLeaves().apply(k) for k in range(plan.collectLeaves().size()))] if "Scan" in p.nodeName()]
+        return len(rows), min(p.metrics().apply("numOutputRows").value() for p in scan)
+
+    assert rows_read(1000)[0] == 1 and rows_read(1000)[1] <= 1000  # one row group, by its minimum and maximum
+    assert rows_read(1001) == (0, 0)  # within a row group's limits, but not in its Bloom filter
