@@ -16,7 +16,7 @@ from .plans import deliberation as P
 from .plans import dpo, prompts, training
 from .plans import evaluation as E
 from .plans import generation as G
-from .sources import datasets, stores
+from .sources import arrow, datasets, stores
 from .streaming import metrics
 
 
@@ -227,6 +227,14 @@ def standardize_mc_struct(spark, d):
     return out.select("sample_id", F.length("question").alias("n_question"), "answer", F.array_join("choices", ",").alias("choices"), F.array_join("choice_labels", ",").alias("labels"), "task_type")
 
 
+def standardize_sciq(spark, d):
+    """The right answer and the wrong ones in columns of their own."""
+    others = [F.get(F.array_except(F.array(*map(F.lit, LANGUAGES)), F.array("lang")), F.lit(i)) for i in range(3)]
+    raw = _read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("source").alias("question"), F.col("text").alias("support"), F.col("lang").alias("correct_answer"), *[c.alias(f"distractor{i}") for i, c in enumerate(others, 1)])
+    out = datasets.standardize(datasets.choices_of_columns(raw, datasets.spec_of("sciq")), "multiple_choice", legacy=False)
+    return out.select("sample_id", F.md5("passage").alias("passage_md5"), "answer", F.array_join("choices", ",").alias("choices"))
+
+
 def split_fallback(spark, d):
     """A set without test rows is evaluated on its validation rows."""
     return datasets.evaluation_rows(stratified_split(spark, d).where("split <> 'test'")).select("doc_id", "lang", "split")
@@ -363,6 +371,37 @@ def dpo_steps(spark, d):
     return spark.createDataFrame(out, "step int, loss double, dpo double, nll double, preferred double").select("step", *rounded)
 
 
+def critic_rewards(spark, d):
+    """Rewards where the critic is asked about simulated replies as well, and may refuse."""
+    turns = P.deliberate(_samples(spark, d), 2)
+    respond = G.refusing_responder(G.canned_responder(), REFUSED_EVERY)
+    found = P.rewards(turns, ["sample_id", "round"], 5, respond, critic=True)
+    return found.select("sample_id", "round", F.round("reward", 9).alias("reward"), "error")
+
+
+def arrow_dataset_roundtrip(spark, d):
+    """Preference rows as an Arrow data set of each agent, the critic's read back."""
+    path = stores.scratch(spark, "datasets")
+    stores.write_preferences(training.preference_rows(_pairs(spark, d), 0.1), f"{path}/table")
+    arrow.write_by_agent(spark.read.schema(stores.PREFERENCES).parquet(f"{path}/table"), path, stores.AGENTS)
+    return arrow.read_dataset(spark, f"{path}/critic").select("sample_id", "round", "chosen", "rejected")
+
+
+def live_early_stopping(spark, d):
+    """Daily averages as metric files, folded by a stream in two runs over one checkpoint."""
+    path = stores.scratch(spark, "live")
+    day = F.datediff(F.to_date("ts"), F.lit("2000-01-01").cast("date")).cast("long")
+    days = _read(spark, d, "events").groupBy(F.col("event_type").alias("phase"), day.alias("step")).agg(F.round(F.avg("value"), 6).alias("a"), F.min("ts").alias("timestamp"))
+    rows = days.select("phase", "step", "timestamp", F.create_map(F.lit("a"), F.col("a")).alias("metrics"))
+    for part in (0, 1):
+        rows.where(F.col("step") % 2 == part).write.mode("append").json(f"{path}/metrics")
+        out = metrics.live_early_stop(metrics.metrics_stream(spark, f"{path}/metrics"), "a", 2)
+        keep = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+        out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{path}/out")
+    return found.groupBy(F.col("phase").alias("event_type")).agg(F.max_by("ran", F.struct("epoch", "records")).cast("int").alias("ran"))
+
+
 def early_stopping_fold(spark, d):
     days = _read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("a"))
     series = days.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "a"))), lambda x: x["a"]).alias("series"))
@@ -411,7 +450,7 @@ NAMES = (
     per_round_accuracy, per_round_delta, flip_statistics, sample_details, correct_at_each_round, evaluate_benchmark, rollout_reward,
     preference_pairs, pairs_min_delta, prefs_actor, prefs_critic, pair_cache_roundtrip, pairs_jsonl_roundtrip, preferences_roundtrip, results_roundtrip, metric_log_roundtrip,
     render_prompts_yes_no, render_prompts_choice, render_prompts_alias, render_mixed_datasets,
-    reply_quarantine, resumed_pairs, generated_samples, array_roundtrip, dpo_steps, early_stopping_fold, config_resolve, settings_merge, dataset_tasks, error_quarantine, isolated_task,
+    standardize_sciq, critic_rewards, arrow_dataset_roundtrip, live_early_stopping, reply_quarantine, resumed_pairs, generated_samples, array_roundtrip, dpo_steps, early_stopping_fold, config_resolve, settings_merge, dataset_tasks, error_quarantine, isolated_task,
 )
 
 _S = "SELECT d.doc_id AS sample_id, 'Is document ' || d.doc_id || ' good?' AS question, coalesce(d.text, '') AS passage, CASE WHEN l.quality = 1 THEN 'yes' ELSE 'no' END AS answer FROM documents d JOIN labels l USING (doc_id)"
@@ -514,6 +553,14 @@ def _sql_mixed() -> str:
     return f"SELECT doc_id, dataset, prompt_type, md5(CASE {' '.join(cases)} END) AS prompt_md5 FROM (SELECT *, ([{', '.join(repr(x) for x in SET_NAMES)}])[1 + doc_id % 6] AS dataset, unnest([{', '.join(repr(x) for x in prompts.TYPES)}]) AS prompt_type FROM documents)"
 
 
+def _sql_critic() -> str:
+    """Simulated replies as usual, then the critic's on each; a state's least error leaves it without a reward."""
+    feedback = _sql_prompt("boolq", "critic", actor_response="reply")
+    said = f"SELECT *, {_sql_respond('critic', feedback, 'sim', every=REFUSED_EVERY)} AS feedback FROM ({_sql_simulated('turns', every=REFUSED_EVERY)})"
+    error = "min(CASE WHEN reply IS NULL THEN 'round ' || round || ' simulated actor: refused' WHEN feedback IS NULL THEN 'round ' || round || ' simulated critic: refused' END)"
+    return _sql_turns(2) + f"SELECT sample_id, round, CASE WHEN {error} IS NULL THEN round(avg(ok), 9) END AS reward, {error} AS error FROM ({said}) GROUP BY sample_id, round"
+
+
 def _sql_quarantine() -> str:
     """A sample's first failed turn, else the least of its later errors; pairs of samples without."""
     n = REFUSED_EVERY
@@ -586,6 +633,10 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "early_stopping_fold": _STOP,
         "config_resolve": "SELECT event_id, coalesce(CASE WHEN k > 50 THEN k END, user_id, 42)::BIGINT AS seed, CASE WHEN event_type = 'click' THEN 2 ELSE 5 END::BIGINT AS rounds, 0::BIGINT AS patience FROM (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events)",
         "render_mixed_datasets": _sql_mixed(),
+        "standardize_sciq": "SELECT doc_id AS sample_id, md5(coalesce(text, '')) AS passage_md5, chr(64 + list_position(c, lang)) AS answer, array_to_string(c, ',') AS choices FROM (SELECT *, list_transform(list_sort(list_transform(['en', 'fr', 'de', 'es'], lambda x: md5('42|' || doc_id || '|' || x) || x)), lambda x: substr(x, 33)) AS c FROM documents)",
+        "critic_rewards": _sql_critic(),
+        "arrow_dataset_roundtrip": f"{pairs} SELECT sample_id, round, positive_critic AS chosen, negative_critic AS rejected FROM pairs WHERE delta >= 0.1",
+        "live_early_stopping": _STOP,
         "reply_quarantine": _sql_quarantine(),
         "resumed_pairs": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",
         "array_roundtrip": f"{pairs} SELECT sample_id, round, direction, positive, negative FROM pairs",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from pathlib import Path
 from typing import Any
 
@@ -21,6 +21,10 @@ DEFAULTS: dict[str, Any] = {
 }
 
 
+#: Folders of settings files, in the order in which they win.
+GROUPS = ("model", "data", "train")
+
+
 class MissingSetting(KeyError):
     """A required setting is in no layer."""
 
@@ -82,6 +86,38 @@ class Settings:
     def of_files(cls, *paths: str | Path, overrides: Mapping[str, Any] | None = None) -> Settings:
         return cls(DEFAULTS, *map(read_settings, paths), overrides)
 
+    @classmethod
+    def of_groups(cls, root: str | Path, groups: Mapping[str, str | None] | None = None, experiment: str | Path | None = None, overrides: Iterable[str] = ()) -> Settings:
+        """Six layers: DEFAULTS, root/default, a file of each group (model, data, train in this order), the experiment's file, `a.b=value` overrides.
+
+        Files are JSON or YAML; a layer without a file is left out. Values of overrides are JSON where they can be read so, else text.
+        """
+        chosen = [Path(root) / "default", *(Path(root) / g / n for g in GROUPS if (n := (groups or {}).get(g)))]
+        unknown = set(groups or {}) - set(GROUPS)
+        if unknown:
+            raise ValueError(f"unknown groups {sorted(unknown)}")
+        found = [f for x in chosen if (f := next((x.with_name(x.name + e) for e in (".json", ".yaml") if x.with_name(x.name + e).exists()), None))]
+        layers = [read_settings(f) for f in found] + ([read_settings(experiment)] if experiment and Path(experiment).exists() else [])
+        out = cls(DEFAULTS, *layers)
+        for each in overrides:
+            name, sep, value = each.partition("=")
+            if not sep or not name:
+                raise ValueError(f"{each!r} is no override")
+            try:
+                read = json.loads(value)
+            except ValueError:
+                read = value
+            out = out.with_value(name, read)
+        return out
+
+    @property
+    def model_name(self) -> str:
+        return str(self.get("model.name", ""))
+
+    @property
+    def dataset(self) -> dict[str, Any]:
+        return self.section("data")
+
     def get(self, name: str, default: Any = None) -> Any:
         at: Any = self._tree
         for key in name.split("."):

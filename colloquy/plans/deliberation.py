@@ -70,11 +70,12 @@ def with_earlier(turns: DataFrame) -> DataFrame:
     return turns.withColumn("history", F.collect_list(F.coalesce("actor_response", F.lit(""))).over(before))
 
 
-def simulate(states: DataFrame, simulations: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
+def simulate(states: DataFrame, simulations: int, respond: Responder | None = None, dataset: str = "boolq", critic: bool = False) -> DataFrame:
     """Adds right (0 or 1) of each simulated next reply, one row a simulation; 0 without label or simulations, null without reply.
 
     The reply sees history (earlier responses, an array that states must have), then the actor's and the critic's response.
-    error is that of the state or else of the simulated reply.
+    error is that of the state or else of the simulated reply. With critic, the critic is asked about each simulated reply as
+    well; what it says changes nothing, but its failure is the state's.
     """
     if "history" not in states.columns:
         raise ValueError("states need their history; see with_earlier")
@@ -84,13 +85,15 @@ def simulate(states: DataFrame, simulations: int, respond: Responder | None = No
     label = normalize_answer(F.col("answer"))
     unscored = (label == "") | F.lit(simulations <= 0)
     sims = _ask(sims, respond, "actor", prompt, F.col("sim"), "_reply", F.concat(F.lit("round "), F.col("round").cast("string") if "round" in states.columns else F.lit("?"), F.lit(" simulated")), ~unscored)
+    if critic:
+        sims = _ask(sims, respond, "critic", _prompt(sims, dataset, "critic", actor_response=F.col("_reply.text")), F.col("sim"), "_feedback", F.concat(F.lit("round "), F.col("round").cast("string") if "round" in states.columns else F.lit("?"), F.lit(" simulated")), ~unscored).drop("_feedback")
     right = F.when(F.col("error").isNull(), F.when(unscored, 0.0).otherwise((normalize_answer(predicted(dataset, F.col("_reply.text"))) == label).cast("double")))
     return sims.withColumn("right", right).drop("_reply")
 
 
-def rewards(states: DataFrame, keys: list[str], simulations: int, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
+def rewards(states: DataFrame, keys: list[str], simulations: int, respond: Responder | None = None, dataset: str = "boolq", critic: bool = False) -> DataFrame:
     """(keys, reward, error): the share of simulated next replies that give the label; no reward where one of them failed."""
-    found = simulate(states, simulations, respond, dataset).groupBy(*keys).agg(F.avg("right").alias("reward"), F.min("error").alias("error"))
+    found = simulate(states, simulations, respond, dataset, critic).groupBy(*keys).agg(F.avg("right").alias("reward"), F.min("error").alias("error"))
     return found.withColumn("reward", F.when(F.col("error").isNull(), F.col("reward")))
 
 

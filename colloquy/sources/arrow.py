@@ -101,6 +101,14 @@ class _Reader(DataSourceReader):
             yield from pa.ipc.open_stream(f)
 
 
+def local(path: str) -> str:
+    """A path that open() takes; one of a store that only Spark reads raises."""
+    bare = path.removeprefix("file://").removeprefix("file:")
+    if ":" in bare.split("/")[0]:
+        raise ValueError(f"{path} is no file system path")
+    return bare
+
+
 class ArrowDataset(DataSource):
     """format("arrow_dataset"): load(path) reads a set, a task a file; save(path) adds to it or replaces it."""
 
@@ -109,15 +117,15 @@ class ArrowDataset(DataSource):
         return "arrow_dataset"
 
     def schema(self) -> StructType:
-        path = self.options["path"]
+        path = local(self.options["path"])
         with pa.memory_map(os.path.join(path, manifest(path)[0])) as f:
             return from_arrow_schema(pa.ipc.open_stream(f).schema)
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options["path"])
+        return _Reader(local(self.options["path"]))
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], schema, overwrite)
+        return _Writer(local(self.options["path"]), schema, overwrite)
 
 
 def write_by_agent(preferences: DataFrame, path: str, agents: tuple[str, ...]) -> list[str]:
@@ -125,7 +133,7 @@ def write_by_agent(preferences: DataFrame, path: str, agents: tuple[str, ...]) -
     preferences.sparkSession.dataSource.register(ArrowDataset)
     for agent in agents:
         preferences.where(F.col("agent") == agent).drop("agent").write.format("arrow_dataset").mode("overwrite").save(f"{path}/{agent}")
-    return [a for a in agents if os.path.exists(f"{path}/{a}/{STATE}")]
+    return [a for a in agents if os.path.exists(f"{local(path)}/{a}/{STATE}")]
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:

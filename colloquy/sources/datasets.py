@@ -16,6 +16,9 @@ class DatasetSpec:
     task_type: str
     splits: tuple[str, ...] = ()
     stratum: str | None = None
+    #: Where a set has its right answer and the wrong ones in columns of their own.
+    correct: str | None = None
+    distractors: tuple[str, ...] = ()
 
 
 #: Splits that samples keep; raw splits of other names are dropped.
@@ -24,7 +27,7 @@ REGISTRY = {
     "boolq": DatasetSpec("yes_no", ("train", "validation")),
     "mmlu": DatasetSpec("multiple_choice", ("test", "validation", "dev")),
     "bbh": DatasetSpec("mixed", stratum="bbh_task"),
-    "sciq": DatasetSpec("multiple_choice", ("train", "validation", "test")),
+    "sciq": DatasetSpec("multiple_choice", ("train", "validation", "test"), correct="correct_answer", distractors=("distractor1", "distractor2", "distractor3")),
     "arc": DatasetSpec("multiple_choice", ("train", "validation", "test")),
 }
 
@@ -76,10 +79,26 @@ def standardize(raw: DataFrame, task_type: str, legacy: bool = True) -> DataFram
     return raw.select(*kept, _text(raw, "question").alias("question"), _text(raw, "passage").alias("passage"), answer.alias("answer"), choices.alias("choices"), labels.alias("choice_labels"), F.lit(task_type).alias("task_type"))
 
 
+def choices_of_columns(raw: DataFrame, spec: DatasetSpec, seed: int = 42) -> DataFrame:
+    """raw with choices and answer (a letter) from the columns of spec, in place of what it has under these names; support becomes the passage.
+
+    Choices follow the MD5 of seed, sample_id and text, so that the right one stands anywhere and reruns agree. Null and empty
+    distractors are no choices; without a right answer the letter is empty.
+    """
+    key = lambda c: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), c))
+    columns = F.array(*[F.col(c).cast("string") for c in (spec.correct, *spec.distractors)])
+    ordered = F.array_sort(F.transform(F.array_distinct(F.filter(columns, lambda c: c.isNotNull() & (c != ""))), lambda c: F.struct(key(c).alias("k"), c.alias("c"))))
+    choices = F.transform(ordered, lambda x: x["c"])
+    place = F.coalesce(F.array_position(choices, F.col(spec.correct).cast("string")), F.lit(0))
+    passage = {"passage": F.col("support")} if "support" in raw.columns and "passage" not in raw.columns else {}
+    return raw.withColumns({"choices": choices, "answer": F.when(place > 0, F.char(place + 64)).otherwise(""), **passage})
+
+
 def load_dataset(spark: SparkSession, name: str, root: str, form: str = "parquet", seed: int = 42, legacy: bool = True) -> DataFrame:
     """Samples of a named set with their split; raw rows lie under root/name and carry sample_id.
 
-    Sets with a stratum are split by it; the others carry a split column, of which SPLITS are kept.
+    Sets with a stratum are split by it; the others carry a split column, of which SPLITS are kept. Answers in columns of their
+    own are read without legacy only.
     """
     spec = spec_of(name)
     raw = text_rows(spark, f"{root}/{name}") if form == "text" else spark.read.format(form).load(f"{root}/{name}")
@@ -91,6 +110,8 @@ def load_dataset(spark: SparkSession, name: str, root: str, form: str = "parquet
         raw = D.stratified_split(raw, spec.stratum, "sample_id", seed=seed)
     else:
         raw = raw.where(F.col("split").isin(*SPLITS))
+    if not legacy and spec.correct in raw.columns:
+        raw = choices_of_columns(raw, spec, seed)
     return standardize(raw, spec.task_type, legacy)
 
 

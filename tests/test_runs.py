@@ -15,7 +15,7 @@ from colloquy.plans import deliberation as P
 from colloquy.plans import dpo, prompts, training
 from colloquy.plans import evaluation as E
 from colloquy.plans import generation as G
-from colloquy.sources import arrow, stores
+from colloquy.sources import arrow, datasets, stores
 from colloquy.streaming import metrics
 
 SAMPLES = "sample_id long, question string, passage string, answer string"
@@ -451,3 +451,34 @@ def test_wrong_answer_beyond_the_table(spark):
     choices = [f"C{i}" for i in range(A.LOOKED_UP + 40)]
     got = spark.createDataFrame([(choices,)], "c array<string>").select(A.wrong_answer(F.lit("c0"), F.col("c"))).first()[0]
     assert got == random.Random(42).choice(choices[1:])
+
+
+def test_settings_of_groups(tmp_path):
+    """Six layers, later ones win key by key; layers without a file are left out."""
+    for name, content in {"default.json": {"a": 1, "model": {"name": "m0", "type": "t"}}, "model/big.json": {"model": {"name": "m1"}, "b": 1}, "data/set.json": {"data": {"name": "s"}, "b": 2}, "exp.json": {"b": 3, "c": 1}}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(json.dumps(content))
+    got = config.Settings.of_groups(tmp_path, {"data": "set", "model": "big", "train": "none"}, tmp_path / "exp.json", ["c=2", "data.size=[1, 2]", "text=plain words"])
+    assert (got.model_name, got.get("model.type"), got.get("a"), got.get("b"), got.get("c"), got.dataset, got.get("text")) == ("m1", "t", 1, 3, 2, {"name": "s", "size": [1, 2]}, "plain words")
+    assert config.Settings.of_groups(tmp_path / "nowhere").get("seed") == config.DEFAULTS["seed"]
+    for bad in ({"groups": {"other": "x"}}, {"overrides": ["none"]}):
+        with pytest.raises(ValueError):
+            config.Settings.of_groups(tmp_path, **bad)
+
+
+def test_choices_of_columns(spark):
+    """The right answer's letter wherever it stands; missing and repeated distractors, no right answer."""
+    rows = [(1, "q", "sun", "moon", "stars", "sea"), (2, "q", "sun", "moon", None, ""), (3, "q", "sun", "sun", "moon", "moon"), (4, "q", None, "a", "b", "c"), (5, None, "x", None, None, None)]
+    raw = spark.createDataFrame(rows, "sample_id long, question string, correct_answer string, distractor1 string, distractor2 string, distractor3 string")
+    got = {r.sample_id: r for r in datasets.standardize(datasets.choices_of_columns(raw, datasets.spec_of("sciq")), "multiple_choice", legacy=False).collect()}
+    for i, _, right, *wrong in rows:
+        r = got[i]
+        assert sorted(r.choices) == sorted({x for x in (right, *wrong) if x})
+        assert r.answer == "" if right is None else r.choices[ord(r.answer) - 65] == right
+    assert len({got[i].answer for i in (1, 2, 3)}) >= 1 and got[5].answer == "A"
+
+
+def test_arrow_paths():
+    assert arrow.local("file:///a/b") == arrow.local("file:/a/b") == arrow.local("/a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        arrow.local("hdfs://host/a")
