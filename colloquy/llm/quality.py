@@ -5,9 +5,11 @@ are exact and order-free. Each language and source is a group with an estimate o
 starts go side by side: medians and quartiles, all documents, and ELEMENTS seeded draws of d + 1
 vectors. A concentration step takes the h = 75 % of the group nearest by Mahalanobis distance and
 computes their mean and covariance; steps go on until no start's determinant falls, and the start
-of the least determinant wins. All documents count in every step: a step is one aggregation of
-counts, sums and products by group, start and bin of distance, so no group meets in one task; what
-meets there is one row a start and bin.
+of the least determinant wins. All documents count in every step: vectors are integers, so documents
+of one vector are one row with their count, and a step is one aggregation of counts, sums and
+products of these rows by group, start and bin of distance. No group meets in one task; what meets
+there is one row a start and bin. A step that gains less than GAIN ends its start, and regularized
+determinants have a lower bound, so all starts end.
 
 Covariances are regularized: a diagonal of the whole table's squared robust scales counts as PRIOR
 documents of the group. That holds alike for groups of every size, so a small group is judged by
@@ -41,8 +43,8 @@ VECTOR = {"v_words": 0.5, "v_word_chars": 0.05, "v_symbols": 0.5, "v_dup_lines":
 CUT = 90.0
 #: The median of chi-square with 5 degrees of freedom (fixed value).
 CHI2_MEDIAN = 4.351460191095526
-#: Share of a group that estimates it, documents that the prior counts as, seeded starts, most steps, least gain in log determinant.
-COVERAGE, PRIOR, ELEMENTS, STEPS, GAIN = 0.75, 50.0, 3, 50, 1e-3
+#: Share of a group that estimates it, documents that the prior counts as, seeded starts, least gain of a step in log determinant.
+COVERAGE, PRIOR, ELEMENTS, GAIN = 0.75, 50.0, 3, 1e-3
 BINS_PER_DOUBLING = 32
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -108,7 +110,7 @@ def shrunk(cov: np.ndarray, n: float, prior: np.ndarray) -> np.ndarray:
 def _state(g: str, k: int, mean: np.ndarray, cov: np.ndarray, n: float, prior: np.ndarray, last: float | None = None) -> tuple:
     cov = shrunk(cov, n, prior)
     det = float(np.linalg.slogdet(cov)[1])
-    return g, k, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), det, last is not None and det > last - GAIN
+    return g, k, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), det, last is not None and not det <= last - GAIN
 
 
 _STATE = "g string, k int, mean array<double>, inverse array<double>, logdet double, done boolean"
@@ -177,32 +179,34 @@ def _bin(d2: Column) -> Column:
 
 def _sums() -> list[Column]:
     names = list(VECTOR)
-    out = [F.count(F.lit(1)).alias("n"), *(F.sum(v).alias(f"s{i}") for i, v in enumerate(names))]
-    return [*out, *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}{j}") for i, j in _PAIRS)]
+    out = [F.sum("c").alias("n"), *(F.sum(F.col(v) * F.col("c")).alias(f"s{i}") for i, v in enumerate(names))]
+    return [*out, *(F.sum(F.col(names[i]) * F.col(names[j]) * F.col("c")).alias(f"p{i}{j}") for i, j in _PAIRS)]
+
+
+def counted(vectors: DataFrame) -> DataFrame:
+    """(g, v_...) to (g, v_..., c): each vector of a group once, with its number of documents."""
+    return vectors.groupBy("g", *VECTOR).agg(F.count(F.lit(1)).alias("c"))
 
 
 def prior_of(vectors: DataFrame) -> np.ndarray | None:
     """Squared robust scales of the whole table, at least those of VECTOR; None for no rows."""
-    row = vectors.agg(*[F.percentile(v, [0.25, 0.75]).alias(v) for v in VECTOR]).first()
+    row = vectors.agg(*[F.percentile(v, [0.25, 0.75], F.col("c")).alias(v) for v in VECTOR]).first()
     if row[0] is None:
         return None
     return np.array([max((b - a) / SCALE / 1.349, least) ** 2 for (a, b), least in zip(row, VECTOR.values(), strict=True)])
 
 
 def mcd(vectors: DataFrame, prior: np.ndarray) -> DataFrame:
-    """(g, v_...) to (g, mean, inverse, logdet): the estimate of the least determinant of each group."""
+    """counted vectors to (g, mean, inverse, logdet): the estimate of the least determinant of each group."""
     vector = F.array(*VECTOR)
-    quartiles = [F.percentile(v, [0.25, 0.5, 0.75]).alias(f"q{i}") for i, v in enumerate(VECTOR)]
+    quartiles = [F.percentile(v, [0.25, 0.5, 0.75], F.col("c")).alias(f"q{i}") for i, v in enumerate(VECTOR)]
     drawn = [F.min_by(vector, F.xxhash64(F.lit(k), F.lit(j), *VECTOR)).alias(f"e{k}{j}") for k in range(ELEMENTS) for j in range(_D + 1)]
     begun = vectors.groupBy("g").agg(*_sums(), *quartiles, *drawn).mapInPandas(_starter(prior), _STATE)
     # a start's determinant is that of no h documents, so the first step always counts
     state = materialize(begun.withColumn("logdet", F.lit(float("nan"))).withColumn("done", F.lit(False)), "mcd")
-    for _ in range(STEPS):
-        now = state.where("not done")
-        if now.isEmpty():
-            break
+    while not (now := state.where("not done")).isEmpty():
         starts = now.groupBy("g").agg(F.collect_list(F.struct("k", "mean", "inverse")).alias("starts"))
-        each = vectors.join(starts, "g").select("g", *VECTOR, F.explode("starts").alias("x")).select("g", *VECTOR, "x.*")
+        each = vectors.join(starts, "g").select("g", *VECTOR, "c", F.explode("starts").alias("x")).select("g", *VECTOR, "c", "x.*")
         sums = each.withColumn("bin", _bin(distance())).groupBy("g", "k", "bin").agg(*_sums())
         stepped = sums.groupBy("g").cogroup(now.groupBy("g")).applyInArrow(_stepper(prior), _STATE)
         state = materialize(stepped.unionByName(state.where("done")), "mcd")
@@ -212,7 +216,7 @@ def mcd(vectors: DataFrame, prior: np.ndarray) -> DataFrame:
 
 def with_spread(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
     """Adds spread: the group's median distance over that of chi-square, 1 at least."""
-    counts = vectors.join(estimates, "g").withColumn("bin", _bin(distance())).groupBy("g", "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = vectors.join(estimates, "g").withColumn("bin", _bin(distance())).groupBy("g", "bin").agg(F.sum("c").alias("n"))
     w = Window.partitionBy("g")
     counts = counts.withColumn("so_far", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
     middle = counts.where(F.col("so_far") >= F.col("all") * 0.5).groupBy("g").agg(F.min("bin").alias("b"))
@@ -223,7 +227,7 @@ def with_spread(vectors: DataFrame, estimates: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """docs to (doc_id, BASE, base_failed, distance, kept)."""
     stats = materialize(measure(docs).withColumn("g", group_of()), "statistics")
-    vectors = stats.where("not base_failed").select("g", *VECTOR)
+    vectors = materialize(counted(stats.where("not base_failed")), "vectors")
     prior = prior_of(vectors)
     if prior is None:
         out = stats.withColumn("distance", F.lit(None).cast("double"))

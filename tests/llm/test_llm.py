@@ -204,6 +204,7 @@ def test_mcd_least_determinant(spark):
     names = list(quality.VECTOR)
     tiny, large = vectors(10, 3, bad=2), vectors(400, 4, bad=80)
     table = spark.createDataFrame([("tiny", *x) for x in tiny] + [("large", *x) for x in large] + [("one", *tiny[0])], "g string, " + ", ".join(f"{v} long" for v in names))
+    table = quality.counted(table)
     prior = quality.prior_of(table)
     got = {r.g: r for r in quality.mcd(table, prior).collect()}
     x = np.array(tiny, float) / quality.SCALE
