@@ -11,8 +11,8 @@ back to their blocks, where scores are summed per document. So an n-gram travels
 once a document: a frequent one adds a row's entry for each block, and blocks grow with the input
 up to BLOCK_BYTES[1]. Texts, n-grams and counts travel as bytes squeezed by zstd. An n-gram is its
 hash, of as many bits as the corpus asks for: SPARE_BITS more than the logarithm of its n-grams, 64
-at most. About one pair of all n-grams shares a hash then, and a count (more of them where 64 bits
-are the limit, beyond about 10^11 n-grams); none is dropped.
+at most. Of n n-grams about n / 2^28 pairs share a hash then, and a count: one of 10^8 n-grams, some
+60 at 30 GB (more where 64 bits are the limit, beyond about 10^11 n-grams); none is dropped.
 
 Results at the edges: null or blank text has no words, score 0 and a null mean; a text shorter than
 the order uses shorter n-grams; a table of one document scores every word 1 / (N + 1) with N = 0,

@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation: linked documents move towards their neighbours' shards under quotas.
 
-Rows of one text that lie in one stored partition are one node, CELL rows at most, so a text that a
-third of all rows have is many nodes of bounded weight. The nodes of a text are linked to their
+Rows of one text that lie in one block of 1024 rows, as stored, are one node, CELL rows at most, so a
+text that a third of all rows have is many nodes of bounded weight. The nodes of a text are linked to their
 first one; a text with more rows than half a shard has several such stars, linked in a chain. Links
 between documents of different texts may be given besides.
 
@@ -15,8 +15,8 @@ end when nobody wants to move, or none was let in for three rounds, or after ROU
 shard may have SLACK more than its quota.
 
 Rows without links then fill the shards up, so that row counts are at most one apart (law `rows`);
-rows beyond a quota are dealt out with them. All numbers come from counts by stored partition and
-places inside one, never from a sort of a shard.
+rows beyond a quota are dealt out with them. All numbers come from counts by block and places inside
+one, never from a sort of a shard.
 
 Results at the edges: null text has the size 1 and the check sum of the empty text, and is linked
 with empty and null texts; null or repeated ids, repeated rows and extra columns are kept, in the
@@ -38,6 +38,8 @@ from .common import hot_keys, join_spread, materialize, read
 SHARDS, ROUNDS, SEED = 16, 16, 11
 #: Rows of a node at most, and classes of hash in which movers of one gain are let in.
 CELL, CLASSES = 1024, 4096
+#: Bits of a row's number inside its block.
+BLOCK_BITS = 10
 #: Share of a quota by which propagation may exceed it; level() ends at the quota itself.
 SLACK = 0.01
 #: Rounds without a move after which propagation ends.
@@ -57,7 +59,7 @@ def _table(numbers: list[int]) -> Column:
 def nodes_of(rows: DataFrame, cell: int, half: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """rows (k, digest) to (rows with node, nodes (node, weight) of texts found twice or more, links (u, v))."""
     by_part = Window.partitionBy("digest", "part")
-    at = rows.withColumn("part", F.shiftright("k", 33)).withColumn("_sub", F.floor((F.row_number().over(by_part.orderBy("k")) - 1) / cell))
+    at = rows.withColumn("part", F.shiftright("k", BLOCK_BITS)).withColumn("_sub", F.floor((F.row_number().over(by_part.orderBy("k")) - 1) / cell))
     at = at.withColumn("node", F.first("k").over(Window.partitionBy("digest", "part", "_sub").orderBy("k")))
     at = materialize(at.drop("_sub", "part"), "rows")
     cells = at.groupBy("digest", "node").agg(F.count(F.lit(1)).alias("weight"))
@@ -114,7 +116,9 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
     hot = materialize(hot_keys(both.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "v"), "hot")
     now = materialize(nodes.select("node", "weight", F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(shards)).cast("int").alias("shard")), "shards")
     slack = np.array([max(1, int(SLACK * q)) for q in quota])
-    idle = 0
+    loads, idle = np.zeros(shards, np.int64), 0
+    for j, w in now.groupBy("shard").agg(F.sum("weight")).collect():
+        loads[j] = w
     for turn in range(rounds):
         near = join_spread(both, now.select(F.col("node").alias("v"), "shard"), "v", hot, "u")
         votes = near.groupBy("u", "shard").agg(F.sum("links").alias("n"))
@@ -126,8 +130,7 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
         rank = (F.lit(62) - F.floor(F.log2("gain"))) * CLASSES + F.pmod(F.shiftright(coin, 8), F.lit(CLASSES))
         pair = F.col("shard") * shards + F.col("to")
         wants = materialize(wants.select("node", "weight", "to", pair.alias("pair"), rank.alias("rank"), (coin % 2 == 0).alias("moves")), "wants")
-        loads = dict(now.groupBy("shard").agg(F.sum("weight")).collect())
-        room = np.array([q - loads.get(j, 0) for j, q in enumerate(quota)]) + slack
+        room = np.array(quota) - loads + slack
         classes = wants.where("moves").groupBy("pair", "rank").agg(F.sum("weight").alias("w"))
         wanted = np.zeros((shards, shards), np.int64)
         for p, w in classes.groupBy("pair").agg(F.sum("w")).collect():
@@ -138,7 +141,9 @@ def propagate(nodes: DataFrame, links: DataFrame, quota: list[int], rounds: int
         taken, last = np.zeros_like(wanted), {}
         for p, r, w in fits.collect():
             taken[p // shards, p % shards], last[p] = w, r
-        taken = _within(taken, room).ravel()
+        taken = _within(taken, room)
+        loads += taken.sum(axis=0) - taken.sum(axis=1)
+        taken = taken.ravel()
         if taken.any():
             limits = _table([last[p] if taken[p] else -1 for p in range(shards * shards)])
             let_in = wants.where(F.col("moves") & (F.col("rank") <= F.get(limits, F.col("pair")))).select("node", "to")
@@ -158,7 +163,7 @@ def cut_links(links: DataFrame, placed: DataFrame) -> DataFrame:
 def level(rows: DataFrame, placed: DataFrame, quota: list[int]) -> DataFrame:
     """rows (k, node) with shard and slot: placed nodes' rows where they are, up to the quota, all others where room is left."""
     shards = len(quota)
-    with_shard = rows.join(placed.select("node", F.col("shard").alias("_to")), "node", "left").withColumn("_to", F.coalesce("_to", F.lit(shards))).withColumn("_part", F.shiftright("k", 33))
+    with_shard = rows.join(placed.select("node", F.col("shard").alias("_to")), "node", "left").withColumn("_to", F.coalesce("_to", F.lit(shards))).withColumn("_part", F.shiftright("k", BLOCK_BITS))
     with_shard = materialize(with_shard, "labelled")
     counts = with_shard.groupBy("_to", "_part").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select("_to", "_part", (F.sum("n").over(Window.partitionBy("_to").orderBy("_part")) - F.col("n")).alias("_before"))
