@@ -235,6 +235,50 @@ def standardize_sciq(spark, d):
     return out.select("sample_id", F.md5("passage").alias("passage_md5"), "answer", F.array_join("choices", ",").alias("choices"))
 
 
+def load_yes_no(spark, d):
+    """A set with splits of its own, of which one has a name that is dropped."""
+    root = stores.scratch(spark, "sets")
+    docs = _read(spark, d, "documents")
+    split = F.get(F.array(*map(F.lit, ("train", "validation", "test", "extra"))), F.pmod("doc_id", F.lit(4)).cast("int"))
+    raw = docs.select(F.col("doc_id").alias("sample_id"), split.alias("split"), F.col("source").alias("question"), F.col("lang").alias("passage"), (F.pmod("doc_id", F.lit(3)) == 0).alias("answer"))
+    raw.write.parquet(f"{root}/boolq")
+    return datasets.load_dataset(spark, "boolq", root).select("sample_id", "split", "question", "passage", "answer", F.array_join("choices", ",").alias("choices"), "task_type")
+
+
+def load_tasks(spark, d):
+    """A set without splits, a folder for each task, split by task."""
+    root = stores.scratch(spark, "sets")
+    raw = _read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.md5("text").alias("input"), F.col("source").alias("target"), F.coalesce("lang", F.lit("none")).alias("task"))
+    raw.write.partitionBy("task").parquet(f"{root}/bbh")
+    return datasets.load_dataset(spark, "bbh", root, legacy=False).select("sample_id", "bbh_task", "split", "question", "answer", "task_type")
+
+
+def load_lines(spark, d):
+    """Rows without fields: lines of text, each the data of a sample of the task that has no name."""
+    root = stores.scratch(spark, "sets")
+    _read(spark, d, "documents").select(F.concat_ws(" ", F.col("doc_id").cast("string"), F.regexp_replace("text", r"[\r\n]+", " "))).write.text(f"{root}/bbh")
+    return datasets.load_dataset(spark, "bbh", root, "text").groupBy("split", "task_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("question") == "").alias("empty"))
+
+
+def named_history(spark, d):
+    """Each conversation's last texts by role, in the order of the roles."""
+    last = _read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.max_by(F.coalesce("text", F.lit("")), "turn").alias("text"))
+    said = last.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "text"))).alias("said"))
+    return said.select("conv_id", F.md5(D.named_responses_text(F.col("said"))).alias("history_md5"))
+
+
+def no_simulations(spark, d):
+    """States without simulations, and states without a label, have no reward to speak of: 0."""
+    turns = P.deliberate(_samples(spark, d).withColumn("answer", F.when(F.pmod("sample_id", F.lit(2)) == 0, F.col("answer")).otherwise("")), 2)
+    none, unlabelled = P.rewards(turns.where("answer <> ''"), ["sample_id", "round"], 0), P.rewards(turns.where("answer = ''"), ["sample_id", "round"], 3)
+    return none.unionByName(unlabelled).select("sample_id", "round", "reward")
+
+
+def validation_record(spark, d):
+    row = training.validation_record(_turns(spark, d), 3)
+    return spark.createDataFrame([tuple(row.values())], "iteration int, val_accuracy double, val_ci_margin double, improvement_rate double").select("iteration", *[F.round(c, 9).alias(c) for c in list(row)[1:]])
+
+
 def split_fallback(spark, d):
     """A set without test rows is evaluated on its validation rows."""
     return datasets.evaluation_rows(stratified_split(spark, d).where("split <> 'test'")).select("doc_id", "lang", "split")
@@ -402,6 +446,34 @@ def live_early_stopping(spark, d):
     return found.groupBy(F.col("phase").alias("event_type")).agg(F.max_by("ran", F.struct("epoch", "records")).cast("int").alias("ran"))
 
 
+def trained_agent(spark, d):
+    """An agent's phase as a whole: pairs by batches, preference rows, two steps of training; the losses on the way."""
+    root = stores.scratch(spark, "agent")
+    trainer = dpo.LogLinearTrainer(spark, root, dpo.Objective(OBJECTIVE.beta, OBJECTIVE.nll, OBJECTIVE.rate, steps=2))
+    training.train_agent(spark, _samples(spark, d), root, "actor", 0, trainer, "none", batches=1, rounds=3)
+    return spark.createDataFrame(list(enumerate(trainer.losses)), "step int, loss double").select("step", F.round("loss", 9).alias("loss"))
+
+
+class _CountingTrainer:
+    """Names a model by its base and the rows that it was trained on."""
+
+    def __init__(self, spark):
+        self.spark = spark
+
+    def train(self, agent, preferences, base):
+        return f"{base}+{stores.read_preferences(self.spark, preferences, agent).count()}"
+
+
+def alternated_models(spark, d):
+    """Two iterations, the second of which has only pairs of round 2; models are named by what they were trained on."""
+    root = stores.scratch(spark, "alternation")
+    stores.write_pairs(_pairs(spark, d), f"{root}/all")
+    pairs = stores.read_pairs(spark, f"{root}/all")
+    pairs_of = lambda models: pairs.where("round = 2") if "+" in models["actor"] else pairs
+    out = training.alternate(spark, root, {"actor": "actor", "critic": "critic"}, pairs_of, _CountingTrainer(spark), iterations=2, min_delta=0.1)
+    return spark.createDataFrame(sorted(out.models.items()), "agent string, model string")
+
+
 def early_stopping_fold(spark, d):
     days = _read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("a"))
     series = days.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "a"))), lambda x: x["a"]).alias("series"))
@@ -450,6 +522,7 @@ NAMES = (
     per_round_accuracy, per_round_delta, flip_statistics, sample_details, correct_at_each_round, evaluate_benchmark, rollout_reward,
     preference_pairs, pairs_min_delta, prefs_actor, prefs_critic, pair_cache_roundtrip, pairs_jsonl_roundtrip, preferences_roundtrip, results_roundtrip, metric_log_roundtrip,
     render_prompts_yes_no, render_prompts_choice, render_prompts_alias, render_mixed_datasets,
+    load_yes_no, load_tasks, load_lines, named_history, no_simulations, validation_record, trained_agent, alternated_models,
     standardize_sciq, critic_rewards, arrow_dataset_roundtrip, live_early_stopping, reply_quarantine, resumed_pairs, generated_samples, array_roundtrip, dpo_steps, early_stopping_fold, config_resolve, settings_merge, dataset_tasks, error_quarantine, isolated_task,
 )
 
@@ -633,6 +706,14 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "early_stopping_fold": _STOP,
         "config_resolve": "SELECT event_id, coalesce(CASE WHEN k > 50 THEN k END, user_id, 42)::BIGINT AS seed, CASE WHEN event_type = 'click' THEN 2 ELSE 5 END::BIGINT AS rounds, 0::BIGINT AS patience FROM (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events)",
         "render_mixed_datasets": _sql_mixed(),
+        "load_yes_no": "SELECT doc_id AS sample_id, (['train', 'validation', 'test'])[1 + doc_id % 4] AS split, coalesce(source, '') AS question, coalesce(lang, '') AS passage, CASE WHEN doc_id % 3 = 0 THEN 'yes' ELSE 'no' END AS answer, 'Yes,No' AS choices, 'yes_no' AS task_type FROM documents WHERE doc_id % 4 <> 3",
+        "load_tasks": f"SELECT doc_id AS sample_id, coalesce(s.lang, 'none') AS bbh_task, split, coalesce(md5(text), '') AS question, coalesce(source, '') AS answer, 'mixed' AS task_type FROM ({_SPLIT}) s JOIN documents d USING (doc_id)",
+        "load_lines": "SELECT CASE i WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split, 'mixed' AS task_type, k AS n, k AS empty FROM (SELECT i, CASE i WHEN 0 THEN floor(n * 0.25::DOUBLE) WHEN 1 THEN floor(n * 0.10::DOUBLE) ELSE n - floor(n * 0.25::DOUBLE) - floor(n * 0.10::DOUBLE) END::BIGINT AS k FROM (SELECT count(*) AS n FROM documents), (SELECT unnest([0, 1, 2]) AS i)) WHERE k > 0",
+        "named_history": "SELECT conv_id, md5(string_agg(chr(10) || 'Person ' || role || ' said: ' || text, '' ORDER BY role)) AS history_md5 FROM (SELECT conv_id, role, coalesce(arg_max(coalesce(text, ''), turn), '') AS text FROM conversations GROUP BY conv_id, role) GROUP BY conv_id",
+        "no_simulations": f"SELECT sample_id, round, 0.0::DOUBLE AS reward FROM ({_S}), (SELECT unnest([0, 1])::INT AS round)",
+        "validation_record": _sql_turns(3) + f"SELECT 3::INT AS iteration, round(a2, 9) AS val_accuracy, round({z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {z * z} / n), 9) AS val_ci_margin, round(CASE WHEN a0 = 0 THEN 0 ELSE (a2 - a0) / a0 END, 9) AS improvement_rate FROM (SELECT count(*) FILTER (round = 0) AS n, avg(ok) FILTER (round = 0) AS a0, avg(ok) FILTER (round = 2) AS a2 FROM scored)",
+        "trained_agent": f"SELECT step, loss FROM ({_sql_dpo(pairs)})",
+        "alternated_models": f"{pairs} SELECT agent, agent || '+' || count(*) || '+' || count(*) FILTER (round = 2) AS model FROM pairs, (SELECT unnest(['actor', 'critic']) AS agent) WHERE delta >= 0.1 GROUP BY agent",
         "standardize_sciq": "SELECT doc_id AS sample_id, md5(coalesce(text, '')) AS passage_md5, chr(64 + list_position(c, lang)) AS answer, array_to_string(c, ',') AS choices FROM (SELECT *, list_transform(list_sort(list_transform(['en', 'fr', 'de', 'es'], lambda x: md5('42|' || doc_id || '|' || x) || x)), lambda x: substr(x, 33)) AS c FROM documents)",
         "critic_rewards": _sql_critic(),
         "arrow_dataset_roundtrip": f"{pairs} SELECT sample_id, round, positive_critic AS chosen, negative_critic AS rejected FROM pairs WHERE delta >= 0.1",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 from typing import Protocol
 
@@ -18,6 +18,8 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
+
 #: Adds a column of replies: rows, role, prompt, simulation number (0 outside simulations), name of the new column.
 Responder = Callable[[DataFrame, str, Column, Column, str], DataFrame]
 
@@ -40,6 +42,13 @@ class Sampling:
     seed: int = 42
 
 
+def sampling_of(settings: Settings, **given) -> Sampling:
+    """The sampling that settings name under generation, unless given otherwise."""
+    known = {f.name for f in fields(Sampling)}
+    named = {k: tuple(v) if k == "stop" else v for k, v in settings.section("generation").items() if k in known}
+    return Sampling(**(named | given))
+
+
 class Model(Protocol):
     def generate(self, prompts: list[str], sampling: Sampling) -> list[list[str]]:
         """sampling.n texts for each prompt."""
