@@ -287,6 +287,11 @@ def test_runtime(spark, tmp_path):
         G.generate(rows, F.col("p"), logged_model(log), G.Sampling(n=0))
 
 
+def test_sampling_of_settings():
+    settings = config.Settings(config.DEFAULTS, {"generation": {"stop": ["x"], "max_tokens": 9, "other": 1}})
+    assert G.sampling_of(settings, n=2) == G.Sampling(n=2, max_tokens=9, temperature=0.7, top_p=0.9, stop=("x",))
+
+
 def test_generate_single():
     model = G.CannedModel()
     assert G.generate_single(model, "x", G.Sampling(temperature=0.0)) == model.generate(["x"], G.Sampling(n=2, temperature=0.0))[0][1]
