@@ -13,7 +13,7 @@ from . import config
 from .functions import answers as A
 from .operators import datasets as D
 from .plans import deliberation as P
-from .plans import dpo, prompts, training
+from .plans import dpo, experiment, prompts, training
 from .plans import evaluation as E
 from .plans import generation as G
 from .sources import arrow, datasets, stores
@@ -474,6 +474,18 @@ def alternated_models(spark, d):
     return spark.createDataFrame(sorted(out.models.items()), "agent string, model string")
 
 
+def whole_experiment(spark, d):
+    """From split samples over alternating training to the stored summary of the evaluation."""
+    root = stores.scratch(spark, "experiment")
+    by = _read(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "source")
+    samples = D.stratified_split(_samples(spark, d).join(by, "sample_id"), "source", "sample_id").drop("source")
+    settings = config.Settings(config.DEFAULTS, {"deliberation": {"rounds": 3, "simulations": 2}, "generation": {"batches": 1}, "training": {"patience": 1}})
+    experiment.run(spark, samples, root, settings, _CountingTrainer(spark), lambda models: G.canned_responder())
+    kinds = "num_samples long, num_failed long, initial_accuracy double, final_accuracy double, flip_statistics struct<wrong_to_correct:long,correct_to_wrong:long>"
+    row = spark.read.schema(kinds).json(f"{root}/results/summary")
+    return row.select("num_samples", "num_failed", *[F.round(c, 9).alias(c) for c in ("initial_accuracy", "final_accuracy")], "flip_statistics.wrong_to_correct", "flip_statistics.correct_to_wrong")
+
+
 def early_stopping_fold(spark, d):
     days = _read(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("a"))
     series = days.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "a"))), lambda x: x["a"]).alias("series"))
@@ -522,7 +534,7 @@ NAMES = (
     per_round_accuracy, per_round_delta, flip_statistics, sample_details, correct_at_each_round, evaluate_benchmark, rollout_reward,
     preference_pairs, pairs_min_delta, prefs_actor, prefs_critic, pair_cache_roundtrip, pairs_jsonl_roundtrip, preferences_roundtrip, results_roundtrip, metric_log_roundtrip,
     render_prompts_yes_no, render_prompts_choice, render_prompts_alias, render_mixed_datasets,
-    load_yes_no, load_tasks, load_lines, named_history, no_simulations, validation_record, trained_agent, alternated_models,
+    load_yes_no, load_tasks, load_lines, named_history, no_simulations, validation_record, trained_agent, alternated_models, whole_experiment,
     standardize_sciq, critic_rewards, arrow_dataset_roundtrip, live_early_stopping, reply_quarantine, resumed_pairs, generated_samples, array_roundtrip, dpo_steps, early_stopping_fold, config_resolve, settings_merge, dataset_tasks, error_quarantine, isolated_task,
 )
 
@@ -678,6 +690,8 @@ def oracle_sql() -> dict[str, str]:
     argued = f"CASE WHEN round = 0 THEN {_sql_prompt('mmlu', 'guided_single_shot', target_answer='target')} ELSE {_sql_prompt('mmlu', 'guided_deliberation', responses_text='h', target_answer='target')} END"
     steered = _sql_prompt("mmlu", "guided_critic", actor_response="a", target_answer="target")
     pairs = _sql_turns(3) + _sql_pairs()
+    tested = _SPLIT.replace("doc_id, lang", "sample_id, question, passage, answer").replace("PARTITION BY lang", "PARTITION BY source").replace("doc_id", "sample_id").replace("FROM documents)", f"FROM (SELECT s.*, d.source FROM ({_S}) s JOIN documents d ON d.doc_id = s.sample_id))")
+    tested = f"SELECT * FROM ({tested}) WHERE split = 'test'"
     prompted = "'Is this so? ' || coalesce(text, '')"
     return {
         "standardize_yes_no": _S,
@@ -714,6 +728,7 @@ FROM (SELECT *, {z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {
         "validation_record": _sql_turns(3) + f"SELECT 3::INT AS iteration, round(a2, 9) AS val_accuracy, round({z} * sqrt(a2 * (1 - a2) / n + {z * z} / (4.0 * n * n)) / (1 + {z * z} / n), 9) AS val_ci_margin, round(CASE WHEN a0 = 0 THEN 0 ELSE (a2 - a0) / a0 END, 9) AS improvement_rate FROM (SELECT count(*) FILTER (round = 0) AS n, avg(ok) FILTER (round = 0) AS a0, avg(ok) FILTER (round = 2) AS a2 FROM scored)",
         "trained_agent": f"SELECT step, loss FROM ({_sql_dpo(pairs)})",
         "alternated_models": f"{pairs} SELECT agent, agent || '+' || count(*) || '+' || count(*) FILTER (round = 2) AS model FROM pairs, (SELECT unnest(['actor', 'critic']) AS agent) WHERE delta >= 0.1 GROUP BY agent",
+        "whole_experiment": _sql_turns(3, samples=tested) + "SELECT count(*) FILTER (round = 0) AS num_samples, 0::BIGINT AS num_failed, round(avg(ok) FILTER (round = 0), 9) AS initial_accuracy, round(avg(ok) FILTER (round = 2), 9) AS final_accuracy, (SELECT count(*) FILTER (i = 0 AND f = 1) FROM ends) AS wrong_to_correct, (SELECT count(*) FILTER (i = 1 AND f = 0) FROM ends) AS correct_to_wrong FROM scored".replace("SELECT count", ", ends AS (SELECT arg_min(ok, round) AS i, arg_max(ok, round) AS f FROM scored GROUP BY sample_id) SELECT count", 1),
         "standardize_sciq": "SELECT doc_id AS sample_id, md5(coalesce(text, '')) AS passage_md5, chr(64 + list_position(c, lang)) AS answer, array_to_string(c, ',') AS choices FROM (SELECT *, list_transform(list_sort(list_transform(['en', 'fr', 'de', 'es'], lambda x: md5('42|' || doc_id || '|' || x) || x)), lambda x: substr(x, 33)) AS c FROM documents)",
         "critic_rewards": _sql_critic(),
         "arrow_dataset_roundtrip": f"{pairs} SELECT sample_id, round, positive_critic AS chosen, negative_critic AS rejected FROM pairs WHERE delta >= 0.1",

@@ -72,13 +72,20 @@ def generate_resumably(spark: SparkSession, samples: DataFrame, root: str, agent
             done = spark.read.schema("sample_id long").parquet(*[f"{base}/{name}/samples" for name in committed])
             rest = samples.join(done, "sample_id", "left_anti")
         parts = sorted(r[0] for r in rest.select(part.alias("part")).distinct().collect())  # batches rows at most
+        if len(parts) > 1:
+            # dealt out once, so that a batch reads its own samples alone
+            dealt = f"{base}/_dealt-{uuid.uuid4().hex}"
+            rest.withColumn("_part", part).write.partitionBy("_part").parquet(dealt)
         for p in parts:
             name = f"part={p:05d}-{sum(x.startswith(f'part={p:05d}-') for x in committed):05d}"
-            pairs, failed = generate_pairs(spark, rest.where(part == p), f"{base}/{name}", agent, iteration, respond, **how)
+            chosen = spark.read.schema(samples.schema).parquet(f"{dealt}/_part={p}") if len(parts) > 1 else rest
+            pairs, failed = generate_pairs(spark, chosen, f"{base}/{name}", agent, iteration, respond, **how)
             failed.write.mode("overwrite").parquet(f"{base}/{name}/failed")
             turns = spark.read.parquet(f"{base}/{name}/turns/agent={agent}/iteration={iteration}")
             turns.select("sample_id").distinct().write.mode("overwrite").parquet(f"{base}/{name}/samples")
             ledger.commit(name, {"agent": agent, "iteration": iteration})
+        if len(parts) > 1:
+            stores.delete(spark, dealt)
         if not parts:
             break
     names = ledger.names()

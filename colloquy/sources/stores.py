@@ -92,6 +92,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _file_system(spark, path)
+    files.delete(at, True)
+
+
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to path was committed."""
     return exists(spark, f"{path}/_SUCCESS")

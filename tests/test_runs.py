@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from colloquy import config
 from colloquy.functions import answers as A
 from colloquy.plans import deliberation as P
-from colloquy.plans import dpo, prompts, training
+from colloquy.plans import dpo, experiment, prompts, training
 from colloquy.plans import evaluation as E
 from colloquy.plans import generation as G
 from colloquy.sources import arrow, datasets, stores
@@ -487,3 +487,36 @@ def test_arrow_paths():
     assert arrow.local("file:///a/b") == arrow.local("file:/a/b") == arrow.local("/a/b") == "/a/b"
     with pytest.raises(ValueError):
         arrow.local("hdfs://host/a")
+
+
+def test_experiment_goes_on(spark, tmp_path):
+    """Broken off in training, an experiment ends as an unbroken one, asks nothing twice, and logs what it measured."""
+    samples = samples_of(spark, range(20)).withColumn("split", F.when(F.col("sample_id") % 4 == 0, "test").when(F.col("sample_id") % 4 == 1, "validation").otherwise("train"))
+    settings = config.Settings(config.DEFAULTS, {"deliberation": {"rounds": 2, "simulations": 1}, "generation": {"batches": 1}, "training": {"patience": 2}, "evaluation": {"max_samples": 3}})
+    trained, logs = [], [str(tmp_path / x) for x in ("whole", "parts")]
+    for x in logs:
+        os.mkdir(x)
+
+    class Trains:
+        def __init__(self, breaks):
+            self.breaks = breaks
+
+        def train(self, agent, preferences, base):
+            if agent == "actor" and self.breaks:
+                raise Stop
+            trained.append(agent)
+            return f"{base}'"
+
+    def go(at, log, breaks=False):
+        metric_log = stores.MetricLog(spark, f"{at}/metrics")
+        return experiment.run(spark, samples, at, settings, Trains(breaks), lambda models: responder(lambda x: None, log), log=metric_log), metric_log
+
+    whole, metric_log = go(f"{tmp_path}/a", logs[0])
+    with pytest.raises(Stop):
+        go(f"{tmp_path}/b", logs[1], breaks=True)
+    got, _ = go(f"{tmp_path}/b", logs[1])
+    assert got.outcome == whole.outcome and trained == ["critic", "actor"] * 2 and whole.outcome.models == {"actor": "actor'", "critic": "critic'"}
+    assert asked(logs[0]) == asked(logs[1])
+    assert got.results.drop("total_seconds", "average_seconds").collect() == whole.results.drop("total_seconds", "average_seconds").collect() and whole.details.count() == 3
+    assert {r.phase for r in metric_log.read().collect()} == {"generate", "validate", "evaluate"}
+    assert spark.read.json(f"{tmp_path}/b/results/summary").first().num_samples == 3
