@@ -33,6 +33,8 @@ def _ask(rows: DataFrame, respond: Responder, role: str, prompt: Column, sim: Co
     """
     wanted = F.col("error").isNull() if only is None else F.col("error").isNull() & only
     rows = respond(rows.withColumn("_asked", F.when(wanted, prompt)), role, F.col("_asked"), sim, out)
+    if getattr(respond, "never_fails", False):
+        return rows.drop("_asked")
     failed = F.when(F.col("_asked").isNotNull() & (F.col(out)["text"].isNull() | F.col(out)["error"].isNotNull()), F.concat(stage, F.lit(f" {role}: "), F.coalesce(F.col(out)["error"], F.lit(NO_REPLY))))
     return rows.withColumn("error", F.coalesce("error", failed)).drop("_asked")
 
@@ -163,8 +165,13 @@ def quarantined(variants: DataFrame) -> DataFrame:
 
 
 def preference_pairs(turns: DataFrame, simulations: int, threshold: float = 0.0, respond: Responder | None = None, dataset: str = "boolq") -> DataFrame:
-    """Pairs of all samples without an error at any stage, in one plan; training.generate_pairs stores each stage and lists the others."""
-    return pairs_of(quarantined(scored_variants(turns, simulations, respond, dataset)), threshold)
+    """Pairs of all samples without an error at any stage, in one plan; training.generate_pairs stores each stage and lists the others.
+
+    error of turns is that of the sample, as deliberate has it.
+    """
+    respond = respond or canned_responder()
+    variants = scored_variants(turns, simulations, respond, dataset)
+    return pairs_of(variants if getattr(respond, "never_fails", False) else quarantined(variants), threshold)
 
 
 def wilson(accuracy: Column, n: Column, z: float = 1.959963984540054) -> Column:
