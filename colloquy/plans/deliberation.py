@@ -138,11 +138,18 @@ def scored_variants(turns: DataFrame, simulations: int, respond: Responder | Non
     natural = F.col("variant") == "natural"
     each = guided_round(each, respond, dataset, ~natural)
     each = each.withColumns({f"{x}_response": F.when(natural, F.col(f"_{x}")).otherwise(F.col(f"{x}_response")) for x in ("actor", "critic")})
+    # a turn has three rows for each simulation: its prompts are on one of them alone and its replies on three, lest sorts and shuffles carry each copy
+    once = F.col("sim") == 1
     of = lambda v, c: F.when(F.col("variant") == v, F.col(c))
-    return simulate(each, simulations, respond, dataset).groupBy("sample_id", "round").agg(
-        *[F.first(c).alias(c) for c in ("actor_prompt", "critic_prompt")],
+    narrow = simulate(each, simulations, respond, dataset).select(
+        "sample_id", "round",
+        *[F.when(once & natural, F.col(c)).alias(c) for c in ("actor_prompt", "critic_prompt")],
+        "variant", "right", *[F.when(once, F.col(f"{agent}_response")).alias(agent) for agent in ("actor", "critic")], "error",
+    )
+    return narrow.groupBy("sample_id", "round").agg(
+        *[F.max(c).alias(c) for c in ("actor_prompt", "critic_prompt")],
         *[F.avg(of(v, "right")).alias(f"{v}_reward") for v in NAMES],
-        *[F.max(of(v, f"{agent}_response")).alias(f"{v}_{agent}") for v in NAMES for agent in ("actor", "critic")],
+        *[F.max(of(v, agent)).alias(f"{v}_{agent}") for v in NAMES for agent in ("actor", "critic")],
         F.min("error").alias("error"),
     )
 

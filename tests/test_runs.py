@@ -520,3 +520,18 @@ def test_experiment_goes_on(spark, tmp_path):
     assert got.results.drop("total_seconds", "average_seconds").collect() == whole.results.drop("total_seconds", "average_seconds").collect() and whole.details.count() == 3
     assert {r.phase for r in metric_log.read().collect()} == {"generate", "validate", "evaluate"}
     assert spark.read.json(f"{tmp_path}/b/results/summary").first().num_samples == 3
+
+
+def test_prompts_are_aggregated_once_a_turn(spark):
+    """Of the rows that are grouped by turn, fifteen a turn, one has the turn's prompts and three have replies: the others carry no text."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    turns = P.deliberate(spark.createDataFrame([(i, f"question {i}?", "p" * 999, "yes") for i in range(4)], SAMPLES), 3)
+    plan = P.scored_variants(turns, 5)._jdf.queryExecution().optimizedPlan()
+    grouped = DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan.child()), spark)
+    texts = [c for c, kind in grouped.dtypes if kind == "string" and c not in ("variant", "error")]
+    held = grouped.agg(F.count(F.lit(1)), *[F.count(c) for c in texts], F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in texts))).first()
+    late = turns.where("round >= 1")
+    assert plan.nodeName() == "Aggregate" and held[0] == 15 * late.count()
+    assert late.agg(F.sum(F.length("actor_prompt") + F.length("critic_prompt"))).first()[0] <= held[-1] < 2200 * late.count() + 999
+    assert max(held[1:-1]) <= 3 * late.count()
