@@ -9,7 +9,8 @@ at two ranks without being decoded.
 
 Results at the edges: null text is empty, and plain; so is a text that holds one of the three
 marks; a null doc_id is hashed as no digits; repeated rows give equal rows; an empty table gives an
-empty result; all columns of the caller come back in the struct row, so that no name can clash.
+empty result; the columns of keep, or all of the caller's, come back in the struct row, so that no
+name can clash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN_FROM, SPM_BELOW = 90, 20
 SALT = "1:"
 BLOCK_WORDS = 8
+#: Rows that are cut at once; their bits and outputs are what a task holds besides a batch.
+ROWS = 256
 _BYTE_BITS = np.array([i.bit_count() for i in range(256)], np.uint8)
 #: Where the k-th set bit of a byte is.
 _BIT_OF = np.array([([j for j in range(8) if i >> j & 1] + [8] * 8)[:8] for i in range(256)], np.uint8)
@@ -76,9 +79,7 @@ def draws(doc_id: int | None) -> list[int]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     marks = [x.encode() for x in (PREFIX, SUFFIX, MIDDLE)]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
         texts = pc.fill_null(batch.column("_text"), "").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], np.uint8) if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
@@ -108,9 +109,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def transform(docs: DataFrame) -> DataFrame:
-    """docs with doc_id and text to (row, n, form, prefix_chars, middle_chars, output), row with all columns of docs."""
-    ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
+def transform(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """docs with doc_id and text to (row, n, form, prefix_chars, middle_chars, output), row with the columns of keep, or all of docs."""
+    ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
     return ready.mapInArrow(_cut, f"row {ready.schema['row'].dataType.simpleString()}, n long, form string, prefix_chars long, middle_chars long, output string")
 
 
@@ -124,6 +125,6 @@ def restore(output: Column, form: Column) -> Column:
 
 
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = transform(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
     digests = [F.sha2(x, 256).alias(name) for x, name in ((F.col("output"), "output_sha256"), (restore(F.col("output"), F.col("form")), "restored_sha256"))]
     return found.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
