@@ -4,12 +4,12 @@ A pass over each task's documents splits texts by the tokenizer's pattern. Each
 encoded once per task, by ranked merges over its bytes; documents are put together from words.
 There is no shuffle. The dictionary starts anew after MEMO_WORDS words, so memory is bounded.
 
-Two styles give the same ids. `spark=True` is the fold by Spark's higher-order functions with a
-literal rank map: workers number the words, `aggregate` merges in every step the adjacent pair of
-lowest rank (leftmost on ties), and workers put documents together again, over the same rows in
-the same order. It takes about 2300 CPU seconds a GB, over the limit of 900 (README), so the
-default runs the same merges in the worker that splits the text. Words over FOLD_BYTES bytes, for
-which the fold's square of the length is too much, take them from a heap in either style.
+The merges are a fold by Spark's higher-order functions with a literal rank map: workers number the
+words, `aggregate` merges in every step the adjacent pair of lowest rank (leftmost on ties), and
+workers put documents together again, over the same rows in the same order. Both queries take it,
+though it takes more CPU seconds than op4's limit (README). `spark=False` runs the same merges in
+the worker that splits the text, and gives the same ids. Words over FOLD_BYTES bytes, for which the
+fold's square of the length is too much, take them from a heap in either style.
 
 Results at the edges: null text is empty, with no ids; repeated rows are encoded alike; an empty
 table gives an empty result; a null doc_id is kept; the columns named in keep come back in a
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import merged_splits, read
 
 FOLD_BYTES = 64
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 18
 #: Small maps in the literal rank map; about three pairs in each.
 MAPS = 1 << 15
 PAIR = 1 << 17
@@ -226,7 +226,7 @@ def _assembler(ranks: dict[bytes, int], with_ids: bool):
     return assemble
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None, with_ids: bool = True, spark: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str] | None = None, with_ids: bool = True, spark: bool = True) -> DataFrame:
     """docs (text and the columns of keep) to row (a struct of keep), n_tokens, ids_sha256, decoded_sha256, ids (decimal, joined by spaces)."""
     ready = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or ["doc_id"]]).alias("row"), "text")
     row = ready.schema["row"].dataType.simpleString()

@@ -1,7 +1,6 @@
 """What tasks hold at once is bounded by constants, whatever a batch has."""
 
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from colloquy.llm import fim, tokens
 
@@ -17,3 +16,29 @@ def test_cut_yields_few_rows_at_once_and_keeps_what_is_asked(spark):
     docs = spark.createDataFrame([(1, "a text of words", "x")], "doc_id long, text string, other string")
     assert fim.transform(docs, ["doc_id"]).select("row.*").columns == ["doc_id"]
     assert fim.transform(docs).select("row.*").columns == docs.columns
+
+
+def test_frequent_words_stay_known_when_dictionaries_change(spark, monkeypatch):
+    """With a dictionary for each few words ids are the same, and a word of every batch is encoded once."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer_json = f.read()
+    batches = [pa.record_batch({"doc_id": [i], "part": pa.array([0], pa.int32()), "text": [f"often, word{i}a Word{i}b. word{i}c"]}) for i in range(30)]
+    whole = [x.column("ids").to_pylist() for x in tokens._encoder(tokenizer_json, 1)(iter(batches))]
+    sent, encode_new = [], tokens.encode_new
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 5)
+    monkeypatch.setattr(tokens, "encode_new", lambda tokenizer, words, cores: sent.extend(words) or encode_new(tokenizer, words, cores))
+    assert [x.column("ids").to_pylist() for x in tokens._encoder(tokenizer_json, 1)(iter(batches))] == whole
+    assert sent.count(b"often,") == 1
+
+
+def test_bpe_stage_and_op4_fold_in_spark(spark, tmp_path):
+    """The queries' ids come from the fold by higher-order functions, not from a worker's loop."""
+    import corpus_pipeline
+    from colloquy.llm import bpe
+
+    docs = spark.createDataFrame([(1, "some words, some more", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for found in (corpus_pipeline.bpe_encoding(spark, docs, ""), bpe.op4_bpe(spark, str(tmp_path))):
+        assert "aggregate" in found._jdf.queryExecution().analyzed().toString() and found.count() == 1
