@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import read, scratch_path
 
 END_ID = 1
-MEMO_WORDS = 1 << 20
+#: Words after which a worker begins a new dictionary; the one before it still answers, so frequent words stay known.
+MEMO_WORDS = 1 << 19
 ROWS = 1024
 PART_BYTES = 128 << 20
 ORC = {
@@ -81,19 +82,19 @@ def _encoder(tokenizer_json: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        # words in lower case must not turn into added tokens, so words have a tokenizer that knows none
-        library, tokenizer = Tokenizer.from_str(tokenizer_json), Tokenizer.from_str(tokenizer_json)
+        # words in lower case must not turn into added tokens, so words have a tokenizer that knows none; the whole one is loaded for the first text that holds one
+        library, tokenizer = None, Tokenizer.from_str(tokenizer_json)
         tokenizer.encode_special_tokens = True
         added = "|".join(re.escape(x.content) for x in tokenizer.get_added_tokens_decoder().values())
         memo: dict[bytes, bytes] = {b"": b""}
         cores: dict[bytes, bytes] = {b"": b""}
+        before: dict[bytes, bytes] = {}
         place = 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 if len(memo) > MEMO_WORDS:
-                    memo.clear(), cores.clear()
-                    memo[b""] = cores[b""] = b""
+                    before, memo, cores = memo, {b"": b""}, {b"": b""}
                 texts = pc.fill_null(part.column("text"), "")
                 marked = pc.match_substring_regex(texts, added) if added else pa.array([False] * part.num_rows)
                 split = pc.ascii_split_whitespace(pc.if_else(marked, "", texts))
@@ -101,7 +102,12 @@ def _encoder(tokenizer_json: str, end_id: int):
                 # the distinct words of these rows (an empty one at the edges of a text among them)
                 words = flat.dictionary.cast(pa.binary()).to_pylist()
                 got = list(map(memo.get, words))
-                missing = [i for i, x in enumerate(got) if x is None]
+                missing = []
+                for i in [i for i, x in enumerate(got) if x is None]:
+                    if (x := before.get(words[i])) is None:
+                        missing.append(i)
+                    else:
+                        got[i] = memo[words[i]] = x
                 new = [words[i] for i in missing]
                 for i, w, x in zip(missing, new, encode_new(tokenizer, new, cores), strict=True):
                     got[i] = memo[w] = x
@@ -116,7 +122,7 @@ def _encoder(tokenizer_json: str, end_id: int):
                 values[at_token + np.repeat(np.arange(part.num_rows), np.diff(ends[cuts]))] = pool[at_token + np.repeat(firsts - ends[:-1], of_word)]
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
                 if (at_once := np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist()):
-                    lists = ids.to_pylist()
+                    lists, library = ids.to_pylist(), library or Tokenizer.from_str(tokenizer_json)
                     for i in at_once:
                         lists[i] = [*library.encode(texts[i].as_py(), add_special_tokens=False).ids, end_id]
                     ids = pa.array(lists, pa.list_(pa.int32()))
