@@ -114,7 +114,7 @@ def merged_splits(df: DataFrame, wanted: int = 128 << 20) -> DataFrame:
     size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     factor = max(1, wanted // max(1, size))
     n = df.rdd.getNumPartitions()
-    return df.coalesce(max(n // factor, min(n, spark.sparkContext.defaultParallelism)))
+    return df.coalesce(max(1, n // factor, min(n, spark.sparkContext.defaultParallelism)))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
