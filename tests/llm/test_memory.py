@@ -42,3 +42,34 @@ def test_bpe_stage_and_op4_fold_in_spark(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     for found in (corpus_pipeline.bpe_encoding(spark, docs, ""), bpe.op4_bpe(spark, str(tmp_path))):
         assert "aggregate" in found._jdf.queryExecution().analyzed().toString() and found.count() == 1
+
+
+def test_bpe_fold_over_changing_dictionaries(spark, monkeypatch):
+    """Small dictionaries and a new start each few words give the same ids; frequent words are numbered once, a row a document goes to the fold."""
+    from colloquy.llm import bpe
+
+    ranks, pattern = bpe._public("byte_bpe_50k.tiktoken")
+    rows = [(i, None if i % 9 == 4 else f"often word{i}a aaaaaaaaa abaabaaba naïve{i} " + f"{i}" * (40 + i % 3) + "ß" * (i % 70)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    wanted = sorted(bpe.encode(docs, ranks, pattern, spark=False).collect())
+    assert sorted(bpe.encode(docs, ranks, pattern, memo_words=50).collect()) == wanted
+    batches = [pa.record_batch({"row": [{"doc_id": i}], "text": [t]}) for i, t in rows]
+    got = [x for b in bpe._numberer(pattern, 50)(iter(batches)) for x in b.to_pylist()]
+    assert len(got) == len(rows) and sum(x["new_words"].count(list(b"often")) for x in got) == 1
+    monkeypatch.setattr(bpe, "MOST_NUMBERS", 300)
+    assert sum(x["fresh"] for b in bpe._numberer(pattern, 50)(iter(batches)) for x in b.to_pylist()) > 1
+    assert sorted(bpe.encode(docs, ranks, pattern, memo_words=50).collect()) == wanted
+
+
+def test_perfect_hash_finds_all_pairs_and_no_others():
+    from colloquy.llm import bpe
+
+    pairs = {(i * 37 % 1009, i * i % 997): i for i in range(500)}
+    shifts, slots = bpe.perfect_hash(pairs)
+    at = lambda k: slots[(k + shifts[k % len(shifts)]) % len(slots)]
+    for a in range(200):
+        for b in range(200):
+            k = a * bpe.PAIR + b
+            assert (at(k) >> bpe.PAIR_BITS == k) == ((a, b) in pairs)
+    for (a, b), r in pairs.items():
+        assert at(a * bpe.PAIR + b) == (a * bpe.PAIR + b) * bpe.PAIR + r
