@@ -16,6 +16,8 @@ from colloquy.llm.common import materialize, scratch_path, scratch_scope
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a text's n-grams that the predicted language must know.
 LEAST_KNOWN = 0.25
+#: Words of a dictionary in the last stage, whose workers share an executor with what earlier stages left.
+BPE_WORDS = 1 << 17
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -58,7 +60,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their digest and that of the decoded bytes."""
     ranks, pattern = bpe._public("byte_bpe_50k.tiktoken")
-    return bpe.encode(docs, ranks, pattern, ["doc_id", "lang", "source"]).select("row.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    return bpe.encode(docs, ranks, pattern, ["doc_id", "lang", "source"], memo_words=BPE_WORDS).select("row.*", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
