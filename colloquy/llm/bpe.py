@@ -24,6 +24,7 @@ import hashlib
 import heapq
 import json
 import random
+import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -38,7 +39,7 @@ from .common import merged_splits, read
 #: A place in a word has PLACE_BITS.
 FOLD_BYTES, PLACE_BITS = 64, 6
 #: Words after which a worker begins a new dictionary; the one before it still answers, so frequent words stay known.
-MEMO_WORDS = 3 << 17
+MEMO_WORDS = 1 << 18
 #: Numbered words after which both dictionaries and the words' ids are forgotten.
 MOST_NUMBERS = 1 << 21
 #: Ids and ranks are under PAIR.
@@ -241,7 +242,7 @@ class _Numbers(dict):
 
 def _numberer(pattern: str, memo_words: int):
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document, its words as numbers; the first of each _ROWS has their new words, long ones apart by place."""
+        """A row a document, its words as numbers (deflated, for batches are cut by rows); the first of each _ROWS has their new words, long ones apart by place."""
         import regex
 
         find, seen = regex.compile(pattern).findall, _Numbers({}, 0)
@@ -258,6 +259,8 @@ def _numberer(pattern: str, memo_words: int):
                 for text in part.column("text"):
                     words = find(text.as_py() or "")
                     codes.append(np.fromiter(map(seen.__getitem__, words), np.uint32, len(words)).tobytes())
+                counts = [len(x) // 4 for x in codes]
+                codes = [zlib.compress(x, 1) for x in codes]
                 new, seen.new = [w.encode("utf-8", "surrogatepass") for w in seen.new], []
                 long = [i for i, w in enumerate(new) if len(w) > FOLD_BYTES]
                 long_words = [new[i] for i in long]
@@ -266,8 +269,8 @@ def _numberer(pattern: str, memo_words: int):
                 ends = np.cumsum([0, *map(len, new)], dtype=np.int32)
                 words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(new), np.uint8).astype(np.int32)))
                 first = lambda x, n=part.num_rows: pa.ListArray.from_arrays(pa.array([0, *[len(x)] * n], pa.int32()), x)
-                columns = [part.column("row"), pa.array(codes, pa.binary()), pa.array([fresh, *[False] * (part.num_rows - 1)]), first(words), first(pa.array(long, pa.int32())), first(pa.array(long_words, pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "codes", "fresh", "new_words", "long_at", "long_words"])
+                columns = [part.column("row"), pa.array(codes, pa.binary()), pa.array(counts, pa.int32()), pa.array([fresh, *[False] * (part.num_rows - 1)]), first(words), first(pa.array(long, pa.int32())), first(pa.array(long_words, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "codes", "n_words", "fresh", "new_words", "long_at", "long_words"])
 
     return number
 
@@ -314,7 +317,7 @@ def _assembler(ranks: dict[bytes, int], with_ids: bool):
         heap: Pieces | None = None  # for long words alone
         pool = _Pool()
         for batch in batches:
-            fresh, counts = batch.column("fresh").to_numpy(zero_copy_only=False), pc.binary_length(batch.column("codes")).to_numpy() // 4
+            fresh, counts = batch.column("fresh").to_numpy(zero_copy_only=False), batch.column("n_words").to_numpy().astype(np.int64)
             at = 0
             while at < batch.num_rows:
                 # documents up to _WORDS words, as long as the next has no new dictionary
@@ -337,7 +340,7 @@ def _assembler(ranks: dict[bytes, int], with_ids: bool):
                         lists[i] = np.array(merge_with_heap([heap.byte_ids[x] for x in w], heap.pairs), np.int32)
                     ids, sizes = np.concatenate(lists), np.array([len(x) for x in lists])
                 pool.add(ids, sizes)
-                ids, sizes = pool.of(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in part.column("codes")]).astype(np.int64))
+                ids, sizes = pool.of(np.concatenate([np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32) for x in part.column("codes")]).astype(np.int64))
                 ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts[at:end])))]
                 texts = [x[1:] for x in _joined(numbers, ids, ends)]
                 columns = [part.column("row"), pa.array(np.diff(ends)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([hashlib.sha256(x).hexdigest() for x in _joined(pieces, ids, ends)])]
@@ -357,7 +360,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
     schema = ", ".join([f"row {row}, n_tokens long, ids_sha256 string, decoded_sha256 string", *["ids string"] * with_ids])
     if not spark:
         return ready.mapInArrow(_encoder(pattern, ranks, with_ids), schema)
-    numbered = merged_splits(ready).mapInArrow(_numberer(pattern, memo_words), f"row {row}, codes binary, fresh boolean, new_words array<array<int>>, long_at array<int>, long_words array<binary>")
+    numbered = merged_splits(ready).mapInArrow(_numberer(pattern, memo_words), f"row {row}, codes binary, n_words int, fresh boolean, new_words array<array<int>>, long_at array<int>, long_words array<binary>")
     folded = numbered.withColumn("new_ids", F.transform("new_words", merge_fold(ranks))).drop("new_words")
     return folded.mapInArrow(_assembler(ranks, with_ids), schema)
 
